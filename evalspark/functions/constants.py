@@ -42,8 +42,8 @@ RUN_NAME_PATTERN = r"([^_]+)_(no_afterlines|with_afterlines|no_instruction)_(.+?
 # --- fixed values: evaluation status prefixes -------------------------------
 STATUS_SUCCESS = "Success"
 STATUS_FAILURE = "Failure"
-STATUS_COMPILE = "Compilation error"
-STATUS_RUNTIME = "Runtime error"
+STATUS_COMPILE = "Error: Compilation error"
+STATUS_RUNTIME = "Error"
 STATUS_TIMEOUT = "Timeout"
 STATUS_UNEXPECTED = "Unexpected error"
 
@@ -58,3 +58,52 @@ RESAMPLES = 10000
 PY_SCOPES = ["local", "function", "class", "library", "list_comp", "generator_exp", "lambda", "loop", "global"]
 JAVA_SCOPES = ["locals", "methods", "classes", "libraries", "globals", "interfaces", "loops",
                "lambda", "list_comp", "generator_exp"]
+
+# --- fixed values: dependency sentences, Python scopes ---------------------
+# scope -> (subject, middle); sentence =
+#   "{subject} '{name}' used at line {use} {middle} {def} and has a {range} dependency."
+PY_SENTENCE = {
+    "function": ("Function", "is defined at line"),
+    "class": ("Class", "is defined at line"),
+    "library": ("Library", "is imported at line"),
+    "list_comp": ("Variable", "is part of a List_Comprehension defined at line"),
+    "generator_exp": ("Variable", "is part of a Generator_Expressions defined at line"),
+    "lambda": ("Variable", "is part of a Lambda_Expressions defined at line"),
+    "loop": ("Variable", "is part of a Loop defined at line"),
+    "global": ("Global_Variable", "is defined at line"),
+    "local": ("Variable", "is defined at line"),
+}
+PY_UNDEFINED = "Variable '{name}' used at line {use} is undefined and has a {range} dependency."
+
+# --- fixed values: dependency sentences, Java scopes -----------------------
+# "{subject} '{name}' used at line {use}{part} is defined at line {def} and has a {range} dependency."
+JAVA_SENTENCE = {
+    "methods": ("Function", ""),
+    "classes": ("Class", ""),
+    "libraries": ("Library", ""),
+    "list_comp": ("Variable", " is part of a List_Comprehension"),
+    "generator_exp": ("Variable", " is part of a Generator_Expression"),
+    "lambda": ("Variable", " is part of a Lambda_Expression"),
+    "loops": ("Variable", " is part of a Loop"),
+    "globals": ("Global_Variable", ""),
+    "locals": ("Variable", ""),
+    "interfaces": ("Interface", ""),
+}
+REASON_SENTENCE = "'{reason}' detected at line {line}."
+
+# Scopes whose use on the definition line is still reported.
+COMPREHENSION_SCOPES = ["list_comp", "generator_exp", "lambda"]
+
+# --- fixed values: sentence patterns ---------------------------------------
+DISTANCE_PATTERN = r"(\w+) '.*?' used at line (\d+) is defined at line (\d+)"
+HORIZON_PATTERN = (
+    r"(Variable|Function|Class|Interface|Library|Global_Variable) '.*?' used at line \d+ "
+    r"(?:is (?:imported|defined) at line \d+ and has a (Short-Range|Medium-Range|Long-Range) dependency\.|"
+    r"is part of a (List_Comprehension|Generator_Expressions|Lambda_Expressions|Loop) defined at line \d+ "
+    r"and has a (Short-Range|Medium-Range|Long-Range) dependency\.)"
+)
+REASON_PATTERN = (
+    r"'(If Condition|If Body|Elif Condition|Elif Body|Else Reasoning|Pattern-Based Completion|"
+    r"Define Stop Criteria|Loop Body|Generator_Expressions|Super_Call|List_Comprehension|"
+    r"Lambda_Expressions|Stream_Operations)' detected at line \d+\."
+)

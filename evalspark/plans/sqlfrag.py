@@ -51,3 +51,7 @@ def values(rows) -> str:
             return "'" + v.replace("'", "''") + "'"
         return str(v)
     return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
