@@ -271,3 +271,35 @@ def category_census(df: DataFrame, category: str, task_type: str, lines: str,
     return avg.join(wide, category).select(
         category, "n_tasks", "avg_lines",
         *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(f"n_{t}") for t in types])
+
+
+# P9 -------------------------------------------------------------------------
+def drop_constant_columns(wide: DataFrame, marker: str, keep: Sequence[str] = (),
+                          drop: Sequence[str] = ()) -> DataFrame:
+    """Drop report columns where every value equals ``marker`` (and named ones).
+
+    One aggregate pass computes, per column, whether any value differs; only
+    that single row reaches the driver to decide the projection.
+    """
+    cand = [c for c in wide.columns if c not in keep and c not in drop]
+    if not cand:
+        return wide.drop(*drop)
+    flags = wide.agg(*[F.max((F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(marker)) != marker).cast("int"))
+                       .alias(f"c{i}") for i, c in enumerate(cand)]).first()
+    kept = [c for i, c in enumerate(cand) if flags[f"c{i}"]]
+    return wide.select(*[F.col(f"`{c}`") for c in wide.columns if c in keep or c in kept])
+
+
+# A18 ------------------------------------------------------------------------
+def whitespace_tokens(col) -> Column:
+    """Number of whitespace-separated tokens (stand-in for a model tokenizer)."""
+    return F.size(F.filter(F.split(F.coalesce(_b(col), F.lit("")), r"\s+"), lambda x: x != ""))
+
+
+def dialog_tokens(df: DataFrame, key: str, value_cols: Sequence[str], per_message: int = 3,
+                  reply_primer: int = 3) -> DataFrame:
+    """Per dialog: ``per_message`` per message plus the tokens of every value, plus ``reply_primer``."""
+    per_row = F.lit(per_message)
+    for c in value_cols:
+        per_row = per_row + whitespace_tokens(c)
+    return df.groupBy(key).agg((F.sum(per_row) + reply_primer).cast("long").alias("n_tokens"))

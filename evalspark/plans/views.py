@@ -128,18 +128,19 @@ runs AS (
 # Long form of the label maps: (doc_id, label, freq), one row per map entry.
 REASON_LONG_SQL = f"""
 reason_long AS (
-  SELECT r.doc_id, v.label, CAST(1 + (r.n_chars + v.k) % 4 AS INTEGER) AS freq
+  SELECT r.doc_id, v.label, CAST(1 + (r.n_chars + v.k) % 4 AS INTEGER) AS freq, v.k AS pos
   FROM runs r, ({_values([(lbl, k) for k, lbl in enumerate(REASON_LABELS)])}) v(label, k)
   WHERE (r.doc_id * 7 + r.n_chars + v.k * 13) % 5 = 0
 )"""
 
 HORIZON_LONG_SQL = f"""
 horizon_long AS (
-  SELECT r.doc_id, v.typ || ' ' || v.rng AS label, CAST(1 + (r.doc_id + v.t + v.r) % 3 AS INTEGER) AS freq
+  SELECT r.doc_id, v.typ || ' ' || v.rng AS label, CAST(1 + (r.doc_id + v.t + v.r) % 3 AS INTEGER) AS freq,
+         v.t * 3 + v.r AS pos
   FROM runs r, ({_values([(typ, t, rng, ri) for t, typ in enumerate(HORIZON_TYPES) for ri, rng in enumerate(HORIZON_RANGES)])}) v(typ, t, rng, r)
   WHERE (r.doc_id * 3 + r.n_chars * (v.t + 1) + v.r * 11) % 7 < 2
   UNION ALL
-  SELECT r.doc_id, 'Variable Loop ' || v.rng AS label, 1 AS freq
+  SELECT r.doc_id, 'Variable Loop ' || v.rng AS label, 1 AS freq, 18 + v.r AS pos
   FROM runs r, ({_values([(rng, ri) for ri, rng in enumerate(HORIZON_RANGES)])}) v(rng, r)
   WHERE (r.doc_id + v.r) % 9 = 0
 )"""
