@@ -1 +1,170 @@
-"""Registered queries."""
+"""Iterative, random and model-fitting rows (checked by row count + pytest invariants)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalspark.operators import graph as G
+from evalspark.operators import models as M
+from evalspark.operators import sampling as SM
+from evalspark.operators import vectors as VX
+from evalspark.plans import views as V
+from evalspark.plans.q_tier_b import _scored_labels, next_in_label_pairs
+from evalspark.plans.registry import query
+from evalspark.session import table
+
+
+def _edges(spark, d):
+    """Edges of the matching: each vector with the next two vector ids of its
+    label, weighted by distance (linear in rows; no all-pairs)."""
+    from pyspark.sql.window import Window
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    nxt = e.select("vec_id", F.lead("vec_id", 1).over(w).alias("n1"), F.lead("vec_id", 2).over(w).alias("n2"))
+    pairs = nxt.select(F.col("vec_id").alias("a"), F.explode(F.array("n1", "n2")).alias("b")).filter(F.col("b").isNotNull())
+    v = e.select("vec_id", VX.as_double_array("embedding").alias("v"))
+    j = pairs.join(v.withColumnRenamed("vec_id", "a").withColumnRenamed("v", "va"), "a") \
+        .join(v.withColumnRenamed("vec_id", "b").withColumnRenamed("v", "vb"), "b")
+    return j.select("a", "b", F.round(VX.euclid("va", "vb"), 9).alias("w"))
+
+
+@query("greedy_matching", ops=("B14",))
+def q_greedy(spark, d):
+    return G.greedy_match(_edges(spark, d))
+
+
+@query("pca_whiten", ops=("B15",))
+def q_pca(spark, d):
+    p = M.pca_whiten(table(spark, d, "embeddings"), "embedding", k=10)
+    return p.select("vec_id", F.round(F.col("components")[0], 6).alias("pc1_z"))
+
+
+@query("dbscan", ops=("B16",))
+def q_dbscan(spark, d):
+    e = table(spark, d, "embeddings")
+    return G.dbscan(e, "vec_id", "embedding", eps=1.12, min_pts=3)
+
+
+@query("kmeans", ops=("B17",))
+def q_kmeans(spark, d):
+    lab, _centres = M.kmeans(table(spark, d, "embeddings"), "embedding", k=5, seed=42)
+    return lab.select("vec_id", "cluster")
+
+
+@query("sample_rows", ops=("B19",))
+def q_sample(spark, d):
+    return SM.sample_n(table(spark, d, "customer"), "c_custkey", 100, seed=42).select("c_custkey", "c_mktsegment")
+
+
+@query("train_test_split", ops=("B21",))
+def q_split(spark, d):
+    tr, te = SM.split(table(spark, d, "customer"), "c_custkey", 0.8, seed=42)
+    return tr.select("c_custkey", F.lit("train").alias("part")).unionByName(
+        te.select("c_custkey", F.lit("test").alias("part")))
+
+
+def _features(spark, d):
+    s = _scored_labels(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "source")
+    s = s.join(docs, "doc_id")
+    s = VX.one_hot(s.withColumn("lang_", F.col("lang")), "lang_", ["de", "en", "es", "fr"])
+    s = s.withColumn("log_chars", F.log1p("n_chars").cast("double"))
+    s = M.assemble(s, ["log_chars", "toxic", "lang__de", "lang__en", "lang__es", "lang__fr"])
+    s = M.balanced_weights(s, "quality")
+    tr, te = SM.split(s, "doc_id", 0.8, seed=7)
+    return tr, te
+
+
+def _eval(pred):
+    return M.confusion(pred.withColumn("p", F.col("prediction").cast("int")), "quality", "p", by=["lang"])
+
+
+@query("gaussian_nb", ops=("B22",))
+def q_nb(spark, d):
+    tr, te = _features(spark, d)
+    return _eval(M.gaussian_nb(tr, te, "quality"))
+
+
+@query("random_forest", ops=("B23",))
+def q_rf(spark, d):
+    tr, te = _features(spark, d)
+    return _eval(M.random_forest(tr, te, "quality"))
+
+
+@query("svm_classify", ops=("B24",))
+def q_svm(spark, d):
+    tr, te = _features(spark, d)
+    return _eval(M.linear_svm(tr, te, "quality"))
+
+
+@query("linear_regression_fit", ops=("B25",))
+def q_linreg(spark, d):
+    tr, te = _features(spark, d)
+    p = M.linear_reg(tr, te, "quality")
+    return p.select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("unaware_compare", ops=("B29",))
+def q_unaware(spark, d):
+    """Refit without the protected attribute (language) and compare per group."""
+    tr, te = _features(spark, d)
+    aware = _eval(M.random_forest(tr, te, "quality")).withColumn("model", F.lit("aware"))
+    cols = ["log_chars", "toxic"]
+    tr2 = M.assemble(tr.drop("features"), cols)
+    te2 = M.assemble(te.drop("features"), cols)
+    unaware = _eval(M.random_forest(tr2, te2, "quality")).withColumn("model", F.lit("unaware"))
+    return M.fairness(aware.unionByName(unaware))
+
+
+@query("uniform_samples", ops=("B30",))
+def q_uniform(spark, d):
+    u = SM.uniform(table(spark, d, "customer"), "c_custkey", 2.0, 5.0, seed=3)
+    return u.select("c_custkey", "u")
+
+
+@query("multinomial_samples", ops=("B31",))
+def q_multinomial(spark, d):
+    ev = table(spark, d, "events")
+    probs = ev.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("p"))
+    return SM.multinomial(ev, "event_id", probs, "event_type", "p", seed=5)
+
+
+@query("gamma_dirichlet_samples", ops=("B32",))
+def q_gamma(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    g = SM.gamma_int(c, "c_custkey", 3, 2.0, seed=11)
+    g = SM.dirichlet_int(g, "c_custkey", [1, 2, 3], seed=13)
+    return g.select("c_custkey", "gamma", F.col("dirichlet")[0].alias("dir0"))
+
+
+@query("sampler_moments", ops=("B33",))
+def q_moments(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    g = SM.gamma_int(SM.uniform(c, "c_custkey", 0.0, 1.0, seed=3), "c_custkey", 3, 2.0, seed=11)
+    return SM.moments(g, "u").withColumn("sampler", F.lit("uniform")).unionByName(
+        SM.moments(g, "gamma").withColumn("sampler", F.lit("gamma")))
+
+
+@query("weighted_episode_sample", ops=("B34",))
+def q_episode_sample(spark, d):
+    s = V.sessions(spark, d)
+    return SM.sample_steps(s, "user_id", "step", "success", n=1000, seed=21)
+
+
+@query("future_goal_relabel", ops=("B35",))
+def q_relabel(spark, d):
+    s = V.sessions(spark, d).withColumn("state", F.col("value"))
+    r = SM.relabel_future_goal(s, "user_id", "step", "state", "success", seed=23)
+    return r.select("user_id", "step", "end_step", "goal")
+
+
+@query("pair_matching_distance", ops=("B12", "B14"))
+def q_pair_match(spark, d):
+    """Pairs of the matching re-scored by the distance of their cumulative series."""
+    e = table(spark, d, "embeddings")
+    m = G.greedy_match(_edges(spark, d))
+    return VX.pair_distance(m.select("a", "b"), "a", "b", e, "vec_id", "embedding") \
+        .select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+_ = next_in_label_pairs  # re-exported binding used by tests
