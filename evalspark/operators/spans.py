@@ -57,7 +57,7 @@ def records_in_range(ckpts: DataFrame, recs: DataFrame, by: Sequence[str], start
 
 # J7 -------------------------------------------------------------------------
 def asof_previous(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str,
-                  bucket: float, out: str = "prev") -> DataFrame:
+                  bucket: float, out: str = "prev", carry: bool = True) -> DataFrame:
     """As-of join, strict: for each left row, the greatest right ``value`` with
     right ``on`` < left ``on`` (same ``by``); left rows with none are dropped.
 
@@ -69,6 +69,8 @@ def asof_previous(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
        rows sorting before right rows at equal ``on`` (strictness);
     2. across buckets: per (by, bucket) the greatest right value, then a running
        max over earlier buckets of the same key (one row per bucket).
+
+    ``carry=False`` keeps the match inside the left row's bucket (a scope).
     """
     b = F.floor(F.col(on) / bucket).cast("long")
     lcols = left.columns
@@ -80,6 +82,8 @@ def asof_previous(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     w = (Window.partitionBy(*by, "_b").orderBy(on, "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = u.withColumn("_in", F.max("_v").over(w)).filter(F.col("_side") == 0)
+    if not carry:
+        return inner.withColumn(out, F.col("_in")).filter(F.col(out).isNotNull()).select(*lcols, out)
     per_bucket = right.groupBy(*by, b.alias("_b")).agg(F.max(value).alias("_bm"))
     # carry for every bucket in use: greatest right value of the earlier buckets
     all_b = inner.select(*by, "_b").unionByName(per_bucket.select(*by, "_b")).distinct()
@@ -171,3 +175,30 @@ def comment_ends(spans: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+# J9 -------------------------------------------------------------------------
+def resolve_definition(uses: DataFrame, defs: DataFrame, use_id: str, by: Sequence[str], on: str,
+                       scope_width: float, kind: str, priority: Sequence[str], value: str,
+                       out: str = "definition") -> DataFrame:
+    """For each use, its defining record: inside the use's scope (the bucket
+    ``floor(on / scope_width)``), the latest earlier definition of the
+    highest-priority kind that has one; none -> null (undefined).
+
+    ``value`` must be a column of ``defs`` ordered like ``on`` (e.g. a struct
+    starting with it). One scoped as-of join per kind -- the kind list is a
+    small parameter -- then the first kind in priority order that matched:
+    no candidate pairs are enumerated and a hot key is spread over scopes.
+    """
+    res = uses
+    picks = []
+    for i, k in enumerate(priority):
+        d = defs.filter(F.col(kind) == k).select(*by, on, value)
+        m = asof_previous(uses.select(use_id, *by, on), d, list(by), on, value, bucket=scope_width,
+                          out=f"_d{i}", carry=False).select(use_id, f"_d{i}")
+        res = res.join(m, use_id, "left")
+        picks.append((k, F.col(f"_d{i}")))
+    chosen = F.coalesce(*[c for _, c in picks])
+    chosen_kind = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in picks])
+    return res.withColumn(out, chosen).withColumn(f"{out}_kind", chosen_kind) \
+        .drop(*[f"_d{i}" for i in range(len(priority))])

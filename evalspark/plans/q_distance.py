@@ -298,3 +298,38 @@ def q_repeated(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     f = S.seen_before(ev, ["user_id", "event_type"], ["ts", "event_id"])
     return f.groupBy("event_type").agg(F.count_if("repeated").alias("n_repeated"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- J9
+DEF_PRIORITY = ["view", "click", "signup", "error"]
+
+
+def _j9_sql():
+    parts, joins = [], []
+    for i, k in enumerate(DEF_PRIORITY):
+        parts.append(f"""m{i} AS (SELECT p.event_id, v.event_id AS def_id, v.t AS dt FROM p
+  ASOF JOIN (SELECT * FROM dd WHERE event_type = '{k}') v
+  ON p.user_id = v.user_id AND p.day = v.day AND p.t > v.t)""")
+        joins.append(f"LEFT JOIN m{i} ON m{i}.event_id = p.event_id")
+    kind = "CASE " + " ".join(f"WHEN m{i}.def_id IS NOT NULL THEN '{k}'" for i, k in enumerate(DEF_PRIORITY)) + " END"
+    return f"""WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS t, floor(epoch_us(ts) / {DAY_US}) AS day
+           FROM events WHERE event_type = 'purchase'),
+dd AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, floor(epoch_us(ts) / {DAY_US}) AS day
+       FROM events WHERE event_type <> 'purchase'),
+{', '.join(parts)}
+SELECT p.event_id, coalesce({', '.join(f'm{i}.def_id' for i in range(len(DEF_PRIORITY)))}) AS def_id,
+       {kind} AS def_kind,
+       p.t - coalesce({', '.join(f'm{i}.dt' for i in range(len(DEF_PRIORITY)))}) AS gap_us
+FROM p {' '.join(joins)}"""
+
+
+@query("resolve_definition", ops=("J9",), sql=_j9_sql())
+def q_resolve(spark, d):
+    ev = events_us(spark, d)
+    uses = ev.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "t_us")
+    defs = ev.filter(F.col("event_type") != "purchase").select(
+        "user_id", "t_us", "event_type", F.struct("t_us", F.col("event_id").alias("def_id")).alias("v"))
+    r = S.resolve_definition(uses, defs, "event_id", ["user_id"], "t_us", float(DAY_US), "event_type",
+                             DEF_PRIORITY, "v", out="definition")
+    return r.select("event_id", F.col("definition.def_id").alias("def_id"), F.col("definition_kind").alias("def_kind"),
+                    (F.col("t_us") - F.col("definition.t_us")).alias("gap_us"))
