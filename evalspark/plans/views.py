@@ -33,28 +33,26 @@ SCOPE_OF_FLAG = [("A", "local"), ("N", "function"), ("R", "library")]
 
 
 # ---------------------------------------------------------------- runs
-def _reason_count(k: int) -> Column:
-    d, n = F.col("doc_id"), F.col("n_chars")
-    return F.when((d * 7 + n + k * 13) % 5 == 0, 1 + (n + k) % 4).otherwise(0)
+# The label maps are written as one SQL expression each (parsed once in the
+# JVM) instead of hundreds of Python-side Column calls.
+def _reason_count(k: int) -> str:
+    return f"CASE WHEN (doc_id * 7 + n_chars + {k * 13}) % 5 = 0 THEN 1 + (n_chars + {k}) % 4 ELSE 0 END"
 
 
-def _horizon_count(t: int, r: int) -> Column:
-    d, n = F.col("doc_id"), F.col("n_chars")
-    return F.when((d * 3 + n * (t + 1) + r * 11) % 7 < 2, 1 + (d + t + r) % 3).otherwise(0)
+def _horizon_count(t: int, r: int) -> str:
+    return f"CASE WHEN (doc_id * 3 + n_chars * {t + 1} + {r * 11}) % 7 < 2 THEN 1 + (doc_id + {t + r}) % 3 ELSE 0 END"
 
 
-def _loop_count(r: int) -> Column:
-    d = F.col("doc_id")
-    return F.when((d + r) % 9 == 0, 1).otherwise(0)
+def _loop_count(r: int) -> str:
+    return f"CASE WHEN (doc_id + {r}) % 9 = 0 THEN 1 ELSE 0 END"
 
 
-def _freq_map(entries: list[tuple[str, Column]]) -> Column:
-    arr = F.array(*[F.struct(F.lit(k).alias("key"), c.cast("int").alias("value"))
-                    for k, c in entries])
-    return F.map_from_entries(F.filter(arr, lambda e: e["value"] > 0))
+def _freq_map(entries: list[tuple[str, str]]) -> Column:
+    arr = ", ".join(f"named_struct('key', '{k}', 'value', CAST({c} AS INT))" for k, c in entries)
+    return F.expr(f"map_from_entries(filter(array({arr}), e -> e.value > 0))")
 
 
-def horizon_entries() -> list[tuple[str, Column]]:
+def horizon_entries() -> list[tuple[str, str]]:
     out = []
     for t, typ in enumerate(HORIZON_TYPES):
         for r, rng in enumerate(HORIZON_RANGES):
@@ -67,32 +65,27 @@ def horizon_entries() -> list[tuple[str, Column]]:
 def runs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = table(spark, d, "labels")
-    mode_map = F.create_map(*[F.lit(x) for kv in LANG_MODE for x in kv])
-    df = docs.join(labels, "doc_id")
-    n_tests = (1 + F.col("doc_id") % 3).cast("int")
-    k_passed = F.when(F.col("quality") == 1, n_tests).otherwise((F.col("doc_id") % n_tests).cast("int"))
-    ratio_text = (
-        F.when(F.col("doc_id") % 20 == 7, F.lit("0/0"))
-        .when(F.col("doc_id") % 20 == 11, F.col("quality").cast("double").cast("string"))
-        .when(F.col("doc_id") % 20 == 13, F.lit("abc"))
-        .otherwise(F.concat(k_passed.cast("string"), F.lit("/"), n_tests.cast("string"))))
+    mode_of = "CASE lang " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LANG_MODE) + " END"
+    n_tests = "CAST(1 + doc_id % 3 AS INT)"
+    k_passed = f"CAST(CASE WHEN quality = 1 THEN {n_tests} ELSE doc_id % {n_tests} END AS INT)"
     # one stamp per task: a run is (model, mode, task, stamp)
-    t = (F.col("doc_id") % 15).cast("int")
-    stamp = F.format_string("%02d_%02d_%02d_%02d", t % 12 + 1, t + 1, t % 24, (t * 4) % 60)
-    task = F.concat(F.lit("task_"), (F.col("doc_id") % 15).cast("string"))
-    return df.select(
+    t = "CAST(doc_id % 15 AS INT)"
+    stamp = f"format_string('%02d_%02d_%02d_%02d', {t} % 12 + 1, {t} + 1, {t} % 24, ({t} * 4) % 60)"
+    return docs.join(labels, "doc_id").select(
         "doc_id",
         F.col("source").alias("model"),
         F.col("lang").alias("mode"),
-        task.alias("code_task"),
+        F.expr(f"concat('task_', CAST({t} AS STRING))").alias("code_task"),
         F.col("quality").alias("passed"),
         F.col("toxic"),
-        n_tests.alias("n_tests"),
-        k_passed.alias("k_passed"),
-        ratio_text.alias("pass_ratio"),
-        stamp.alias("stamp"),
-        F.concat_ws("_", F.col("source"), mode_map[F.col("lang")],
-                    F.concat(F.lit("Task_"), (F.col("doc_id") % 15).cast("string")), stamp).alias("run_name"),
+        F.expr(n_tests).alias("n_tests"),
+        F.expr(k_passed).alias("k_passed"),
+        F.expr(f"""CASE WHEN doc_id % 20 = 7 THEN '0/0'
+                        WHEN doc_id % 20 = 11 THEN CAST(CAST(quality AS DOUBLE) AS STRING)
+                        WHEN doc_id % 20 = 13 THEN 'abc'
+                        ELSE concat(CAST({k_passed} AS STRING), '/', CAST({n_tests} AS STRING)) END""").alias("pass_ratio"),
+        F.expr(stamp).alias("stamp"),
+        F.expr(f"concat_ws('_', source, {mode_of}, concat('Task_', CAST({t} AS STRING)), {stamp})").alias("run_name"),
         F.col("n_chars"),
         _freq_map([(lbl, _reason_count(k)) for k, lbl in enumerate(REASON_LABELS)]).alias("reason_freq"),
         _freq_map(horizon_entries()).alias("horizon_freq"),
