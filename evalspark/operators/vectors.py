@@ -247,4 +247,4 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None, max_le
 # B18 ----------------------------------------------------------------------------------
 def members(df: DataFrame, label: str, path: str) -> None:
     """One table per cluster label: a partitioned write, rows sorted by label within files."""
-    df.repartition(label).sortWithinPartitions(label).write.mode("overwrite").partitionBy(label).parquet(path)
+    df.hint("rebalance", label).sortWithinPartitions(label).write.mode("overwrite").partitionBy(label).parquet(path)

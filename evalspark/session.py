@@ -74,6 +74,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), path)
     df = _TABLES.get(key)
     if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
+        df = spread(spark.read.parquet(path))
         _TABLES[key] = df
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster's cores when it has fewer input
+    splits than cores (e.g. one large single-row-group file), so the row-level
+    work before the first shuffle is not serial. Large inputs with many splits
+    are returned untouched (no extra shuffle). Filters and column pruning still
+    reach the parquet scan below the repartition."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want and want > 1 else df

@@ -78,7 +78,8 @@ def scan_runs(spark: SparkSession, path: str, schema: T.StructType, model: str |
 # K1 -------------------------------------------------------------------------
 def write_runs(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("model", "mode")) -> None:
     """Store runs partitioned by model and mode (parquet default, CSV with header optional)."""
-    w = df.write.mode("overwrite").partitionBy(*partition_by)
+    # rebalance: rows of a partition value go to few files; AQE splits a hot value
+    w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).option("escape", '"').csv(path)
     else:
@@ -87,7 +88,8 @@ def write_runs(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("mo
 
 def write_run_files(df: DataFrame, path: str) -> None:
     """One CSV folder per run (``run_name=<name>``), header, no index."""
-    df.write.mode("overwrite").partitionBy("run_name").option("header", True).option("escape", '"').csv(path)
+    df.hint("rebalance", "run_name").write.mode("overwrite").partitionBy("run_name") \
+        .option("header", True).option("escape", '"').csv(path)
 
 
 # S3 -------------------------------------------------------------------------
