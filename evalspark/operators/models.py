@@ -50,16 +50,29 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """``class_weight='balanced'``: n / (k * n_class) per row, from one aggregate."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.count()
-    k = counts.count()
-    return df.join(F.broadcast(counts), label).withColumn(out, F.lit(float(tot)) / (F.lit(k) * F.col("_nc"))).drop("_nc")
+    # one aggregate job; the class table (one row per class) is the broadcast side
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).collect()
+    tot, k = sum(r["_nc"] for r in counts), len(counts)
+    w = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(tot / (k * r["_nc"])))])
+    return df.withColumn(out, w[F.col(label)])
 
 
 # B22 - B25 ------------------------------------------------------------------
+def _fit(estimator, train: DataFrame):
+    """Fit with the training frame persisted (memory, spilling to disk):
+    iterative trainers scan it once per iteration, and the features come from
+    joins that must not be recomputed each time."""
+    from pyspark import StorageLevel
+    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(t)
+    finally:
+        t.unpersist()
+
+
 def gaussian_nb(train: DataFrame, test: DataFrame, label: str, features: str = "features") -> DataFrame:
     from pyspark.ml.classification import NaiveBayes
-    m = NaiveBayes(modelType="gaussian", labelCol=label, featuresCol=features).fit(train)
+    m = _fit(NaiveBayes(modelType="gaussian", labelCol=label, featuresCol=features), train)
     return m.transform(test)
 
 
@@ -67,7 +80,7 @@ def random_forest(train: DataFrame, test: DataFrame, label: str, features: str =
                   weight: str | None = "weight", depth: int = 2, seed: int = 42) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     kw = {"weightCol": weight} if weight else {}
-    m = RandomForestClassifier(labelCol=label, featuresCol=features, maxDepth=depth, seed=seed, **kw).fit(train)
+    m = _fit(RandomForestClassifier(labelCol=label, featuresCol=features, maxDepth=depth, seed=seed, **kw), train)
     return m.transform(test)
 
 
@@ -76,13 +89,13 @@ def linear_svm(train: DataFrame, test: DataFrame, label: str, features: str = "f
     """Balanced linear SVM (the harness uses an RBF kernel; pyspark.ml has linear only)."""
     from pyspark.ml.classification import LinearSVC
     kw = {"weightCol": weight} if weight else {}
-    m = LinearSVC(labelCol=label, featuresCol=features, maxIter=50, **kw).fit(train)
+    m = _fit(LinearSVC(labelCol=label, featuresCol=features, maxIter=50, **kw), train)
     return m.transform(test)
 
 
 def linear_reg(train: DataFrame, test: DataFrame, label: str, features: str = "features") -> DataFrame:
     from pyspark.ml.regression import LinearRegression
-    m = LinearRegression(labelCol=label, featuresCol=features).fit(train)
+    m = _fit(LinearRegression(labelCol=label, featuresCol=features), train)
     return m.transform(test)
 
 
@@ -98,8 +111,8 @@ def pca_whiten(df: DataFrame, vec: str, k: int = 10) -> DataFrame:
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
     d = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    p = PCA(k=k, inputCol="_v", outputCol="_pc").fit(d).transform(d)
-    s = StandardScaler(withMean=True, withStd=True, inputCol="_pc", outputCol="_z").fit(p).transform(p)
+    p = _fit(PCA(k=k, inputCol="_v", outputCol="_pc"), d).transform(d)
+    s = _fit(StandardScaler(withMean=True, withStd=True, inputCol="_pc", outputCol="_z"), p).transform(p)
     return s.withColumn("components", vector_to_array("_z")).drop("_v", "_pc", "_z")
 
 
@@ -107,5 +120,5 @@ def kmeans(df: DataFrame, vec: str, k: int = 5, seed: int = 42) -> tuple[DataFra
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     d = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    m = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(d)
+    m = _fit(KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster"), d)
     return m.transform(d).drop("_v"), [list(c) for c in m.clusterCenters()]

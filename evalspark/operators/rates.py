@@ -86,7 +86,14 @@ def label_presence(df: DataFrame, freq_map: str, kind: str, keys: Sequence[str],
         if not weighted:
             ent = ent.withColumn("freq", F.lit(1))
         return ent.select(*keys, "label", F.col("freq").cast("long").alias("w"))
-    # Row-local: distinct words of all keys, each with its weight, built with
+    return df.select(*keys, F.inline(horizon_items(m, weighted, use_max)))
+
+
+def horizon_items(m: Column, weighted: bool = False, use_max: bool = True) -> Column:
+    """Row-local ``array<struct<label, w>>`` of the horizon labels present in a
+    frequency map: distinct words of all keys (weight = summed counts of the
+    keys holding the word, or 1), ranges replaced by the row's greatest range."""
+    # distinct words of all keys, each with its weight, built with
     # higher-order functions -- no shuffle to make labels distinct per row.
     ents = F.map_entries(m)
     words = F.array_distinct(F.flatten(F.transform(F.map_keys(m), lambda k: F.split(k, " "))))
@@ -106,7 +113,8 @@ def label_presence(df: DataFrame, freq_map: str, kind: str, keys: Sequence[str],
         top = max_range_label(m)
         items = F.concat(items, F.when(top.isNotNull(), F.array(F.struct(top.alias("label"), total.alias("w"))))
                          .otherwise(F.array().cast("array<struct<label:string,w:bigint>>")))
-    return df.select(*keys, F.inline(items))
+    return items
+
 
 
 def label_pass_rate(df: DataFrame, freq_map: str, kind: str, labels: Sequence[str],
@@ -163,24 +171,33 @@ def run_summary(df: DataFrame, run_col: str = "run_name", passed: str = "is_pass
                 horizon_map: str = "horizon_freq",
                 reasons: Sequence[str] = REASON_LABELS,
                 horizons: Sequence[str] = HORIZON_LABELS) -> DataFrame:
-    """A5: one row per run: overall rate text and one rate text per label."""
+    """A5: one row per run: overall rate text and one rate text per label.
+
+    One pass: every row emits its items (an overall marker, its reason keys,
+    its horizon labels) in a single ``inline``; one aggregate per
+    (run, item) and a pivot on the fixed item list.
+    """
     from evalspark.functions.rates import parse_run_name
-    overall = df.groupBy(run_col).agg(F.sum(F.col(passed).cast("long")).alias("k"),
-                                      F.count(F.lit(1)).alias("n"))
-    overall = overall.select(run_col, parse_run_name(run_col).alias("p"), format_rate("k", "n").alias("all_pass")) \
-        .select(run_col, "p.model", "p.mode", "p.task", "p.stamp", "all_pass")
-    parts = []
-    for m, kind, labels, pre in ((reason_map, "reason", reasons, "r_"), (horizon_map, "horizon", horizons, "h_")):
-        long = label_pass_rate(df, m, kind, labels, passed=passed, by=[run_col], key=key)
-        wide = long.groupBy(run_col).pivot("label", list(labels)).agg(
-            F.first(format_rate("n_pass", "n_total")))
-        parts.append(wide.select(run_col, *[F.col(f"`{lbl}`").alias(pre + label_col(lbl)) for lbl in labels]))
-    out = overall
-    for p in parts:
-        out = out.join(p, run_col, "left")
-    cols = [c for c in out.columns if c.startswith(("r_", "h_"))]
-    return out.select(run_col, "model", "mode", "task", "stamp", "all_pass",
-                      *[F.coalesce(F.col(c), F.lit("N/A")).alias(c) for c in cols])
+    item_t = "array<struct<label:string,w:bigint>>"
+    reason = F.transform(F.map_keys(F.col(reason_map)), lambda k: F.struct(
+        F.concat(F.lit("r_"), k).alias("label"), F.lit(1).cast("long").alias("w")))
+    horizon = F.transform(horizon_items(F.col(horizon_map)), lambda e: F.struct(
+        F.concat(F.lit("h_"), e["label"]).alias("label"), e["w"].alias("w")))
+    overall = F.array(F.struct(F.lit("__all__").alias("label"), F.lit(1).cast("long").alias("w")))
+    items = F.concat(overall.cast(item_t), reason.cast(item_t), horizon.cast(item_t))
+    long = df.select(run_col, F.col(passed).alias("_p"), F.inline(items))
+    wanted = ["__all__"] + ["r_" + x for x in reasons] + ["h_" + x for x in horizons]
+    long = long.filter(F.col("label").isin(wanted))
+    g = long.groupBy(run_col, "label").agg(
+        F.sum(F.when(F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias("k"),
+        F.sum("w").cast("long").alias("n"))
+    wide = g.groupBy(run_col).pivot("label", wanted).agg(F.first(format_rate("k", "n")))
+    names = {"__all__": "all_pass", **{"r_" + x: "r_" + label_col(x) for x in reasons},
+             **{"h_" + x: "h_" + label_col(x) for x in horizons}}
+    p = parse_run_name(run_col)
+    return wide.select(run_col, p["model"].alias("model"), p["mode"].alias("mode"), p["task"].alias("task"),
+                       p["stamp"].alias("stamp"),
+                       *[F.coalesce(F.col(f"`{w}`"), F.lit("N/A")).alias(names[w]) for w in wanted])
 
 
 # A8 / A9 --------------------------------------------------------------------

@@ -66,7 +66,7 @@ def main():
             scols = sdf.columns
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as ex:  # noqa: BLE001
-            print(f"FAIL {name}: spark error {str(ex)[:800]}")
+            print(f"FAIL {name}: spark error {str(ex)[:300]} ... {str(ex)[-1500:]}")
             bad += 1
             continue
         ts = time.time() - t0
