@@ -65,9 +65,12 @@ def _fit(estimator, train: DataFrame):
     from pyspark import StorageLevel
     t = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return estimator.fit(t)
+        model = estimator.fit(t)
     finally:
         t.unpersist()
+    # a copy carries no training summary (which holds the session and would be
+    # captured by every transform closure)
+    return model.copy()
 
 
 def gaussian_nb(train: DataFrame, test: DataFrame, label: str, features: str = "features") -> DataFrame:

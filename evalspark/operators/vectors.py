@@ -173,7 +173,8 @@ def running_sum(df: DataFrame, key: str, order: Sequence[str], value: str, bucke
     d = d.withColumn("_in", F.sum(value).over(w_in))
     tot = d.groupBy(key, "_b").agg(F.sum(value).alias("_t"))
     w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.withColumn("_carry", F.coalesce(F.sum("_t").over(w_b), F.lit(0.0))).select(key, "_b", "_carry")
+    carry = tot.withColumn("_carry", F.coalesce(F.sum("_t").over(w_b), F.lit(0).cast(tot.schema["_t"].dataType))) \
+        .select(key, "_b", "_carry")
     return d.join(carry, [key, "_b"]).withColumn(out, F.col("_in") + F.col("_carry")).drop("_b", "_in", "_carry")
 
 

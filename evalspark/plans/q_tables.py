@@ -121,7 +121,7 @@ WHERE l.quality IS NOT NULL""")
 def q_drop_incomplete(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     j = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    kept, _obs = TB.drop_incomplete(j, ["quality"])
+    kept, _report = TB.drop_incomplete(j, ["quality"])
     return kept
 
 

@@ -66,7 +66,9 @@ def main():
             scols = sdf.columns
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as ex:  # noqa: BLE001
-            print(f"FAIL {name}: spark error {str(ex)[:300]} ... {str(ex)[-1500:]}")
+            with open(f"/tmp/oracle_err_{name}.txt", "w") as fh:
+                fh.write(str(ex))
+            print(f"FAIL {name}: spark error {str(ex)[:300]} (full text in /tmp/oracle_err_{name}.txt)")
             bad += 1
             continue
         ts = time.time() - t0
