@@ -214,7 +214,8 @@ def bracket_counts(text) -> Column:
     fields = []
     for o, c in BRACKETS:
         name = {"{": "brace", "[": "square", "(": "paren"}[o]
-        fields += [count_of(text, o).alias(f"{name}_open"), count_of(text, c).alias(f"{name}_close")]
+        fields += [count_of(text, o).cast("long").alias(f"{name}_open"),
+                   count_of(text, c).cast("long").alias(f"{name}_close")]
     return F.struct(*fields)
 
 

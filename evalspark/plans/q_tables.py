@@ -76,7 +76,7 @@ def _cases_map(spark, d):
 
 
 @query("scan_test_cases", ops=("S6",), sql="""
-SELECT event_id, i AS idx, event_type || CAST(i AS VARCHAR) AS test_case,
+SELECT event_id, CAST(i AS INTEGER) AS idx, event_type || CAST(i AS VARCHAR) AS test_case,
        CAST(user_id AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS expected
 FROM (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
              unnest(range(1, 2 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 3)) AS i FROM events)
@@ -194,7 +194,7 @@ SELECT conv_id, turn,
        WHEN turn % 2 = 1 AND trim("between") <> '' THEN 'cleaned_code'
        WHEN coalesce("between", '') <> '' THEN 'original_code' ELSE '' END AS step_default,
   CASE WHEN turn % 2 = 1 AND trim("between") <> '' THEN 'cleaned_code' ELSE '' END AS step_given,
-  length(CASE WHEN turn % 2 = 1 AND trim("between") <> '' THEN trim("between") ELSE '' END) AS len_given
+  CAST(length(CASE WHEN turn % 2 = 1 AND trim("between") <> '' THEN trim("between") ELSE '' END) AS INTEGER) AS len_given
 FROM turns""", V.TURNS_SQL))
 def q_select_step(spark, d):
     g = _gen_code(spark, d)
