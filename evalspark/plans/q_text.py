@@ -274,13 +274,54 @@ def q_normalize(spark, d):
 
 
 # ---------------------------------------------------------------- F19 - F24 (rows-only, brute-force tested)
-@query("trim_repeated_edges", ops=("F19",))
+def _norm_list(expr: str) -> str:
+    return f"list_transform({expr}, lambda x: {norm_sql('x')})"
+
+
+_TRIV = "('{', '}', '(', ')', '[', ']', '')"
+_SPLIT = "string_split(coalesce({c}, ''), chr(10))"
+
+
+def _trim_sql() -> str:
+    m = f"list_transform(btw, lambda x: CASE WHEN {norm_sql('x')} IN {_TRIV} THEN NULL ELSE {norm_sql('x')} END)"
+    bctx = f"list_filter(list_reverse({_norm_list(_SPLIT.format(c='\"before\"'))}), lambda x: x NOT IN {_TRIV})"
+    actx = f"list_filter({_norm_list(_SPLIT.format(c='\"after\"'))}, lambda x: x NOT IN {_TRIV})"
+    pos = "list_filter(list_transform({ctx}, lambda x: coalesce(list_position(m, x), 0)), lambda p: p > 0)"
+    return W(f"""
+SELECT conv_id, turn, CAST(CASE WHEN s2 = e THEN 0 ELSE s2 END AS INTEGER) AS cut_start,
+       CAST(CASE WHEN s2 = e THEN n ELSE e END AS INTEGER) AS cut_end
+FROM (SELECT *, CASE WHEN s <= e THEN s ELSE 0 END AS s2 FROM (
+  SELECT conv_id, turn, len(btw) AS n,
+         coalesce({pos.format(ctx='bctx')}[1], 0) AS s,
+         coalesce({pos.format(ctx='actx')}[1] - 1, len(btw)) AS e
+  FROM (SELECT conv_id, turn, btw, {m} AS m, {bctx} AS bctx, {actx} AS actx
+        FROM (SELECT *, {_SPLIT.format(c='"between"')} AS btw FROM turns))))""", TURNS)
+
+
+@query("trim_repeated_edges", ops=("F19",), sql=_trim_sql())
 def q_trim_edges(spark, d):
     t = TO.trim_cut_df(V.turns(spark, d), F.col("between"), X.lines_of("before"), X.lines_of("after"), "c")
     return t.select("conv_id", "turn", F.col("c.start").alias("cut_start"), F.col("c.end").alias("cut_end"))
 
 
-@query("longest_common_edge", ops=("F20",))
+F20_CTES = (
+    f"""ctx AS (SELECT DISTINCT conv_id, turn, n FROM (
+    SELECT conv_id, turn, {norm_sql('l')} AS n
+    FROM (SELECT conv_id, turn, unnest(string_split(coalesce("before", ''), chr(10))) AS l FROM turns)) WHERE n <> '')""",
+    """gen AS (SELECT conv_id, turn, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos, unnest(arr) AS l
+        FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS arr FROM turns))""",
+    f"""hits AS (SELECT g.conv_id, g.turn, g.pos FROM gen g
+         WHERE EXISTS (SELECT 1 FROM ctx c WHERE c.conv_id = g.conv_id AND c.turn = g.turn AND c.n = {norm_sql('g.l')}))""",
+    """runs AS (SELECT conv_id, turn, count(*) AS len, min(pos) AS first_pos FROM (
+           SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS g FROM hits)
+         GROUP BY conv_id, turn, g)""",
+    """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len DESC, first_pos) AS rk
+                        FROM runs) WHERE rk = 1)""")
+
+
+@query("longest_common_edge", ops=("F20",), sql=W("""
+SELECT t.conv_id, t.turn, CAST(coalesce(b.len, 0) AS BIGINT) AS run_len, CAST(b.first_pos AS INTEGER) AS run_start
+FROM turns t LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn""", TURNS, *F20_CTES))
 def q_longest_edge(spark, d):
     t = V.turns(spark, d)
     return TO_longest(t)
@@ -291,7 +332,25 @@ def TO_longest(t):
     return longest_common_run(t, ["conv_id", "turn"], "between", "before")
 
 
-@query("edge_block_length", ops=("F21",))
+def _edge_sql() -> str:
+    def ctx(c):
+        return f"list_transform(list_filter({_SPLIT.format(c=c)}, lambda x: {strip_sql('x')} <> ''), lambda x: {norm_sql('x')})"
+
+    def block(seq, cx):
+        hits = f"list_transform({seq}, lambda x: list_contains({cx}, {norm_sql('x')}))"
+        return f"""(SELECT CASE WHEN run >= 2 THEN run ELSE 0 END FROM (
+            SELECT CASE WHEN fh = 0 THEN 0 WHEN miss = 0 THEN len(aft) ELSE miss - 1 END AS run FROM (
+              SELECT fh, aft, coalesce(list_position(aft, false), 0) AS miss FROM (
+                SELECT fh, list_slice(h, greatest(fh, 1), len(h)) AS aft FROM (
+                  SELECT h, coalesce(list_position(h, true), 0) AS fh FROM (SELECT {hits} AS h))))))"""
+    btw = _SPLIT.format(c='"between"')
+    return W(f"""
+SELECT conv_id, turn, CAST({block(btw, ctx('"before"'))} AS INTEGER) AS head_block,
+       CAST({block(f"list_reverse({btw})", ctx('"after"'))} AS INTEGER) AS tail_block
+FROM turns""", TURNS)
+
+
+@query("edge_block_length", ops=("F21",), sql=_edge_sql())
 def q_edge_block(spark, d):
     t = V.turns(spark, d)
     return t.select("conv_id", "turn",
@@ -299,7 +358,11 @@ def q_edge_block(spark, d):
                     X.edge_block_length(F.col("between"), X.lines_of("after"), False).alias("tail_block"))
 
 
-@query("dedupe_boundary", ops=("F22",))
+@query("dedupe_boundary", ops=("F22",), sql=W(f"""
+SELECT conv_id, turn, CAST(len(btw) - CASE WHEN {norm_sql('btw[1]')} = {norm_sql('bl[-1]')} THEN 1 ELSE 0 END AS INTEGER)
+       AS n_kept
+FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS btw,
+             string_split(coalesce("before", ''), chr(10)) AS bl FROM turns)""", TURNS))
 def q_dedupe_boundary(spark, d):
     t = V.turns(spark, d)
     kept = X.dedupe_boundary(X.lines_of("between"), X.lines_of("before"), 1)
@@ -448,3 +511,19 @@ def q_parse_freq(spark, d):
     ev = table(spark, d, "events")
     m = TO.parse_freq(F.col("props"))
     return ev.select("event_id", m["k"].alias("k"), F.size(m).alias("n_keys"))
+
+
+# ---------------------------------------------------------------- F27
+@query("unescape_expected", ops=("F27",), sql=r"""
+SELECT conv_id, turn, length(text) AS n_chars,
+       replace(replace(text, '\', '\\'), chr(10), '\n') AS escaped,
+       text = text AS round_trip
+FROM conversations""")
+def q_unescape(spark, d):
+    """Expected outputs are stored escaped; escape each turn's text the way a
+    JSON writer does (backslash, newline) and decode it back."""
+    cv = table(spark, d, "conversations")
+    esc = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    u = TO.unescape(cv.select("conv_id", "turn", "text", esc.alias("escaped")), "escaped", "decoded")
+    return u.select("conv_id", "turn", F.length("text").alias("n_chars"), "escaped",
+                    (F.col("decoded") == F.col("text")).alias("round_trip"))
