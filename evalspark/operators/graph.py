@@ -63,11 +63,9 @@ def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int =
     """
     from evalspark.operators.vectors import as_double_array, euclid
     pts = points.select(F.col(pid).alias("id"), as_double_array(vec).alias("v"))
-    pivots = pts.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots) \
-        .agg(F.collect_list("v").alias("piv"))
-    # one row holding the pivot vectors, attached to every point
-    d = pts.withColumn("_one", F.lit(1)).join(F.broadcast(pivots.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    d = d.withColumn("pd", F.transform("piv", lambda p: euclid("v", p))).drop("piv")
+    # the pivot vectors as one scalar subquery value
+    piv = pts.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).agg(F.collect_list("v")).scalar()
+    d = pts.withColumn("_piv", piv).withColumn("pd", F.transform("_piv", lambda p: euclid("v", p))).drop("_piv")
     d = _cut(d)
     left = d.withColumn("bk", F.explode(F.sequence(F.floor(F.col("pd")[0] / eps).cast("long") - 1,
                                                    F.floor(F.col("pd")[0] / eps).cast("long") + 1)))

@@ -226,14 +226,14 @@ def distance_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
 def histogram(df: DataFrame, col: str, bins: int = 30, subset: str | None = None) -> DataFrame:
     """Equal-width bins from min to max; the max lands in the last bin.
 
-    min / max is a one-row aggregate joined back (a one-row side is a proven
-    size bound for a broadcast).
+    min / max are scalar subqueries (one value each, computed once).
     """
     x = F.col(col).cast("double")
-    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    # min / max as scalar subqueries: evaluated once, no join with the data
+    lo = df.agg(F.min(x)).scalar()
+    hi = df.agg(F.max(x)).scalar()
     j = df.select(x.alias("x"), (F.col(subset) if subset else F.lit(False)).alias("sub"),
-                  F.lit(1).alias("_one")).filter(F.col("x").isNotNull()) \
-        .join(F.broadcast(mm.withColumn("_one", F.lit(1))), "_one")
+                  lo.alias("lo"), hi.alias("hi")).filter(F.col("x").isNotNull())
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")

@@ -46,15 +46,18 @@ def uniform(df: DataFrame, id_col: str, lo: float, hi: float, seed: int = 0, out
 # B31 ------------------------------------------------------------------------
 def multinomial(draws: DataFrame, id_col: str, probs: DataFrame, cat: str, p: str, seed: int = 0) -> DataFrame:
     """One categorical draw per row: uniform against the cumulative probabilities
-    (a range join on a small, broadcast interval table), then counts per
-    category with zero fill."""
+    (a small interval table, looked up row-locally), then counts per category
+    with zero fill."""
     w = Window.orderBy(cat).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = probs.agg(F.sum(p)).first()[0]
     iv = probs.select(cat, (F.sum(p).over(w) / total).alias("hi"), (F.col(p) / total).alias("_w")) \
         .withColumn("lo", F.col("hi") - F.col("_w")).drop("_w")
-    u = draws.select(id_col, uniform01(id_col, seed=seed).alias("u"))
-    j = u.join(F.broadcast(iv), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    counts = j.groupBy(cat).agg(F.count(F.lit(1)).alias("n"))
+    # the interval table (one row per category) as one scalar array; each draw
+    # finds its interval row-locally -- no join
+    ivs = iv.agg(F.collect_list(F.struct(F.col(cat).alias("c"), "lo", "hi"))).scalar()
+    u = draws.select(id_col, uniform01(id_col, seed=seed).alias("u"), ivs.alias("_ivs"))
+    hit = F.try_element_at(F.filter("_ivs", lambda e: (F.col("u") >= e["lo"]) & (F.col("u") < e["hi"])), F.lit(1))["c"]
+    counts = u.select(hit.alias(cat)).groupBy(cat).agg(F.count(F.lit(1)).alias("n"))
     return probs.select(cat).join(counts, cat, "left").select(cat, F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -112,14 +112,14 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 def attach_queries(points: DataFrame, queries: DataFrame, qkey: str, qvec: str) -> DataFrame:
     """Give every point the whole (small, count-checked) query set as one array
-    column through a single-row broadcast, then explode per query."""
+    value (a scalar subquery), then explode per query."""
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"query set has {n} rows (> {MAX_QUERIES}); use a partitioned search")
-    one = queries.agg(F.collect_list(F.struct(F.col(qkey).alias("qk"), as_double_array(qvec).alias("qv")))
-                      .alias("_qs")).withColumn("_one", F.lit(1))
-    j = points.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
-    return j.select("*", F.explode("_qs").alias("_q")).drop("_qs") \
+    # the whole query set as one scalar subquery value (computed once, shipped
+    # with the task) -- no join between points and queries is planned
+    qs = queries.agg(F.collect_list(F.struct(F.col(qkey).alias("qk"), as_double_array(qvec).alias("qv")))).scalar()
+    return points.select("*", F.explode(qs).alias("_q")) \
         .withColumn(qkey, F.col("_q.qk")).withColumn("_qv", F.col("_q.qv")).drop("_q")
 
 
