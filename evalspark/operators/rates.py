@@ -230,10 +230,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30, subset: str | None = None
     """
     x = F.col(col).cast("double")
     # min / max as scalar subqueries: evaluated once, no join with the data
-    lo = df.agg(F.min(x)).scalar()
-    hi = df.agg(F.max(x)).scalar()
-    j = df.select(x.alias("x"), (F.col(subset) if subset else F.lit(False)).alias("sub"),
-                  lo.alias("lo"), hi.alias("hi")).filter(F.col("x").isNotNull())
+    mm = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    j = df.select(x.alias("x"), (F.col(subset) if subset else F.lit(False)).alias("sub"), mm.alias("_mm")) \
+        .select("x", "sub", F.col("_mm.lo").alias("lo"), F.col("_mm.hi").alias("hi")).filter(F.col("x").isNotNull())
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")

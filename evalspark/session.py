@@ -79,13 +79,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+SPREAD_MIN_BYTES = 8 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getContentSummary(p).getLength()
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan over the cluster's cores when it has fewer input
-    splits than cores (e.g. one large single-row-group file), so the row-level
-    work before the first shuffle is not serial. Large inputs with many splits
-    are returned untouched (no extra shuffle). Filters and column pruning still
-    reach the parquet scan below the repartition."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want and want > 1 else df
+    splits than cores and is large enough for the row work to matter (e.g. one
+    big single-row-group file), so the work before the first shuffle is not
+    serial. Inputs with many splits, and small inputs, are returned untouched
+    (no extra shuffle). Filters and column pruning still reach the parquet
+    scan below the repartition."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if want <= 1 or df.rdd.getNumPartitions() >= want:
+        return df
+    min_bytes = int(spark.conf.get("evalspark.spreadMinBytes", str(SPREAD_MIN_BYTES)))
+    return df.repartition(want) if _input_bytes(df) >= min_bytes else df
