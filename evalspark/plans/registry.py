@@ -56,5 +56,5 @@ def query(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
 def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
     from evalspark.plans import (  # noqa: F401
-        q_core, q_distance, q_labels, q_tables, q_text, q_tier_b, q_iterative)
+        q_core, q_distance, q_tables, q_text, q_tier_b, q_iterative)
     return REGISTRY
