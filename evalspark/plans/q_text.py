@@ -369,7 +369,26 @@ def q_dedupe_boundary(spark, d):
     return t.select("conv_id", "turn", F.size(kept).alias("n_kept"))
 
 
-@query("indent_width", ops=("F23",))
+def _indent_sql() -> str:
+    ind = f"length(x) - length(regexp_replace(x, '^' || {WSQ} || '+', ''))"
+    return f"""
+WITH b AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS bl FROM documents),
+s AS (SELECT doc_id, bl, list_reverse(list_transform(list_slice(bl, greatest(len(bl) - 9, 1), len(bl)),
+                                                     lambda x: {ind})) AS sz FROM b),
+r AS (SELECT doc_id, list_filter(list_transform(generate_series(1, len(sz) - 1), lambda i: abs(sz[i + 1] - sz[i])),
+                                 lambda d: d <> 0) AS rel FROM s),
+u AS (SELECT doc_id, unnest(rel) AS v, generate_subscripts(rel, 1) AS pos FROM r),
+c AS (SELECT doc_id, v, count(*) AS cnt, min(pos) AS p FROM u GROUP BY doc_id, v),
+m AS (SELECT doc_id, v AS mode FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, p) AS rk FROM c) WHERE rk = 1)
+SELECT s.doc_id,
+       CASE WHEN list_contains(s.bl, chr(9)) THEN 'tab'
+            WHEN len(s.sz) = 1 THEN CASE WHEN s.sz[1] > 0 THEN CAST(s.sz[1] AS VARCHAR) ELSE 'tab' END
+            WHEN m.mode IS NOT NULL THEN CAST(m.mode AS VARCHAR) ELSE 'tab' END AS unit
+FROM s LEFT JOIN m ON m.doc_id = s.doc_id"""
+
+
+@query("indent_width", ops=("F23",), sql=_indent_sql())
 def q_indent_width(spark, d):
     docs = TO.indent_unit_df(table(spark, d, "documents"), X.lines_of("text"), "u")
     return docs.select("doc_id", F.when(F.col("u") == "\t", F.lit("tab")).otherwise(F.length("u").cast("string"))
