@@ -260,7 +260,25 @@ def q_bracket_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.bracket_counts("text").alias("b")).select("doc_id", "b.*")
 
 
-@query("balance_brackets", ops=("F15",))
+def _balance_sql() -> str:
+    def cnt(t, ch):
+        return f"(length({t}) - length(replace({t}, '{ch}', '')))"
+    q = """SELECT conv_id, turn, coalesce("before", '') AS b_txt, coalesce("after", '') AS a_txt,
+       coalesce("between", '') AS cur FROM turns"""
+    for o, c in (("{", "}"), ("[", "]"), ("(", ")")):
+        tot = "(b_txt || cur || a_txt)"
+        q = f"""SELECT conv_id, turn, b_txt, a_txt,
+  CASE WHEN n_o > n_c THEN cur || repeat('{c}', CAST(n_o - n_c AS INTEGER))
+       WHEN n_o < n_c THEN array_to_string(list_transform(lines, lambda x, i:
+           CASE WHEN ends_with(x, '{c}') AND len(list_filter(list_slice(lines, i + 1, len(lines)),
+                     lambda y: ends_with(y, '{c}'))) < n_c - n_o
+                THEN left(x, length(x) - 1) ELSE x END), chr(10))
+       ELSE cur END AS cur
+FROM (SELECT *, {cnt(tot, o)} AS n_o, {cnt(tot, c)} AS n_c, string_split(cur, chr(10)) AS lines FROM ({q}))"""
+    return W(f"SELECT conv_id, turn, cur AS balanced FROM ({q})", V.TURNS_SQL)
+
+
+@query("balance_brackets", ops=("F15",), sql=_balance_sql())
 def q_balance(spark, d):
     t = V.turns(spark, d)
     b = TO.balance_brackets_df(t, X.lines_of("before"), F.col("between"), X.lines_of("after"), "balanced")
