@@ -413,7 +413,47 @@ def q_indent_width(spark, d):
                        .alias("unit"))
 
 
-@query("reindent", ops=("F24",))
+def _reindent_sql() -> str:
+    lstrip = lambda x: f"regexp_replace({x}, '^' || {WSQ} || '+', '')"
+    ind = lambda x: f"(length({x}) - length({lstrip(x)}))"
+
+    def width(x):
+        return f"(CASE WHEN unit = chr(9) THEN {ind(f'replace({x}, chr(9), {Q.sql_str(' ' * 4)})')} ELSE {ind(x)} END)"
+    opener = " OR ".join(f"ends_with(ls, {Q.sql_str(k)})" for k in X.BLOCK_OPENERS)
+    closer = " OR ".join(f"starts_with(ls, {Q.sql_str(k)})" for k in X.BLOCK_CLOSERS)
+    expected = f"({width('last')} + CASE WHEN {opener} THEN step ELSE 0 END - CASE WHEN {closer} THEN step ELSE 0 END)"
+    for kw, partners in X.ALIGN_PARTNERS:
+        cond = " OR ".join(f"starts_with({strip_sql('y')}, {Q.sql_str(p)})" for p in partners)
+        partner = f"coalesce(list_filter(bl, lambda y: {cond})[-1], '')"
+        expected = f"(CASE WHEN starts_with(first, {Q.sql_str(kw)}) THEN {width(partner)} ELSE {expected} END)"
+    shifted = (f"repeat(' ', CAST(greatest({width('x')} + adj, 0) AS INTEGER)) || {lstrip('x')}")
+    line = (f"CASE WHEN {strip_sql('x')} <> '' THEN (CASE WHEN unit = chr(9) THEN replace({shifted}, "
+            f"{Q.sql_str(' ' * 4)}, chr(9)) ELSE {shifted} END) ELSE x END")
+    ind_x = f"length(x) - length({lstrip('x')})"
+    return f"""
+WITH t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]}),
+b AS (SELECT conv_id, turn, string_split(coalesce("before", ''), chr(10)) AS bl,
+             string_split(coalesce("between", ''), chr(10)) AS btw FROM t),
+s AS (SELECT *, list_reverse(list_transform(list_slice(bl, greatest(len(bl) - 9, 1), len(bl)),
+                                            lambda x: {ind_x})) AS sz FROM b),
+r AS (SELECT conv_id, turn, list_filter(list_transform(generate_series(1, len(sz) - 1),
+                                 lambda i: abs(sz[i + 1] - sz[i])), lambda d: d <> 0) AS rel FROM s),
+u AS (SELECT conv_id, turn, unnest(rel) AS v, generate_subscripts(rel, 1) AS pos FROM r),
+c AS (SELECT conv_id, turn, v, count(*) AS cnt, min(pos) AS p FROM u GROUP BY conv_id, turn, v),
+m AS (SELECT conv_id, turn, v AS mode FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY cnt DESC, p) AS rk FROM c) WHERE rk = 1),
+k AS (SELECT s.*, CASE WHEN list_contains(s.bl, chr(9)) THEN chr(9)
+                       WHEN len(s.sz) = 1 THEN CASE WHEN s.sz[1] > 0 THEN repeat(' ', CAST(s.sz[1] AS INTEGER)) ELSE chr(9) END
+                       WHEN m.mode IS NOT NULL AND m.mode > 0 THEN repeat(' ', CAST(m.mode AS INTEGER)) ELSE chr(9) END AS unit
+      FROM s LEFT JOIN m ON m.conv_id = s.conv_id AND m.turn = s.turn),
+l AS (SELECT *, CASE WHEN unit = chr(9) THEN 4 ELSE length(unit) END AS step,
+             coalesce(list_filter(bl, lambda y: {strip_sql('y')} <> '')[-1], '') AS last,
+             coalesce(list_filter(btw, lambda y: {strip_sql('y')} <> '')[1], '') AS first FROM k),
+e AS (SELECT *, {expected} - {width('first')} AS adj FROM (SELECT *, {strip_sql('last')} AS ls FROM l))
+SELECT conv_id, turn, array_to_string(list_transform(btw, lambda x: {line}), chr(10)) AS indented FROM e"""
+
+
+@query("reindent", ops=("F24",), sql=_reindent_sql())
 def q_reindent(spark, d):
     t = TO.reindent_df(V.turns(spark, d), X.lines_of("before"), F.col("between"), "indented")
     return t.select("conv_id", "turn", "indented")
