@@ -79,10 +79,13 @@ def horizon_categories(text, compat: bool = False) -> Column:
     the next one.
     """
     t = F.coalesce(_c(text), F.lit(""))
-    p = F.lit(("(?s)" if compat else "") + HORIZON_PATTERN)
-    z = F.arrays_zip(*[F.regexp_extract_all(t, p, i).alias(f"g{i}") for i in (1, 2, 3, 4)])
-    return F.transform(z, lambda s: F.when(s["g3"] != "", F.concat_ws(" ", s["g1"], s["g3"], s["g4"]))
-                       .otherwise(F.concat_ws(" ", s["g1"], s["g2"])))
+    pat = ("(?s)" if compat else "") + HORIZON_PATTERN
+    # one pass finds the matches; each (short) match is rewritten to its
+    # category in a second, anchored pass -- groups that did not take part
+    # are replaced by nothing, so "$1 $2$3 $4" yields "Type Range" or
+    # "Type Comp Range" (trailing space trimmed)
+    return F.transform(F.regexp_extract_all(t, F.lit(pat), 0), lambda m: F.rtrim(
+        F.regexp_replace(m, "^" + ("(?s)" if compat else "") + "(?:" + HORIZON_PATTERN + ")$", "$1 $2$3 $4")))
 
 
 def reason_categories(text) -> Column:
