@@ -42,6 +42,8 @@ def build_session(master: str | None = None, app: str = "evalspark",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 * 1024 * 1024))
+        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,6 +51,15 @@ def build_session(master: str | None = None, app: str = "evalspark",
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, executors_cores: int, target_bytes: int = 256 << 20) -> int:
+    """Initial shuffle width for a job reading ``input_bytes``: enough partitions
+    that each holds about ``target_bytes`` (so sort / aggregation buffers fit in
+    executor memory without heavy spill), and at least two waves of tasks.
+    AQE then coalesces small partitions and splits skewed ones at runtime.
+    At 100 TB and 256 MB per partition this is ~400 000 partitions."""
+    return max(2 * executors_cores, -(-input_bytes // target_bytes))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, choosing a scratch one only if unset."""
     sc = spark.sparkContext
