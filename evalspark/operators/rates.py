@@ -27,9 +27,14 @@ def _b(c) -> Column:
 
 # A6 + A10 -------------------------------------------------------------------
 def leaderboard(df: DataFrame, by: Sequence[str] = ("model", "mode"), passed="passed",
-                digits: int = 6) -> DataFrame:
-    """Ratio of sums per group with its 95 % half-width (closed form)."""
-    agg = df.groupBy(*by).agg(
+                digits: int = 6, with_totals: bool = False) -> DataFrame:
+    """Ratio of sums per group with its 95 % half-width (closed form).
+
+    ``with_totals`` adds the roll-up rows (per leading key, and overall) with
+    null in the rolled-up key columns.
+    """
+    grouped = df.rollup(*by) if with_totals else df.groupBy(*by)
+    agg = grouped.agg(
         F.sum(_b(passed).cast("long")).alias("n_pass"),
         F.count(F.lit(1)).alias("n_total"))
     return agg.select(

@@ -40,6 +40,15 @@ def q_leaderboard(spark, d):
     return A.leaderboard(V.runs(spark, d), by=["model", "mode"], passed="passed")
 
 
+@query("leaderboard_rollup", ops=("A6",), sql=W("""
+SELECT model, mode, CAST(sum(passed) AS BIGINT) AS n_pass, count(*) AS n_total,
+       round(""" + Q.rate("sum(passed)", "count(*)") + """, 6) AS pass_rate,
+       round(""" + Q.err("sum(passed)", "count(*)") + """, 6) AS err95
+FROM runs GROUP BY ROLLUP (model, mode)""", RUNS))
+def q_leaderboard_rollup(spark, d):
+    return A.leaderboard(V.runs(spark, d), by=["model", "mode"], passed="passed", with_totals=True)
+
+
 @query("error_bar", ops=("A10",), sql=W("""
 SELECT model, CAST(sum(k_passed) AS BIGINT) AS k, CAST(sum(n_tests) AS BIGINT) AS n,
        round(""" + Q.err("sum(k_passed)", "sum(n_tests)") + """, 6) AS err95
