@@ -327,3 +327,21 @@ def q_keyed_union(spark, d):
     a = A.leaderboard(r, by=["model"], passed="passed").select("model", "n_pass", "n_total")
     b = A.leaderboard(r, by=["model"], passed="toxic").select("model", "n_pass", "n_total")
     return keyed_union({"quality": a, "toxic": b}, key="outcome")
+
+
+# ---------------------------------------------------------------- §2.9 SQL-callable functions
+@query("sql_callable_functions", ops=("P4", "P5", "A10"), sql=W(f"""
+SELECT model, CAST(count(*) AS BIGINT) AS n, CAST(count_if(is_pass) AS BIGINT) AS k,
+       round({Q.rate('count_if(is_pass)', 'count(*)')}, 6) AS rate,
+       round({Q.err('count_if(is_pass)', 'count(*)')}, 6) AS err95,
+       round(sum(ratio), 6) AS ratio_sum
+FROM scored GROUP BY model""", RUNS, SCORED_SQL))
+def q_sql_functions(spark, d):
+    from evalspark.functions.sql_functions import register_sql_functions
+    register_sql_functions(spark)
+    V.runs(spark, d).select("doc_id", "model", "pass_ratio").createOrReplaceTempView("evalspark_runs")
+    return spark.sql("""
+        SELECT model, n, k, round(pass_rate(k, n), 6) AS rate, round(error_bar(k, n), 6) AS err95, ratio_sum
+        FROM (SELECT model, count(*) AS n, count_if(is_pass(pass_ratio)) AS k,
+                     round(sum(parse_ratio(pass_ratio)), 6) AS ratio_sum
+              FROM evalspark_runs GROUP BY model)""")
