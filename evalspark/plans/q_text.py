@@ -341,13 +341,7 @@ F20_CTES = (
 SELECT t.conv_id, t.turn, CAST(coalesce(b.len, 0) AS BIGINT) AS run_len, CAST(b.first_pos AS INTEGER) AS run_start
 FROM turns t LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn""", TURNS, *F20_CTES))
 def q_longest_edge(spark, d):
-    t = V.turns(spark, d)
-    return TO_longest(t)
-
-
-def TO_longest(t):
-    from evalspark.operators.textops import longest_common_run
-    return longest_common_run(t, ["conv_id", "turn"], "between", "before")
+    return TO.longest_common_run(V.turns(spark, d), ["conv_id", "turn"], "between", "before")
 
 
 def _edge_sql() -> str:
