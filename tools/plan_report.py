@@ -54,6 +54,12 @@ def main() -> None:
         print(f"| {name} | {s['scans']} | {s['exchanges']} | {s['broadcast_joins']} | {s['smj']} | {s['partial_aggs']} | "
               f"{'yes' if s['window_group_limit'] else ''} | {s['python'] or ''} | {s['pushed_filters']} | "
               f"{'YES' if s['nested_loop'] else ''} |")
+    for name in ("leaderboard", "nearest_previous_comment", "knn_search", "max_distance_row"):
+        print(f"\n## `{name}` (explain formatted)\n\n```")
+        df = reg[name].fn(spark, sf_dir)
+        print(df._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        print("```")
     spark.stop()
 
 
