@@ -300,20 +300,27 @@ _TRIV = "('{', '}', '(', ')', '[', ']', '')"
 _SPLIT = "string_split(coalesce({c}, ''), chr(10))"
 
 
-def _trim_sql() -> str:
+def _trim_body(src: str) -> str:
+    """SELECT over ``src`` (conv_id, turn, "before", "after", btw_text) adding the exact cut."""
     m = f"list_transform(btw, lambda x: CASE WHEN {norm_sql('x')} IN {_TRIV} THEN NULL ELSE {norm_sql('x')} END)"
     bctx = f"list_filter(list_reverse({_norm_list(_SPLIT.format(c='\"before\"'))}), lambda x: x NOT IN {_TRIV})"
     actx = f"list_filter({_norm_list(_SPLIT.format(c='\"after\"'))}, lambda x: x NOT IN {_TRIV})"
     pos = "list_filter(list_transform({ctx}, lambda x: coalesce(list_position(m, x), 0)), lambda p: p > 0)"
-    return W(f"""
-SELECT conv_id, turn, CAST(CASE WHEN s2 = e THEN 0 ELSE s2 END AS INTEGER) AS cut_start,
+    return f"""
+SELECT conv_id, turn, "before", "after", btw_text, btw,
+       CAST(CASE WHEN s2 = e THEN 0 ELSE s2 END AS INTEGER) AS cut_start,
        CAST(CASE WHEN s2 = e THEN n ELSE e END AS INTEGER) AS cut_end
 FROM (SELECT *, CASE WHEN s <= e THEN s ELSE 0 END AS s2 FROM (
-  SELECT conv_id, turn, len(btw) AS n,
+  SELECT *, len(btw) AS n,
          coalesce({pos.format(ctx='bctx')}[1], 0) AS s,
          coalesce({pos.format(ctx='actx')}[1] - 1, len(btw)) AS e
-  FROM (SELECT conv_id, turn, btw, {m} AS m, {bctx} AS bctx, {actx} AS actx
-        FROM (SELECT *, {_SPLIT.format(c='"between"')} AS btw FROM turns))))""", TURNS)
+  FROM (SELECT *, {m} AS m, {bctx} AS bctx, {actx} AS actx
+        FROM (SELECT *, {_SPLIT.format(c='btw_text')} AS btw FROM {src}))))"""
+
+
+def _trim_sql() -> str:
+    return W(f"""SELECT conv_id, turn, cut_start, cut_end FROM ({_trim_body(
+        '(SELECT conv_id, turn, "before", "after", "between" AS btw_text FROM turns)')})""", TURNS)
 
 
 @query("trim_repeated_edges", ops=("F19",), sql=_trim_sql())
@@ -407,7 +414,8 @@ def q_indent_width(spark, d):
                        .alias("unit"))
 
 
-def _reindent_sql() -> str:
+def _reindent_body(src: str) -> str:
+    """WITH-query over ``src`` (conv_id, turn, "before", btw_text) giving (conv_id, turn, indented)."""
     lstrip = lambda x: f"regexp_replace({x}, '^' || {WSQ} || '+', '')"
     ind = lambda x: f"(length({x}) - length({lstrip(x)}))"
 
@@ -425,9 +433,8 @@ def _reindent_sql() -> str:
             f"{Q.sql_str(' ' * 4)}, chr(9)) ELSE {shifted} END) ELSE x END")
     ind_x = f"length(x) - length({lstrip('x')})"
     return f"""
-WITH t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]}),
-b AS (SELECT conv_id, turn, string_split(coalesce("before", ''), chr(10)) AS bl,
-             string_split(coalesce("between", ''), chr(10)) AS btw FROM t),
+WITH b AS (SELECT conv_id, turn, string_split(coalesce("before", ''), chr(10)) AS bl,
+             string_split(coalesce(btw_text, ''), chr(10)) AS btw FROM {src}),
 s AS (SELECT *, list_reverse(list_transform(list_slice(bl, greatest(len(bl) - 9, 1), len(bl)),
                                             lambda x: {ind_x})) AS sz FROM b),
 r AS (SELECT conv_id, turn, list_filter(list_transform(generate_series(1, len(sz) - 1),
@@ -447,6 +454,12 @@ e AS (SELECT *, {expected} - {width('first')} AS adj FROM (SELECT *, {strip_sql(
 SELECT conv_id, turn, array_to_string(list_transform(btw, lambda x: {line}), chr(10)) AS indented FROM e"""
 
 
+def _reindent_sql() -> str:
+    inner = _reindent_body('(SELECT conv_id, turn, "before", "between" AS btw_text FROM t)')
+    return f"""WITH t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]})
+SELECT * FROM ({inner})"""
+
+
 @query("reindent", ops=("F24",), sql=_reindent_sql())
 def q_reindent(spark, d):
     t = TO.reindent_df(V.turns(spark, d), X.lines_of("before"), F.col("between"), "indented")
@@ -454,7 +467,43 @@ def q_reindent(spark, d):
 
 
 # ---------------------------------------------------------------- F25 / F17 / F18
-@query("post_process_pipeline", ops=("F25",))
+def _pipeline_sql() -> str:
+    prof = X.LANG_PROFILE["python"]
+    code = Q.sql_str(prof["code"])
+    q3 = prof["open"]
+    blocks = " ".join(
+        f"WHEN regexp_matches(t.\"between\", {Q.sql_str(f'(?s){X.esc(a)}(.*?){X.esc(b)}')}) "
+        f"THEN regexp_extract(t.\"between\", {Q.sql_str(f'(?s){X.esc(a)}(.*?){X.esc(b)}')}, 1)"
+        for a, b in X.code_block_markers("python"))
+    trim = _trim_body('(SELECT conv_id, turn, "before", "after", cleaned AS btw_text FROM cleaned)')
+    ind = _reindent_body('(SELECT conv_id, turn, "before", trimmed AS btw_text FROM trimmed)')
+    return f"""
+WITH t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]}),
+cl AS (SELECT conv_id, turn, string_split(regexp_replace(coalesce("between", ''), '(?m)^```[^\n]*$', '', 'g'),
+                                          chr(10)) AS arr FROM t),
+cu AS (SELECT conv_id, turn, generate_subscripts(arr, 1) AS idx, unnest(arr) AS line FROM cl),
+cs AS (SELECT *, CAST((length(s) - length(replace(s, '{q3}', ''))) / 3 AS INTEGER) AS q
+       FROM (SELECT *, {strip_sql('line')} AS s FROM cu)),
+cp AS (SELECT *, coalesce(sum(CASE WHEN q % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY idx
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inb FROM cs),
+ck AS (SELECT *, CASE WHEN q > 0 OR inb THEN 'block_comment' WHEN starts_with(s, '#') THEN 'comment'
+                      WHEN regexp_matches(s, {code}) THEN 'code' ELSE 'text' END AS kind FROM cp),
+cc AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE kind = 'code') AS txt
+       FROM ck GROUP BY conv_id, turn),
+cleaned AS (SELECT t.conv_id, t.turn, t."before", t."after",
+                   CASE WHEN t."between" IS NULL THEN NULL
+                        ELSE coalesce(CASE {blocks} END, {rstrip_sql("coalesce(cc.txt, '')")}) END AS cleaned
+            FROM t LEFT JOIN cc ON cc.conv_id = t.conv_id AND cc.turn = t.turn),
+trimmed AS (SELECT conv_id, turn, "before", "after",
+                   array_to_string(list_slice(btw, cut_start + 1, cut_end), chr(10)) AS trimmed FROM ({trim})),
+ind AS ({ind})
+SELECT c.conv_id, c.turn, CAST(length(c.cleaned) AS INTEGER) AS len_cleaned,
+       CAST(length(tr.trimmed) AS INTEGER) AS len_trimmed, CAST(length(i.indented) AS INTEGER) AS len_indented
+FROM cleaned c JOIN trimmed tr ON tr.conv_id = c.conv_id AND tr.turn = c.turn
+JOIN ind i ON i.conv_id = c.conv_id AND i.turn = c.turn"""
+
+
+@query("post_process_pipeline", ops=("F25",), sql=_pipeline_sql())
 def q_post_process(spark, d):
     t = V.turns(spark, d)
     p = TO.post_process(t, "between", "before", "after", "python")
