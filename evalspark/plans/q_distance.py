@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import deps as D
 from evalspark.functions import rates as R
+from evalspark.functions.time import epoch_us
 from evalspark.functions.constants import PY_SENTENCE
 from evalspark.operators import rates as A
 from evalspark.operators import spans as S
@@ -174,7 +175,7 @@ def q_histogram(spark, d):
 # ---------------------------------------------------------------- J6 / J7 / J8 / P12 / A9
 def events_us(spark, d):
     ev = table(spark, d, "events")
-    return ev.withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return ev.withColumn("t_us", epoch_us(ev, "ts"))
 
 
 @query("records_in_range", ops=("J6",), sql=f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalspark.functions.time import day_bucket
 from evalspark.operators import models as M
 from evalspark.operators import vectors as VX
 from evalspark.plans import sqlfrag as Q
@@ -183,8 +184,7 @@ SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum FROM events""")
 def q_cumulative(spark, d):
     ev = table(spark, d, "events")
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US)
-    c = VX.running_sum(ev, "user_id", ["ts", "event_id"], "value", day, "cum")
+    c = VX.running_sum(ev, "user_id", ["ts", "event_id"], "value", day_bucket(ev, "ts"), "cum")
     return c.select("event_id", F.round("cum", 6).alias("cum"))
 
 
@@ -194,8 +194,8 @@ SELECT event_id, CASE WHEN lag(event_type) OVER w IS NULL THEN 0
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def q_change_flag(spark, d):
     ev = table(spark, d, "events")
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US)
-    return VX.change_flag(ev, "user_id", ["ts", "event_id"], "event_type", day).select("event_id", "changed")
+    return VX.change_flag(ev, "user_id", ["ts", "event_id"], "event_type", day_bucket(ev, "ts")) \
+        .select("event_id", "changed")
 
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

@@ -190,9 +190,10 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Events as numbered steps per user. The step number is a running count
     computed per (user, day) with a carry of earlier days' counts, so one very
     active user is spread over its days instead of one task."""
+    from evalspark.functions.time import day_bucket
     from evalspark.operators.vectors import running_sum
     ev = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    day = day_bucket(ev, "ts")
     c = running_sum(ev.withColumn("_one", F.lit(1).cast("long")), "user_id", ["ts", "event_id"], "_one", day, "_n")
     return c.select("user_id", "event_id", "ts", "event_type", "value",
                     (F.col("_n") - 1).cast("int").alias("step"),
