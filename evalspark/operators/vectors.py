@@ -88,6 +88,17 @@ def sparse_l1(coo: DataFrame, key: str, value: str, length: int, baseline: float
     return g.select(key, "n_stored", (F.col("_s") + (F.lit(length) - F.col("n_stored")) * abs(baseline)).alias("l1"))
 
 
+def sparse_summary(coo: DataFrame, key: str, idx: str, value: str, length: int, baseline: float) -> DataFrame:
+    """Stored count, L1 norm (closed formula) and dense view in ONE aggregate per key."""
+    g = coo.groupBy(key).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(F.abs(value)).alias("_s"),
+                             F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value))))
+                             .alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
+                        lambda i: F.coalesce(F.col("_m")[i], F.lit(float(baseline))))
+    return g.select(key, "n_stored", (F.col("_s") + (F.lit(length) - F.col("n_stored")) * abs(baseline)).alias("l1"),
+                    dense.alias("dense"))
+
+
 # B9 -------------------------------------------------------------------------
 def matrix_sums(coo: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Row sums and column sums of a coordinate matrix, stacked with an ``axis`` column."""

@@ -150,9 +150,8 @@ GROUP BY l_orderkey""")
 def q_sparse(spark, d):
     li = table(spark, d, "lineitem")
     coo = li.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("idx")).agg(F.sum("l_quantity").alias("q"))
-    l1 = VX.sparse_l1(coo, "l_orderkey", "q", SPARSE_LEN, BASELINE)
-    dense = VX.sparse_dense(coo, "l_orderkey", "idx", "q", SPARSE_LEN, BASELINE)
-    j = l1.join(dense.select("l_orderkey", F.aggregate("dense", F.lit(0.0), lambda a, x: a + x).alias("ds")), "l_orderkey")
+    j = VX.sparse_summary(coo, "l_orderkey", "idx", "q", SPARSE_LEN, BASELINE) \
+        .withColumn("ds", F.aggregate("dense", F.lit(0.0), lambda a, x: a + x))
     return j.select("l_orderkey", F.col("n_stored").cast("long").alias("n_stored"), F.round("l1", 6).alias("l1"),
                     F.round("ds", 6).alias("dense_sum"))
 
