@@ -29,7 +29,7 @@ def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w", max
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(w).alias("w")) \
         .filter(F.col("a") != F.col("b"))
     e = _cut(e)
-    taken = None
+    wins = []
     for _ in range(max_rounds):
         if e.isEmpty():
             break
@@ -41,13 +41,16 @@ def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w", max
             .join(best.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b") \
             .filter((F.col("k") == F.col("ka")) & (F.col("k") == F.col("kb"))).select("a", "b", "w")
         win = _cut(win)
-        taken = win if taken is None else _cut(taken.unionByName(win))
+        wins.append(win)   # each round's winners are checkpointed; one union at the end
         used = win.select(F.col("a").alias("n")).unionByName(win.select(F.col("b").alias("n"))).distinct()
         e = e.join(used.withColumnRenamed("n", "a"), "a", "left_anti").join(used.withColumnRenamed("n", "b"), "b", "left_anti")
         e = _cut(e)
-    if taken is None:
+    if not wins:
         return edges.sparkSession.createDataFrame([], "a long, b long, w double").select(
             F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(w))
+    taken = wins[0]
+    for win in wins[1:]:
+        taken = taken.unionByName(win)
     return taken.select(F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(w))
 
 
