@@ -95,6 +95,22 @@ def asof_previous(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     return res.select(*lcols, out)
 
 
+# J8 -------------------------------------------------------------------------
+def attach_distance(rows: DataFrame, distances: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Left equi-join of one distance per key (the first tuple per key after
+    de-duplication) onto every row; rows without one get null."""
+    d = distances.dropDuplicates(list(keys)).select(*keys, value)
+    return rows.join(d, list(keys), "left")
+
+
+# W8 -------------------------------------------------------------------------
+def order_by_class(df: DataFrame, cls: str, order: Sequence[str] = ("Short-Range", "Medium-Range", "Long-Range"),
+                   then: Sequence[str] = ()) -> DataFrame:
+    """Sort by the class rank (Short < Medium < Long by default), then by ``then``."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(cls))
+    return df.orderBy(rank, *then)
+
+
 # W7 -------------------------------------------------------------------------
 def seen_before(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "repeated") -> DataFrame:
     """Flag rows whose key already occurred earlier in ``order`` (not the first occurrence)."""

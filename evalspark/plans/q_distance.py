@@ -134,8 +134,8 @@ def q_range_class_rate(spark, d):
     lg = V.lags(spark, d).select("l_orderkey", "abs_diff", *W1_ORDER, "passed")
     best = S.max_distance_row(lg, ["l_orderkey"], "abs_diff", W1_ORDER)
     c = best.select(R.range_class("abs_diff", SHORT, MEDIUM).alias("range_type"), "passed")
-    return A.class_pass_rate(c, "range_type", "passed", order=["Short-Range", "Medium-Range", "Long-Range"]) \
-        .orderBy("class_rank")
+    rates = A.class_pass_rate(c, "range_type", "passed", order=["Short-Range", "Medium-Range", "Long-Range"])
+    return S.order_by_class(rates, "range_type")
 
 
 # ---------------------------------------------------------------- A12 horizon
@@ -226,7 +226,7 @@ lookup AS (
 
 def lookup(spark, d):
     ev = table(spark, d, "events").filter(F.col("event_type") == "purchase").select("event_id", "user_id", "value")
-    return ev.join(asof_views(spark, d).select("event_id", "gap_us").dropDuplicates(["event_id"]), "event_id", "left")
+    return S.attach_distance(ev, asof_views(spark, d), ["event_id"], "gap_us")
 
 
 @query("lookup_distance", ops=("J8",), sql=W("SELECT event_id, gap_us FROM lookup", ASOF_SQL, LOOKUP_SQL))

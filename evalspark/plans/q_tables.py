@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions import labels as L
+from evalspark.functions.text import select_step
 from evalspark.functions.constants import POST_STEPS, REASON_LABELS, REASON_PATTERN_LABELS
 from evalspark.operators import rates as A
 from evalspark.operators import tables as TB
@@ -175,19 +176,6 @@ def _gen_code(spark, d):
         F.lit("").alias("indented_code")).alias("gen"))
 
 
-def select_step(gen, steps=None):
-    """P10: (step, text) of the first non-empty given step, or of the last
-    non-empty step of the default order; ("", "") when none."""
-    order = steps if steps is not None else list(reversed(POST_STEPS))
-    expr_step = F.lit("")
-    expr_txt = F.lit("")
-    for s in reversed(order):
-        v = F.col(gen)[s]
-        expr_step = F.when(F.coalesce(v, F.lit("")) != "", F.lit(s)).otherwise(expr_step)
-        expr_txt = F.when(F.coalesce(v, F.lit("")) != "", v).otherwise(expr_txt)
-    return F.struct(expr_step.alias("step"), expr_txt.alias("code"))
-
-
 @query("select_last_step", ops=("P10",), sql=W("""
 SELECT conv_id, turn,
   CASE WHEN coalesce("after", '') <> '' THEN 'trimmed_code'
