@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from evalspark.functions.time import day_bucket
 from evalspark.operators import models as M
+from evalspark.operators import ranking as RK
 from evalspark.operators import vectors as VX
 from evalspark.plans import sqlfrag as Q
 from evalspark.plans import views as V
@@ -15,15 +16,13 @@ from evalspark.plans.registry import query
 from evalspark.session import table
 from evalspark.sources import io
 
-WORD_SPLIT = r"[^\p{L}]+"
+WORD_SPLIT = RK.WORD_SPLIT
 DAY_US = 86_400_000_000
 
 
 # ---------------------------------------------------------------- B1
 def word_counts(spark, d):
-    docs = table(spark, d, "documents")
-    w = docs.select(F.explode(F.split(F.lower("text"), WORD_SPLIT)).alias("word")).filter(F.col("word") != "")
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return RK.word_counts(table(spark, d, "documents"), "text", WORD_SPLIT)
 
 
 WORDS_SQL = f"""
@@ -36,8 +35,7 @@ words AS (SELECT word, count(*) AS n FROM (
 SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) - 1 AS INTEGER) AS k
 FROM words ORDER BY n DESC, word LIMIT 15""", WORDS_SQL))
 def q_top_words(spark, d):
-    top = word_counts(spark, d).orderBy(F.desc("n"), "word").limit(15)
-    return top.withColumn("k", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("int"))
+    return RK.top_words(word_counts(spark, d), 14)
 
 
 # ---------------------------------------------------------------- B2
@@ -48,10 +46,9 @@ FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id O
       FROM events) WHERE rk <= 3""")
 def q_top_k(spark, d):
     ev = table(spark, d, "events").select("user_id", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    t = ev.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3)
-    return t.select("user_id", "event_id", F.round("value", 6).alias("value"), F.col("rank").cast("int").alias("rank"),
-                    F.round(F.max("value").over(Window.partitionBy("user_id")), 6).alias("cutoff"))
+    t = RK.top_k(ev, "value", 3, ["event_id"], by=["user_id"])
+    return t.select("user_id", "event_id", F.round("value", 6).alias("value"), "rank",
+                    F.round("cutoff", 6).alias("cutoff"))
 
 
 # ---------------------------------------------------------------- B3 / B4 / B5
