@@ -9,8 +9,6 @@ from evalspark.functions.time import day_bucket
 from evalspark.operators import models as M
 from evalspark.operators import ranking as RK
 from evalspark.operators import vectors as VX
-from evalspark.plans import sqlfrag as Q
-from evalspark.plans import views as V
 from evalspark.plans.q_core import W
 from evalspark.plans.registry import query
 from evalspark.session import table
