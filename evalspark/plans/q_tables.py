@@ -357,3 +357,48 @@ SELECT conv_id, CAST(sum(3 + len(list_filter(regexp_split_to_array(role, '\\s+')
 FROM conversations GROUP BY conv_id""")
 def q_dialog_tokens(spark, d):
     return A.dialog_tokens(table(spark, d, "conversations"), "conv_id", ["role", "text"])
+
+
+# ---------------------------------------------------------------- S3 / S4 on driver-derived files
+TASKS_OF_ORDERS = 50   # dependency files: one folder per derived task
+
+
+@query("scan_dependency_records", ops=("S3",), sql=W(f"""
+SELECT 'task_' || CAST(l_orderkey % {TASKS_OF_ORDERS} AS VARCHAR) AS code_task, 'Python' AS language, scope_type,
+       count(*) AS n, CAST(sum(usage_line) AS BIGINT) AS sum_use, CAST(sum(def_line) AS BIGINT) AS sum_def
+FROM lags GROUP BY 1, 2, 3""", V.LAGS_SQL))
+def q_scan_records(spark, d):
+    """Dependency records written as verified CSVs (one folder per task) under
+    <scratch>/Python/Verified, then read back by the record scanner."""
+    base = io.scratch_path(spark, "records")
+    lg = V.lags(spark, d).select(F.col("name").alias("var_name"), "usage_line", "def_line", "scope_type",
+                                 F.lit("Short-range").alias("range_type"),
+                                 F.concat(F.lit("task_"), (F.col("l_orderkey") % TASKS_OF_ORDERS).cast("string"))
+                                 .alias("code_task"))
+    lg.hint("rebalance", "code_task").write.mode("overwrite").partitionBy("code_task").option("header", True) \
+        .csv(f"{base}/Python/Verified")
+    r = io.scan_records(spark, f"{base}/Python/Verified")
+    return r.groupBy("code_task", "language", "scope_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("usage_line").cast("long").alias("sum_use"),
+        F.sum("def_line").cast("long").alias("sum_def"))
+
+
+@query("scan_checkpoints", ops=("S4",), sql="""
+SELECT 'order_' || CAST(l_orderkey AS VARCHAR) AS task, count(*) AS n_ckpt,
+       CAST(sum(l_linenumber) AS BIGINT) AS sum_start,
+       CAST(sum(l_linenumber + CAST(l_quantity AS INTEGER) % 5) AS BIGINT) AS sum_end
+FROM lineitem GROUP BY 1""")
+def q_scan_checkpoints(spark, d):
+    """Checkpoint task JSON derived from lineitem (each line item an infilling
+    range of its order), written as JSON Lines and read back by the scanner."""
+    base = io.scratch_path(spark, "checkpoints")
+    li = table(spark, d, "lineitem")
+    rng = F.array(F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity").cast("int") % 5)
+    tasks = li.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("Task_Name"),
+                      F.array(F.array(F.lit(1), F.lit(7))).alias("LN_range"), F.lit("final_output").alias("output_to_check"),
+                      F.array(rng).alias("checkpoint_LN_infilling"), F.array().cast("array<array<int>>")
+                      .alias("checkpoint_LN_Completion"))
+    tasks.write.mode("overwrite").json(base)
+    c = io.scan_checkpoints(spark, base, "infilling", multiline=False)
+    return c.groupBy("task").agg(F.count(F.lit(1)).alias("n_ckpt"), F.sum("start_line").cast("long").alias("sum_start"),
+                                 F.sum("end_line").cast("long").alias("sum_end"))

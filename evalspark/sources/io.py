@@ -97,24 +97,30 @@ def scan_records(spark: SparkSession, path: str, kind: str = "dependency") -> Da
     """Verified record CSVs; empty files give no rows, blank lines are dropped.
 
     Python files call the name column ``var_name``: it is read positionally
-    under the unified name ``name``. Language and task come from the path.
+    under the unified name ``name``. Language comes from the path, the task
+    from the file name ``<task>_dependency_verified.csv`` or from a
+    ``code_task=`` partition folder.
     """
     schema = RECORD_SCHEMA if kind == "dependency" else REASON_SCHEMA
-    df = _csv(spark, schema).csv(path, pathGlobFilter="*.csv").na.drop("all", subset=schema.fieldNames())
-    f = F.col("_metadata.file_path")
+    df = _csv(spark, schema).csv(path, pathGlobFilter="*.csv")
+    part = F.col("code_task") if "code_task" in df.columns else F.lit(None).cast("string")
+    df = df.na.drop("all", subset=schema.fieldNames())
+    from_name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_(dependency|reason)_verified\.csv$", 1)
     return df.select(*schema.fieldNames(),
-                     F.regexp_extract(f, r"/(Python|Java)/", 1).alias("language"),
-                     F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_(dependency|reason)_verified\.csv$", 1)
-                     .alias("code_task"))
+                     F.regexp_extract(F.col("_metadata.file_path"), r"/(Python|Java)/", 1).alias("language"),
+                     F.coalesce(part.cast("string"), F.nullif(from_name, F.lit(""))).alias("code_task"))
 
 
 # S4 -------------------------------------------------------------------------
-def scan_checkpoints(spark: SparkSession, path: str, kind: str = "infilling") -> DataFrame:
-    """Task JSON -> one row per (task, start, end) with ``output_to_check``."""
+def scan_checkpoints(spark: SparkSession, path: str, kind: str = "infilling", multiline: bool = True) -> DataFrame:
+    """Task JSON -> one row per (task, checkpoint, start, end) with ``output_to_check``.
+
+    ``multiline=True`` reads one JSON array (or object) per file, as the
+    harness stores them; ``False`` reads JSON Lines (one task per line)."""
     col = {"infilling": "checkpoint_LN_infilling", "completion": "checkpoint_LN_Completion",
            "whole": "LN_range"}[kind]
     # a top-level JSON array yields one row per element
-    raw = spark.read.option("multiLine", True).schema(CHECKPOINT_SCHEMA).json(path)
+    raw = spark.read.option("multiLine", multiline).schema(CHECKPOINT_SCHEMA).json(path)
     return raw.select(F.col("Task_Name").alias("task"), "output_to_check",
                       F.posexplode(col).alias("ckpt_no", "rng")).select(
         "task", "output_to_check", "ckpt_no", F.col("rng")[0].alias("start_line"),
