@@ -137,8 +137,8 @@ def label_pass_rate(df: DataFrame, freq_map: str, kind: str, labels: Sequence[st
     agg = pres.groupBy(*by, "label").agg(
         F.sum(F.when(F.col(passed), F.col("w")).otherwise(0)).cast("long").alias("n_pass"),
         F.sum("w").cast("long").alias("n_total"))
-    spark = df.sparkSession
-    lab = spark.createDataFrame([(x,) for x in labels], "label string")
+    # the fixed label list as a tiny JVM-side relation (no Python data transfer)
+    lab = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     if by:
         # per group only present labels are listed; the wide reports fill
         # the absent ones with zeros / N/A at the pivot
