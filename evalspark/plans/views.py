@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from evalspark.functions.constants import (
     HORIZON_RANGES, HORIZON_TYPES, REASON_LABELS)
+from evalspark.plans.sqlfrag import values as _values
 from evalspark.session import table
 
 # Generation modes attached to the languages of ``documents`` when a run file
@@ -92,10 +93,6 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _values(rows) -> str:
-    def lit(v):
-        return f"'{v}'" if isinstance(v, str) else str(v)
-    return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
 RUNS_SQL = f"""
