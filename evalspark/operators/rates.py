@@ -179,8 +179,8 @@ def run_summary(df: DataFrame, run_col: str = "run_name", passed: str = "is_pass
     """A5: one row per run: overall rate text and one rate text per label.
 
     One pass: every row emits its items (an overall marker, its reason keys,
-    its horizon labels) in a single ``inline``; one aggregate per
-    (run, item) and a pivot on the fixed item list.
+    its horizon labels) in a single ``inline``; one aggregate per run with a
+    conditional count pair per label (labels never seen show ``N/A``).
     """
     from evalspark.functions.rates import parse_run_name
     item_t = "array<struct<label:string,w:bigint>>"
@@ -192,11 +192,15 @@ def run_summary(df: DataFrame, run_col: str = "run_name", passed: str = "is_pass
     items = F.concat(overall.cast(item_t), reason.cast(item_t), horizon.cast(item_t))
     long = df.select(run_col, F.col(passed).alias("_p"), F.inline(items))
     wanted = ["__all__"] + ["r_" + x for x in reasons] + ["h_" + x for x in horizons]
-    long = long.filter(F.col("label").isin(wanted))
-    g = long.groupBy(run_col, "label").agg(
-        F.sum(F.when(F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias("k"),
-        F.sum("w").cast("long").alias("n"))
-    wide = g.groupBy(run_col).pivot("label", wanted).agg(F.first(format_rate("k", "n")))
+    # one aggregate per run: a conditional (k, n) pair per label -- a single
+    # shuffle, partial aggregation before it
+    aggs = []
+    for i, lbl in enumerate(wanted):
+        hit = F.col("label") == lbl
+        aggs += [F.sum(F.when(hit & F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias(f"_k{i}"),
+                 F.sum(F.when(hit, F.col("w")).otherwise(0)).cast("long").alias(f"_n{i}")]
+    g = long.groupBy(run_col).agg(*aggs)
+    wide = g.select(run_col, *[format_rate(f"_k{i}", f"_n{i}").alias(lbl) for i, lbl in enumerate(wanted)])
     names = {"__all__": "all_pass", **{"r_" + x: "r_" + label_col(x) for x in reasons},
              **{"h_" + x: "h_" + label_col(x) for x in horizons}}
     p = parse_run_name(run_col)
