@@ -154,17 +154,29 @@ def stratified_leaderboard(df: DataFrame, by: Sequence[str], freq_map: str, kind
                            col_prefix: str = "") -> DataFrame:
     """A7: one column per label holding ``p ± e`` text, rows = groups.
 
-    Long form first, pivot on a fixed value list last (no extra pass to find
-    the pivot values). A group lacking a label shows ``0.0 ± 0.0``.
+    Each row emits its label items plus a zero-weight marker (so every group
+    appears even without labels); one aggregate per group computes a
+    conditional (k, n) pair per label -- one shuffle, no pivot stage, no join
+    back to the group list. A group lacking a label shows ``0.0 ± 0.0``.
+    ``key`` is kept for API compatibility (labels are already distinct per row).
     """
-    long = label_pass_rate(df, freq_map, kind, labels, passed=passed, by=by, key=key,
-                           use_max=use_max, weighted=weighted)
-    txt = format_rate_short("n_pass", "n_total")
-    wide = long.groupBy(*by).pivot("label", list(labels)).agg(F.first(txt))
-    base = df.select(*by).distinct()
-    out = base.join(wide, list(by), "left")
-    return out.select(*by, *[F.coalesce(F.col(f"`{lbl}`"), F.lit("0.0 ± 0.0")).alias(col_prefix + label_col(lbl))
-                             for lbl in labels])
+    item_t = "array<struct<label:string,w:bigint>>"
+    m = F.col(freq_map)
+    if kind == "reason":
+        items = F.transform(F.map_entries(m), lambda e: F.struct(
+            e["key"].alias("label"), (e["value"] if weighted else F.lit(1)).cast("long").alias("w")))
+    else:
+        items = horizon_items(m, weighted, use_max)
+    marker = F.array(F.struct(F.lit("__group__").alias("label"), F.lit(0).cast("long").alias("w")))
+    long = df.select(*by, F.col(passed).alias("_p"), F.inline(F.concat(marker.cast(item_t), items.cast(item_t))))
+    aggs = []
+    for i, lbl in enumerate(labels):
+        hit = F.col("label") == lbl
+        aggs += [F.sum(F.when(hit & F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias(f"_k{i}"),
+                 F.sum(F.when(hit, F.col("w")).otherwise(0)).cast("long").alias(f"_n{i}")]
+    g = long.groupBy(*by).agg(*aggs)
+    return g.select(*by, *[format_rate_short(f"_k{i}", f"_n{i}").alias(col_prefix + label_col(lbl))
+                           for i, lbl in enumerate(labels)])
 
 
 def label_col(lbl: str) -> str:
