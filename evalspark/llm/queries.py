@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import op02_simhash, op10_token_files
+from evalspark.llm import op02_simhash, op05_quality, op07_decontaminate, op10_token_files
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=2)
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op07_decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 @query
 def op10_token_files_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
