@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import op02_simhash, op05_quality, op07_decontaminate, op10_token_files
+from evalspark.llm import op02_simhash, op04_warc, op05_quality, op06_iblt, op07_decontaminate, op10_token_files
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +24,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=2)
 
 
+@query
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = op04_warc.warc_round_trip(read(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=100)
+    return records.drop("target_uri", "payload")
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_iblt.fingerprints(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op07_decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
