@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalspark.llm import op02_simhash, op04_warc, op05_quality, op06_iblt, op07_decontaminate, op10_token_files
+from evalspark.llm import (op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
+                           op09_line_chunks, op10_token_files)
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=2)
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = op03_mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+                        F.col("_tokens").alias("n_tokens"), F.round("_weight", 9).alias("cell_weight"),
+                        F.round("_rate", 9).alias("rate"), F.col("_sampled").alias("sampled"))
+
+
+ORACLE_SQL["op3_source_mixing"] = op03_mixing.oracle()
+
+
 @query
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = op04_warc.warc_round_trip(read(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=100)
@@ -46,6 +59,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("text_hash")
 
 
+@query
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op09_line_chunks.remove_repeated_chunks(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op9_line_chunks"] = op09_line_chunks.ORACLE
+
+
 @query
 def op10_token_files_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
