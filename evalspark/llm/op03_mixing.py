@@ -1,20 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token weights of the (source, language, topic) cells are raked: in every round each
-dimension's factors become target share / current share, one dimension after the
+dimension's weights are scaled by target share / current share, one dimension after the
 other. Documents are then sampled with the calibrated probability of their cell.
 DataFrame functions only; the corpus is aggregated to cells once, and the rounds work on
-that table (partial aggregates by one dimension, joins with its few factors)."""
+that table (sums over one dimension; its rows are combinations of categories, not
+documents)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import cut, lower_az
 
+SMALL_CELLS = 100_000  # about 100 bytes each
 NONE = "?"  # the category of a null
 DIMS = ("source", "lang", "topic")
 # Topic by the first of these that the (lower-cased) text holds; else "general".
@@ -47,26 +49,28 @@ def tempered(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     return sums.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("s") > 0, F.pow("t", F.lit(power)) / F.col("s")).otherwise(0.0).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
     """``cells`` (dimensions and ``tokens``) with ``weight``: shares whose sums by each
     dimension approach the targets. A category without a target, or a cell without
     tokens, gets weight 0; targets are normalised over the categories that have tokens."""
     live = cells.where("tokens > 0")
-    factors = {}
+    now = cells
     for dim, target in targets.items():
         have = live.select(dim).distinct().join(target, dim).where("target > 0")
         whole = have.agg(F.sum("target").alias("whole"))
-        factors[dim] = cut(have.crossJoin(F.broadcast(whole)).select(dim, (F.col("target") / F.col("whole")).alias("target")))
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+        share = have.crossJoin(F.broadcast(whole)).select(dim, (F.col("target") / F.col("whole")).alias(f"_{dim}"))
+        now = now.join(share, dim, "left")
+    # A small table of cells needs no exchange between the rounds.
+    small = cells.count() <= SMALL_CELLS
+    now = cut(now.withColumn("weight", F.col("tokens").cast("double")))
     for i in range(rounds):
-        for dim, target in factors.items():
-            sums = now.groupBy(dim).agg(F.sum("weight").alias("_sum"))
-            scale = sums.join(target, dim, "left").select(
-                dim, F.when(F.col("_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_scale"))
-            now = now.join(scale, dim).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
-        if i % 2:
+        now = now.coalesce(1) if small else now
+        for dim in targets:
+            total = F.sum("weight").over(Window.partitionBy(dim))
+            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.coalesce(f"_{dim}", F.lit(0.0)) / total).otherwise(0.0))
+        if i % 4 == 3:
             now = cut(now)
-    return now
+    return now.drop(*(f"_{d}" for d in targets))
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -97,7 +101,7 @@ def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5, rounds: int = 12,
+        lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5, rounds: int = 8,
         seed: int = 17) -> DataFrame:
     """``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_weight``, ``_rate`` and
     ``_sampled``: a document is sampled if its uniform number lies below its cell's rate.
@@ -110,7 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     marked = with_cells(docs, text_col, source_col, lang_col)
     table = cut(rates(marked, lang_target, topic_target, power, rounds).select(
         F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_weight"), F.col("rate").alias("_rate")))
-    small = table.count() <= 100_000  # cells, about 100 bytes each
+    small = table.count() <= SMALL_CELLS
     both = marked.join(F.broadcast(table) if small else table, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
     return both.withColumn("_sampled", uniform(F.col(id_col), seed) < F.col("_rate")).drop("_s", "_l", "_t")
 
@@ -120,7 +124,7 @@ def sample_mixture(docs: DataFrame, **kw) -> DataFrame:
     return mix(docs, **kw).where("_sampled").select(*docs.columns)
 
 
-def oracle(rounds: int = 12, seed: int = 17, power: float = 0.5) -> str:
+def oracle(rounds: int = 8, seed: int = 17, power: float = 0.5) -> str:
     """The same computation as DuckDB SQL, one step per dimension and round."""
     def values(t):
         return ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in t.items())
@@ -128,7 +132,7 @@ def oracle(rounds: int = 12, seed: int = 17, power: float = 0.5) -> str:
     tests = " ".join("WHEN " + " OR ".join(f"contains(low, '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in TOPICS)
     steps = [f"""
 marked AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE {tests} ELSE 'general' END AS topic,
-    len(list_filter(regexp_split_to_array(low, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))::BIGINT AS n_tokens
+    len([x FOR x IN regexp_split_to_array(low, '[\\x20\\x09-\\x0D]+') IF x <> ''])::BIGINT AS n_tokens
     FROM (SELECT *, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM marked GROUP BY ALL),
 raw_source AS (SELECT source, pow(sum(tokens), {power}) AS target FROM cells GROUP BY source),

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import open_fs, scratch
 
 CACHE_ENTRIES = 1_000_000
+# Fixed rule of byte-level BPE: visible Latin-1 bytes stand for themselves, the others
+# for the characters from 256 on, in order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_CHARS = {b: chr(b) if b in _SHOWN else chr(256 + b - sum(s < b for s in _SHOWN)) for b in range(256)}
 MARKS = "!#$%&*,.;:?)]}"  # ASCII characters that are neither letter, number nor white space
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -57,7 +61,8 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.known.get(part)
         if found is None:
-            found = self._whole(part)
+            shown = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_CHARS)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype=self.dtype).tobytes()
             if len(self.known) < CACHE_ENTRIES and len(part) <= 64:
                 self.known[part] = found
         return found
