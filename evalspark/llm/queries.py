@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import (op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
-                           op09_line_chunks, op10_token_files)
+                           op08_pii, op09_line_chunks, op10_token_files)
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("text_hash")
 
 
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_pii.report(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op09_line_chunks.remove_repeated_chunks(read(spark, sf_dir, "documents"))
