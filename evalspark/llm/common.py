@@ -59,3 +59,44 @@ def open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+FILTER_BITS_PER_KEY, FILTER_MAX_BITS = 16, 1 << 28  # at most 32 MB, whatever the number of keys
+
+
+def _filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    from evalspark.llm.rolling import mix
+
+    k = keys.view(np.uint64)
+    return np.concatenate([mix(k + np.uint64(salt)) & np.uint64(bits - 1) for salt in (0x51ED27, 0xA2B3C5)])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bit set (Bloom filter) of the long column ``k``, as 64-bit words. Its size follows the
+    number of keys up to a fixed bound; a full filter lets more rows pass, never fewer, so
+    it only saves shuffled bytes and never decides a result."""
+    n = keys.count()
+    bits = 1 << 16
+    while bits < min(FILTER_MAX_BITS, FILTER_BITS_PER_KEY * n):
+        bits *= 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            place = np.unique(_filter_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits))
+            word, first = np.unique(place >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(place) else place
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["w", "v"])
+
+    got = keys.select("k").mapInArrow(run, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    return words
+
+
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    place = _filter_places(np.ascontiguousarray(keys, dtype=np.int64), len(words) * 64)
+    hit = (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
+    return hit[:len(keys)] & hit[len(keys):]

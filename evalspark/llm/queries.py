@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import (op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
+from evalspark.llm import (op01_repeats, op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
                            op08_pii, op09_line_chunks, op10_token_files)
 from evalspark.llm.common import read
 
@@ -21,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_repeats.remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text", length=200).drop("kept")
+
+
 @query
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_simhash.near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=2)
