@@ -43,11 +43,11 @@ def lower_az(c: Column) -> Column:
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1, from 0) of an Arrow string column; null counts as empty."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    arr = pc.fill_null(column.cast(pa.large_binary()), b"")
+    arr = column.cast(pa.large_binary())
+    arr = arr.fill_null(b"") if arr.null_count else arr  # copies only where it must
     offs = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1]
     data = arr.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offs[0]:offs[-1]] if data is not None and len(arr) else np.zeros(0, np.uint8)

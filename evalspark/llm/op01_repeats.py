@@ -32,8 +32,9 @@ from evalspark.llm.common import key_filter, may_hold, stored, utf8
 from evalspark.llm.rolling import Prefix, mix, sliding_min
 
 LENGTH, DIGIT = 200, 64
-BLOCK = 1 << 18  # bytes hashed at once; longer texts go in pieces that overlap
+BLOCK = 1 << 17  # bytes hashed at once; longer texts go in pieces that overlap
 PIECE = 1 << 22
+ROWS = 1024  # runs whose windows are hashed at once
 SMALL_GROUP = 500  # distinct runs that take the third pass in one task
 PLACE_BITS = 24
 
@@ -99,6 +100,7 @@ def _emit_runs(length: int, digit: int, wanted=None):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), ids.take(rows), h.take(rows),
                          pa.array(s), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], ["d1", "d2", "id", "h", "s", "n", "off"])
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -116,11 +118,12 @@ def _cut_runs(length: int):
                 text = (b.column(0)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 for r in b.column(1)[i].as_py():
                     out.append((r["d1"], r["d2"], r["many"], r["big"], text[r["s"]:r["s"] + r["n"] + length]))
-                if len(out) >= 20_000:
+                if len(out) >= ROWS:
                     yield pa.RecordBatch.from_pylist([dict(zip(("d1", "d2", "many", "big", "body"), o)) for o in out])
                     out = []
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(("d1", "d2", "many", "big", "body"), o)) for o in out])
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -162,20 +165,18 @@ def _last_pass(length: int):
             return pa.RecordBatch.from_arrays([t.column("d1").combine_chunks().take(pa.array(who)), t.column("d2").combine_chunks().take(pa.array(who)),
                                                pa.array(a), pa.array(z)], ["d1", "d2", "a", "z"])
 
-        held, rows = [], 0
+        held = None
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < 8192:
-                continue
-            t = pa.Table.from_batches(held)
-            d1 = t.column("d1").to_numpy()
-            done = int(np.searchsorted(d1, d1[-1]))  # sorted; the last group may go on
-            if done:
-                yield solve(t.slice(0, done))
-            held, rows = t.slice(done).to_batches(), t.num_rows - done
-        if rows:
-            yield solve(pa.Table.from_batches(held))
+            for at in range(0, b.num_rows, ROWS):
+                t = pa.Table.from_batches([b.slice(at, ROWS)])
+                t = t if held is None else pa.concat_tables([held, t])
+                d1 = t.column("d1").to_numpy()
+                done = int(np.searchsorted(d1, d1[-1]))  # sorted; the last group may go on
+                if done:
+                    yield solve(t.slice(0, done))
+                held = pa.Table.from_batches([t.slice(done).combine_chunks().to_batches()[0]])
+        if held is not None:
+            yield solve(held)
     return run
 
 
@@ -184,8 +185,8 @@ def _explode_windows(length: int):
         import pyarrow as pa
 
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                t = b.slice(at, 2048)
+            for at in range(0, b.num_rows, ROWS):
+                t = b.slice(at, ROWS)
                 owner, number, h = _window_hashes(t.column("body"), length)
                 d1 = t.column("d1").to_numpy().view(np.uint64)
                 key = mix(h + mix(d1[owner] + np.uint64(7))).view(np.int64)
