@@ -60,7 +60,7 @@ def rename_first_word(freq_map, mapping: Mapping[str, str]) -> Column:
 
     def new_key(k):
         first = F.substring_index(k, " ", 1)
-        rest = F.when(F.instr(k, " ") > 0, F.substring(k, F.instr(k, " ") + 1, 1 << 20)).otherwise(F.lit(None))
+        rest = F.when(F.instr(k, " ") > 0, F.substring(k, F.instr(k, " ") + 1, F.length(k))).otherwise(F.lit(None))
         return F.concat_ws(" ", F.coalesce(lm[first], first), rest)
 
     ent = F.transform(F.map_entries(m), lambda e: F.struct(new_key(e["key"]).alias("key"),

@@ -1,8 +1,8 @@
 """Iterative graph operators: greedy matching and density clustering.
 
-Both are driver loops over *distributed* rounds; every round's state is cut
-from the lineage with a reliable ``checkpoint()`` into the session's
-checkpoint folder, so a lost executor recomputes at most one round.
+Both are driver loops over *distributed* rounds that run until they converge; every
+round's state is cut from the lineage with a reliable ``checkpoint()`` into the
+session's checkpoint folder, so a lost executor recomputes at most one round.
 """
 
 from __future__ import annotations
@@ -10,102 +10,124 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+from evalspark.operators.components import connected_components
+from evalspark.session import cut, ensure_checkpoint_dir
 
 
 # B14 ------------------------------------------------------------------------
-def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w", max_rounds: int = 10_000) -> DataFrame:
+def _by_two_lightest(e: DataFrame) -> DataFrame:
+    """Edges with ``up_a`` / ``up_b``: lighter edges at that end -- 0, 1 or 2 (two or
+    more) -- and ``pa`` / ``pb``, the lightest edge there."""
+    ends = e.select(F.col("a").alias("node"), "k").unionByName(e.select(F.col("b").alias("node"), "k"))
+    first = ends.groupBy("node").agg(F.min("k").alias("k1"))
+    second = ends.join(first, "node").filter(F.col("k") != F.col("k1")).groupBy("node").agg(F.min("k").alias("k2"))
+    two = cut(first.join(second, "node", "left"))
+    out = e
+    for end in ("a", "b"):
+        side = two.select(F.col("node").alias(end), F.col("k1").alias(f"p{end}"), F.col("k2").alias("_k2"))
+        out = out.join(side, end).withColumn(f"up_{end}", F.when(F.col("k") == F.col(f"p{end}"), 0)
+                                             .when(F.col("k") == F.col("_k2"), 1).otherwise(2)).drop("_k2")
+    return out
+
+
+def _chain_tops(chain: DataFrame) -> DataFrame:
+    """``k``, ``p``, ``odd``: ``p`` followed up to the first edge that is no chain edge, by
+    doubling (the number of steps is the logarithm of the chain length)."""
+    t = cut(chain)
+    while not t.join(t.select(F.col("k").alias("p")), "p", "left_semi").isEmpty():
+        up = t.select(F.col("k").alias("p"), F.col("p").alias("_p"), F.col("odd").alias("_odd"))
+        t = cut(t.join(up, "p", "left").select("k", F.coalesce("_p", "p").alias("p"),
+                                               (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd")))
+    return t
+
+
+def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w") -> DataFrame:
     """Greedy matching: walk edges by ascending (w, a, b) and take an edge when
     both ends are free.
 
-    Parallel form with the identical result: in each round every edge that is
-    the minimum (same total order) at *both* of its ends is taken -- the
-    sequential walk would take it too, since nothing lighter touches either
-    end -- then all edges touching a taken node are dropped (anti-joins).
-    Every round takes at least the globally lightest edge.
+    Parallel form with the identical result, in rounds until no edge is left. An edge
+    without a lighter neighbour is taken. An edge with exactly one lighter neighbour is
+    taken if and only if that one is not, so a path of rising weights is decided in one
+    round: its edges are followed to the top of their chain by doubling. Then all edges
+    that touch a taken node are dropped. Every round's winners are appended to one
+    table in the checkpoint folder, so the plan does not grow with the rounds.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(w).alias("w")) \
-        .filter(F.col("a") != F.col("b"))
-    e = _cut(e)
-    wins = []
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
-        key = F.struct("w", "a", "b")
-        ends = e.select(F.col("a").alias("node"), key.alias("k")).unionByName(e.select(F.col("b").alias("node"), key.alias("k")))
-        best = ends.groupBy("node").agg(F.min("k").alias("k"))
-        win = e.withColumn("k", key) \
-            .join(best.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a") \
-            .join(best.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b") \
-            .filter((F.col("k") == F.col("ka")) & (F.col("k") == F.col("kb"))).select("a", "b", "w")
-        win = _cut(win)
-        wins.append(win)   # each round's winners are checkpointed; one union at the end
+    import uuid
+
+    spark = edges.sparkSession
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(w).alias("w")).filter(F.col("a") != F.col("b")).distinct()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/matching-{uuid.uuid4().hex}"
+    schema = e.schema
+    e = cut(e.withColumn("k", F.struct("w", "a", "b")))
+    e.select("a", "b", "w").limit(0).write.parquet(path)
+    while not e.isEmpty():
+        d = cut(_by_two_lightest(e))
+        top = d.filter("up_a = 0 AND up_b = 0")
+        chain = d.filter("up_a + up_b = 1").select("k", F.when(F.col("up_a") == 1, F.col("pa")).otherwise(F.col("pb")).alias("p"), F.lit(True).alias("odd"))
+        below = _chain_tops(chain).filter("NOT odd").join(top.select(F.col("k").alias("p")), "p", "left_semi")
+        win = cut(top.select("a", "b", "w", "k").unionByName(e.join(below.select("k"), "k", "left_semi").select("a", "b", "w", "k")))
+        win.select("a", "b", "w").write.mode("append").parquet(path)
         used = win.select(F.col("a").alias("n")).unionByName(win.select(F.col("b").alias("n"))).distinct()
-        e = e.join(used.withColumnRenamed("n", "a"), "a", "left_anti").join(used.withColumnRenamed("n", "b"), "b", "left_anti")
-        e = _cut(e)
-    if not wins:
-        return edges.sparkSession.createDataFrame([], "a long, b long, w double").select(
-            F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(w))
-    taken = wins[0]
-    for win in wins[1:]:
-        taken = taken.unionByName(win)
+        e = cut(e.join(used.withColumnRenamed("n", "a"), "a", "left_anti").join(used.withColumnRenamed("n", "b"), "b", "left_anti"))
+    taken = spark.read.schema(schema).parquet(path)
     return taken.select(F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(w))
 
 
-# B16 ------------------------------------------------------------------------
-def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int = 3) -> DataFrame:
-    """All pairs (i < j) within Euclidean distance ``eps`` -- exact.
+# B12 - B16 --------------------------------------------------------------------
+TILE = 64
+
+
+def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int = 6, tile: int = TILE) -> DataFrame:
+    """All pairs (i < j) within Euclidean distance ``eps`` -- exact, nothing dropped.
 
-    Candidates come from a band join on the distance to a pivot point (the
-    triangle inequality: |d(x,p) - d(y,p)| <= d(x,y)), with buckets of width
-    eps on the first pivot and the other pivots as extra exact filters. Dense
-    regions still produce many candidates (the result itself can be large);
-    nothing is dropped or capped.
+    A point's cell is the grid cell (width ``eps``) of its distances to the first two
+    pivots; by the triangle inequality a pair within ``eps`` lies in the same or in
+    neighbouring cells. A cell with many points is cut into tiles of about ``tile``
+    points, and a pair of tiles is one join key, so no key holds more than two tiles,
+    however dense the data are. The other pivots are an exact filter before the
+    distance is computed.
     """
     from evalspark.operators.vectors import as_double_array, euclid
     pts = points.select(F.col(pid).alias("id"), as_double_array(vec).alias("v"))
-    # the pivot vectors as one scalar subquery value
     piv = pts.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).agg(F.collect_list("v")).scalar()
     d = pts.withColumn("_piv", piv).withColumn("pd", F.transform("_piv", lambda p: euclid("v", p))).drop("_piv")
-    d = _cut(d)
-    left = d.withColumn("bk", F.explode(F.sequence(F.floor(F.col("pd")[0] / eps).cast("long") - 1,
-                                                   F.floor(F.col("pd")[0] / eps).cast("long") + 1)))
-    right = d.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("pd").alias("pd2"),
-                     F.floor(F.col("pd")[0] / eps).cast("long").alias("bk"))
-    c = left.join(right, "bk").filter(F.col("id") < F.col("id2"))
-    band = F.aggregate(F.zip_with("pd", "pd2", lambda x, y: F.abs(x - y) <= eps), F.lit(True), lambda s, x: s & x)
+    cell = [F.floor(F.col("pd")[0] / eps).cast("long"), F.floor(F.coalesce(F.get("pd", F.lit(1)), F.lit(0.0)) / eps).cast("long")]
+    d = cut(d.withColumns({"cx": cell[0], "cy": cell[1]}))
+    cells = cut(d.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles")))
+    d = d.join(cells, ["cx", "cy"]).withColumn("t", F.pmod(F.xxhash64("id", F.lit(5)), F.col("tiles")))
+    # cell pairs once: the second cell is the first one or comes after it
+    near = cells.select(F.col("cx"), F.col("cy"), F.col("tiles").alias("n1"), F.explode(F.expr(
+        "array(struct(0L AS x, 0L AS y), struct(0L AS x, 1L AS y), struct(1L AS x, -1L AS y), struct(1L AS x, 0L AS y), struct(1L AS x, 1L AS y))")).alias("o"))
+    near = near.select("cx", "cy", "n1", (F.col("cx") + F.col("o.x")).alias("dx"), (F.col("cy") + F.col("o.y")).alias("dy"))
+    near = cut(near.join(cells.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.col("tiles").alias("n2")), ["dx", "dy"]))
+    key = ["cx", "cy", "dx", "dy", "t1", "t2"]
+    left = d.join(near, ["cx", "cy"]).withColumn("t1", F.col("t")) \
+        .withColumn("t2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n2") - 1))).select(*key, "id", "v", "pd")
+    right = d.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), "t", F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("pd").alias("pd2")) \
+        .join(near, ["dx", "dy"]).withColumn("t2", F.col("t")) \
+        .withColumn("t1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n1") - 1))).select(*key, "id2", "v2", "pd2")
+    same = (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy"))
+    c = left.join(right, key).filter(~same & (F.col("id") != F.col("id2")) | (F.col("id") < F.col("id2")))
+    band = F.forall(F.zip_with("pd", "pd2", lambda x, y: F.abs(x - y) <= eps), lambda ok: ok)
     c = c.filter(band).withColumn("dist", euclid("v", "v2")).filter(F.col("dist") <= eps)
-    return c.select(F.col("id").alias("i"), F.col("id2").alias("j"), "dist")
+    return c.select(F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j"), "dist")
 
 
-def dbscan(points: DataFrame, pid: str, vec: str, eps: float, min_pts: int, max_rounds: int = 1000) -> DataFrame:
+def dbscan(points: DataFrame, pid: str, vec: str, eps: float, min_pts: int) -> DataFrame:
     """Density clustering: core points have >= ``min_pts`` neighbours within eps
-    (self included); clusters are connected components of core points
-    (min-label propagation, one shuffle per round); a border point joins the
-    cluster of its nearest core point (ties by id); others are noise (-1).
-    A cluster is identified by its smallest core id (no global renumbering
-    pass); ``-1`` marks noise.
+    (self included); clusters are the connected components of core points; a border
+    point joins the cluster of its nearest core point (ties by id); others are noise
+    (-1). A cluster is identified by its smallest core id (no global renumbering pass).
     """
-    pairs = _cut(eps_pairs(points, pid, vec, eps))
+    pairs = cut(eps_pairs(points, pid, vec, eps))
     ids = points.select(F.col(pid).alias("id"))
     nb = pairs.select(F.col("i").alias("id")).unionByName(pairs.select(F.col("j").alias("id")))
     deg = nb.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     core = ids.join(deg, "id", "left").filter(F.coalesce("deg", F.lit(0)) + 1 >= min_pts).select("id")
-    core = _cut(core)
-    ce = pairs.join(core.withColumnRenamed("id", "i"), "i").join(core.withColumnRenamed("id", "j"), "j").select("i", "j")
-    ce = _cut(ce.unionByName(ce.select(F.col("j").alias("i"), F.col("i").alias("j"))))
-    lab = core.withColumn("lab", F.col("id"))
-    for _ in range(max_rounds):
-        prop = ce.join(lab.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.min("lab").alias("nl"))
-        new = lab.join(prop.withColumnRenamed("i", "id"), "id", "left") \
-            .select("id", F.least("lab", F.coalesce("nl", "lab")).alias("lab"))
-        new = _cut(new)
-        changed = new.join(lab.withColumnRenamed("lab", "old"), "id").filter(F.col("lab") != F.col("old"))
-        lab = new
-        if changed.isEmpty():
-            break
+    core = cut(core)
+    ce = pairs.join(core.withColumnRenamed("id", "i"), "i").join(core.withColumnRenamed("id", "j"), "j")
+    comp = connected_components(ce.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    lab = cut(core.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("lab")))
     # border points: nearest core neighbour
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
     border = both.join(core.withColumnRenamed("id", "j"), "j").join(core.withColumnRenamed("id", "i"), "i", "left_anti") \

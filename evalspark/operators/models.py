@@ -80,19 +80,19 @@ def gaussian_nb(train: DataFrame, test: DataFrame, label: str, features: str = "
 
 
 def random_forest(train: DataFrame, test: DataFrame, label: str, features: str = "features",
-                  weight: str | None = "weight", depth: int = 2, seed: int = 42) -> DataFrame:
+                  weight: str | None = "weight", depth: int = 2, seed: int = 42, trees: int = 100) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     kw = {"weightCol": weight} if weight else {}
-    m = _fit(RandomForestClassifier(labelCol=label, featuresCol=features, maxDepth=depth, seed=seed, **kw), train)
+    m = _fit(RandomForestClassifier(labelCol=label, featuresCol=features, maxDepth=depth, numTrees=trees, seed=seed, **kw), train)
     return m.transform(test)
 
 
 def linear_svm(train: DataFrame, test: DataFrame, label: str, features: str = "features",
-               weight: str | None = "weight") -> DataFrame:
+               weight: str | None = "weight", max_iter: int = 100) -> DataFrame:
     """Balanced linear SVM (the harness uses an RBF kernel; pyspark.ml has linear only)."""
     from pyspark.ml.classification import LinearSVC
     kw = {"weightCol": weight} if weight else {}
-    m = _fit(LinearSVC(labelCol=label, featuresCol=features, maxIter=50, **kw), train)
+    m = _fit(LinearSVC(labelCol=label, featuresCol=features, maxIter=max_iter, **kw), train)
     return m.transform(test)
 
 

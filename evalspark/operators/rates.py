@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from evalspark.functions.constants import HORIZON_LABELS, RANGE_LABELS, REASON_LABELS, Z95
 from evalspark.functions.rates import (
     error_bar, fixed, format_rate, format_rate_short, parse_ratio, rate)
+from evalspark.session import cut
 
 
 def _b(c) -> Column:
@@ -43,22 +44,35 @@ def leaderboard(df: DataFrame, by: Sequence[str] = ("model", "mode"), passed="pa
         F.round(error_bar("n_pass", "n_total"), digits).alias("err95"))
 
 
+DRAWS_PER_ROW = 1_000
+
+
 # A11 ------------------------------------------------------------------------
 def bootstrap_error_bar(counts: DataFrame, by: Sequence[str], k="n_pass", n="n_total",
                         reps: int = 10000, seed: int = 7) -> DataFrame:
     """The resampling itself: ``reps`` resamples of n Bernoulli(p) draws per group.
 
     Draws are generated per (group, rep) with a seeded hash so the result does
-    not depend on partitioning; per rep the pass count is a sum over n draws.
-    Work is groups x reps x n, spread over all tasks by the (group, rep) key.
+    not depend on partitioning; per rep the pass count is a sum over n draws, made in
+    rows of at most ``DRAWS_PER_ROW`` draws, so neither a large n nor many resamples
+    meet in one row. Work is groups x reps x n, spread over all tasks.
     """
     p = (F.col(k).cast("double") / F.col(n)).alias("p")
     base = counts.filter(F.col(n) > 0).select(*by, F.col(n).alias("n"), p)
+    n_parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps_df = base.select(*by, "n", "p", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = reps_df.select(*by, "n", "p", "rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
-    u = (F.abs(F.xxhash64(*[F.col(b) for b in by], F.col("rep"), F.col("i"), F.lit(seed)))
-         % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    per_rep = draws.groupBy(*by, "rep", "n").agg(F.sum((u < F.col("p")).cast("int")).alias("hits"))
+    rows = reps_df.select(*by, "n", "p", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(DRAWS_PER_ROW).cast("long"))).alias("at"))
+    # spread the rows before the draws: the groups are few
+    rows = rows.repartition(n_parts, *by, "rep", "at")
+
+    def hit(acc, i):
+        h = F.xxhash64(*[F.col(b) for b in by], F.col("rep"), i, F.lit(seed))
+        u = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+        return acc + (u < F.col("p")).cast("long")
+
+    last = F.least(F.col("at") + DRAWS_PER_ROW, F.col("n").cast("long")) - 1
+    draws = rows.select(*by, "n", "rep", F.aggregate(F.sequence(F.col("at"), last), F.lit(0).cast("long"), hit).alias("k"))
+    per_rep = draws.groupBy(*by, "rep", "n").agg(F.sum("k").alias("hits"))
     per_rep = per_rep.select(*by, (F.col("hits") / F.col("n")).alias("r"))
     return per_rep.groupBy(*by).agg(F.avg("r").alias("boot_rate"),
                                    (F.lit(Z95) * F.stddev_pop("r")).alias("boot_err95"))
@@ -128,24 +142,22 @@ def label_pass_rate(df: DataFrame, freq_map: str, kind: str, labels: Sequence[st
     """A3 / A4: per label (and optional group) rows holding it and rows passing.
 
     Labels not present anywhere are still reported, with zero counts, from
-    the fixed label list (a constant table, broadcast).
+    the fixed label list.
     """
     keys = [key, *by, passed]
     pres = label_presence(df.select(*{key, *by, passed, freq_map}), freq_map, kind, keys,
                           use_max=use_max, weighted=weighted)
-    pres = pres.filter(F.col("label").isin(list(labels)))
-    agg = pres.groupBy(*by, "label").agg(
-        F.sum(F.when(F.col(passed), F.col("w")).otherwise(0)).cast("long").alias("n_pass"),
+    pres = pres.filter(F.col("label").isin(list(labels))).select(*by, "label", F.col(passed).alias("_p"), F.col("w").cast("long").alias("w"))
+    if not by:
+        # every label of the fixed list as a row of weight zero: labels that never
+        # occur are reported without a join. (Per group only present labels are
+        # listed; the wide reports fill the absent ones.)
+        zero = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"),
+                                               F.lit(False).alias("_p"), F.lit(0).cast("long").alias("w"))
+        pres = pres.unionByName(zero)
+    return pres.groupBy(*by, "label").agg(
+        F.sum(F.when(F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias("n_pass"),
         F.sum("w").cast("long").alias("n_total"))
-    # the fixed label list as a tiny JVM-side relation (no Python data transfer)
-    lab = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
-    if by:
-        # per group only present labels are listed; the wide reports fill
-        # the absent ones with zeros / N/A at the pivot
-        return agg
-    full = F.broadcast(lab).join(agg, "label", "left")
-    return full.select("label", F.coalesce("n_pass", F.lit(0).cast("long")).alias("n_pass"),
-                       F.coalesce("n_total", F.lit(0).cast("long")).alias("n_total"))
 
 
 def stratified_leaderboard(df: DataFrame, by: Sequence[str], freq_map: str, kind: str,
@@ -191,8 +203,8 @@ def run_summary(df: DataFrame, run_col: str = "run_name", passed: str = "is_pass
     """A5: one row per run: overall rate text and one rate text per label.
 
     One pass: every row emits its items (an overall marker, its reason keys,
-    its horizon labels) in a single ``inline``; one aggregate per
-    (run, item) and a pivot on the fixed item list.
+    its horizon labels) in a single ``inline``; one aggregate per run holds a
+    conditional (k, n) pair per item of the fixed list -- one shuffle.
     """
     from evalspark.functions.rates import parse_run_name
     item_t = "array<struct<label:string,w:bigint>>"
@@ -205,10 +217,13 @@ def run_summary(df: DataFrame, run_col: str = "run_name", passed: str = "is_pass
     long = df.select(run_col, F.col(passed).alias("_p"), F.inline(items))
     wanted = ["__all__"] + ["r_" + x for x in reasons] + ["h_" + x for x in horizons]
     long = long.filter(F.col("label").isin(wanted))
-    g = long.groupBy(run_col, "label").agg(
-        F.sum(F.when(F.col("_p"), F.col("w")).otherwise(0)).cast("long").alias("k"),
-        F.sum("w").cast("long").alias("n"))
-    wide = g.groupBy(run_col).pivot("label", wanted).agg(F.first(format_rate("k", "n")))
+    aggs = []
+    for i, w in enumerate(wanted):
+        hit = F.col("label") == w
+        aggs += [F.sum(F.when(hit & F.col("_p"), F.col("w")).when(hit, 0)).cast("long").alias(f"_k{i}"),
+                 F.sum(F.when(hit, F.col("w"))).cast("long").alias(f"_n{i}")]
+    wide = long.groupBy(run_col).agg(*aggs)
+    wide = wide.select(run_col, *[F.when(F.col(f"_n{i}").isNotNull(), format_rate(f"_k{i}", f"_n{i}")).alias(w) for i, w in enumerate(wanted)])
     names = {"__all__": "all_pass", **{"r_" + x: "r_" + label_col(x) for x in reasons},
              **{"h_" + x: "h_" + label_col(x) for x in horizons}}
     p = parse_run_name(run_col)
@@ -243,18 +258,19 @@ def distance_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
 def histogram(df: DataFrame, col: str, bins: int = 30, subset: str | None = None) -> DataFrame:
     """Equal-width bins from min to max; the max lands in the last bin.
 
-    min / max are scalar subqueries (one value each, computed once).
+    The data is counted once per distinct value; that small table gives min, max
+    and the bins.
     """
-    x = F.col(col).cast("double")
-    # min / max as scalar subqueries: evaluated once, no join with the data
-    mm = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    j = df.select(x.alias("x"), (F.col(subset) if subset else F.lit(False)).alias("sub"), mm.alias("_mm")) \
-        .select("x", "sub", F.col("_mm.lo").alias("lo"), F.col("_mm.hi").alias("hi")).filter(F.col("x").isNotNull())
+    sub = F.col(subset) if subset else F.lit(False)
+    seen = cut(df.groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.count_if(sub).alias("cs"))
+               .filter(F.col("x").isNotNull()))
+    mm = seen.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    j = seen.withColumn("_mm", mm).select("x", "c", "cs", F.col("_mm.lo").alias("lo"), F.col("_mm.hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     out = j.groupBy(b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("sub")).alias("n_subset"),
+        F.sum("c").alias("n"), F.sum("cs").alias("n_subset"),
         F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     return out.select("bin", "n", "n_subset",
                       F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins, 6).alias("left_edge"))

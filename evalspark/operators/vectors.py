@@ -4,10 +4,10 @@ Design for scale:
 
 * vectors are ``array<double>``; per-vector math is higher-order functions
   (no UDF);
-* a *query set* (centroids, probes) is small by construction and attached to
-  every point as ONE broadcast row holding an array -- after an explicit
-  count guard -- so the point side is never shuffled and no data-scale cross
-  join is planned;
+* a *query set* (centroids, probes) meets the points in blocks of
+  ``QUERY_BLOCK`` queries: one block is one array value sent with the tasks,
+  more blocks are joined by block number, and the runtime broadcasts them only
+  while they are measured small;
 * per-query top-k is ``row_number() <= k`` over the query key, which Spark
   plans with a partial ``WindowGroupLimit`` before the shuffle (each map task
   forwards at most k rows per query);
@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_QUERIES = 10_000
+from evalspark.session import cut
+
+QUERY_BLOCK = 1_000  # queries that meet a point at once
 
 
 def _c(c) -> Column:
@@ -75,13 +77,20 @@ def sparse_dense(coo: DataFrame, key: str, idx: str, value: str, length: int, ba
     Built per key from its stored entries (a bounded ``length``-sized array),
     not by a join against a generated index table.
     """
-    g = coo.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value))))
-                             .alias("_m"))
+    g = _in_range(coo, idx, length).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value)))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
                         lambda i: F.coalesce(F.col("_m")[i], F.lit(float(baseline))))
     return g.select(key, dense.alias("dense"), F.size("_m").alias("n_stored"))
 
 
+def _in_range(coo: DataFrame, idx: str, length: int) -> DataFrame:
+    """Stored indices as they are; one outside [0, length) raises."""
+    i = F.col(idx)
+    return coo.withColumn(idx, F.when(i.between(0, length - 1), i).otherwise(
+        F.raise_error(F.concat(F.lit("index out of range: "), i.cast("string"))).cast(coo.schema[idx].dataType)))
+
+
 def sparse_l1(coo: DataFrame, key: str, value: str, length: int, baseline: float) -> DataFrame:
     """L1 norm with the closed formula: stored |values| + (length - stored) * |baseline|."""
     g = coo.groupBy(key).agg(F.sum(F.abs(value)).alias("_s"), F.count(F.lit(1)).alias("n_stored"))
@@ -90,7 +99,7 @@ def sparse_l1(coo: DataFrame, key: str, value: str, length: int, baseline: float
 
 def sparse_summary(coo: DataFrame, key: str, idx: str, value: str, length: int, baseline: float) -> DataFrame:
     """Stored count, L1 norm (closed formula) and dense view in ONE aggregate per key."""
-    g = coo.groupBy(key).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(F.abs(value)).alias("_s"),
+    g = _in_range(coo, idx, length).groupBy(key).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(F.abs(value)).alias("_s"),
                              F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value))))
                              .alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
@@ -122,16 +131,20 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def attach_queries(points: DataFrame, queries: DataFrame, qkey: str, qvec: str) -> DataFrame:
-    """Give every point the whole (small, count-checked) query set as one array
-    value (a scalar subquery), then explode per query."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"query set has {n} rows (> {MAX_QUERIES}); use a partitioned search")
-    # the whole query set as one scalar subquery value (computed once, shipped
-    # with the task) -- no join between points and queries is planned
-    qs = queries.agg(F.collect_list(F.struct(F.col(qkey).alias("qk"), as_double_array(qvec).alias("qv")))).scalar()
-    return points.select("*", F.explode(qs).alias("_q")) \
-        .withColumn(qkey, F.col("_q.qk")).withColumn("_qv", F.col("_q.qv")).drop("_q")
+    """Every point with every query, in blocks of queries (``_q``: all columns of the
+    query; ``qkey`` and ``_qv`` beside it). A set of one block is one scalar subquery
+    value; a larger one is joined block by block on the block's number."""
+    item = F.struct(F.col(qkey).alias("qk"), as_double_array(qvec).alias("qv"),
+                    F.struct(*[F.col(c) for c in queries.columns]).alias("row"))
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        qs = queries.agg(F.collect_list(item)).scalar()
+        out = points.select("*", F.explode(qs).alias("_q"))
+    else:
+        sets = queries.groupBy(F.pmod(F.xxhash64(qkey), F.lit(blocks)).alias("_block")).agg(F.collect_list(item).alias("_set"))
+        each = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        out = each.join(sets, "_block").select(*points.columns, F.explode("_set").alias("_q"))
+    return out.withColumn(qkey, F.col("_q.qk")).withColumn("_qv", F.col("_q.qv")).withColumn("_q", F.col("_q.row"))
 
 
 # B3 -------------------------------------------------------------------------
@@ -156,20 +169,19 @@ def bounding_spheres(df: DataFrame, key: str, vec: str) -> DataFrame:
     c = centroids(df, key, vec)
     j = df.select(key, as_double_array(vec).alias("_v")).join(c, key)
     return j.groupBy(key).agg(F.first("centroid").alias("centroid"),
-                              F.max(euclid("_v", "centroid")).alias("radius"))
+                              F.max(euclid("_v", "centroid")).alias("radius"), F.count(F.lit(1)).alias("n"))
 
 
 def sphere_intersections(spheres: DataFrame, key: str) -> DataFrame:
     """Pairs of groups whose spheres intersect (centre distance <= r1 + r2).
 
-    The sphere table has one row per group; it is count-checked and
-    compared through the query-set broadcast, never as a data-scale join.
+    The sphere table has one row per group; it is computed once, and meets itself in
+    blocks of queries that carry their radius.
     """
-    other = spheres.select(F.col(key).alias("other"), F.struct("centroid", "radius").alias("s"))
-    j = attach_queries(spheres.select(key, "centroid", "radius"), other.select("other", F.col("s.centroid").alias("c")),
-                       "other", "c")
-    radii = spheres.select(F.col(key).alias("other"), F.col("radius").alias("other_radius"))
-    j = j.join(F.broadcast(radii), "other").filter(F.col(key) < F.col("other"))
+    spheres = cut(spheres.select(key, "centroid", "radius"))
+    other = spheres.select(F.col(key).alias("other"), F.col("centroid").alias("c"), F.col("radius").alias("other_radius"))
+    j = attach_queries(spheres, other, "other", "c").withColumn("other_radius", F.col("_q.other_radius"))
+    j = j.filter(F.col(key) < F.col("other"))
     return j.select(key, "other", F.round(euclid("centroid", "_qv"), 6).alias("centre_dist"),
                     (euclid("centroid", "_qv") <= F.col("radius") + F.col("other_radius")).alias("intersect"))
 
@@ -215,8 +227,9 @@ def change_flag(df: DataFrame, key: str, order: Sequence[str], value: str, bucke
 # B12 / B13 --------------------------------------------------------------------------
 def cumulative(v) -> Column:
     """Running sum along a vector (the cumulative return series)."""
-    arr = _c(v)
-    return F.transform(arr, lambda x, i: F.aggregate(F.slice(arr, 1, i + 1), F.lit(0.0), lambda s, y: s + y))
+    zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(_c(v), zero, lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")),
+                       lambda a: a["out"])
 
 
 def pair_distance(pairs: DataFrame, a: str, b: str, series: DataFrame, sid: str, vec: str) -> DataFrame:
@@ -244,14 +257,11 @@ def multi_hot(df: DataFrame, key: str, cat: str, domain: Sequence[str]) -> DataF
 
 
 # B20 ----------------------------------------------------------------------------------
-def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None, max_levels: int = 1000) -> DataFrame:
-    """Category column -> one 0/1 column per sorted level (levels gathered by one
-    bounded ``distinct`` when not given)."""
+def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """Category column -> one 0/1 column per sorted level (when not given, the distinct
+    levels: they become the columns of the result's schema)."""
     if levels is None:
-        lv = [r[0] for r in df.select(col).distinct().limit(max_levels + 1).collect()]
-        if len(lv) > max_levels:
-            raise ValueError(f"{col} has more than {max_levels} levels")
-        levels = sorted(x for x in lv if x is not None)
+        levels = sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
     return df.select(*[c for c in df.columns if c != col],
                      *[(F.col(col) == v).cast("int").alias(f"{col}_{v}") for v in levels])
 

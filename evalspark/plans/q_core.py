@@ -62,7 +62,7 @@ def q_error_bar(spark, d):
 @query("bootstrap_error_bar", ops=("A11",))
 def q_bootstrap(spark, d):
     lb = A.leaderboard(V.runs(spark, d), by=["model"], passed="passed")
-    boot = A.bootstrap_error_bar(lb, ["model"], reps=2000)
+    boot = A.bootstrap_error_bar(lb, ["model"], reps=10_000)
     return lb.join(boot, "model").select("model", "n_pass", "n_total", "err95",
                                          F.round("boot_rate", 6).alias("boot_rate"),
                                          F.round("boot_err95", 6).alias("boot_err95"))

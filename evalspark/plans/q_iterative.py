@@ -9,26 +9,29 @@ from evalspark.operators import models as M
 from evalspark.operators import sampling as SM
 from evalspark.operators import vectors as VX
 from evalspark.plans import views as V
-from evalspark.plans.q_tier_b import _scored_labels, next_in_label_pairs
+from evalspark.plans.q_tier_b import PAIRS_SQL, _scored_labels, close_pairs
 from evalspark.plans.registry import query
 from evalspark.session import table
 
 
 def _edges(spark, d):
-    """Edges of the matching: each vector with the next two vector ids of its
-    label, weighted by distance (linear in rows; no all-pairs)."""
-    from pyspark.sql.window import Window
-    e = table(spark, d, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    nxt = e.select("vec_id", F.lead("vec_id", 1).over(w).alias("n1"), F.lead("vec_id", 2).over(w).alias("n2"))
-    pairs = nxt.select(F.col("vec_id").alias("a"), F.explode(F.array("n1", "n2")).alias("b")).filter(F.col("b").isNotNull())
-    v = e.select("vec_id", VX.as_double_array("embedding").alias("v"))
-    j = pairs.join(v.withColumnRenamed("vec_id", "a").withColumnRenamed("v", "va"), "a") \
-        .join(v.withColumnRenamed("vec_id", "b").withColumnRenamed("v", "vb"), "b")
-    return j.select("a", "b", F.round(VX.euclid("va", "vb"), 9).alias("w"))
+    """Edges of the matching: the pairs of vectors within the radius, weighted by distance."""
+    return close_pairs(table(spark, d, "embeddings")).select("a", "b", F.round("d", 9).alias("w"))
+
+
+# Greedy matching in SQL: the lightest free edge is taken, one per step.
+MATCHING_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
+edge AS (SELECT a, b, round(d, 9) AS w, row_number() OVER (ORDER BY round(d, 9), a, b) AS k FROM pairs),
+walk(k, used, a, b, w) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT e.k, CASE WHEN list_contains(t.used, e.a) OR list_contains(t.used, e.b) THEN t.used ELSE list_concat(t.used, [e.a, e.b]) END,
+         CASE WHEN list_contains(t.used, e.a) OR list_contains(t.used, e.b) THEN NULL ELSE e.a END, e.b, e.w
+  FROM walk t JOIN edge e ON e.k = t.k + 1),
+matched AS (SELECT a, b, w FROM walk WHERE a IS NOT NULL)"""
 
 
-@query("greedy_matching", ops=("B14",))
+@query("greedy_matching", ops=("B14",), sql=MATCHING_SQL + " SELECT a, b, w FROM matched")
 def q_greedy(spark, d):
     return G.greedy_match(_edges(spark, d))
 
@@ -39,7 +42,18 @@ def q_pca(spark, d):
     return p.select("vec_id", F.round(F.col("components")[0], 6).alias("pc1_z"))
 
 
-@query("dbscan", ops=("B16",))
+DBSCAN_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
+near AS (SELECT a AS i, b AS j, d FROM pairs UNION ALL SELECT b, a, d FROM pairs),
+core AS (SELECT vec_id AS i FROM embeddings WHERE (SELECT count(*) FROM near WHERE near.i = vec_id) + 1 >= 3),
+reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j WHERE n.j IN (SELECT i FROM core)),
+lab AS (SELECT i, min(j) AS cluster FROM reach GROUP BY i),
+border AS (SELECT n.i, arg_min(l.cluster, (n.d, n.j)) AS cluster FROM near n JOIN lab l ON l.i = n.j
+           WHERE n.i NOT IN (SELECT i FROM core) GROUP BY n.i)
+SELECT e.vec_id, coalesce(l.cluster, b.cluster, -1) AS cluster FROM embeddings e
+LEFT JOIN lab l ON l.i = e.vec_id LEFT JOIN border b ON b.i = e.vec_id"""
+
+
+@query("dbscan", ops=("B16",), sql=DBSCAN_SQL)
 def q_dbscan(spark, d):
     e = table(spark, d, "embeddings")
     return G.dbscan(e, "vec_id", "embedding", eps=1.12, min_pts=3)
@@ -158,7 +172,12 @@ def q_relabel(spark, d):
     return r.select("user_id", "step", "end_step", "goal")
 
 
-@query("pair_matching_distance", ops=("B12", "B14"))
+@query("pair_matching_distance", ops=("B12", "B14"), sql=MATCHING_SQL + """
+SELECT a, b, round(sqrt(list_sum(list_transform(list_zip(ca, cb), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS dist
+FROM (SELECT p.a, p.b,
+        list_transform(generate_series(1, len(x.embedding)), lambda i: list_sum(CAST(x.embedding AS DOUBLE[])[1:i])) AS ca,
+        list_transform(generate_series(1, len(y.embedding)), lambda i: list_sum(CAST(y.embedding AS DOUBLE[])[1:i])) AS cb
+      FROM matched p JOIN embeddings x ON x.vec_id = p.a JOIN embeddings y ON y.vec_id = p.b)""")
 def q_pair_match(spark, d):
     """Pairs of the matching re-scored by the distance of their cumulative series."""
     e = table(spark, d, "embeddings")
@@ -166,5 +185,3 @@ def q_pair_match(spark, d):
     return VX.pair_distance(m.select("a", "b"), "a", "b", e, "vec_id", "embedding") \
         .select("a", "b", F.round("dist", 6).alias("dist"))
 
-
-_ = next_in_label_pairs  # re-exported binding used by tests

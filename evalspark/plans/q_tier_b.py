@@ -9,6 +9,7 @@ from evalspark.functions.time import day_bucket
 from evalspark.operators import models as M
 from evalspark.operators import ranking as RK
 from evalspark.operators import vectors as VX
+from evalspark.operators.graph import eps_pairs
 from evalspark.plans.q_core import W
 from evalspark.plans.registry import query
 from evalspark.session import table
@@ -89,9 +90,7 @@ SELECT label, round(max(list_distance(CAST(e.embedding AS DOUBLE[]), c.c)), 6) A
 FROM embeddings e JOIN cent c USING (label) GROUP BY label""", CENTROIDS_SQL))
 def q_spheres(spark, d):
     e = _emb(spark, d)
-    s = VX.bounding_spheres(e, "label", "embedding")
-    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return s.join(n, "label").select("label", F.round("radius", 6).alias("radius"), "n")
+    return VX.bounding_spheres(e, "label", "embedding").select("label", F.round("radius", 6).alias("radius"), "n")
 
 
 @query("sphere_intersections", ops=("B5",), sql=W("""
@@ -207,14 +206,17 @@ def q_multi_hot(spark, d):
 
 
 # ---------------------------------------------------------------- B12 / B13
-PAIRS_SQL = """
-pairs AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)"""
+PAIR_RADIUS = 1.12  # pairs of the series whose vectors are this close
+PAIRS_SQL = f"""
+pairs AS (SELECT x.vec_id AS a, y.vec_id AS b,
+    list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d
+  FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
+  WHERE list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) <= {PAIR_RADIUS})"""
 
 
-def next_in_label_pairs(e):
-    """The given pair list: each vector with the next vector id of its label (linear in rows)."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(w).alias("b")).filter(F.col("b").isNotNull())
+def close_pairs(e):
+    """The pairs of vectors within ``PAIR_RADIUS``: ``a`` < ``b`` and their distance ``d``."""
+    return eps_pairs(e, "vec_id", "embedding", PAIR_RADIUS).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("dist").alias("d"))
 
 
 @query("pair_distance", ops=("B12",), sql=W("""
@@ -225,7 +227,7 @@ FROM (SELECT p.a, p.b,
       FROM pairs p JOIN embeddings x ON x.vec_id = p.a JOIN embeddings y ON y.vec_id = p.b)""", PAIRS_SQL))
 def q_pair_distance(spark, d):
     e = _emb(spark, d)
-    r = VX.pair_distance(next_in_label_pairs(e), "a", "b", e, "vec_id", "embedding")
+    r = VX.pair_distance(close_pairs(e), "a", "b", e, "vec_id", "embedding")
     return r.select("a", "b", F.round("dist", 6).alias("dist"))
 
 
@@ -235,7 +237,7 @@ SELECT a, b, round(corr(xa, xb), 6) AS corr FROM (
   FROM pairs p JOIN embeddings x ON x.vec_id = p.a JOIN embeddings y ON y.vec_id = p.b) GROUP BY a, b""", PAIRS_SQL))
 def q_pair_corr(spark, d):
     e = _emb(spark, d)
-    r = VX.pair_corr(next_in_label_pairs(e), "a", "b", e, "vec_id", "embedding")
+    r = VX.pair_corr(close_pairs(e), "a", "b", e, "vec_id", "embedding")
     return r.select("a", "b", F.round("corr", 6).alias("corr"))
 
 

@@ -9,13 +9,15 @@ ones that matter for large evaluation tables:
 * ``spark.sql.autoBroadcastJoinThreshold`` stays at a fixed, small byte
   bound: a side is broadcast only when its measured size is under it.
 * The checkpoint folder comes from ``spark.checkpoint.dir`` of the session
-  (the shared folder of the cluster). Only when it is unset -- local runs and
-  tests -- do we pick a scratch folder ourselves.
+  (the shared folder of the cluster). Only where it is unset and the master is
+  ``local`` do we make a scratch folder, and remove it at the end.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,11 @@ TABLES = (
 def build_session(master: str | None = None, app: str = "evalspark",
                   shuffle_partitions: int | None = None) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.appName(app)
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # not under spark-submit, which names the master
+        builder = builder.master(master or f"local[{cpus}]")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -44,6 +48,7 @@ def build_session(master: str | None = None, app: str = "evalspark",
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 * 1024 * 1024))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+        .config("spark.sql.files.minPartitionNum", cpus)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -51,15 +56,6 @@ def build_session(master: str | None = None, app: str = "evalspark",
     return spark
 
 
-def shuffle_partitions_for(input_bytes: int, executors_cores: int, target_bytes: int = 256 << 20) -> int:
-    """Initial shuffle width for a job reading ``input_bytes``: enough partitions
-    that each holds about ``target_bytes`` (so sort / aggregation buffers fit in
-    executor memory without heavy spill), and at least two waves of tasks.
-    AQE then coalesces small partitions and splits skewed ones at runtime.
-    At 100 TB and 256 MB per partition this is ~400 000 partitions."""
-    return max(2 * executors_cores, -(-input_bytes // target_bytes))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, choosing a scratch one only if unset."""
     sc = spark.sparkContext
@@ -69,50 +65,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Local runs and tests only: a cluster names its shared folder.
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="evalspark-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table; the (immutable) DataFrame is reused per session and path,
-    so repeated queries skip the file listing and footer read."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spread(spark.read.parquet(path))
-        _TABLES[key] = df
-    return df
-
-
-SPREAD_MIN_BYTES = 8 << 20
-
-
-def _input_bytes(df: DataFrame) -> int:
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getContentSummary(p).getLength()
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cluster's cores when it has fewer input
-    splits than cores and is large enough for the row work to matter (e.g. one
-    big single-row-group file), so the work before the first shuffle is not
-    serial. Inputs with many splits, and small inputs, are returned untouched
-    (no extra shuffle). Filters and column pruning still reach the parquet
-    scan below the repartition."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if want <= 1 or df.rdd.getNumPartitions() >= want:
-        return df
-    min_bytes = int(spark.conf.get("evalspark.spreadMinBytes", str(SPREAD_MIN_BYTES)))
-    return df.repartition(want) if _input_bytes(df) >= min_bytes else df
+    """The parquet table. How finely a scan is split is the session's business
+    (``spark.sql.files.maxPartitionBytes`` / ``minPartitionNum``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
