@@ -121,20 +121,23 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     statistics and get the same spans; words inside a base span are no terms. An empty
     table gives an empty result; other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("text").alias("th"), F.length("text").alias("n_chars"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("th"))
     based = rows.withColumn("base", base_spans(F.col("text")))
     # Spans are small: they are written once, beside the ids, and the text is read again where it is needed.
-    base = stored(based.select("id", "th", "n_chars", "base"), "pii-base")
+    base = stored(based.select("id", "th", "base"), "pii-base")
     terms = stored(revealing_terms(based, min_docs, min_share, min_bits), "pii-terms")
     if terms.isEmpty():
         return base.select(F.col("id").alias(id_col), "th", "base", F.col("base").alias("spans"))
-    hit = (rows.select("th", "n_chars", F.explode(F.array_distinct(F.split(lower_az(F.col("text")), SPLIT_TERMS))).alias("term"))
-           .join(terms.select("term"), "term", "left_semi").groupBy("th", "n_chars").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    hit = (rows.select("id", "th", F.explode(F.array_distinct(F.split(lower_az(F.col("text")), SPLIT_TERMS))).alias("term"))
+           .join(terms.select("term"), "term", "left_semi").groupBy(F.col("id").alias("_id"), F.col("th").alias("_th"))
+           .agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    # Rows are found again by id and text hash: copies of a text do not meet in one task.
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     pattern = F.concat(F.lit(f"(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
-    texts = rows.select("th", "n_chars", "text").join(hit, ["th", "n_chars"])
-    placed = (texts.select("th", "n_chars", _matches(lower_az(F.col("text")), pattern, 4).alias("found"))
-              .groupBy("th", "n_chars").agg(F.first("found").alias("found")))
-    both = base.join(placed, ["th", "n_chars"], "left")
+    texts = rows.select("id", "th", "text").join(hit, same)
+    placed = (texts.select("_id", "_th", _matches(lower_az(F.col("text")), pattern, 4).alias("found"))
+              .groupBy("_id", "_th").agg(F.first("found").alias("found")))
+    both = base.join(placed, same, "left")
     free = F.filter("found", lambda t: ~F.exists("base", lambda b: (b["start"] < t["finish"]) & (t["start"] < b["finish"])))
     return both.select(F.col("id").alias(id_col), "th", "base",
                        F.array_sort(F.concat("base", F.coalesce(free, F.expr(f"CAST(array() AS {SPANS})")))).alias("spans"))
