@@ -1,9 +1,9 @@
 """Seeded sampling that does not depend on partitioning.
 
-Every random draw is a hash of (row id, draw number, seed) mapped to [0, 1):
-the same input gives the same draws on 1 or 1000 executors, and a lost
-executor recomputes exactly the same values (unlike ``rand()`` whose
-stream depends on partition layout).
+Every random draw is the MD5 of (row id, draw number, seed) mapped to [0, 1):
+the same input gives the same draws on 1 or 1000 executors, in any engine that
+has MD5, and a lost executor recomputes exactly the same values (unlike
+``rand()`` whose stream depends on partition layout).
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_SCALE = float(1 << 53)
+from evalspark.session import cut
+
+_SCALE = float(1 << 52)
 
 
 def _c(c) -> Column:
@@ -22,15 +24,22 @@ def _c(c) -> Column:
 
 
 def uniform01(*parts, seed: int = 0) -> Column:
-    """Deterministic U[0, 1) from a hash of the given columns and the seed."""
-    h = F.xxhash64(*[_c(p) for p in parts], F.lit(seed))
-    return (F.shiftrightunsigned(h, 11)).cast("double") / F.lit(_SCALE)
+    """Deterministic U[0, 1): the first 52 bits of the MD5 of the parts and the seed as
+    text, joined by ``:`` (a null part is left out)."""
+    text = F.concat_ws(":", *[_c(p).cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(_SCALE)
+
+
+def uniform01_sql(*parts: str, seed: int = 0) -> str:
+    """The same draw in DuckDB SQL."""
+    text = f"concat_ws(':', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}, '{seed}')"
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / {_SCALE})"
 
 
 # B19 / B21 ------------------------------------------------------------------
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen by the hash order (per-partition top-n, then a merge)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """n rows chosen by the order of their draws (per-partition top-n, then a merge)."""
+    return df.orderBy(uniform01(id_col, seed=seed), id_col).limit(n)
 
 
 def split(df: DataFrame, id_col: str, frac: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +59,10 @@ def multinomial(draws: DataFrame, id_col: str, probs: DataFrame, cat: str, p: st
     with zero fill."""
     w = Window.orderBy(cat).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = probs.agg(F.sum(p)).first()[0]
-    iv = probs.select(cat, (F.sum(p).over(w) / total).alias("hi"), (F.col(p) / total).alias("_w")) \
-        .withColumn("lo", F.col("hi") - F.col("_w")).drop("_w")
+    # the intervals meet: each begins where the one before ends, and the last ends at 1
+    first = Window.orderBy(cat)
+    iv = probs.select(cat, (F.sum(p).over(w) / total).alias("_hi"), F.lead(F.lit(1)).over(first).alias("_more")) \
+        .select(cat, F.coalesce(F.lag("_hi").over(first), F.lit(0.0)).alias("lo"), F.when(F.col("_more").isNull(), 1.0).otherwise(F.col("_hi")).alias("hi"))
     # the interval table (one row per category) as one scalar array; each draw
     # finds its interval row-locally -- no join
     ivs = iv.agg(F.collect_list(F.struct(F.col(cat).alias("c"), "lo", "hi"))).scalar()
@@ -62,23 +73,43 @@ def multinomial(draws: DataFrame, id_col: str, probs: DataFrame, cat: str, p: st
 
 
 # B32 ------------------------------------------------------------------------
-def gamma_int(df: DataFrame, id_col: str, shape: int, scale: float = 1.0, seed: int = 0,
-              out: str = "gamma") -> DataFrame:
-    """Gamma(shape, scale) for integer shape: scale * sum of ``shape`` unit exponentials."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(shape)), lambda j: -F.log(1.0 - uniform01(id_col, j, seed=seed)))
-    return df.withColumn(out, F.lit(scale) * F.aggregate(draws, F.lit(0.0), lambda s, x: s + x))
+def standard_gamma(id_col: str, shape: float, seed: int, stream: int = 0) -> Column:
+    """Gamma(shape, 1): the sum of ``floor(shape)`` unit exponentials, plus, for the
+    fractional part d, an independent exponential times a Beta(d, 1 - d) draw (the
+    ratio of Johnk's accepted pair). The pair is searched among at most ``JOHNK_TRIES``
+    draws; a try is accepted with probability above 3/4, so what is left open after
+    all of them, less than one draw in 10 ** 19, takes the last pair."""
+    whole, part = int(shape), shape - int(shape)
+    out = F.lit(0.0)
+    if whole:
+        draws = F.transform(F.sequence(F.lit(1), F.lit(whole)), lambda j: -F.log(1.0 - uniform01(id_col, j, F.lit(stream), seed=seed)))
+        out = F.aggregate(draws, F.lit(0.0), lambda s, x: s + x)
+    if part > 1e-12:
+        def pair(j):
+            x = F.pow(uniform01(id_col, j, F.lit(stream), F.lit("x"), seed=seed), F.lit(1.0 / part))
+            y = F.pow(uniform01(id_col, j, F.lit(stream), F.lit("y"), seed=seed), F.lit(1.0 / (1.0 - part)))
+            return F.struct((x + y).alias("sum"), x.alias("x"))
+
+        tries = F.transform(F.sequence(F.lit(1), F.lit(JOHNK_TRIES)), pair)
+        good = F.coalesce(F.get(F.filter(tries, lambda t: (t["sum"] <= 1.0) & (t["sum"] > 0.0)), F.lit(0)), F.get(tries, F.lit(JOHNK_TRIES - 1)))
+        scale = -F.log(1.0 - uniform01(id_col, F.lit(0), F.lit(stream), F.lit("e"), seed=seed))
+        out = out + scale * good["x"] / good["sum"]
+    return out
+
+
+JOHNK_TRIES = 32
+
+
+def gamma(df: DataFrame, id_col: str, shape: float, scale: float = 1.0, seed: int = 0, out: str = "gamma") -> DataFrame:
+    """Gamma(shape, scale) for any positive shape."""
+    return df.withColumn(out, F.lit(scale) * standard_gamma(id_col, float(shape), seed))
 
 
-def dirichlet_int(df: DataFrame, id_col: str, alphas: Sequence[int], seed: int = 0, out: str = "dirichlet") -> DataFrame:
-    """Dirichlet with integer concentrations: independent gammas, L1-normalised."""
-    gs = []
-    for i, a in enumerate(alphas):
-        d = F.transform(F.sequence(F.lit(1), F.lit(a)),
-                        lambda j, i=i: -F.log(1.0 - uniform01(id_col, j, F.lit(i), seed=seed)))
-        gs.append(F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
-    arr = F.array(*gs)
-    tot = F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn(out, F.transform(arr, lambda x: x / tot))
+def dirichlet(df: DataFrame, id_col: str, alphas: Sequence[float], seed: int = 0, out: str = "dirichlet") -> DataFrame:
+    """Dirichlet: independent gammas, L1-normalised."""
+    arr = F.array(*[standard_gamma(id_col, float(a), seed, i) for i, a in enumerate(alphas)])
+    tot = F.aggregate("_g", F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("_g", arr).withColumn(out, F.transform("_g", lambda x: x / tot)).drop("_g")
 
 
 # B33 ------------------------------------------------------------------------
@@ -106,30 +137,35 @@ def sample_steps(steps: DataFrame, ep: str, step: str, success: str, n: int, see
     """
     from evalspark.operators.spans import asof_previous
     from evalspark.operators.vectors import running_sum
-    ends = episode_ends(steps, ep, step, success).withColumn("_w", (F.col("end_step") + 1).cast("long"))
-    cum = running_sum(ends.withColumn("_k", F.lit(0)), "_k", [ep], "_w",
-                      F.floor(F.col(ep) / ep_bucket), "_hi").drop("_k")
-    cum = cum.withColumn("_lo", (F.col("_hi") - F.col("_w")).cast("double"))
-    total = int(ends.agg(F.sum("_w")).first()[0])
+    ends = cut(episode_ends(steps, ep, step, success).withColumn("_w", (F.col("end_step") + 1).cast("long")))
+    # running sums two levels deep: the upper one runs over one row per bucket of buckets
+    ends = ends.withColumn("_k", F.floor(F.col(ep) / (ep_bucket * ep_bucket)))
+    inner = running_sum(ends, "_k", [ep], "_w", F.floor(F.col(ep) / ep_bucket), "_run")
+    tops = ends.groupBy("_k").agg(F.sum("_w").alias("_t"))
+    over = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_before", F.coalesce(F.sum("_t").over(over), F.lit(0))).select("_k", "_before")
+    cum = inner.join(tops, "_k").withColumn("_lo", (F.col("_run") + F.col("_before") - F.col("_w")).cast("double"))
+    total = int(ends.agg(F.sum("_w")).first()[0] or 0)
     spark = steps.sparkSession
     draws = spark.range(n).withColumnRenamed("id", "draw")
     draws = draws.withColumn("_pos", F.floor(uniform01("draw", seed=seed) * F.lit(float(total))) + F.lit(0.5))
     right = cum.select(F.col("_lo").alias("_pos"), F.struct(F.col("_lo"), F.col(ep), F.col("end_step")).alias("_e"))
     width = max(1.0, float(total) / 4096)
     j = asof_previous(draws, right, [], "_pos", "_e", bucket=width, out="_hit")
-    pick = (uniform01("draw", F.lit(1), seed=seed) * (F.col("_hit.end_step") + 1)).cast("int")
+    pick = F.floor(uniform01("draw", F.lit(1), seed=seed) * (F.col("_hit.end_step") + 1)).cast("int")
     return j.select("draw", F.col(f"_hit.{ep}").alias(ep), F.col("_hit.end_step").alias("end_step"), pick.alias(step))
 
 
 # B35 ------------------------------------------------------------------------
 def relabel_future_goal(steps: DataFrame, ep: str, step: str, state: str, success: str, seed: int = 0) -> DataFrame:
-    """Attach the state of a later step of the same episode (offset drawn in
-    [1, end - step], bounded by the episode end) as the goal; steps at or past
-    the end keep no goal."""
+    """Attach the state of a step of the same episode as the goal: the offset is a draw
+    from [0, end - step) cut to a whole number, so the step itself may be the goal and
+    the end is never passed; steps at or past the end keep no goal."""
+    steps = cut(steps)
     ends = episode_ends(steps, ep, step, success)
     s = steps.join(ends, ep)
     span = F.col("end_step") - F.col(step)
-    off = F.when(span >= 1, (uniform01(ep, step, seed=seed) * span).cast("int") + 1)
+    off = F.when(span >= 1, F.floor(uniform01(ep, step, seed=seed) * span).cast("int"))
     s = s.withColumn("_goal_step", F.col(step) + off)
     goal = steps.select(F.col(ep), F.col(step).alias("_goal_step"), F.col(state).alias("goal"))
     return s.join(goal, [ep, "_goal_step"], "left").drop("_goal_step")

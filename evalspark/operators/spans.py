@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalspark.session import cut
+
 
 # W1 -------------------------------------------------------------------------
 def max_distance_row(df: DataFrame, keys: Sequence[str], dist: str,
@@ -56,43 +58,52 @@ def records_in_range(ckpts: DataFrame, recs: DataFrame, by: Sequence[str], start
 
 
 # J7 -------------------------------------------------------------------------
+def _latest_before(rows: DataFrame, by: Sequence[str], on: str, values: Sequence[str], bucket: float,
+                   carry: bool = True) -> DataFrame:
+    """``rows`` with every column of ``values`` replaced by its greatest value among the
+    rows of the same ``by`` with a smaller ``on`` (null if there is none). Rows that have
+    a value themselves sort after the others of their ``on``: only rows without any are
+    asked for theirs.
+
+    Two levels, both parallel over ``by x bucket``: a running ``max`` inside the bucket,
+    and the greatest value of the earlier buckets, a running max over one row per
+    bucket. ``carry=False`` stays inside the row's bucket. The rows are computed once
+    (checkpoint) and read by both levels.
+    """
+    d = rows.withColumn("_b", F.floor(F.col(on) / bucket).cast("long"))
+    if carry:
+        d = cut(d)
+    has = F.greatest(*[F.col(v).isNotNull() for v in values]) if len(values) > 1 else F.col(values[0]).isNotNull()
+    w = Window.partitionBy(*by, "_b").orderBy(F.col(on), has).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = d.withColumns({v: F.max(v).over(w) for v in values})
+    if not carry:
+        return inner.drop("_b")
+    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    marks = d.groupBy(*by, "_b").agg(*[F.max(v).alias(f"_m_{v}") for v in values]) \
+        .withColumns({f"_m_{v}": F.max(f"_m_{v}").over(wb) for v in values})
+    keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by] + [F.col("x._b") == F.col("m._b")]
+    cond = keys[0]
+    for k in keys[1:]:
+        cond = cond & k
+    res = inner.alias("x").join(marks.alias("m"), cond, "left")
+    return res.select(*[F.coalesce(f"x.{c}", f"_m_{c}").alias(c) if c in values else F.col(f"x.{c}") for c in rows.columns])
+
+
 def asof_previous(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str,
                   bucket: float, out: str = "prev", carry: bool = True) -> DataFrame:
     """As-of join, strict: for each left row, the greatest right ``value`` with
     right ``on`` < left ``on`` (same ``by``); left rows with none are dropped.
 
     ``on`` is numeric and ``value`` is ordered like it (usually ``on`` itself
-    or a struct starting with it). Two levels, both parallel over
-    ``by x bucket``:
-
-    1. inside a bucket: a running ``max`` over the union of both sides, left
-       rows sorting before right rows at equal ``on`` (strictness);
-    2. across buckets: per (by, bucket) the greatest right value, then a running
-       max over earlier buckets of the same key (one row per bucket).
-
-    ``carry=False`` keeps the match inside the left row's bucket (a scope).
+    or a struct starting with it). Both sides go through one two-level running
+    maximum as one union; see :func:`_latest_before`. ``carry=False`` keeps the
+    match inside the left row's bucket (a scope).
     """
-    b = F.floor(F.col(on) / bucket).cast("long")
     lcols = left.columns
-    l_ = left.select(*[F.col(c) for c in lcols], b.alias("_b"), F.lit(0).alias("_side"),
-                     F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    r_ = right.select(*[F.col(c) for c in by], F.col(on), b.alias("_b"), F.lit(1).alias("_side"),
-                      F.col(value).alias("_v"))
-    u = l_.unionByName(r_, allowMissingColumns=True)
-    w = (Window.partitionBy(*by, "_b").orderBy(on, "_side")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = u.withColumn("_in", F.max("_v").over(w)).filter(F.col("_side") == 0)
-    if not carry:
-        return inner.withColumn(out, F.col("_in")).filter(F.col(out).isNotNull()).select(*lcols, out)
-    per_bucket = right.groupBy(*by, b.alias("_b")).agg(F.max(value).alias("_bm"))
-    # carry for every bucket in use: greatest right value of the earlier buckets
-    all_b = inner.select(*by, "_b").unionByName(per_bucket.select(*by, "_b")).distinct()
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    marks = all_b.join(per_bucket, [*by, "_b"], "left") \
-        .withColumn("_before", F.max("_bm").over(wb)).select(*by, "_b", "_before")
-    res = inner.join(marks, [*by, "_b"], "left")
-    res = res.withColumn(out, F.coalesce("_in", "_before")).filter(F.col(out).isNotNull())
-    return res.select(*lcols, out)
+    l_ = left.withColumns({"_left": F.lit(True), out: F.lit(None).cast(right.schema[value].dataType)})
+    r_ = right.select(*[F.col(c) for c in by], F.col(on), F.lit(False).alias("_left"), F.col(value).alias(out))
+    u = _latest_before(l_.unionByName(r_, allowMissingColumns=True), by, on, [out], bucket, carry)
+    return u.filter(F.col("_left") & F.col(out).isNotNull()).select(*lcols, out)
 
 
 # J8 -------------------------------------------------------------------------
@@ -195,26 +206,36 @@ def comment_ends(spans: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
 
 # J9 -------------------------------------------------------------------------
 def resolve_definition(uses: DataFrame, defs: DataFrame, use_id: str, by: Sequence[str], on: str,
-                       scope_width: float, kind: str, priority: Sequence[str], value: str,
-                       out: str = "definition") -> DataFrame:
-    """For each use, its defining record: inside the use's scope (the bucket
-    ``floor(on / scope_width)``), the latest earlier definition of the
-    highest-priority kind that has one; none -> null (undefined).
-
-    ``value`` must be a column of ``defs`` ordered like ``on`` (e.g. a struct
-    starting with it). One scoped as-of join per kind -- the kind list is a
-    small parameter -- then the first kind in priority order that matched:
-    no candidate pairs are enumerated and a hot key is spread over scopes.
+                       scopes: Sequence[float | None], kind: str, priority: Sequence[str], value: str,
+                       out: str = "definition", bucket: float | None = None) -> DataFrame:
+    """For each use, its defining record: the scopes that enclose the use are searched
+    from the innermost outward, and in each the kinds in priority order; the first
+    kind with an earlier definition inside the scope gives its latest one; none in any
+    scope -> null (undefined).
+
+    ``scopes`` are nested widths: a scope of width ``s`` is the interval
+    ``floor(on / s)``, and ``None`` is the whole key. The latest earlier definition of a
+    kind lies in a scope if any earlier one of the kind does, so one pass finds it for
+    all kinds (a running max each) and all scopes are decided from it: no candidate
+    pairs are enumerated, and a hot key is spread over buckets.
+
+    ``value`` must be a struct column of ``defs`` starting with ``on``.
     """
-    res = uses
-    picks = []
-    for i, k in enumerate(priority):
-        d = defs.filter(F.col(kind) == k).select(*by, on, value)
-        m = asof_previous(uses.select(use_id, *by, on), d, list(by), on, value, bucket=scope_width,
-                          out=f"_d{i}", carry=False).select(use_id, f"_d{i}")
-        res = res.join(m, use_id, "left")
-        picks.append((k, F.col(f"_d{i}")))
-    chosen = F.coalesce(*[c for _, c in picks])
-    chosen_kind = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in picks])
-    return res.withColumn(out, chosen).withColumn(f"{out}_kind", chosen_kind) \
-        .drop(*[f"_d{i}" for i in range(len(priority))])
+    names = [f"_d{i}" for i in range(len(priority))]
+    kind_of = defs.schema[value].dataType
+    first = kind_of.fieldNames()[0]
+    u_ = uses.withColumns({"_use": F.lit(True), **{n: F.lit(None).cast(kind_of) for n in names}})
+    d_ = defs.select(*by, on, F.lit(False).alias("_use"), *[F.when(F.col(kind) == k, F.col(value)).alias(n) for n, k in zip(names, priority)])
+    step = bucket or next((s for s in scopes if s), 1.0)
+    found = _latest_before(u_.unionByName(d_, allowMissingColumns=True), list(by), on, names, step).filter("_use")
+    inside = []
+    for s in scopes:
+        for n, k in zip(names, priority):
+            ok = F.col(n).isNotNull()
+            if s is not None:
+                ok = ok & (F.floor(F.col(n)[first] / s) == F.floor(F.col(on) / s))
+            inside.append((ok, F.col(n), F.lit(k)))
+    chosen, chosen_kind = F.when(inside[0][0], inside[0][1]), F.when(inside[0][0], inside[0][2])
+    for ok, v, k in inside[1:]:
+        chosen, chosen_kind = chosen.when(ok, v), chosen_kind.when(ok, k)
+    return found.select(*uses.columns, chosen.alias(out), chosen_kind.alias(f"{out}_kind"))

@@ -13,7 +13,7 @@ from evalspark.operators import spans as S
 from evalspark.plans import sqlfrag as Q
 from evalspark.plans import views as V
 from evalspark.plans.registry import query
-from evalspark.session import table
+from evalspark.session import cut, table
 
 LAGS = V.LAGS_SQL
 SHORT, MEDIUM = 300, 1000
@@ -225,8 +225,13 @@ lookup AS (
 
 
 def lookup(spark, d):
-    ev = table(spark, d, "events").filter(F.col("event_type") == "purchase").select("event_id", "user_id", "value")
-    return S.attach_distance(ev, asof_views(spark, d), ["event_id"], "gap_us")
+    """Every purchase with its distance; the distances are computed once and looked up."""
+    ev = events_us(spark, d)
+    seen = F.when(F.col("event_type") == "view", F.col("t_us"))
+    rows = S._latest_before(ev.select("event_id", "user_id", "event_type", "value", "t_us", seen.alias("prev_us")),
+                            ["user_id"], "t_us", ["prev_us"], DAY_US)
+    rows = cut(rows.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "value", (F.col("t_us") - F.col("prev_us")).alias("gap_us")))
+    return S.attach_distance(rows.drop("gap_us"), rows.filter("gap_us IS NOT NULL"), ["event_id"], "gap_us")
 
 
 @query("lookup_distance", ops=("J8",), sql=W("SELECT event_id, gap_us FROM lookup", ASOF_SQL, LOOKUP_SQL))
@@ -309,22 +314,28 @@ def q_repeated(spark, d):
 DEF_PRIORITY = ["view", "click", "signup", "error"]
 
 
+HOUR_US = 3_600_000_000
+DEF_SCOPES = [6 * HOUR_US, DAY_US, 7 * DAY_US, None]  # nested, innermost first; then the whole user
+
+
 def _j9_sql():
     parts, joins = [], []
     for i, k in enumerate(DEF_PRIORITY):
         parts.append(f"""m{i} AS (SELECT p.event_id, v.event_id AS def_id, v.t AS dt FROM p
   ASOF JOIN (SELECT * FROM dd WHERE event_type = '{k}') v
-  ON p.user_id = v.user_id AND p.day = v.day AND p.t > v.t)""")
+  ON p.user_id = v.user_id AND p.t > v.t)""")
         joins.append(f"LEFT JOIN m{i} ON m{i}.event_id = p.event_id")
-    kind = "CASE " + " ".join(f"WHEN m{i}.def_id IS NOT NULL THEN '{k}'" for i, k in enumerate(DEF_PRIORITY)) + " END"
-    return f"""WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS t, floor(epoch_us(ts) / {DAY_US}) AS day
-           FROM events WHERE event_type = 'purchase'),
-dd AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, floor(epoch_us(ts) / {DAY_US}) AS day
-       FROM events WHERE event_type <> 'purchase'),
+    n = range(len(DEF_PRIORITY))
+    tests = [(f"floor(m{i}.dt / {s}) = floor(p.t / {s})" if s else f"m{i}.dt IS NOT NULL", i) for s in DEF_SCOPES for i in n]
+
+    def pick(value):
+        return "CASE " + " ".join(f"WHEN {t} THEN {value(i)}" for t, i in tests) + " END"
+
+    return f"""WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'),
+dd AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events WHERE event_type <> 'purchase'),
 {', '.join(parts)}
-SELECT p.event_id, coalesce({', '.join(f'm{i}.def_id' for i in range(len(DEF_PRIORITY)))}) AS def_id,
-       {kind} AS def_kind,
-       p.t - coalesce({', '.join(f'm{i}.dt' for i in range(len(DEF_PRIORITY)))}) AS gap_us
+SELECT p.event_id, {pick(lambda i: f'm{i}.def_id')} AS def_id,
+       {pick(lambda i: repr(DEF_PRIORITY[i]))} AS def_kind, p.t - {pick(lambda i: f'm{i}.dt')} AS gap_us
 FROM p {' '.join(joins)}"""
 
 
@@ -334,7 +345,7 @@ def q_resolve(spark, d):
     uses = ev.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "t_us")
     defs = ev.filter(F.col("event_type") != "purchase").select(
         "user_id", "t_us", "event_type", F.struct("t_us", F.col("event_id").alias("def_id")).alias("v"))
-    r = S.resolve_definition(uses, defs, "event_id", ["user_id"], "t_us", float(DAY_US), "event_type",
-                             DEF_PRIORITY, "v", out="definition")
+    r = S.resolve_definition(uses, defs, "event_id", ["user_id"], "t_us", DEF_SCOPES, "event_type",
+                             DEF_PRIORITY, "v", out="definition", bucket=float(DAY_US))
     return r.select("event_id", F.col("definition.def_id").alias("def_id"), F.col("definition_kind").alias("def_kind"),
                     (F.col("t_us") - F.col("definition.t_us")).alias("gap_us"))
