@@ -203,14 +203,19 @@ def q_context_lines(spark, d):
     return c.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("first_n_last_n_code_lines", ops=("W10",), sql=W("""
+def _code_lines_sql(c: str) -> str:
+    st = strip_sql("l")
+    return f"""[l FOR l IN string_split(coalesce({c}, ''), chr(10)) IF {st} <> '' AND NOT starts_with({st}, '#')]"""
+
+
+@query("first_n_last_n_code_lines", ops=("W10",), sql=W(f"""
 SELECT conv_id, turn,
   array_to_string(b[greatest(len(b) - 1, 1):], chr(10)) AS last_before,
   array_to_string(a[1:2], chr(10)) AS first_after
-FROM (SELECT conv_id, turn, string_split(coalesce("before", ''), chr(10)) AS b,
-             string_split(coalesce("after", ''), chr(10)) AS a FROM turns)""", TURNS))
+FROM (SELECT conv_id, turn, {_code_lines_sql('"before"')} AS b, {_code_lines_sql('"after"')} AS a FROM turns)""", TURNS))
 def q_edge_lines(spark, d):
-    t = V.turns(spark, d).select("conv_id", "turn", TO.edge_lines(X.lines_of("before"), X.lines_of("after"), 2).alias("e"))
+    t = V.turns(spark, d).select("conv_id", "turn", TO.edge_lines(
+        X.code_lines(X.lines_of("before")), X.code_lines(X.lines_of("after")), 2).alias("e"))
     return t.select("conv_id", "turn", F.array_join("e.last_before", "\n").alias("last_before"),
                     F.array_join("e.first_after", "\n").alias("first_after"))
 
@@ -260,11 +265,12 @@ def q_bracket_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.bracket_counts("text").alias("b")).select("doc_id", "b.*")
 
 
-def _balance_sql() -> str:
+def _balance_body(src: str) -> str:
+    """SELECT over ``src`` (conv_id, turn, "before", "after", btw_text) with ``cur`` balanced."""
     def cnt(t, ch):
         return f"(length({t}) - length(replace({t}, '{ch}', '')))"
     q = """SELECT conv_id, turn, coalesce("before", '') AS b_txt, coalesce("after", '') AS a_txt,
-       coalesce("between", '') AS cur FROM turns"""
+       coalesce(btw_text, '') AS cur FROM """ + src
     for o, c in (("{", "}"), ("[", "]"), ("(", ")")):
         tot = "(b_txt || cur || a_txt)"
         q = f"""SELECT conv_id, turn, b_txt, a_txt,
@@ -275,6 +281,11 @@ def _balance_sql() -> str:
                 THEN left(x, length(x) - 1) ELSE x END), chr(10))
        ELSE cur END AS cur
 FROM (SELECT *, {cnt(tot, o)} AS n_o, {cnt(tot, c)} AS n_c, string_split(cur, chr(10)) AS lines FROM ({q}))"""
+    return q
+
+
+def _balance_sql() -> str:
+    q = _balance_body('(SELECT conv_id, turn, "before", "after", "between" AS btw_text FROM turns)')
     return W(f"SELECT conv_id, turn, cur AS balanced FROM ({q})", V.TURNS_SQL)
 
 
@@ -308,14 +319,14 @@ def _trim_body(src: str) -> str:
     pos = "list_filter(list_transform({ctx}, lambda x: coalesce(list_position(m, x), 0)), lambda p: p > 0)"
     return f"""
 SELECT conv_id, turn, "before", "after", btw_text, btw,
-       CAST(CASE WHEN s2 = e THEN 0 ELSE s2 END AS INTEGER) AS cut_start,
-       CAST(CASE WHEN s2 = e THEN n ELSE e END AS INTEGER) AS cut_end
-FROM (SELECT *, CASE WHEN s <= e THEN s ELSE 0 END AS s2 FROM (
+       CAST(CASE WHEN no_code THEN 0 ELSE s2 END AS INTEGER) AS cut_start,
+       CAST(CASE WHEN no_code THEN n ELSE e END AS INTEGER) AS cut_end
+FROM (SELECT *, len(list_filter(list_slice(m, s2 + 1, e), lambda x: x IS NOT NULL)) = 0 AS no_code FROM (SELECT *, CASE WHEN s <= e THEN s ELSE 0 END AS s2 FROM (
   SELECT *, len(btw) AS n,
          coalesce({pos.format(ctx='bctx')}[1], 0) AS s,
          coalesce({pos.format(ctx='actx')}[1] - 1, len(btw)) AS e
   FROM (SELECT *, {m} AS m, {bctx} AS bctx, {actx} AS actx
-        FROM (SELECT *, {_SPLIT.format(c='btw_text')} AS btw FROM {src}))))"""
+        FROM (SELECT *, {_SPLIT.format(c='btw_text')} AS btw FROM {src})))))"""
 
 
 def _trim_sql() -> str:
@@ -332,13 +343,17 @@ def q_trim_edges(spark, d):
 F20_CTES = (
     f"""ctx AS (SELECT DISTINCT conv_id, turn, n FROM (
     SELECT conv_id, turn, {norm_sql('l')} AS n
-    FROM (SELECT conv_id, turn, unnest(string_split(coalesce("before", ''), chr(10))) AS l FROM turns)) WHERE n <> '')""",
-    """gen AS (SELECT conv_id, turn, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos, unnest(arr) AS l
-        FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS arr FROM turns))""",
-    f"""hits AS (SELECT g.conv_id, g.turn, g.pos FROM gen g
-         WHERE EXISTS (SELECT 1 FROM ctx c WHERE c.conv_id = g.conv_id AND c.turn = g.turn AND c.n = {norm_sql('g.l')}))""",
+    FROM (SELECT conv_id, turn, unnest(list_concat(string_split(coalesce("before", ''), chr(10)), string_split(coalesce("after", ''), chr(10)))) AS l
+          FROM turns)) WHERE n <> '' AND NOT starts_with(n, '#'))""",
+    f"""gen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS no FROM (
+        SELECT conv_id, turn, pos, {norm_sql('l')} AS n FROM (
+          SELECT conv_id, turn, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS pos, unnest(arr) AS l
+          FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS arr FROM turns)))
+        WHERE n <> '' AND NOT starts_with(n, '#'))""",
+    """hits AS (SELECT g.conv_id, g.turn, g.pos, g.no FROM gen g
+         WHERE EXISTS (SELECT 1 FROM ctx c WHERE c.conv_id = g.conv_id AND c.turn = g.turn AND c.n = g.n))""",
     """runs AS (SELECT conv_id, turn, count(*) AS len, min(pos) AS first_pos FROM (
-           SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS g FROM hits)
+           SELECT *, no - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS g FROM hits)
          GROUP BY conv_id, turn, g)""",
     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len DESC, first_pos) AS rk
                         FROM runs) WHERE rk = 1)""")
@@ -348,7 +363,7 @@ F20_CTES = (
 SELECT t.conv_id, t.turn, CAST(coalesce(b.len, 0) AS BIGINT) AS run_len, CAST(b.first_pos AS INTEGER) AS run_start
 FROM turns t LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn""", TURNS, *F20_CTES))
 def q_longest_edge(spark, d):
-    return TO.longest_common_run(V.turns(spark, d), ["conv_id", "turn"], "between", "before")
+    return TO.longest_common_run(V.turns(spark, d), ["conv_id", "turn"], "between", ["before", "after"])
 
 
 def _edge_sql() -> str:
@@ -377,15 +392,22 @@ def q_edge_block(spark, d):
                     X.edge_block_length(F.col("between"), X.lines_of("after"), False).alias("tail_block"))
 
 
-@query("dedupe_boundary", ops=("F22",), sql=W(f"""
-SELECT conv_id, turn, CAST(len(btw) - CASE WHEN {norm_sql('btw[1]')} = {norm_sql('bl[-1]')} THEN 1 ELSE 0 END AS INTEGER)
-       AS n_kept
-FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS btw,
-             string_split(coalesce("before", ''), chr(10)) AS bl FROM turns)""", TURNS))
+BOUNDARY_LINES = 2
+
+
+def _boundary_sql() -> str:
+    same = " AND ".join(f"{norm_sql(f'btw[{i + 1}]')} = {norm_sql(f'bl[{i - n}]')}" for n in [BOUNDARY_LINES] for i in range(n))
+    return f"""
+SELECT conv_id, turn, array_to_string(CASE WHEN len(bl) >= {BOUNDARY_LINES} AND len(btw) >= {BOUNDARY_LINES} AND {same}
+    THEN list_slice(btw, {BOUNDARY_LINES + 1}, len(btw)) ELSE btw END, chr(10)) AS kept
+FROM (SELECT conv_id, turn, string_split(coalesce("between", ''), chr(10)) AS btw, {_code_lines_sql('"before"')} AS bl FROM turns)"""
+
+
+@query("dedupe_boundary", ops=("F22",), sql=W(_boundary_sql(), TURNS))
 def q_dedupe_boundary(spark, d):
     t = V.turns(spark, d)
-    kept = X.dedupe_boundary(X.lines_of("between"), X.lines_of("before"), 1)
-    return t.select("conv_id", "turn", F.size(kept).alias("n_kept"))
+    kept = X.dedupe_boundary(X.lines_of("between"), X.code_lines(X.lines_of("before")), BOUNDARY_LINES)
+    return t.select("conv_id", "turn", F.array_join(kept, "\n").alias("kept"))
 
 
 def _indent_sql() -> str:
@@ -467,28 +489,43 @@ def q_reindent(spark, d):
 
 
 # ---------------------------------------------------------------- F25 / F17 / F18
-def _pipeline_sql() -> str:
-    prof = X.LANG_PROFILE["python"]
-    code = Q.sql_str(prof["code"])
-    q3 = prof["open"]
+def _pipeline_sql(language: str) -> str:
+    prof = X.LANG_PROFILE[language]
     blocks = " ".join(
         f"WHEN regexp_matches(t.\"between\", {Q.sql_str(f'(?s){X.esc(a)}(.*?){X.esc(b)}')}) "
         f"THEN regexp_extract(t.\"between\", {Q.sql_str(f'(?s){X.esc(a)}(.*?){X.esc(b)}')}, 1)"
-        for a, b in X.code_block_markers("python"))
+        for a, b in X.code_block_markers(language))
+    op, cl = prof["open"], prof["close"]
+    before = "OVER (PARTITION BY conv_id, turn ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    if op == cl:
+        state = f"""cp AS (SELECT *, coalesce(sum(CASE WHEN q % 2 = 1 THEN 1 ELSE 0 END) {before}, 0) % 2 = 1 OR q > 0 AS blk
+       FROM (SELECT *, CAST((length(s) - length(replace(s, '{op}', ''))) / {len(op)} AS INTEGER) AS q FROM cs))"""
+    else:
+        state = f"""cp AS (SELECT *, lo > 0 OR lc > 0 OR coalesce(last_value(CASE WHEN lo > 0 OR lc > 0 THEN lo > lc END IGNORE NULLS) {before}, false) AS blk
+       FROM (SELECT *, {lastpos_sql('s', op)} AS lo, {lastpos_sql('s', cl)} AS lc FROM cs))"""
+    prose = (f"(regexp_matches(s, {Q.sql_str(X.PROSE_SENTENCE)}) OR regexp_matches(s, {Q.sql_str(X.PROSE_WORDS)})) "
+             f"AND NOT regexp_matches(s, {Q.sql_str(X.CALL)}) AND NOT regexp_matches(s, {Q.sql_str(prof['keyword'])})")
+    opened = f"(length(translate(s, '{X.CLOSERS}', '')) - length(translate(s, '{X.OPENERS}', '')))"
     trim = _trim_body('(SELECT conv_id, turn, "before", "after", cleaned AS btw_text FROM cleaned)')
-    ind = _reindent_body('(SELECT conv_id, turn, "before", trimmed AS btw_text FROM trimmed)')
+    if language == "python":
+        last = f"SELECT conv_id, turn, indented AS final FROM ({_reindent_body('(SELECT conv_id, turn, \"before\", trimmed AS btw_text FROM trimmed)')})"
+    else:
+        last = f"SELECT conv_id, turn, cur AS final FROM ({_balance_body('(SELECT conv_id, turn, \"before\", \"after\", trimmed AS btw_text FROM trimmed)')})"
     return f"""
-WITH t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]}),
+WITH RECURSIVE t AS ({V.TURNS_SQL.strip()[len('turns AS ('):-1]}),
 cl AS (SELECT conv_id, turn, string_split(regexp_replace(coalesce("between", ''), '(?m)^```[^\n]*$', '', 'g'),
                                           chr(10)) AS arr FROM t),
 cu AS (SELECT conv_id, turn, generate_subscripts(arr, 1) AS idx, unnest(arr) AS line FROM cl),
-cs AS (SELECT *, CAST((length(s) - length(replace(s, '{q3}', ''))) / 3 AS INTEGER) AS q
-       FROM (SELECT *, {strip_sql('line')} AS s FROM cu)),
-cp AS (SELECT *, coalesce(sum(CASE WHEN q % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY idx
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inb FROM cs),
-ck AS (SELECT *, CASE WHEN q > 0 OR inb THEN 'block_comment' WHEN starts_with(s, '#') THEN 'comment'
-                      WHEN regexp_matches(s, {code}) THEN 'code' ELSE 'text' END AS kind FROM cp),
-cc AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE kind = 'code') AS txt
+cs AS (SELECT *, {strip_sql('line')} AS s FROM cu),
+{state},
+cq AS (SELECT conv_id, turn, idx, line, CASE WHEN blk OR starts_with(s, '{prof["line"]}') OR s = '' THEN 'no' WHEN {prose} THEN 'prose' ELSE 'code' END AS sort,
+              {opened} AS opened FROM cp),
+ck AS (SELECT conv_id, turn, idx, line, sort = 'code' AS code, CASE WHEN sort = 'code' THEN opened ELSE 0 END AS depth FROM cq WHERE idx = 1
+       UNION ALL
+       SELECT n.conv_id, n.turn, n.idx, n.line, n.sort = 'code' OR n.sort = 'prose' AND k.depth > 0,
+              k.depth + CASE WHEN n.sort = 'code' OR n.sort = 'prose' AND k.depth > 0 THEN n.opened ELSE 0 END
+       FROM ck k JOIN cq n ON n.conv_id = k.conv_id AND n.turn = k.turn AND n.idx = k.idx + 1),
+cc AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE code) AS txt
        FROM ck GROUP BY conv_id, turn),
 cleaned AS (SELECT t.conv_id, t.turn, t."before", t."after",
                    CASE WHEN t."between" IS NULL THEN NULL
@@ -496,20 +533,25 @@ cleaned AS (SELECT t.conv_id, t.turn, t."before", t."after",
             FROM t LEFT JOIN cc ON cc.conv_id = t.conv_id AND cc.turn = t.turn),
 trimmed AS (SELECT conv_id, turn, "before", "after",
                    array_to_string(list_slice(btw, cut_start + 1, cut_end), chr(10)) AS trimmed FROM ({trim})),
-ind AS ({ind})
-SELECT c.conv_id, c.turn, CAST(length(c.cleaned) AS INTEGER) AS len_cleaned,
-       CAST(length(tr.trimmed) AS INTEGER) AS len_trimmed, CAST(length(i.indented) AS INTEGER) AS len_indented
+fin AS ({last})
+SELECT c.conv_id, c.turn, c.cleaned AS cleaned_code, tr.trimmed AS trimmed_code, i.final AS final_code
 FROM cleaned c JOIN trimmed tr ON tr.conv_id = c.conv_id AND tr.turn = c.turn
-JOIN ind i ON i.conv_id = c.conv_id AND i.turn = c.turn"""
+JOIN fin i ON i.conv_id = c.conv_id AND i.turn = c.turn"""
+
+
+def _post_processed(spark, d, language):
+    p = TO.post_process(V.turns(spark, d), "between", "before", "after", language)
+    return p.select("conv_id", "turn", "gen_code.cleaned_code", "gen_code.trimmed_code", F.col("gen_code.indented_code").alias("final_code"))
 
 
-@query("post_process_pipeline", ops=("F25",), sql=_pipeline_sql())
+@query("post_process_pipeline", ops=("F25",), sql=_pipeline_sql("python"))
 def q_post_process(spark, d):
-    t = V.turns(spark, d)
-    p = TO.post_process(t, "between", "before", "after", "python")
-    return p.select("conv_id", "turn", F.length("gen_code.cleaned_code").alias("len_cleaned"),
-                    F.length("gen_code.trimmed_code").alias("len_trimmed"),
-                    F.length("gen_code.indented_code").alias("len_indented"))
+    return _post_processed(spark, d, "python")
+
+
+@query("post_process_pipeline_java", ops=("F25",), sql=_pipeline_sql("java"))
+def q_post_process_java(spark, d):
+    return _post_processed(spark, d, "java")
 
 
 @query("fuzzy_similar", ops=("F17",))
@@ -563,17 +605,22 @@ def _tok_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({x}, ''), {WSQ} || '+'), lambda t: t <> '')"
 
 
+FIXED_TOKENS, TOKEN_BUDGET = 40, 120  # what the prompt needs besides the contexts; all it may have
+
+
 @query("truncate_context", ops=("F29",), sql=W(f"""
 SELECT conv_id, turn, array_to_string(list_slice(bef_t, cut_b + 1, len(bef_t)), ' ') AS before_kept, array_to_string(aft2, ' ') AS after_kept
 FROM (SELECT *, CASE WHEN over2 > 0 AND len(bef_t) > 20 THEN least(len(bef_t) - 20, over2) ELSE 0 END AS cut_b
-      FROM (SELECT *, list_slice(aft_t, 1, len(aft_t) - cut_a) AS aft2, 60 - cut_a AS over2
-            FROM (SELECT *, CASE WHEN length(coalesce("after", '')) > 0 AND len(aft_t) > 20 THEN least(len(aft_t) - 20, 60)
+      FROM (SELECT *, list_slice(aft_t, 1, len(aft_t) - cut_a) AS aft2, over1 - cut_a AS over2
+            FROM (SELECT *, CASE WHEN length(coalesce("after", '')) > 0 AND over1 > 0 AND len(aft_t) > 20 THEN least(len(aft_t) - 20, over1)
                                  ELSE 0 END AS cut_a
-                  FROM (SELECT conv_id, turn, "after", {_tok_sql('"before"')} AS bef_t, {_tok_sql('"after"')} AS aft_t
-                        FROM turns))))""", TURNS))
+                  FROM (SELECT *, greatest(len(bef_t) + len(aft_t) + {FIXED_TOKENS} - {TOKEN_BUDGET}, 0) AS over1
+                        FROM (SELECT conv_id, turn, "after", {_tok_sql('"before"')} AS bef_t, {_tok_sql('"after"')} AS aft_t
+                              FROM turns)))))""", TURNS))
 def q_truncate(spark, d):
     t = V.turns(spark, d)
-    c = X.truncate_context("before", "after", F.lit(60), keep=20)
+    over = X.tokens_over("before", "after", F.lit(FIXED_TOKENS), TOKEN_BUDGET)
+    c = X.truncate_context("before", "after", over, keep=20)
     return t.select("conv_id", "turn", c["before"].alias("before_kept"), c["after"].alias("after_kept"))
 
 
@@ -581,19 +628,21 @@ TEMPLATE = ("You complete {program_type} code.{instruction_text}\nBefore Section
             "{begin_missing_code}\n{end_missing_code}\n{after_section}\n{examples}")
 
 
-@query("assemble_prompt", ops=("F30",), sql=W("""
+_INS = {k: Q.sql_str(v.strip("\n")) for k, v in X.INSTRUCTIONS.items()}
+
+
+@query("assemble_prompt", ops=("F30",), sql=W(f"""
 SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(replace(
-  'You complete {program_type} code.{instruction_text}' || chr(10) || 'Before Section:' || chr(10) || '{before_section}' || chr(10)
-  || '{begin_missing_code}' || chr(10) || '{end_missing_code}' || chr(10) || '{after_section}' || chr(10) || '{examples}',
-  '{program_type}', 'Python'),
-  '{instruction_text}', chr(10) || chr(10) || 'NOTE: Python uses indentation to define blocks of code. Therefore, it''s crucial to use the correct indentation when generating your code.'
-     || CASE WHEN coalesce("after", '') <> '' THEN ' Ensure your code connects seamlessly with the ''after'' section using the correct indentation.'
-             ELSE ' Consider the indentation of the ''before'' section when generating your code.' END),
-  '{before_section}', coalesce("before", '')),
-  '{begin_missing_code}', '# --BEGIN MISSING CODE--'),
-  '{end_missing_code}', '# --END MISSING CODE--'),
-  '{after_section}', CASE WHEN coalesce("after", '') <> '' THEN 'After Section:' || chr(10) || "after" ELSE '' END),
-  '{examples}', '') AS user_prompt
+  'You complete {{program_type}} code.{{instruction_text}}' || chr(10) || 'Before Section:' || chr(10) || '{{before_section}}' || chr(10)
+  || '{{begin_missing_code}}' || chr(10) || '{{end_missing_code}}' || chr(10) || '{{after_section}}' || chr(10) || '{{examples}}',
+  '{{program_type}}', 'Python'),
+  '{{instruction_text}}', chr(10) || chr(10) || {_INS["Python"]}
+     || CASE WHEN coalesce("after", '') <> '' THEN {_INS["Python with after"]} ELSE {_INS["Python without after"]} END),
+  '{{before_section}}', coalesce("before", '')),
+  '{{begin_missing_code}}', '# --BEGIN MISSING CODE--'),
+  '{{end_missing_code}}', '# --END MISSING CODE--'),
+  '{{after_section}}', CASE WHEN coalesce("after", '') <> '' THEN 'After Section:' || chr(10) || "after" ELSE '' END),
+  '{{examples}}', '') AS user_prompt
 FROM turns""", TURNS))
 def q_assemble_prompt(spark, d):
     t = V.turns(spark, d)
