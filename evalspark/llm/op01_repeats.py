@@ -14,7 +14,11 @@ digits and neighbouring windows share the first ones:
 
 What is left in a group after the last pass are exactly the repeated windows (up to
 collisions of two independent 64-bit hashes). Small groups take the third pass in one
-task; larger ones as rows (window hash), so that no group meets in one task.
+task. Larger ones take it as rows, so that no group meets in one task, and by digits of
+their own: blocks of ``LEVELS`` windows, from large to single ones. The digit of a block is
+its core, the bytes all its windows share. A block whose core is alone holds no repeated
+window, blocks that are equal as a whole are finished, and only the others, those across
+the edge of a repeat, go on to smaller blocks.
 
 Text moves only for the rows that need it: a bounded bit set of the keys (see
 ``common.key_filter``) keeps the others out of the shuffles."""
@@ -35,6 +39,7 @@ LENGTH, DIGIT = 200, 64
 BLOCK = 1 << 17  # bytes hashed at once; longer texts go in pieces that overlap
 PIECE = 1 << 22
 ROWS = 1024  # runs whose windows are hashed at once
+LEVELS = (32, 8, 1)
 SMALL_GROUP = 500  # distinct runs that take the third pass in one task
 PLACE_BITS = 24
 
@@ -107,6 +112,9 @@ def _emit_runs(length: int, digit: int, wanted=None):
 RUNS = "d1 bigint, d2 bigint, id bigint, h bigint, s bigint, n int, off int"
 
 
+RUN_FIELDS = ("d1", "d2", "off", "many", "big", "body")
+
+
 def _cut_runs(length: int):
     """Bytes of the runs listed for each document."""
     def run(batches):
@@ -117,12 +125,12 @@ def _cut_runs(length: int):
             for i in range(b.num_rows):
                 text = (b.column(0)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 for r in b.column(1)[i].as_py():
-                    out.append((r["d1"], r["d2"], r["many"], r["big"], text[r["s"]:r["s"] + r["n"] + length]))
+                    out.append((r["d1"], r["d2"], r["off"], r["many"], r["big"], text[r["s"]:r["s"] + r["n"] + length]))
                 if len(out) >= ROWS:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("d1", "d2", "many", "big", "body"), o)) for o in out])
+                    yield pa.RecordBatch.from_pylist([dict(zip(RUN_FIELDS, o)) for o in out])
                     out = []
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("d1", "d2", "many", "big", "body"), o)) for o in out])
+                yield pa.RecordBatch.from_pylist([dict(zip(RUN_FIELDS, o)) for o in out])
             pa.default_memory_pool().release_unused()
     return run
 
@@ -180,22 +188,65 @@ def _last_pass(length: int):
     return run
 
 
-def _explode_windows(length: int):
+def _blocks(length: int, size: int):
+    """Blocks of ``size`` windows of the listed parts of runs: core, hash of the whole block
+    and of which of its windows the run has, and those windows. Blocks begin where the
+    distance to the run's k-gram is a multiple of ``size``, so they agree between runs."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 t = b.slice(at, ROWS)
-                owner, number, h = _window_hashes(t.column("body"), length)
-                d1 = t.column("d1").to_numpy().view(np.uint64)
-                key = mix(h + mix(d1[owner] + np.uint64(7))).view(np.int64)
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(key), t.column("d1").take(rows), t.column("d2").take(rows), pa.array(number),
-                                                  t.column("many").take(rows)], ["w", "d1", "d2", "a", "many"])
+                raw, offsets = utf8(t.column("body"))
+                parts = t.column("parts")
+                owner = np.repeat(np.arange(t.num_rows), np.diff(np.asarray(parts.offsets)))
+                flat = parts.flatten()
+                off = t.column("off").to_numpy().astype(np.int64)[owner]
+                lo = flat.field("a").to_numpy().astype(np.int64)
+                hi = flat.field("z").to_numpy().astype(np.int64)
+                first = (lo - off) // size
+                count = (hi - off) // size - first + 1
+                rows = np.repeat(np.arange(len(lo)), count)
+                number = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+                start = (first[rows] + number) * size + off[rows]  # of the whole block, also where the run has less
+                a, z = np.maximum(start, lo[rows]), np.minimum(start + size - 1, hi[rows])
+                owner = owner[rows]
+                base = offsets[:-1][owner]
+                prefix = Prefix(raw, 1)
+                d1 = t.column("d1").to_numpy().view(np.uint64)[owner]
+                core = mix(prefix.spans(base + start + size - 1, base + start + length) + mix(d1 + np.uint64(size)))
+                shape = (a - start).astype(np.uint64) << np.uint64(32) | (z - start).astype(np.uint64)
+                whole = mix(prefix.spans(base + a, base + z + length) ^ mix(shape))
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), t.column("d1").take(take),
+                                                  t.column("d2").take(take), pa.array(a), pa.array(z)], ["core", "whole", "d1", "d2", "a", "z"])
     return run
 
 
+def _by_blocks(bodies: DataFrame, length: int) -> DataFrame:
+    """Third pass of the large groups: ``d1``, ``d2``, ``a``, ``z`` of the repeated windows."""
+    parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = F.struct(F.lit(0).cast("bigint").alias("a"), (F.length("body") - length).cast("bigint").alias("z"))
+    listed, found = bodies.withColumn("parts", F.array(span)), []
+    for size in [x for x in LEVELS if 2 * x <= length]:  # a core needs bytes
+        blocks = listed.select("d1", "d2", "off", "body", "parts").mapInArrow(
+            _blocks(length, size), "core bigint, whole bigint, d1 bigint, d2 bigint, a bigint, z bigint")
+        again = (blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+                 .where("c > 1").select("core", (F.col("lo") == F.col("hi")).alias("equal")).repartition(parts))
+        left = stored(blocks.join(again, "core").select("d1", "d2", "a", "z", "equal"), f"repeat-blocks-{size}")
+        if size == LEVELS[-1]:
+            found.append(left.select("d1", "d2", "a", "z"))
+            break
+        found.append(left.where("equal").select("d1", "d2", "a", "z"))
+        open_parts = left.where("NOT equal").groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "z")).alias("parts"))
+        listed = bodies.join(open_parts, ["d1", "d2"])
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``h`` (hash of the text that tells rows with the same id apart), ``text``."""
     h = F.xxhash64("text")
@@ -233,24 +284,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = runs.where("NOT mixed").select("id", "h", F.col("s").alias("x"), (F.col("s") + F.col("n") + length).alias("y"))
     # Pass 2: the run.
     mixed = runs.where("mixed")
-    distinct = stored(mixed.groupBy("d1", "d2", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "s")).alias("at"))
-                      .select("d1", "d2", "n", (F.col("c") > 1).alias("many"), "at.*"), "repeat-distinct")
+    distinct = stored(mixed.groupBy("d1", "d2", "n", "off").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "s")).alias("at"))
+                      .select("d1", "d2", "n", "off", (F.col("c") > 1).alias("many"), "at.*"), "repeat-distinct")
     many = distinct.where("many").select("d1", "d2")
     whole = whole.union(mixed.join(many, ["d1", "d2"]).select("id", "h", F.col("s").alias("x"), (F.col("s") + F.col("n") + length).alias("y")))
     # Pass 3: the windows of the runs that are left.
     sizes = distinct.groupBy("d1").agg(F.count("*").alias("members"))
     left = distinct.join(sizes.where("members > 1").repartition(parts), "d1")
-    lists = (left.groupBy("id", "h").agg(F.collect_list(F.struct("d1", "d2", "s", "n", "many", (F.col("members") > SMALL_GROUP).alias("big"))).alias("runs")))
+    lists = (left.groupBy("id", "h").agg(F.collect_list(F.struct("d1", "d2", "s", "n", "off", "many", (F.col("members") > SMALL_GROUP).alias("big"))).alias("runs")))
     row_key = F.xxhash64("id", "h")
     lists = stored(lists, "repeat-lists")
     needed = _passes_filter(key_filter(lists.select(row_key.alias("k"))), spark)
     texts = rows.where(needed(row_key)).join(lists.hint("shuffle_hash"), _same_row(rows, lists)).select("text", "runs")
-    bodies = stored(texts.mapInArrow(_cut_runs(length), "d1 bigint, d2 bigint, many boolean, big boolean, body binary"), "repeat-bodies")
+    bodies = stored(texts.mapInArrow(_cut_runs(length), "d1 bigint, d2 bigint, off bigint, many boolean, big boolean, body binary"), "repeat-bodies")
     small = (bodies.where("NOT big").repartition("d1").sortWithinPartitions("d1")
              .mapInArrow(_last_pass(length), "d1 bigint, d2 bigint, a bigint, z bigint"))
-    windows = bodies.where("big").mapInArrow(_explode_windows(length), "w bigint, d1 bigint, d2 bigint, a bigint, many boolean")
-    shared = (windows.groupBy("w").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).where("lo <> hi").select("w").repartition(parts))
-    large = windows.where("NOT many").join(shared, "w").select("d1", "d2", "a", F.col("a").alias("z"))
+    large = _by_blocks(bodies.where("big"), length)
     once = distinct.where("NOT many").select("d1", "d2", "id", "h", "s")
     partly = small.union(large).distinct().join(once, ["d1", "d2"]).select(
         "id", "h", (F.col("s") + F.col("a")).alias("x"), (F.col("s") + F.col("z") + length).alias("y"))
