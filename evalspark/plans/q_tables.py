@@ -55,6 +55,37 @@ def q_prune_runs(spark, d):
     return df.filter((F.col("model") == "src3") & (F.col("mode") == "en")).select("doc_id", "model", "mode", "passed")
 
 
+LANGUAGE_OF = {"en": "Python", "de": "Java"}
+
+
+@query("scan_task_catalogue", ops=("S5",), sql=W("""
+SELECT language, task, base_path, CASE lower(language) WHEN 'python' THEN '.py' WHEN 'java' THEN '.java' END AS extension,
+       base_path || '/' || task || '.json' AS test_path
+FROM (SELECT DISTINCT CASE mode WHEN 'en' THEN 'Python' WHEN 'de' THEN 'Java' ELSE mode END AS language, code_task AS task,
+             '/tasks/' || mode AS base_path FROM runs)""", RUNS))
+def q_scan_catalogue(spark, d):
+    r = V.runs(spark, d)
+    language = F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])[F.col("mode")], F.col("mode"))
+    tasks = r.select(language.alias("language"), F.col("code_task").alias("task"), F.concat(F.lit("/tasks/"), "mode").alias("base")).distinct()
+    # one JSON document: languages and their tasks
+    by = tasks.groupBy("language").agg(F.map_from_entries(F.collect_list(F.struct("task", "base"))).alias("tasks"))
+    one = by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("language", "tasks")))).alias("value"))
+    path = io.scratch_path(spark, "catalogue")
+    one.write.text(path)
+    return io.scan_catalogue(spark, path)
+
+
+@query("scan_json_dir", ops=("S7",), sql="""
+SELECT source AS key, count(*) AS n_docs, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source""")
+def q_scan_json_dir(spark, d):
+    path = io.scratch_path(spark, "json-dir")
+    g = table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_set("lang")).alias("langs"))
+    g.write.partitionBy("key").json(path)
+    back = io.scan_json_dir(spark, path, "n_docs long, langs array<string>, key string")
+    return back.select("key", "n_docs", F.array_join("langs", ",").alias("langs"))
+
+
 @query("split_by_key", ops=("W9",), sql=W("SELECT mode, count(*) AS n_rows FROM runs GROUP BY mode", RUNS))
 def q_split_by(spark, d):
     path = io.scratch_path(spark, "split")

@@ -39,16 +39,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _csv(spark: SparkSession, schema: T.StructType):
+def _csv(spark: SparkSession, schema: T.StructType, on_corrupt: str = "FAILFAST"):
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE"))
+            .option("escape", '"').option("mode", on_corrupt))
 
 
 # S1 / S2 / S9 ---------------------------------------------------------------
 def scan_runs(spark: SparkSession, path: str, schema: T.StructType, model: str | None = None,
-              mode: str | None = None, task: str | None = None, stamp: str | None = None) -> DataFrame:
+              mode: str | None = None, task: str | None = None, stamp: str | None = None,
+              on_corrupt: str = "FAILFAST") -> DataFrame:
     """Read result CSVs (only ``*.csv``) of a folder or one file; attach run identity.
 
+    A row that does not fit the schema raises (``on_corrupt``: Spark's CSV ``mode``).
+    Quoted line breaks make one file one task: for more than one pass over large runs,
+    store them with :func:`write_runs` after the first read.
+
     A single file is one group ``single_file``; a missing path is an error.
     Identity comes from the file name ``model_mode_task_stamp.csv`` (P1) or,
     for a partitioned layout, from the ``run_name`` partition column.
@@ -60,7 +65,7 @@ def scan_runs(spark: SparkSession, path: str, schema: T.StructType, model: str |
     if not fs.exists(jvm_path):
         raise ValueError(f"Invalid path: {path}")
     single = fs.getFileStatus(jvm_path).isFile()
-    df = _csv(spark, schema).csv(path, pathGlobFilter="*.csv")
+    df = _csv(spark, schema, on_corrupt).csv(path, pathGlobFilter="*.csv")
     df = df.withColumn("_file", F.col("_metadata.file_name"))
     if "run_name" not in df.columns:
         df = df.withColumn("run_name", F.regexp_replace("_file", r"\.csv$", ""))
@@ -172,13 +177,15 @@ def test_case_pairs(df: DataFrame, key: str, cases: str) -> DataFrame:
 
 # S7 -------------------------------------------------------------------------
 def scan_json_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One JSON per file; key = file name without extension; dot-files skipped."""
+    """One JSON per file; key = file name without extension, or the partition value where
+    the folder is partitioned by ``key``; dot-files skipped."""
     r = spark.read.option("multiLine", True)
     if schema is not None:
         r = r.schema(schema)
     df = r.json(path, pathGlobFilter="[!.]*.json")
-    return df.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")) \
-        .orderBy("key")
+    if "key" not in df.columns:
+        df = df.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    return df.orderBy("key")
 
 
 # S8 -------------------------------------------------------------------------
