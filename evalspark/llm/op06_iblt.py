@@ -23,6 +23,8 @@ PIECE = 96
 PARAGRAPH = re.compile(rb"[^\n.!?]{1,%d}(?:[.!?\n]+\s*)?|[.!?\n]+\s*" % PIECE)
 HASHES = 3
 CELLS = 18  # cells of the published fingerprint
+PAIRS, PAIR_CHARS = 256, 4 << 20  # rows answered at once
+ONE, GOLDEN = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,80 +44,134 @@ def digests(text: str) -> np.ndarray:
     return np.unique(np.array(keys, dtype=np.uint64))
 
 
-class Sketch:
-    """Cells of a set of 64-bit keys."""
+class Sketches:
+    """Sketches of many sets of 64-bit keys side by side; set ``i`` has ``HASHES * parts[i]``
+    cells, so one numpy call works on all of them."""
 
-    def __init__(self, cells: int):
-        self.part = -(-cells // HASHES)
-        n = self.part * HASHES
-        self.count, self.key, self.check = np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    def __init__(self, parts: np.ndarray):
+        self.parts = parts.astype(np.int64)
+        self.base = np.concatenate(([0], np.cumsum(HASHES * self.parts)))
+        n = int(self.base[-1])
+        self.count, self.key, self.check = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """(HASHES, n) cell numbers: one in each third of the cells."""
-        salt = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.part))[:, None]
-        return (_mix(keys[None, :] ^ salt) % np.uint64(self.part)).astype(np.int64) + (np.arange(HASHES) * self.part)[:, None]
-
-    def add(self, keys: np.ndarray, sign) -> None:
+    @classmethod
+    def of(cls, sets: list[np.ndarray], parts: np.ndarray) -> "Sketches":
+        out = cls(parts)
+        out.add(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), 1)
+        return out
+
+    def places(self, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Cell numbers, one in each third of the owner's cells, from one mixed hash."""
+        part, base = self.parts[owner], self.base[owner]
+        size = part.astype(np.uint64)
+        h = _mix(keys ^ (size * GOLDEN))
+        thirds = (h % size, _mix(h) % size, _mix(h + ONE) % size)
+        return np.concatenate([t.astype(np.int64) + base + i * part for i, t in enumerate(thirds)])
+
+    def add(self, owner: np.ndarray, keys: np.ndarray, sign) -> None:
         """Add (sign 1) or take away (sign -1) keys; ``sign`` may be one per key."""
         if len(keys):
-            at = self.places(keys)
-            np.add.at(self.count, at, np.broadcast_to(sign, at.shape))
-            np.bitwise_xor.at(self.key, at, np.broadcast_to(keys, at.shape))
-            np.bitwise_xor.at(self.check, at, np.broadcast_to(_mix(keys + np.uint64(1)), at.shape))
-
-    @classmethod
-    def of(cls, keys: np.ndarray, cells: int) -> "Sketch":
-        s = cls(cells)
-        s.add(keys, 1)
-        return s
+            at = self.places(owner, keys)
+            np.add.at(self.count, at, sign if np.isscalar(sign) else np.concatenate((sign,) * HASHES))
+            np.bitwise_xor.at(self.key, at, np.concatenate((keys,) * HASHES))
+            np.bitwise_xor.at(self.check, at, np.concatenate((_mix(keys + ONE),) * HASHES))
 
-    def minus(self, other: "Sketch") -> "Sketch":
-        d = Sketch(len(self.count))
+    def minus(self, other: "Sketches") -> "Sketches":
+        d = Sketches(self.parts)
         d.count, d.key, d.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return d
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Keys only in the first and only in the second set; None if peeling stops early.
-        Empties the sketch."""
-        found, signs = [], []
+    def take(self, which: np.ndarray) -> "Sketches":
+        out = Sketches(self.parts[which])
+        cells = np.repeat(self.base[which] - out.base[:-1], HASHES * out.parts) + np.arange(len(out.count))
+        out.count, out.key, out.check = self.count[cells], self.key[cells], self.check[cells]
+        return out
+
+    def sizes(self) -> np.ndarray:
+        """Estimated number of keys in each difference: over a third of the cells, the squares
+        of the counts' deviations from their mean add up to about that number."""
+        thirds = (self.base[:-1, None] + np.arange(HASHES) * self.parts[:, None]).ravel()
+        total, squares = np.add.reduceat(self.count, thirds), np.add.reduceat(self.count ** 2, thirds)
+        spread = squares - total ** 2 / np.repeat(self.parts, HASHES)
+        return spread.reshape(-1, HASHES).mean(axis=1).astype(np.int64)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Empties the sketches: which were emptied, and owner, key and sign (1: only in the
+        first set) of all that was found."""
+        cell_owner = np.repeat(np.arange(len(self.parts)), HASHES * self.parts)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        look = np.arange(len(self.count))
         while True:
-            at = np.flatnonzero(np.abs(self.count) == 1)
-            at = at[_mix(self.key[at] + np.uint64(1)) == self.check[at]]
+            at = look[np.abs(self.count[look]) == 1]
+            at = at[_mix(self.key[at] + ONE) == self.check[at]]
             if not len(at):
                 break
-            keys, first = np.unique(self.key[at], return_index=True)
-            sign = self.count[at[first]]
-            self.add(keys, -sign)
-            found.append(keys)
-            signs.append(sign)
-        if self.count.any() or self.key.any():
-            return None
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        keys, sign = np.concatenate(found), np.concatenate(signs)
-        return keys[sign == 1], keys[sign == -1]
-
-    def text(self, n: int) -> str:
-        raw = np.array([n], "<u4").tobytes() + self.count.astype("<i2").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()
+            owner, key, sign = cell_owner[at], self.key[at], self.count[at]
+            order = np.lexsort((key, owner))  # a key may stand alone in several cells: once is enough
+            owner, key, sign = owner[order], key[order], sign[order]
+            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))
+            owner, key, sign = owner[new], key[new], sign[new]
+            self.add(owner, key, -sign)
+            found.append((owner, key, sign))
+            look = np.unique(self.places(owner, key))
+        rest = np.add.reduceat(((self.count != 0) | (self.key != 0)).astype(np.int64), self.base[:-1])
+        return rest == 0, *(np.concatenate(x) for x in zip(*found))
+
+    def text(self, i: int, n: int) -> str:
+        own = slice(int(self.base[i]), int(self.base[i + 1]))
+        raw = (np.array([n], "<u4").tobytes() + self.count[own].astype("<i2").tobytes() + self.key[own].astype("<u8").tobytes()
+               + self.check[own].astype("<u4").tobytes())
         return base64.b64encode(raw).decode("ascii")
 
 
-def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``a`` and only in ``b``, by subtracting and peeling sketches with
-    growing cell numbers. Sizes that cannot hold the difference in set sizes are passed over."""
-    while True:
-        if cells >= abs(len(a) - len(b)):
-            got = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
-            if got is not None:
-                return got
-        cells *= 2
-
-
-def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> float:
-    """|A and B| / |A or B|; 1 for two empty texts."""
-    only_a, only_b = differing(a, b, cells)
-    union = len(b) + len(only_a)
-    return 1.0 if union == 0 else (len(a) - len(only_a)) / union
+def first_sketches(sets: list[np.ndarray]) -> Sketches:
+    return Sketches.of(sets, np.full(len(sets), CELLS // HASHES))
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray], d: Sketches | None = None):
+    """For every pair of sets the digests only in the first and only in the second, by
+    subtracting and peeling sketches (``d``: the subtracted smallest ones). Pairs whose
+    peeling stops early are sketched again with more cells: at least twice as many, and
+    as many as the estimated size of the difference calls for."""
+    if not a:
+        return []
+    d = d or first_sketches(a).minus(first_sketches(b))
+    out: list = [None] * len(a)
+    open_pairs = np.arange(len(a))
+    counts = np.array([abs(len(x) - len(y)) for x, y in zip(a, b)])
+    while len(open_pairs):
+        size = np.maximum(d.sizes(), counts[open_pairs])
+        cells = HASHES * d.parts
+        able = np.flatnonzero(size <= cells)  # the others hold more than peeling can find
+        done = np.zeros(len(open_pairs), bool)
+        if len(able):
+            ok, owner, key, sign = d.take(able).peel()
+            done[able[ok]] = True
+            keep = ok[owner]
+            owner, key, sign = owner[keep], key[keep], sign[keep]
+            order = np.argsort(owner, kind="stable")
+            owner, key, sign = owner[order], key[order], sign[order]
+            cut = np.searchsorted(owner, np.arange(len(able) + 1))
+            for i in np.flatnonzero(ok):
+                k, s = key[cut[i]:cut[i + 1]], sign[cut[i]:cut[i + 1]]
+                out[open_pairs[able[i]]] = (k[s == 1], k[s == -1])
+        more = np.maximum(2 * cells, size + size // 2)[~done]
+        open_pairs = open_pairs[~done]
+        if len(open_pairs):
+            parts = -(-more // HASHES)
+            d = Sketches.of([a[i] for i in open_pairs], parts).minus(Sketches.of([b[i] for i in open_pairs], parts))
+    return out
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests only in ``a`` and only in ``b``."""
+    return differences([a], [b])[0]
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], d: Sketches | None = None) -> list[float]:
+    """|A and B| / |A or B| of every pair; 1 for two empty texts."""
+    return [(len(x) - len(only)) / (len(y) + len(only)) if len(y) + len(only) else 1.0
+            for x, y, (only, _) in zip(a, b, differences(a, b, d))]
 
 
 def edited_text(text: str, following: str) -> str:
@@ -128,12 +184,15 @@ SCHEMA = ("n_chars bigint, edited_sha256 string, fingerprint string, edited_fing
           "near_edited double, near_next double")
 
 
-def _pair_facts(text: str, following: str, mine: np.ndarray, theirs: np.ndarray) -> tuple:
-    changed = edited_text(text, following)
-    other = mine if changed == text else digests(changed)
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-            Sketch.of(mine, CELLS).text(len(mine)), Sketch.of(other, CELLS).text(len(other)),
-            likeness(mine, other), likeness(mine, theirs))
+def pair_facts(texts: list[str], following: list[str]) -> list[tuple]:
+    """The results of some rows; ``following``: the text after each."""
+    changed = [edited_text(t, f) for t, f in zip(texts, following)]
+    mine, other, theirs = ([digests(t) for t in some] for some in (texts, changed, following))
+    first, second, third = first_sketches(mine), first_sketches(other), first_sketches(theirs)
+    near_edited = likenesses(mine, other, first.minus(second))
+    near_next = likenesses(mine, theirs, first.minus(third))
+    return [(len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), first.text(i, len(mine[i])),
+             second.text(i, len(other[i])), near_edited[i], near_next[i]) for i, (t, c) in enumerate(zip(texts, changed))]
 
 
 def _walk(batches):
@@ -142,21 +201,28 @@ def _walk(batches):
     import pyarrow as pa
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    before = None  # bucket, id, text, digests
+    before = None  # bucket, id, text
+
+    def answered(rows, kind):
+        cols = list(zip(*((i, *f) for (i, _, _), f in zip(rows, pair_facts([r[1] for r in rows], [r[2] for r in rows])))))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()),
+                                           *(pa.array(c) for c in cols[2:5]), *(pa.array(c, pa.float64()) for c in cols[5:])], names)
+
     for b in batches:
-        out = []
+        kind, rows, size = b.column(2).type, [], 0
         for bucket, guest, key, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             if before is not None and before[0] == bucket:
-                mine = digests(text)
-                out.append((before[1], *_pair_facts(before[2], text, before[3], mine)))
-                before = None if guest else (bucket, key, text, mine)
+                rows.append((before[1], before[2], text))
+                size += len(before[2]) + len(text)
+                before = None if guest else (bucket, key, text)
             elif not guest:
-                before = (bucket, key, text, digests(text))
+                before = (bucket, key, text)
             # else: a further row of a guest's id, the bucket is done
-        if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(2).type), pa.array(cols[1], pa.int64()),
-                                              *(pa.array(c) for c in cols[2:5]), *(pa.array(c, pa.float64()) for c in cols[5:])], names)
+            if len(rows) == PAIRS or size > PAIR_CHARS:
+                yield answered(rows, kind)
+                rows, size = [], 0
+        if rows:
+            yield answered(rows, kind)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
