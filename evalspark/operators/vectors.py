@@ -142,7 +142,7 @@ def attach_queries(points: DataFrame, queries: DataFrame, qkey: str, qvec: str)
         out = points.select("*", F.explode(qs).alias("_q"))
     else:
         sets = queries.groupBy(F.pmod(F.xxhash64(qkey), F.lit(blocks)).alias("_block")).agg(F.collect_list(item).alias("_set"))
-        each = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        each = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         out = each.join(sets, "_block").select(*points.columns, F.explode("_set").alias("_q"))
     return out.withColumn(qkey, F.col("_q.qk")).withColumn("_qv", F.col("_q.qv")).withColumn("_q", F.col("_q.row"))
 
