@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 3, radius: int = 2, blocks: int = 6) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group
-    stays, with all its columns. Rows with a null id stay only if their whole group
+    stays, with all its columns (rows that share its id stay together). Rows with a null id stay only if their whole group
     has null ids, and then all of them do (nothing tells them apart)."""
     near = near_duplicates(docs, id_col, text_col, shingle, radius, blocks)
     keep = (near.where(F.col(id_col).eqNullSafe(F.col("component_id")))

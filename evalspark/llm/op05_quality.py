@@ -4,7 +4,7 @@ follow-the-regularised-leader updates, scored as sparse dot products.
 Features are words, runs of other visible characters, and neighbouring pairs of both,
 hashed to ``2 ** bits`` weights; a text is the unit-length vector of 1 + log(count).
 The model is trained in one task on a bounded sample of the labelled rows (parameter
-``max_train``, the rows with the smallest hash of their id), so its size and training
+``max_train``, the labels with the smallest hash of their id), so its size and training
 time do not grow; every row is scored, in place, with the broadcast weights
 (``2 ** bits`` floats)."""
 
@@ -139,12 +139,14 @@ def held_out(id_col: str, folds: int = 5):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                label_col: str = "quality", **kw) -> np.ndarray:
-    """Train on the labelled documents that are not held out."""
-    known = (labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-             .agg(F.min(label_col).alias("_y")))  # contradicting labels: the lower one
-    rows = docs.where(~held_out(id_col)).select(id_col, text_col).join(known, F.col(id_col) == F.col("_id"))
-    return train(rows, id_col, text_col, "_y", **kw)
+                label_col: str = "quality", max_train: int = 16_384, **kw) -> np.ndarray:
+    """Train on labelled documents that are not held out: of the labels, the ``max_train``
+    with the smallest hash of their id are drawn first, so only that many texts move."""
+    known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+             .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y")))  # contradicting labels: the lower one
+    drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    rows = docs.select(id_col, text_col).join(F.broadcast(drawn), F.col(id_col) == F.col("_id"))
+    return train(rows, id_col, text_col, "_y", max_train=max_train, **kw)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
