@@ -17,8 +17,8 @@ collisions of two independent 64-bit hashes). Small groups take the third pass i
 task. Larger ones take it as rows, so that no group meets in one task, and by digits of
 their own: blocks of ``LEVELS`` windows, from large to single ones. The digit of a block is
 its core, the bytes all its windows share. A block whose core is alone holds no repeated
-window, blocks that are equal as a whole are finished, and only the others, those across
-the edge of a repeat, go on to smaller blocks.
+window, blocks that are equal as a whole are finished, and only the different blocks of a
+core, those across the edge of a repeat, go on to smaller blocks, each once.
 
 Text moves only for the rows that need it: a bounded bit set of the keys (see
 ``common.key_filter``) keeps the others out of the shuffles."""
@@ -230,16 +230,16 @@ def _by_blocks(bodies: DataFrame, length: int) -> DataFrame:
     span = F.struct(F.lit(0).cast("bigint").alias("a"), (F.length("body") - length).cast("bigint").alias("z"))
     listed, found = bodies.withColumn("parts", F.array(span)), []
     for size in [x for x in LEVELS if 2 * x <= length]:  # a core needs bytes
-        blocks = listed.select("d1", "d2", "off", "body", "parts").mapInArrow(
-            _blocks(length, size), "core bigint, whole bigint, d1 bigint, d2 bigint, a bigint, z bigint")
-        again = (blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-                 .where("c > 1").select("core", (F.col("lo") == F.col("hi")).alias("equal")).repartition(parts))
-        left = stored(blocks.join(again, "core").select("d1", "d2", "a", "z", "equal"), f"repeat-blocks-{size}")
+        blocks = stored(listed.select("d1", "d2", "off", "body", "parts").mapInArrow(
+            _blocks(length, size), "core bigint, whole bigint, d1 bigint, d2 bigint, a bigint, z bigint"), f"repeat-blocks-{size}")
+        wholes = blocks.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("d1", "d2", "a", "z")).alias("one"))
+        same = wholes.where("c > 1").select("core", "whole").repartition(parts)
+        found.append(blocks.join(same, ["core", "whole"]).select("d1", "d2", "a", "z"))
         if size == LEVELS[-1]:
-            found.append(left.select("d1", "d2", "a", "z"))
             break
-        found.append(left.where("equal").select("d1", "d2", "a", "z"))
-        open_parts = left.where("NOT equal").groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "z")).alias("parts"))
+        # Every different block of a core goes on once, if some block of that core stands alone.
+        cores = wholes.groupBy("core").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 AND least = 1").select("core").repartition(parts)
+        open_parts = (wholes.join(cores, "core").select("one.*").groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "z")).alias("parts")))
         listed = bodies.join(open_parts, ["d1", "d2"])
     out = found[0]
     for f in found[1:]:
