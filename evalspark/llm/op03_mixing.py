@@ -45,8 +45,8 @@ def topic_of(text: Column, topics=TOPICS) -> Column:
 def tempered(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     """Targets ``dim``, ``target``: shares of tokens to ``power``, normalised."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
-    total = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("s"))
-    return sums.crossJoin(F.broadcast(total)).select(dim, F.when(F.col("s") > 0, F.pow("t", F.lit(power)) / F.col("s")).otherwise(0.0).alias("target"))
+    total = sums.agg(F.sum(F.pow("t", F.lit(power)))).scalar()
+    return sums.withColumn("s", total).select(dim, F.when(F.col("s") > 0, F.pow("t", F.lit(power)) / F.col("s")).otherwise(0.0).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
@@ -57,8 +57,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> Da
     now = cells
     for dim, target in targets.items():
         have = live.select(dim).distinct().join(target, dim).where("target > 0")
-        whole = have.agg(F.sum("target").alias("whole"))
-        share = have.crossJoin(F.broadcast(whole)).select(dim, (F.col("target") / F.col("whole")).alias(f"_{dim}"))
+        share = have.withColumn("whole", have.agg(F.sum("target")).scalar()).select(dim, (F.col("target") / F.col("whole")).alias(f"_{dim}"))
         now = now.join(share, dim, "left")
     # A small table of cells needs no exchange between the rounds.
     small = cells.count() <= SMALL_CELLS
@@ -96,8 +95,7 @@ def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float
              for d, t in (("lang", lang_target), ("topic", topic_target))}
     raked = cut(rake(cells, {"source": tempered(cells, "source", power), **given}, rounds))
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    top = raked.agg(F.max(ratio).alias("top"))
-    return raked.crossJoin(F.broadcast(top)).withColumn("rate", F.when(F.col("top") > 0, ratio / F.col("top")).otherwise(0.0)).drop("top")
+    return raked.withColumn("top", raked.agg(F.max(ratio)).scalar()).withColumn("rate", F.when(F.col("top") > 0, ratio / F.col("top")).otherwise(0.0)).drop("top")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",

@@ -105,9 +105,9 @@ def revealing_terms(rows: DataFrame, min_docs: int, min_share: float, min_bits:
     wanted = pairs.select("term").distinct()
     words = rows.select("th", F.explode(F.array_distinct(F.split(lower_az(F.col("text")), SPLIT_TERMS))).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count_distinct("th").alias("n"))
+    total = rows.agg(F.count_distinct("th")).scalar()
     bits = F.log2(F.col("n_tv") * F.col("n") / (F.col("n_t") * F.col("n_v")))
-    return (pairs.join(n_t, "term").join(n_v, ["kind", "value"]).crossJoin(F.broadcast(total))
+    return (pairs.join(n_t, "term").join(n_v, ["kind", "value"]).withColumn("n", total)
             .where((F.col("n_tv") >= min_share * F.col("n_t")) & (bits >= min_bits))
             .groupBy("term").agg(F.max(bits).alias("bits")))
 
