@@ -63,7 +63,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         at = f"sequence(0, size(words) - {n})"
         if small:
             first = min(n, ANCHOR)
-            cols = [F.get("head", F.lit(j)) for j in range(first)]
+            cols = [F.try_element_at("head", F.lit(j + 1)) for j in range(first)]
             keys = [r[0] for r in grams.where(F.col("len") == n).select(F.xxhash64(*cols)).distinct().collect()]
             at = f"filter({at}, i -> {_anchor_sql(first)} IN ({', '.join(f'{k}L' if k > -2**63 else '(-9223372036854775807L - 1L)' for k in keys)}))"
         picks.append(f"""CASE WHEN size(words) >= {n}
