@@ -91,7 +91,7 @@ def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int =
     pts = points.select(F.col(pid).alias("id"), as_double_array(vec).alias("v"))
     piv = pts.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).agg(F.collect_list("v")).scalar()
     d = pts.withColumn("_piv", piv).withColumn("pd", F.transform("_piv", lambda p: euclid("v", p))).drop("_piv")
-    cell = [F.floor(F.col("pd")[0] / eps).cast("long"), F.floor(F.coalesce(F.get("pd", F.lit(1)), F.lit(0.0)) / eps).cast("long")]
+    cell = [F.floor(F.col("pd")[0] / eps).cast("long"), F.floor(F.coalesce(F.try_element_at("pd", F.lit(2)), F.lit(0.0)) / eps).cast("long")]
     d = cut(d.withColumns({"cx": cell[0], "cy": cell[1]}))
     cells = cut(d.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles")))
     d = d.join(cells, ["cx", "cy"]).withColumn("t", F.pmod(F.xxhash64("id", F.lit(5)), F.col("tiles")))

@@ -91,7 +91,7 @@ def standard_gamma(id_col: str, shape: float, seed: int, stream: int = 0) -> Col
             return F.struct((x + y).alias("sum"), x.alias("x"))
 
         tries = F.transform(F.sequence(F.lit(1), F.lit(JOHNK_TRIES)), pair)
-        good = F.coalesce(F.get(F.filter(tries, lambda t: (t["sum"] <= 1.0) & (t["sum"] > 0.0)), F.lit(0)), F.get(tries, F.lit(JOHNK_TRIES - 1)))
+        good = F.coalesce(F.try_element_at(F.filter(tries, lambda t: (t["sum"] <= 1.0) & (t["sum"] > 0.0)), F.lit(1)), F.element_at(tries, JOHNK_TRIES))
         scale = -F.log(1.0 - uniform01(id_col, F.lit(0), F.lit(stream), F.lit("e"), seed=seed))
         out = out + scale * good["x"] / good["sum"]
     return out
