@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from evalspark.llm import op02_simhash, op03_mixing, op05_quality, op07_decontaminate, op10_token_files
 from evalspark.llm.common import read, stored
 
+SAMPLE_SHARE = 0.5  # of the tokens that reach the mixing stage
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -29,8 +31,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares follow the raked target weights."""
-    return op03_mixing.sample_mixture(docs, id_col="doc_id", text_col="text")
+    """A sample of ``SAMPLE_SHARE`` of the tokens whose shares follow the target weights as far as the tokens reach."""
+    return op03_mixing.sample_mixture(docs, id_col="doc_id", text_col="text", share=SAMPLE_SHARE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,16 +3,23 @@
 Token weights of the (source, language, topic) cells are raked: in every round each
 dimension's weights are scaled by target share / current share, one dimension after the
 other. Documents are then sampled with the calibrated probability of their cell.
+With ``share``, the sample has that expected size: rates are bounded by 1 inside the
+rounds, what a full cell cannot supply is taken from the others of its category, and the
+rounds go on until all sums by dimension agree (``calibrate``).
+
 DataFrame functions only; the corpus is aggregated to cells once, and the rounds work on
 that table (sums over one dimension; its rows are combinations of categories, not
 documents)."""
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.llm.common import cut, lower_az
 
@@ -72,6 +79,136 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> Da
     return now.drop(*(f"_{d}" for d in targets))
 
 
+def _full(x: Column, tokens: Column, amount: Column, by: list[Column], tie: list[Column]) -> Column:
+    """Whether f * x >= 1, for the factor f of each group with which its sum of
+    tokens * min(1, f * x) is ``amount``; found exactly, in the order of x."""
+    order = Window.partitionBy(*by).orderBy(x.desc(), *tie)
+    upto = F.sum(tokens).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.coalesce(F.sum(tokens * x).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    return F.when(x > 0, upto + after / x <= amount).otherwise(False)
+
+
+def _factor(x: Column, tokens: Column, full: Column, amount: Column, by: list[Column]) -> Column:
+    """The factor of each group, given which rows are full; the one that fills all of them if none is left."""
+    whole = Window.partitionBy(*by)
+    taken = F.sum(F.when(full, tokens).otherwise(0.0)).over(whole)
+    free = F.sum(F.when(full, 0.0).otherwise(tokens * x)).over(whole)
+    least = F.min(F.when((tokens > 0) & (x > 0), x)).over(whole)
+    return F.when(free > 0, (amount - taken) / free).when(least.isNotNull(), F.greatest(1 / least, F.lit(1.0))).otherwise(1.0)
+
+
+def _settled(seen: list[float], tolerance: float) -> bool:
+    return seen[-1] <= tolerance or len(seen) > 5 and seen[-1] > 0.99 * seen[-6]
+
+
+def _tell(residual: float, tolerance: float, rounds: int) -> None:
+    if residual > max(tolerance, 1e-6):
+        logging.getLogger(__name__).warning("mixing: after %d rounds a category's share of the sample is %.6f off its target", rounds, residual)
+
+
+def _local_factor(x: np.ndarray, tokens: np.ndarray, amount: float) -> float:
+    """f with sum of tokens * min(1, f * x) = ``amount``; what fills all rows if they hold no more."""
+    live = (x > 0) & (tokens > 0)
+    x, tokens = x[live], tokens[live]
+    if not len(x):
+        return 1.0
+    order = np.argsort(-x, kind="stable")
+    x, tokens = x[order], tokens[order]
+    upto, rest = np.cumsum(tokens), np.append(np.cumsum((tokens * x)[::-1])[::-1], 0.0)
+    n = int(np.sum(upto + rest[1:] / x <= amount))  # these are full
+    return float((amount - (upto[n - 1] if n else 0.0)) / rest[n]) if n < len(x) else max(1.0, 1 / float(x[-1]))
+
+
+def _calibrate_local(cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float, max_rounds: int) -> DataFrame:
+    """``calibrate`` of a table of at most ``SMALL_CELLS`` rows, where a round of jobs would cost far more than its sums."""
+    rows = cells.collect()
+    tokens = np.array([float(r["tokens"]) for r in rows])
+    x, code, goals = np.full(len(rows), float(share)), {}, {}
+    for dim, target in targets.items():
+        names = {v: k for k, v in enumerate(sorted({r[dim] for r in rows}))}
+        code[dim] = np.array([names[r[dim]] for r in rows], dtype=np.int64)
+        asked = {r[dim]: float(r["target"]) for r in target.collect()}
+        goals[dim] = np.array([asked.get(v, 0.0) for v in names])
+        x[goals[dim][code[dim]] <= 0] = 0.0
+    amount = min(share * tokens.sum(), tokens[x > 0].sum())
+    wanted, seen = {}, []
+    for dim in targets:
+        # What each category is to supply: its target, or all it has.
+        cap = np.bincount(code[dim], weights=tokens * (x > 0), minlength=len(goals[dim]))
+        t = np.where(cap > 0, goals[dim], 0.0)
+        wanted[dim] = t / t.sum() if t.sum() > 0 else t
+        y = np.divide(wanted[dim] * amount, cap, out=np.zeros_like(cap), where=cap > 0)
+        goals[dim] = cap * np.minimum(1.0, _local_factor(y, cap, amount) * y)
+    sums = lambda d: np.bincount(code[d], weights=tokens * np.minimum(1.0, x), minlength=len(goals[d]))
+    groups = {d: [np.flatnonzero(code[d] == k) for k in range(len(goals[d]))] for d in targets}
+    for _ in range(max_rounds if amount > 0 else 0):
+        for dim in targets:
+            for k, at in enumerate(groups[dim]):
+                x[at] = np.where(x[at] > 0, np.clip(x[at] * _local_factor(x[at], tokens[at], goals[dim][k]), 1e-100, 1e100), 0.0)
+        seen.append(max(np.abs(sums(d) - goals[d]).max() for d in targets) / amount)
+        if _settled(seen, tolerance):
+            break
+    residual = max((float(np.abs(sums(d) / amount - wanted[d]).max()) for d in targets), default=0.0) if amount > 0 else 0.0
+    _tell(residual, tolerance, len(seen))
+    schema = T.StructType([*(cells.schema[d] for d in targets), T.StructField("tokens", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("residual", T.DoubleType())])
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in targets), float(n), min(1.0, float(v)), residual) for r, n, v in zip(rows, tokens, x)], schema)
+
+
+def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
+    """``cells`` with ``rate`` and ``residual``. The sum of tokens * rate is ``share`` of all
+    tokens, and its sums by each dimension are the targets as far as the tokens reach:
+    categories that hold fewer tokens than their target give all, and the others
+    share the rest in proportion to their targets. Rates are the product of one factor per
+    category, at most 1. Rounds end when all sums agree to ``tolerance`` (of the sample), when
+    five rounds gain less than 1 %, or after ``max_rounds``. ``residual`` is the largest
+    distance of a category's share of the sample from its (normalised) target.
+
+    A category without a target, or with target 0, gets rate 0. Cells without tokens get
+    the factors of their categories."""
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    if cells.count() <= SMALL_CELLS:
+        return _calibrate_local(cells, targets, share, tolerance, max_rounds)
+    now = cells.withColumn("tokens", F.col("tokens").cast("double"))
+    for dim, target in targets.items():
+        now = now.join(target.select(dim, F.col("target").alias(f"_{dim}")), dim, "left").fillna(0.0, [f"_{dim}"])
+    open_ = reduce(lambda a, b: a & b, [F.col(f"_{d}") > 0 for d in targets])
+    now = cut(now.withColumn("x", F.when(open_, F.lit(float(share))).otherwise(0.0)))
+    held, total = now.agg(F.sum(F.when(F.col("x") > 0, F.col("tokens"))), F.sum("tokens")).first()
+    amount = min(share * (total or 0.0), held or 0.0)
+    for dim in targets:
+        # What each category is to supply: its target, or all it has.
+        cats = (now.where("x > 0 AND tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("cap"), F.first(f"_{dim}").alias("t"))
+                .withColumn("_p", F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(1)))).withColumn("y", F.col("_p") * F.lit(amount) / F.col("cap")))
+        one, y, cap, goal = [F.lit(1)], F.col("y"), F.col("cap"), F.lit(amount)
+        cats = cats.withColumn("full", _full(y, cap, goal, one, [F.col(dim)]))
+        cats = cats.withColumn("f", _factor(y, cap, F.col("full"), goal, one))
+        goals = cats.select(dim, F.col("_p").alias(f"_p_{dim}"), (cap * F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.col("f") * y))).alias(f"_goal_{dim}"))
+        now = now.join(goals, dim, "left")
+    now = cut(now.drop(*(f"_{d}" for d in targets)))
+    x, tokens = F.col("x"), F.col("tokens")
+    taken = tokens * F.least(F.lit(1.0), x)
+    sums = {d: F.sum(taken).over(Window.partitionBy(d)) for d in targets}
+    off = F.greatest(*[F.abs(sums[d] - F.col(f"_goal_{d}")) for d in targets]) / F.lit(amount or 1.0)
+    seen = []
+    for _ in range(max_rounds if amount > 0 else 0):
+        for dim in targets:
+            goal, by = F.coalesce(f"_goal_{dim}", F.lit(0.0)), [F.col(dim)]
+            now = now.withColumn("full", _full(x, tokens, goal, by, [F.col(d) for d in targets]))
+            now = now.withColumn("f", F.when(F.col(f"_goal_{dim}").isNull(), 1.0).otherwise(_factor(x, tokens, F.col("full"), goal, by)))
+            # Bounds far outside any rate keep the numbers finite where the targets cannot all be met.
+            now = now.withColumn("x", F.when(x > 0, F.least(F.greatest(x * F.col("f"), F.lit(1e-100)), F.lit(1e100))).otherwise(0.0)).drop("full", "f")
+        now = cut(now)
+        seen.append(now.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0)
+        if _settled(seen, tolerance):
+            break
+    gaps = F.greatest(*[F.abs(sums[d] / F.lit(amount or 1.0) - F.col(f"_p_{d}")) for d in targets])
+    out = cut(now.withColumn("rate", F.least(F.lit(1.0), x)).withColumn("_gap", F.coalesce(gaps, F.lit(0.0))))
+    residual = out.agg(F.max("_gap")).first()[0] or 0.0
+    _tell(residual, tolerance, len(seen))
+    return out.withColumn("residual", F.lit(float(residual))).drop("x", "_gap", *(f"_goal_{d}" for d in targets), *(f"_p_{d}" for d in targets))
+
+
 def uniform(id_col: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the id (null: the empty text) and seed alone."""
     hexa = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary")), 1, 13)
@@ -85,14 +222,19 @@ def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
         "_topic": topic_of(F.col(text_col)), "_tokens": n_tokens(F.col(text_col))})
 
 
-def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float, rounds: int) -> DataFrame:
+def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float, rounds: int, share: float | None = None) -> DataFrame:
     """Per cell: ``source``, ``lang``, ``topic``, ``tokens``, ``weight`` (raked share) and
-    ``rate`` (sampling probability: weight per token, scaled so that the largest is 1)."""
+    ``rate`` (sampling probability: weight per token, scaled so that the largest is 1; with
+    ``share``, the rates of ``calibrate``, and ``weight`` is the cell's share of the sample)."""
     cells = cut(marked.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"))
                 .agg(F.sum("_tokens").alias("tokens")))
     spark = marked.sparkSession
     given = {d: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"{d} string, target double")
              for d, t in (("lang", lang_target), ("topic", topic_target))}
+    if share is not None:
+        done = calibrate(cells, {"source": tempered(cells, "source", power), **given}, share)
+        kept = F.col("tokens") * F.col("rate")
+        return done.withColumn("_all", done.agg(F.sum(kept)).scalar()).withColumn("weight", F.when(F.col("_all") > 0, kept / F.col("_all")).otherwise(0.0)).drop("_all")
     raked = cut(rake(cells, {"source": tempered(cells, "source", power), **given}, rounds))
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     return raked.withColumn("top", raked.agg(F.max(ratio)).scalar()).withColumn("rate", F.when(F.col("top") > 0, ratio / F.col("top")).otherwise(0.0)).drop("top")
@@ -100,17 +242,19 @@ def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
         lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5, rounds: int = 8,
-        seed: int = 17) -> DataFrame:
+        seed: int = 17, share: float | None = None) -> DataFrame:
     """``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_weight``, ``_rate`` and
     ``_sampled``: a document is sampled if its uniform number lies below its cell's rate.
 
     The rates are proportional to raked weight per token and at most 1, so the expected
-    token shares of the sample are the raked ones. Null source or language is the
+    token shares of the sample are the raked ones. Without ``share`` the largest rate is 1, so
+    the rarest cell alone fixes the sample's size (the rule of the SQL); with it, the sample
+    has that expected share of all tokens (see ``calibrate``). Null source or language is the
     category "?", which has no target unless one is given (language) or has its tempered
     share (source). Texts without words have weight 0 in the shares but their cell's rate.
     Repeated ids are sampled together. An empty table gives an empty result."""
     marked = with_cells(docs, text_col, source_col, lang_col)
-    table = cut(rates(marked, lang_target, topic_target, power, rounds).select(
+    table = cut(rates(marked, lang_target, topic_target, power, rounds, share).select(
         F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_weight"), F.col("rate").alias("_rate")))
     small = table.count() <= SMALL_CELLS
     both = marked.join(F.broadcast(table) if small else table, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
