@@ -56,6 +56,15 @@ def tempered(cells: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     return sums.withColumn("s", total).select(dim, F.when(F.col("s") > 0, F.pow("t", F.lit(power)) / F.col("s")).otherwise(0.0).alias("target"))
 
 
+def with_own_shares(cells: DataFrame, dim: str, given: DataFrame, power: float = 0.5) -> DataFrame:
+    """Targets ``dim``, ``target`` of every category in ``cells``: the given one (also 0), or its
+    tempered share of the tokens if none is given (null if it has none); normalised over all of them."""
+    own = tempered(cells, dim, power).select(dim, F.when(F.col("target") > 0, F.col("target")).alias("_own"))
+    both = own.join(given, dim, "left").select(dim, F.coalesce("target", "_own").alias("target"))
+    total = both.agg(F.sum("target")).scalar()
+    return both.withColumn("s", total).select(dim, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(F.col("target")).alias("target"))
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
     """``cells`` (dimensions and ``tokens``) with ``weight``: shares whose sums by each
     dimension approach the targets. A category without a target, or a cell without
@@ -127,9 +136,11 @@ def _calibrate_local(cells: DataFrame, targets: dict[str, DataFrame], share: flo
     for dim, target in targets.items():
         names = {v: k for k, v in enumerate(sorted({r[dim] for r in rows}))}
         code[dim] = np.array([names[r[dim]] for r in rows], dtype=np.int64)
-        asked = {r[dim]: float(r["target"]) for r in target.collect()}
-        goals[dim] = np.array([asked.get(v, 0.0) for v in names])
-        x[goals[dim][code[dim]] <= 0] = 0.0
+        asked = {r[dim]: r["target"] for r in target.collect()}
+        held = np.bincount(code[dim], weights=tokens, minlength=len(names))
+        shut = np.array([n > 0 if asked.get(v) is None else asked[v] <= 0 for v, n in zip(names, held)], dtype=bool)
+        goals[dim] = np.array([float(asked.get(v) or 0.0) for v in names])
+        x[shut[code[dim]]] = 0.0
     amount = min(share * tokens.sum(), tokens[x > 0].sum())
     wanted, seen = {}, []
     for dim in targets:
@@ -151,7 +162,7 @@ def _calibrate_local(cells: DataFrame, targets: dict[str, DataFrame], share: flo
     residual = max((float(np.abs(sums(d) / amount - wanted[d]).max()) for d in targets), default=0.0) if amount > 0 else 0.0
     _tell(residual, tolerance, len(seen))
     schema = T.StructType([*(cells.schema[d] for d in targets), T.StructField("tokens", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("residual", T.DoubleType())])
-    return cells.sparkSession.createDataFrame([(*(r[d] for d in targets), float(n), min(1.0, float(v)), residual) for r, n, v in zip(rows, tokens, x)], schema)
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in targets), float(n), min(1.0, float(v) if n > 0 or v <= 0 else share), residual) for r, n, v in zip(rows, tokens, x)], schema)
 
 
 def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
@@ -163,16 +174,16 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tol
     five rounds gain less than 1 %, or after ``max_rounds``. ``residual`` is the largest
     distance of a category's share of the sample from its (normalised) target.
 
-    A category without a target, or with target 0, gets rate 0. Cells without tokens get
-    the factors of their categories."""
+    A category with target 0 gets rate 0, and so does one that holds tokens and has no target.
+    Other cells without tokens, which weigh nothing, get rate ``share``."""
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
     if cells.count() <= SMALL_CELLS:
         return _calibrate_local(cells, targets, share, tolerance, max_rounds)
     now = cells.withColumn("tokens", F.col("tokens").cast("double"))
     for dim, target in targets.items():
-        now = now.join(target.select(dim, F.col("target").alias(f"_{dim}")), dim, "left").fillna(0.0, [f"_{dim}"])
-    open_ = reduce(lambda a, b: a & b, [F.col(f"_{d}") > 0 for d in targets])
+        now = now.join(target.select(dim, F.col("target").alias(f"_{dim}")), dim, "left")
+    open_ = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_{d}") > 0, F.sum("tokens").over(Window.partitionBy(d)) == 0) for d in targets])
     now = cut(now.withColumn("x", F.when(open_, F.lit(float(share))).otherwise(0.0)))
     held, total = now.agg(F.sum(F.when(F.col("x") > 0, F.col("tokens"))), F.sum("tokens")).first()
     amount = min(share * (total or 0.0), held or 0.0)
@@ -203,7 +214,8 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tol
         if _settled(seen, tolerance):
             break
     gaps = F.greatest(*[F.abs(sums[d] / F.lit(amount or 1.0) - F.col(f"_p_{d}")) for d in targets])
-    out = cut(now.withColumn("rate", F.least(F.lit(1.0), x)).withColumn("_gap", F.coalesce(gaps, F.lit(0.0))))
+    rate = F.when((tokens > 0) | (x <= 0), F.least(F.lit(1.0), x)).otherwise(F.lit(float(share)))
+    out = cut(now.withColumn("rate", rate).withColumn("_gap", F.coalesce(gaps, F.lit(0.0))))
     residual = out.agg(F.max("_gap")).first()[0] or 0.0
     _tell(residual, tolerance, len(seen))
     return out.withColumn("residual", F.lit(float(residual))).drop("x", "_gap", *(f"_goal_{d}" for d in targets), *(f"_p_{d}" for d in targets))
@@ -232,7 +244,8 @@ def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float
     given = {d: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"{d} string, target double")
              for d, t in (("lang", lang_target), ("topic", topic_target))}
     if share is not None:
-        done = calibrate(cells, {"source": tempered(cells, "source", power), **given}, share)
+        given["source"] = spark.createDataFrame([], "source string, target double")
+        done = calibrate(cells, {d: with_own_shares(cells, d, given[d], power) for d in DIMS}, share)
         kept = F.col("tokens") * F.col("rate")
         return done.withColumn("_all", done.agg(F.sum(kept)).scalar()).withColumn("weight", F.when(F.col("_all") > 0, kept / F.col("_all")).otherwise(0.0)).drop("_all")
     raked = cut(rake(cells, {"source": tempered(cells, "source", power), **given}, rounds))
@@ -251,7 +264,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the rarest cell alone fixes the sample's size (the rule of the SQL); with it, the sample
     has that expected share of all tokens (see ``calibrate``). Null source or language is the
     category "?", which has no target unless one is given (language) or has its tempered
-    share (source). Texts without words have weight 0 in the shares but their cell's rate.
+    share (source); with ``share``, languages and topics without a given target have their
+    tempered shares too, and only a given 0 drops a category. Texts without words have
+    weight 0 in the shares but their cell's rate; a cell made only of them has rate 0, with
+    ``share`` the rate ``share``.
     Repeated ids are sampled together. An empty table gives an empty result."""
     marked = with_cells(docs, text_col, source_col, lang_col)
     table = cut(rates(marked, lang_target, topic_target, power, rounds, share).select(

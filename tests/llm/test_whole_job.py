@@ -43,3 +43,18 @@ def test_rounds_go_on_until_the_sums_agree(spark, caplog, monkeypatch):
     local = {(r.p, r.q): r.rate for r in op3.calibrate(cells, half, share=0.5, max_rounds=1).collect()}
     monkeypatch.setattr(op3, "SMALL_CELLS", 0)
     assert {(r.p, r.q): r.rate for r in op3.calibrate(cells, half, share=0.5, max_rounds=1).collect()} == pytest.approx(local)
+
+
+def test_categories_without_a_given_target_keep_their_share(spark):
+    rows = [(i, "word " * 10, f"s{i // 6 % 2}", ["en", "de", "fr", "es", None, "xx"][i % 6], 0) for i in range(1200)]
+    rows += [(5000 + i, None, "s0", "yy", 0) for i in range(40)] + [(6000 + i, " ", "s9", "en", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, pos int").repartition(3)
+    out = op3.mix(docs, share=0.3).collect()
+    # Six equal languages of which two have no target: a sixth each beside the given 1.0.
+    tokens = {k: sum(r._tokens * r._rate for r in out if r.lang == k) for k in ("en", "de", "fr", "es", None, "xx")}
+    assert {k: v / sum(tokens.values()) for k, v in tokens.items()} == pytest.approx(
+        {k: v / (4 / 3) for k, v in ({None: 1 / 6, "xx": 1 / 6} | op3.LANG_TARGET).items()}, abs=1e-4)
+    # Texts without words are drawn like others; only a named 0 drops a category.
+    assert all(r._rate > 0 for r in out) and any(r._sampled for r in out if r.lang == "yy") and any(r._sampled for r in out if r.source == "s9")
+    out = op3.mix(docs, share=0.3, lang_target=op3.LANG_TARGET | {"xx": 0.0, "yy": 0.0}).collect()
+    assert all((r._rate == 0) == (r.lang in ("xx", "yy")) for r in out)
