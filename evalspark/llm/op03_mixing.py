@@ -145,7 +145,7 @@ def _calibrate_local(cells: DataFrame, targets: dict[str, DataFrame], share: flo
     wanted, seen = {}, []
     for dim in targets:
         # What each category is to supply: its target, or all it has.
-        cap = np.bincount(code[dim], weights=tokens * (x > 0), minlength=len(goals[dim]))
+        cap = np.bincount(code[dim], weights=tokens * (x > 0), minlength=len(goals[dim])).astype(float)
         t = np.where(cap > 0, goals[dim], 0.0)
         wanted[dim] = t / t.sum() if t.sum() > 0 else t
         y = np.divide(wanted[dim] * amount, cap, out=np.zeros_like(cap), where=cap > 0)

@@ -58,3 +58,7 @@ def test_categories_without_a_given_target_keep_their_share(spark):
     assert all(r._rate > 0 for r in out) and any(r._sampled for r in out if r.lang == "yy") and any(r._sampled for r in out if r.source == "s9")
     out = op3.mix(docs, share=0.3, lang_target=op3.LANG_TARGET | {"xx": 0.0, "yy": 0.0}).collect()
     assert all((r._rate == 0) == (r.lang in ("xx", "yy")) for r in out)
+
+
+def test_share_of_an_empty_table(spark):
+    assert op3.sample_mixture(mixed_docs(spark).limit(0), share=0.5).count() == 0
