@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import (op01_repeats, op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
-                           op08_pii, op09_line_chunks, op10_token_files, op11_bpe_transducer)
+                           op08_pii, op09_line_chunks, op10_token_files, op11_bpe_transducer, op12_whitening)
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     return op11_bpe_transducer.digests(read(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
