@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import (op01_repeats, op02_simhash, op03_mixing, op04_warc, op05_quality, op06_iblt, op07_decontaminate,
-                           op08_pii, op09_line_chunks, op10_token_files, op11_bpe_transducer, op12_whitening)
+                           op08_pii, op09_line_chunks, op10_token_files, op11_bpe_transducer, op12_whitening,
+                           op13_spelling_variants)
 from evalspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,9 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+
+
+@query
+def op13_spelling_variants_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = op13_spelling_variants.corpus_words(read(spark, sf_dir, "documents"), "doc_id", "text", min_chars=7, min_count=2, slip=31)
+    return op13_spelling_variants.variants(words, ratio=10)
