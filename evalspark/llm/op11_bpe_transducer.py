@@ -4,14 +4,15 @@ A rank file fixes the token sequence of a piece: neighbours of lowest rank merge
 Whether a sequence is that result depends on neighbouring tokens only: it is when every
 pair of neighbours merges back to the same pair. So the merges compile into a
 nondeterministic transducer: a configuration is (last token, node in the trie of
-tokens, tokens not yet emitted); a byte moves every configuration down the trie, and where the node is a
+tokens); a byte moves every configuration down the trie, and where the node is a
 token that may follow the last one, also back to the root. Determinising makes a state of all
-configurations that are alive; what they all have in common is emitted, so a token
-leaves after a bounded lookahead (configurations die within the length of the longest
-token). States and transitions are built on first use and kept in a bounded table,
-so a piece costs time linear in its bytes, whatever its length. A prefix of a text has
-exactly one token sequence; should a vocabulary break that rule, the transducer
-notices and the piece is merged directly.
+configurations that are alive, where of the last token only that counts which of the tokens
+below the node may follow it. Every prefix has exactly one token sequence, so a transition yields one
+token: the one that ends there. A token is emitted as soon as the sequences of all live
+configurations pass its end; they live no longer than the longest token, so the
+lookahead is bounded. States and transitions are built on first use and kept in a bounded table,
+so a piece costs time linear in its bytes, whatever its length. Should a vocabulary
+break the rule of unique prefixes, the transducer notices and the piece is merged directly.
 
 Decoding runs a UTF-8 state machine over the tokens: a token may end inside a
 character, whose first bytes then wait for the next token. Its steps for whole tokens
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES, MAX_PAIRS, MAX_KNOWN = 1 << 18, 1 << 19, 1 << 18  # the tables start anew beyond these; they only save work
-SUBTREE = 16
+MAX_STATES, MAX_PAIRS, MAX_KNOWN = 1 << 16, 1 << 17, 1 << 18  # the tables start anew beyond these; they only save work
+FLUSH = 1 << 14
+SUBTREE = 64
 KNOWN_CHARS = 64
 # Cuts where the pieces of the public pattern end anyway: before white space (Unicode's
 # White_Space, to which the four separators \x1c-\x1f do not belong) after anything else.
@@ -90,7 +92,8 @@ class Transducer:
         self.child: dict[int, int] = {}  # node << 8 | byte
         self.ends: dict[int, int] = {}
         self.sorted = [i for _, i in sorted(ranks.items())]  # tokens below a node lie side by side
-        below, past = [0], [len(ranks)]
+        self.size = {i: len(t) for t, i in ranks.items()}
+        below, past, self.depth = [0], [len(ranks)], [0]
         for at, i in enumerate(self.sorted):
             node = 0
             for b in self.token[i]:
@@ -99,20 +102,21 @@ class Transducer:
                     nxt = self.child[node << 8 | b] = len(below)
                     below.append(at)
                     past.append(at)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
                 past[node] = at + 1
             self.ends[node] = i
             below[node] = at + 1  # strictly below
         self.below, self.past = below, past
         self.pairs: dict[int, bool] = {}
-        self.open: dict[int, bool] = {}
+        self.open: dict[int, tuple] = {}
         self.halves: dict[int, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states = [((None, 0, ()),)]
+        self.states = [((0, None),)]
         self.number = {self.states[0]: 0}
-        self.table: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte
+        self.table: dict[int, tuple[int, int]] = {}  # state << 8 | byte
 
     def _split(self, token: int) -> list[int]:
         """The two tokens whose merge makes this one (the token alone: a byte)."""
@@ -152,43 +156,40 @@ class Transducer:
         self.pairs[key] = ok
         return ok
 
-    def _may_end(self, last: int | None, node: int) -> bool:
-        """Whether a longer token through ``node`` may follow ``last``; small subtrees are searched,
-        larger ones count as open until the path is further down."""
-        lo, hi = self.below[node], self.past[node]
-        if not 0 < hi - lo <= SUBTREE:
-            return hi > lo
+    def _allowed(self, last: int | None, node: int) -> tuple:
+        """Places (in the order of tokens) of the tokens strictly below ``node`` that may follow ``last``."""
         key = node if last is None else (last + 1) << 32 | node
-        ok = self.open.get(key)
-        if ok is None:
+        got = self.open.get(key)
+        if got is None:
             if len(self.open) >= MAX_PAIRS:
                 self.open.clear()
-            ok = self.open[key] = any(self._may_follow(last, token) for token in self.sorted[lo:hi])
-        return ok
+            got = self.open[key] = tuple([k for k in range(self.below[node], self.past[node]) if self._may_follow(last, self.sorted[k])])
+        return got
 
-    def _step(self, key: int) -> tuple[int, tuple]:
-        """Build the transition of ``state << 8 | byte``: the next state (shifted), what is emitted."""
+    def _step(self, key: int) -> tuple[int, int]:
+        """Build the transition of ``state << 8 | byte``: the next state (shifted), and the token that ends the
+        sequence of what was read so far."""
         byte, alive, ended = key & 255, [], []
-        for last, node, held in self.states[key >> 8]:
+        for node, past in self.states[key >> 8]:
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            if self._may_end(last, nxt):
-                alive.append((last, nxt, held))
-            token = self.ends.get(nxt)
-            if token is not None and self._may_follow(last, token):
-                ended.append((token, 0, held + (token,)))
+            token, lo, hi = self.ends.get(nxt), self.below[nxt], self.past[nxt]
+            if type(past) is tuple:
+                ends = token is not None and lo - 1 in past
+                past = tuple([k for k in past if lo <= k < hi])
+            else:
+                ends = token is not None and self._may_follow(past, token)
+                if hi - lo <= SUBTREE:
+                    past = self._allowed(past, nxt)
+            if ends:
+                ended.append(token)
+            if past != ():
+                alive.append((nxt, past))
         if len(ended) != 1:
             raise Ambiguous
-        alive += ended
-        # Sequences are prefixes of one another or part ways; the shortest and all others show how far they agree.
-        least = min([c[2] for c in alive], key=len)
-        common = len(least)
-        for _, _, held in alive:
-            while held[:common] != least[:common]:
-                common -= 1
-        out = least[:common]
-        state = tuple([(last, node, held[common:]) for last, node, held in alive] if common else alive)
+        alive.append((0, ended[0]))
+        state = tuple(alive)
         at = self.number.get(state)
         if at is None:
             if len(self.states) >= self.max_states:
@@ -196,23 +197,52 @@ class Transducer:
                 key = None
             at = self.number[state] = len(self.states)
             self.states.append(state)
-        step = (at << 8, out)
+        step = (at << 8, ended[0])
         if key is not None:
             self.table[key] = step
         return step
 
+    def settled(self, last: list[int], state: int) -> int:
+        """Up to where the tokens cannot change any more, whatever bytes follow: the last place that the sequences
+        of all live configurations pass. ``last`` holds the token that ends at each byte read."""
+        starts = {len(last) - self.depth[node] for node, _ in self.states[state >> 8]}
+        while len(starts) > 1:
+            latest = max(starts)
+            starts.remove(latest)
+            starts.add(latest - len(self.token[last[latest - 1]]))
+        return starts.pop()
+
+    def _emit(self, last: list[int], upto: int) -> list[int]:
+        out = []
+        while upto:
+            token = last[upto - 1]
+            out.append(token)
+            upto -= self.size[token]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
+        """Ids of a piece. What is settled leaves every ``FLUSH`` bytes, so little is held of a long piece."""
         out: list[int] = []
+        last: list[int] = []
         state = 0
         try:
-            for byte in piece:
-                step = self.table.get(state | byte) or self._step(state | byte)
-                state = step[0]
-                if step[1]:
-                    out += step[1]
+            for at in range(0, len(piece), FLUSH):
+                if at:
+                    done = self.settled(last, state)
+                    out += self._emit(last, done)
+                    del last[:done]
+                table = self.table
+                for byte in piece[at:at + FLUSH]:
+                    try:
+                        state, token = table[state | byte]
+                    except KeyError:
+                        state, token = self._step(state | byte)
+                        table = self.table
+                    last.append(token)
         except Ambiguous:
             return merge(piece, self.ranks)
-        return out + list(self.states[state >> 8][-1][2])  # the last configuration is the one at the root
+        return out + self._emit(last, len(last))
 
 
 # Bytes that may follow, and where they lead: state -> [(first, last, next state)]. State 0 is
@@ -341,10 +371,49 @@ def _append(batch, name: str, column):
     return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
 
-def _with(rows: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in rows.columns:
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    if name in schema.names:
         raise ValueError(f"there is a column {name} already: name another")
-    return T.StructType([*rows.schema.fields, T.StructField(name, kind)])
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
+def _encoder(ranks_file: str, pattern: str, cuts: str | None, at: int, name: str):
+    def step(b):
+        import pyarrow as pa
+
+        code = coder(ranks_file, pattern, cuts).encode
+        raw = [code(t.decode("utf-8", "replace")) if t else b"" for t in b.column(at).cast(pa.large_binary()).to_pylist()]
+        ends = np.cumsum([0] + [len(r) // 4 for r in raw], dtype=np.int32)
+        values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
+        return _append(b, name, pa.ListArray.from_arrays(pa.array(ends), values))
+    return step
+
+
+def _decoder(ranks_file: str, at: int, name: str, errors: str):
+    machine = []
+
+    def step(b):
+        import pyarrow as pa
+
+        if not machine:
+            machine.append(StreamDecoder({i: t for t, i in read_ranks(ranks_file).items()}, errors))
+        out = []
+        for ids in b.column(at):
+            machine[0].restart()
+            out.append(machine[0].feed(ids.values.to_pylist() if ids.is_valid else ()) + machine[0].finish())
+        return _append(b, name, pa.array(out, pa.binary()))
+    return step
+
+
+def _mapped(rows: DataFrame, schema: T.StructType, *steps) -> DataFrame:
+    """Each batch through all steps in one worker."""
+    def run(batches):
+        for b in batches:
+            for step in steps:
+                b = step(b)
+            yield b
+
+    return rows.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
@@ -357,20 +426,8 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text
     repeated, an empty table gives an empty result, all columns are kept, and
     a column that is already called ``ids_col`` is an error. The rank file must be
     readable under its path by every worker."""
-    schema = _with(docs, ids_col, T.ArrayType(T.IntegerType()))
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        import pyarrow as pa
-
-        code = coder(ranks_file, pattern, cuts).encode
-        for b in batches:
-            raw = [code(t.decode("utf-8", "replace")) if t else b"" for t in b.column(at).cast(pa.large_binary()).to_pylist()]
-            ends = np.cumsum([0] + [len(r) // 4 for r in raw], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-            yield _append(b, ids_col, pa.ListArray.from_arrays(pa.array(ends), values))
-
-    return docs.mapInArrow(run, schema)
+    return _mapped(docs, _with(docs.schema, ids_col, T.ArrayType(T.IntegerType())),
+                   _encoder(ranks_file, pattern, cuts, docs.columns.index(text_col), ids_col))
 
 
 def decode(rows: DataFrame, ranks_file: str, ids_col: str = "ids", out_col: str = "decoded",
@@ -381,22 +438,15 @@ def decode(rows: DataFrame, ranks_file: str, ids_col: str = "ids", out_col: str
     Null and empty id lists give empty bytes; a null or unknown id fails the job. Repeated rows stay
     repeated, an empty table gives an empty result, all columns are kept, and a
     column that is already called ``out_col`` is an error."""
-    schema = _with(rows, out_col, T.BinaryType())
-    at = rows.columns.index(ids_col)
+    return _mapped(rows, _with(rows.schema, out_col, T.BinaryType()), _decoder(ranks_file, rows.columns.index(ids_col), out_col, errors))
 
-    def run(batches):
-        import pyarrow as pa
 
-        tokens = {i: t for t, i in read_ranks(ranks_file).items()}
-        machine = StreamDecoder(tokens, errors)
-        for b in batches:
-            out = []
-            for ids in b.column(at):
-                machine.restart()
-                out.append(machine.feed(ids.values.to_pylist() if ids.is_valid else ()) + machine.finish())
-            yield _append(b, out_col, pa.array(out, pa.binary()))
-
-    return rows.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded",
+               cuts: str | None = None, errors: str = "replace") -> DataFrame:
+    """``decode`` of ``encode``, in one pass through the Python workers; cases as there."""
+    schema = _with(_with(docs.schema, ids_col, T.ArrayType(T.IntegerType())), out_col, T.BinaryType())
+    return _mapped(docs, schema, _encoder(ranks_file, pattern, cuts, docs.columns.index(text_col), ids_col),
+                   _decoder(ranks_file, len(docs.columns), out_col, errors))
 
 
 def digests(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -404,8 +454,7 @@ def digests(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_i
     """Encode and decode every text: id, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas),
     ``decoded_sha256`` (decoded bytes). Nulls and other cases as in ``encode``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = encode(rows, ranks_file, pattern, "text", "ids", cuts).select("id", "ids")
-    both = decode(ids, ranks_file, "ids", "decoded", errors="keep")
+    both = round_trip(rows, ranks_file, pattern, "text", "ids", "decoded", cuts, errors="keep")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

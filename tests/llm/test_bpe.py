@@ -56,12 +56,15 @@ def test_a_vocabulary_without_unique_prefixes_is_merged_directly():
         assert machine.encode(piece) == op11.merge(piece, ranks)
 
 
-def test_lookahead_is_bounded():
-    machine = CODER.transducer
-    machine.encode(b"a" * 20000)
-    machine.encode(("thenontheir" * 500).encode())
-    longest = max(map(len, CODER.ranks))
-    assert max(len(held) for state in machine.states for _, _, held in state) <= longest
+def test_lookahead_is_bounded(monkeypatch):
+    monkeypatch.setattr(op11, "FLUSH", 300)
+    machine, longest = op11.Transducer(CODER.ranks), max(map(len, CODER.ranks))
+    lags, settled = [], machine.settled
+    monkeypatch.setattr(machine, "settled", lambda last, state: lags.append(len(last) - settled(last, state)) or len(last) - lags[-1])
+    draw = random.Random(4)
+    for piece in (b"a" * 20000, ("thenontheir" * 500).encode(), "".join(draw.choice("eainst") for _ in range(20000)).encode()):
+        assert machine.encode(piece) == op11.merge(piece, CODER.ranks)
+    assert len(lags) > 100 and max(lags) <= 3 * longest
 
 
 @settings(max_examples=300, deadline=None)
