@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ KNOWN_CHARS = 64
 # Cuts where the pieces of the public pattern end anyway: before white space (Unicode's
 # White_Space, to which the four separators \x1c-\x1f do not belong) after anything else.
 SPACE_CUTS = r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+"
+MARKS = "!#$%&*,.;:?)]}"  # ASCII characters that are neither letter, number nor white space
 _CODERS: dict[tuple, "Coder"] = {}
 
 
@@ -259,7 +261,7 @@ class StreamDecoder:
     """Ids to text, piece by piece: ``feed`` returns the characters that are complete,
     ``finish`` what is left. Bytes that are no UTF-8 become U+FFFD with ``errors='replace'`` (one for
     each longest start of a character) and stay as they are with ``errors='keep'``;
-    ``invalid`` counts them either way. Unknown ids raise ``KeyError``."""
+    ``invalid`` counts them either way. Unknown ids raise ``ValueError``."""
 
     def __init__(self, tokens: dict[int, bytes], errors: str = "replace"):
         if errors not in ("replace", "keep"):
@@ -277,6 +279,8 @@ class StreamDecoder:
 
     def _compose(self, token: int) -> tuple:
         out, state, waiting, invalid = bytearray(), self.state, self.waiting, 0
+        if token not in self.tokens:
+            raise ValueError(f"no token has the id {token}")
         for b in self.tokens[token]:
             to = _NEXT[state].get(b)
             if to is None and state:  # the character under way is cut short; b starts anew
@@ -299,9 +303,15 @@ class StreamDecoder:
             self.whole[token] = step[0]
         return step
 
-    def feed(self, ids) -> bytes:
+    def feed(self, ids: list[int]) -> bytes:
         """UTF-8 bytes of the characters these ids complete."""
-        out, whole = [], self.whole
+        whole = self.whole
+        if not self.waiting:
+            try:  # most texts: whole characters only, seen before
+                return b"".join(map(whole.__getitem__, ids))
+            except KeyError:
+                pass
+        out = []
         for i in ids:
             if not self.waiting:
                 some = whole.get(i)
@@ -323,9 +333,10 @@ class StreamDecoder:
 
 
 class Coder:
-    """Whole texts to ids. A text is cut by ``cuts`` (if given; only where pieces end), each
-    part into pieces by ``pattern``; a piece that is a token is that token, any other
-    goes through the transducer. Ids of short parts are remembered, a bounded number."""
+    """Whole texts to ids. A text is cut into pieces by ``pattern``; a piece that is a token is that token, any other
+    goes through the transducer. Ids of short pieces are remembered, a bounded number. ``cuts`` is for the
+    public pattern: parts at whose ends pieces end, where a part of letters, with a space
+    before them or not, and then ASCII marks is two pieces. It only saves time."""
 
     def __init__(self, ranks_file: str, pattern: str, cuts: str | None = None):
         import re
@@ -335,24 +346,31 @@ class Coder:
         self.ranks = read_ranks(ranks_file)
         self.transducer = Transducer(self.ranks)
         self.pieces = regex.compile(pattern).findall
+        self.by_words = cuts is not None
         self.cuts = re.compile(cuts).findall if cuts else lambda text: [text]
         self.known: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(part):
+    def _piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
             raw = piece.encode("utf-8", "surrogatepass")
             token = self.ranks.get(raw)
-            ids += self.transducer.encode(raw) if token is None else [token]
-        found = np.array(ids, dtype="<i4").tobytes()
-        if len(part) <= KNOWN_CHARS:
-            if len(self.known) >= MAX_KNOWN:
-                self.known.clear()
-            self.known[part] = found
+            found = array("i", self.transducer.encode(raw) if token is None else [token]).tobytes()
+            if len(piece) <= KNOWN_CHARS:
+                if len(self.known) >= MAX_KNOWN:
+                    self.known.clear()
+                self.known[piece] = found
         return found
 
+    def _part(self, part: str) -> bytes:
+        if self.by_words:
+            word = part.rstrip(MARKS)
+            if (word[1:] if word[:1] == " " else word).isalpha():  # letters, then marks: two pieces
+                return self._piece(word) + (self._piece(part[len(word):]) if len(word) < len(part) else b"")
+        return b"".join([self._piece(p) for p in self.pieces(part)])
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        """Ids as 32-bit integers."""
         known, part = self.known.get, self._part
         return b"".join([known(p) or part(p) for p in self.cuts(text)])
 
@@ -419,8 +437,7 @@ def _mapped(rows: DataFrame, schema: T.StructType, *steps) -> DataFrame:
 def encode(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
            cuts: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of the whole text (array of int), each match of
-    ``pattern`` by itself, no special tokens. ``cuts`` is a pattern of parts at whose
-    ends matches end anyway (``SPACE_CUTS`` for the public pattern); it only saves time.
+    ``pattern`` by itself, no special tokens. ``cuts``: ``SPACE_CUTS`` for the public pattern, else none (see ``Coder``).
 
     Null and empty texts have no ids. Invalid UTF-8 counts as U+FFFD. Repeated rows stay
     repeated, an empty table gives an empty result, all columns are kept, and
