@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only (no locale or Unicode rules)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import cut, stored
+from evalspark.llm.common import cut, spare, stored
 from evalspark.operators.components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -218,7 +218,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` whose id names their component: one document of each group
     stays, with all its columns (rows that share its id stay together). Rows with a null id stay only if their whole group
     has null ids, and then all of them do (nothing tells them apart)."""
-    near = near_duplicates(docs, id_col, text_col, shingle, radius, blocks)
+    near, kept = near_duplicates(docs, id_col, text_col, shingle, radius, blocks), spare("_kept_id", docs)
     keep = (near.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("_kept_id")).distinct())
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+            .select(F.col(id_col).alias(kept)).distinct())
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")

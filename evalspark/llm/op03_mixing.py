@@ -3,7 +3,7 @@
 Token weights of the (source, language, topic) cells are raked: in every round each
 dimension's weights are scaled by target share / current share, one dimension after the
 other. Documents are then sampled with the calibrated probability of their cell.
-With ``share``, the sample has that expected size: rates are bounded by 1 inside the
+The sample has a given expected size: rates are bounded by 1 inside the
 rounds, what a full cell cannot supply is taken from the others of its category, and the
 rounds go on until all sums by dimension agree (``calibrate``).
 
@@ -16,14 +16,12 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from evalspark.llm.common import cut, lower_az
+from evalspark.llm.common import cut, lower_az, spare
 
-SMALL_CELLS = 100_000  # about 100 bytes each
+SHARE = 0.5
 NONE = "?"  # the category of a null
 DIMS = ("source", "lang", "topic")
 # Topic by the first of these that the (lower-cased) text holds; else "general".
@@ -65,29 +63,6 @@ def with_own_shares(cells: DataFrame, dim: str, given: DataFrame, power: float =
     return both.withColumn("s", total).select(dim, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(F.col("target")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 8) -> DataFrame:
-    """``cells`` (dimensions and ``tokens``) with ``weight``: shares whose sums by each
-    dimension approach the targets. A category without a target, or a cell without
-    tokens, gets weight 0; targets are normalised over the categories that have tokens."""
-    live = cells.where("tokens > 0")
-    now = cells
-    for dim, target in targets.items():
-        have = live.select(dim).distinct().join(target, dim).where("target > 0")
-        share = have.withColumn("whole", have.agg(F.sum("target")).scalar()).select(dim, (F.col("target") / F.col("whole")).alias(f"_{dim}"))
-        now = now.join(share, dim, "left")
-    # A small table of cells needs no exchange between the rounds.
-    small = cells.count() <= SMALL_CELLS
-    now = cut(now.withColumn("weight", F.col("tokens").cast("double")))
-    for i in range(rounds):
-        now = now.coalesce(1) if small else now
-        for dim in targets:
-            total = F.sum("weight").over(Window.partitionBy(dim))
-            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.coalesce(f"_{dim}", F.lit(0.0)) / total).otherwise(0.0))
-        if i % 4 == 3:
-            now = cut(now)
-    return now.drop(*(f"_{d}" for d in targets))
-
-
 def _full(x: Column, tokens: Column, amount: Column, by: list[Column], tie: list[Column]) -> Column:
     """Whether f * x >= 1, for the factor f of each group with which its sum of
     tokens * min(1, f * x) is ``amount``; found exactly, in the order of x."""
@@ -106,6 +81,23 @@ def _factor(x: Column, tokens: Column, full: Column, amount: Column, by: list[Co
     return F.when(free > 0, (amount - taken) / free).when(least.isNotNull(), F.greatest(1 / least, F.lit(1.0))).otherwise(1.0)
 
 
+def _common_factor(cats: DataFrame, amount: float) -> float:
+    """The factor f with which the sum of cap * min(1, f * y) over all categories is ``amount``. Given f, those with
+    f * y >= 1 are full; without them f only grows, so each pass over the categories (two sums) adds full ones
+    until none is left to add."""
+    f = 1.0
+    while True:
+        full = F.col("y") * F.lit(f) >= 1
+        taken, free = cats.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(full, 0.0).otherwise(F.col("cap") * F.col("y")))).first()
+        if not free:  # all give all they have
+            least = cats.agg(F.min("y")).first()[0]
+            return max(1.0, 1.0 / least) if least else 1.0
+        new = (amount - (taken or 0.0)) / free
+        if new <= f * (1 + 1e-12):
+            return new
+        f = new
+
+
 def _settled(seen: list[float], tolerance: float) -> bool:
     return seen[-1] <= tolerance or len(seen) > 5 and seen[-1] > 0.99 * seen[-6]
 
@@ -115,56 +107,6 @@ def _tell(residual: float, tolerance: float, rounds: int) -> None:
         logging.getLogger(__name__).warning("mixing: after %d rounds a category's share of the sample is %.6f off its target", rounds, residual)
 
 
-def _local_factor(x: np.ndarray, tokens: np.ndarray, amount: float) -> float:
-    """f with sum of tokens * min(1, f * x) = ``amount``; what fills all rows if they hold no more."""
-    live = (x > 0) & (tokens > 0)
-    x, tokens = x[live], tokens[live]
-    if not len(x):
-        return 1.0
-    order = np.argsort(-x, kind="stable")
-    x, tokens = x[order], tokens[order]
-    upto, rest = np.cumsum(tokens), np.append(np.cumsum((tokens * x)[::-1])[::-1], 0.0)
-    n = int(np.sum(upto + rest[1:] / x <= amount))  # these are full
-    return float((amount - (upto[n - 1] if n else 0.0)) / rest[n]) if n < len(x) else max(1.0, 1 / float(x[-1]))
-
-
-def _calibrate_local(cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float, max_rounds: int) -> DataFrame:
-    """``calibrate`` of a table of at most ``SMALL_CELLS`` rows, where a round of jobs would cost far more than its sums."""
-    rows = cells.collect()
-    tokens = np.array([float(r["tokens"]) for r in rows])
-    x, code, goals = np.full(len(rows), float(share)), {}, {}
-    for dim, target in targets.items():
-        names = {v: k for k, v in enumerate(sorted({r[dim] for r in rows}))}
-        code[dim] = np.array([names[r[dim]] for r in rows], dtype=np.int64)
-        asked = {r[dim]: r["target"] for r in target.collect()}
-        held = np.bincount(code[dim], weights=tokens, minlength=len(names))
-        shut = np.array([n > 0 if asked.get(v) is None else asked[v] <= 0 for v, n in zip(names, held)], dtype=bool)
-        goals[dim] = np.array([float(asked.get(v) or 0.0) for v in names])
-        x[shut[code[dim]]] = 0.0
-    amount = min(share * tokens.sum(), tokens[x > 0].sum())
-    wanted, seen = {}, []
-    for dim in targets:
-        # What each category is to supply: its target, or all it has.
-        cap = np.bincount(code[dim], weights=tokens * (x > 0), minlength=len(goals[dim])).astype(float)
-        t = np.where(cap > 0, goals[dim], 0.0)
-        wanted[dim] = t / t.sum() if t.sum() > 0 else t
-        y = np.divide(wanted[dim] * amount, cap, out=np.zeros_like(cap), where=cap > 0)
-        goals[dim] = cap * np.minimum(1.0, _local_factor(y, cap, amount) * y)
-    sums = lambda d: np.bincount(code[d], weights=tokens * np.minimum(1.0, x), minlength=len(goals[d]))
-    groups = {d: [np.flatnonzero(code[d] == k) for k in range(len(goals[d]))] for d in targets}
-    for _ in range(max_rounds if amount > 0 else 0):
-        for dim in targets:
-            for k, at in enumerate(groups[dim]):
-                x[at] = np.where(x[at] > 0, np.clip(x[at] * _local_factor(x[at], tokens[at], goals[dim][k]), 1e-100, 1e100), 0.0)
-        seen.append(max(np.abs(sums(d) - goals[d]).max() for d in targets) / amount)
-        if _settled(seen, tolerance):
-            break
-    residual = max((float(np.abs(sums(d) / amount - wanted[d]).max()) for d in targets), default=0.0) if amount > 0 else 0.0
-    _tell(residual, tolerance, len(seen))
-    schema = T.StructType([*(cells.schema[d] for d in targets), T.StructField("tokens", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("residual", T.DoubleType())])
-    return cells.sparkSession.createDataFrame([(*(r[d] for d in targets), float(n), min(1.0, float(v) if n > 0 or v <= 0 else share), residual) for r, n, v in zip(rows, tokens, x)], schema)
-
-
 def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
     """``cells`` with ``rate`` and ``residual``. The sum of tokens * rate is ``share`` of all
     tokens, and its sums by each dimension are the targets as far as the tokens reach:
@@ -178,8 +120,6 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tol
     Other cells without tokens, which weigh nothing, get rate ``share``."""
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
-    if cells.count() <= SMALL_CELLS:
-        return _calibrate_local(cells, targets, share, tolerance, max_rounds)
     now = cells.withColumn("tokens", F.col("tokens").cast("double"))
     for dim, target in targets.items():
         now = now.join(target.select(dim, F.col("target").alias(f"_{dim}")), dim, "left")
@@ -189,12 +129,12 @@ def calibrate(cells: DataFrame, targets: dict[str, DataFrame], share: float, tol
     amount = min(share * (total or 0.0), held or 0.0)
     for dim in targets:
         # What each category is to supply: its target, or all it has.
-        cats = (now.where("x > 0 AND tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("cap"), F.first(f"_{dim}").alias("t"))
-                .withColumn("_p", F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(1)))).withColumn("y", F.col("_p") * F.lit(amount) / F.col("cap")))
-        one, y, cap, goal = [F.lit(1)], F.col("y"), F.col("cap"), F.lit(amount)
-        cats = cats.withColumn("full", _full(y, cap, goal, one, [F.col(dim)]))
-        cats = cats.withColumn("f", _factor(y, cap, F.col("full"), goal, one))
-        goals = cats.select(dim, F.col("_p").alias(f"_p_{dim}"), (cap * F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.col("f") * y))).alias(f"_goal_{dim}"))
+        cats = (now.where("x > 0 AND tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("cap"), F.first(f"_{dim}").alias("t")))
+        cats = cut(cats)
+        asked = cats.agg(F.sum("t")).first()[0] or 1.0
+        cats = cats.withColumn("_p", F.col("t") / F.lit(asked)).withColumn("y", F.col("_p") * F.lit(amount) / F.col("cap"))
+        f = _common_factor(cats, amount)
+        goals = cats.select(dim, F.col("_p").alias(f"_p_{dim}"), (F.col("cap") * F.least(F.lit(1.0), F.lit(f) * F.col("y"))).alias(f"_goal_{dim}"))
         now = now.join(goals, dim, "left")
     now = cut(now.drop(*(f"_{d}" for d in targets)))
     x, tokens = F.col("x"), F.col("tokens")
@@ -227,88 +167,64 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(hexa, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``."""
+def _names(docs: DataFrame | None = None) -> dict[str, str]:
+    """Names of the columns ``mix`` adds; with ``docs``, others where it has such a column."""
+    return {k: f"_{k}" if docs is None else spare(f"_{k}", docs) for k in ("source", "lang", "topic", "tokens", "weight", "rate", "sampled")}
+
+
+def _with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, as_: dict) -> DataFrame:
     return docs.withColumns({
-        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)),
-        "_topic": topic_of(F.col(text_col)), "_tokens": n_tokens(F.col(text_col))})
+        as_["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), as_["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)),
+        as_["topic"]: topic_of(F.col(text_col)), as_["tokens"]: n_tokens(F.col(text_col))})
 
 
-def rates(marked: DataFrame, lang_target: dict, topic_target: dict, power: float, rounds: int, share: float | None = None) -> DataFrame:
-    """Per cell: ``source``, ``lang``, ``topic``, ``tokens``, ``weight`` (raked share) and
-    ``rate`` (sampling probability: weight per token, scaled so that the largest is 1; with
-    ``share``, the rates of ``calibrate``, and ``weight`` is the cell's share of the sample)."""
-    cells = cut(marked.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"))
-                .agg(F.sum("_tokens").alias("tokens")))
-    spark = marked.sparkSession
+def rates(cells: DataFrame, lang_target: dict, topic_target: dict, power: float, share: float) -> DataFrame:
+    """``cells`` (``source``, ``lang``, ``topic``, ``tokens``) with ``weight`` (the cell's share of the sample), ``rate`` (sampling
+    probability) and ``residual``; see ``calibrate``. Categories without a given target have their tempered shares."""
+    spark = cells.sparkSession
     given = {d: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"{d} string, target double")
-             for d, t in (("lang", lang_target), ("topic", topic_target))}
-    if share is not None:
-        given["source"] = spark.createDataFrame([], "source string, target double")
-        done = calibrate(cells, {d: with_own_shares(cells, d, given[d], power) for d in DIMS}, share)
-        kept = F.col("tokens") * F.col("rate")
-        return done.withColumn("_all", done.agg(F.sum(kept)).scalar()).withColumn("weight", F.when(F.col("_all") > 0, kept / F.col("_all")).otherwise(0.0)).drop("_all")
-    raked = cut(rake(cells, {"source": tempered(cells, "source", power), **given}, rounds))
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    return raked.withColumn("top", raked.agg(F.max(ratio)).scalar()).withColumn("rate", F.when(F.col("top") > 0, ratio / F.col("top")).otherwise(0.0)).drop("top")
+             for d, t in (("source", {}), ("lang", lang_target), ("topic", topic_target))}
+    done = calibrate(cells, {d: with_own_shares(cells, d, given[d], power) for d in DIMS}, share)
+    kept = F.col("tokens") * F.col("rate")
+    total = done.agg(F.sum(kept)).first()[0] or 0.0
+    return done.withColumn("weight", kept / F.lit(total) if total else F.lit(0.0))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, lang_target: dict, topic_target: dict,
+           power: float, seed: int, share: float, as_: dict) -> DataFrame:
+    marked = _with_cells(docs, text_col, source_col, lang_col, as_)
+    cells = cut(marked.groupBy(*[F.col(as_[d]).alias(d) for d in DIMS]).agg(F.sum(as_["tokens"]).alias("tokens")))
+    table = cut(rates(cells, lang_target, topic_target, power, share).select(F.struct(*DIMS).alias(spare("_cell", marked)),
+                F.col("weight").alias(as_["weight"]), F.col("rate").alias(as_["rate"])))
+    # Broadcast by its measured size, else joined by a shuffle whose skewed side the runtime splits.
+    both = marked.join(table, F.struct(*[F.col(as_[d]).alias(d) for d in DIMS]) == F.col(table.columns[0])).drop(table.columns[0])
+    return both.withColumn(as_["sampled"], uniform(F.col(id_col), seed) < F.col(as_["rate"]))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5, rounds: int = 8,
-        seed: int = 17, share: float | None = None) -> DataFrame:
+        lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5,
+        seed: int = 17, share: float = SHARE) -> DataFrame:
     """``docs`` with ``_source``, ``_lang``, ``_topic``, ``_tokens``, ``_weight``, ``_rate`` and
     ``_sampled``: a document is sampled if its uniform number lies below its cell's rate.
 
-    The rates are proportional to raked weight per token and at most 1, so the expected
-    token shares of the sample are the raked ones. Without ``share`` the largest rate is 1, so
-    the rarest cell alone fixes the sample's size (the rule of the SQL); with it, the sample
-    has that expected share of all tokens (see ``calibrate``). Null source or language is the
-    category "?", which has no target unless one is given (language) or has its tempered
-    share (source); with ``share``, languages and topics without a given target have their
-    tempered shares too, and only a given 0 drops a category. Texts without words have
-    weight 0 in the shares but their cell's rate; a cell made only of them has rate 0, with
-    ``share`` the rate ``share``.
-    Repeated ids are sampled together. An empty table gives an empty result."""
-    marked = with_cells(docs, text_col, source_col, lang_col)
-    table = cut(rates(marked, lang_target, topic_target, power, rounds, share).select(
-        F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_weight"), F.col("rate").alias("_rate")))
-    small = table.count() <= SMALL_CELLS
-    both = marked.join(F.broadcast(table) if small else table, (F.col("_source") == F.col("_s")) & (F.col("_lang") == F.col("_l")) & (F.col("_topic") == F.col("_t")))
-    return both.withColumn("_sampled", uniform(F.col(id_col), seed) < F.col("_rate")).drop("_s", "_l", "_t")
-
-
-def sample_mixture(docs: DataFrame, **kw) -> DataFrame:
-    """The sampled rows of ``docs`` with their own columns."""
-    return mix(docs, **kw).where("_sampled").select(*docs.columns)
-
-
-def oracle(rounds: int = 8, seed: int = 17, power: float = 0.5) -> str:
-    """The same computation as DuckDB SQL, one step per dimension and round."""
-    def values(t):
-        return ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in t.items())
-
-    tests = " ".join("WHEN " + " OR ".join(f"contains(low, '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in TOPICS)
-    steps = [f"""
-marked AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE {tests} ELSE 'general' END AS topic,
-    len([x FOR x IN regexp_split_to_array(low, '[\\x20\\x09-\\x0D]+') IF x <> ''])::BIGINT AS n_tokens
-    FROM (SELECT *, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
-cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM marked GROUP BY ALL),
-raw_source AS (SELECT source, pow(sum(tokens), {power}) AS target FROM cells GROUP BY source),
-raw_lang AS (SELECT * FROM (VALUES {values(LANG_TARGET)}) t(lang, target) WHERE lang IN (SELECT lang FROM cells WHERE tokens > 0)),
-raw_topic AS (SELECT * FROM (VALUES {values(TOPIC_TARGET)}) t(topic, target) WHERE topic IN (SELECT topic FROM cells WHERE tokens > 0)),
-w0 AS (SELECT *, tokens AS weight FROM cells)"""]
-    at = 0
-    for _ in range(rounds):
-        for dim in DIMS:
-            steps.append(f"""
-w{at + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, CASE WHEN sum(c.weight) OVER (PARTITION BY c.{dim}) > 0
-    THEN c.weight * coalesce(t.target, 0) / (SELECT sum(target) FROM raw_{dim}) / sum(c.weight) OVER (PARTITION BY c.{dim}) ELSE 0 END AS weight
-    FROM w{at} c LEFT JOIN raw_{dim} t ON t.{dim} = c.{dim})""")
-            at += 1
-    steps.append(f"""
-rated AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{at}),
-topped AS (SELECT *, CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END AS rate FROM rated)""")
-    return "WITH" + ",".join(steps) + f"""
-SELECT m.doc_id, m.source, m.lang, m.topic, m.n_tokens, round(t.weight, 9) AS cell_weight, round(t.rate, 9) AS rate,
-    ('0x' || substr(md5('{seed}:' || coalesce(m.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < t.rate AS sampled
-FROM marked m JOIN topped t ON t.source = m.source AND t.lang = m.lang AND t.topic = m.topic"""
+    The sample has the expected ``share`` of all tokens, and its shares by source, language and topic are the
+    targets as far as the tokens reach (see ``calibrate``); nothing is repeated. Null source or language is the
+    category "?". A category without a given target has its tempered share of the tokens; only a
+    given 0 drops one. Texts without words (null ones too) weigh nothing; they have their cell's rate, and
+    the rate ``share`` where a cell has no others.
+    Repeated ids are sampled together. An empty table gives an empty result. A column of ``docs`` that
+    has one of the new names is an error (``sample_mixture`` takes any)."""
+    as_ = _names()
+    clash = [n for n in as_.values() if n.lower() in {c.lower() for c in docs.columns}]
+    if clash:
+        raise ValueError(f"there are columns {clash} already")
+    return _mixed(docs, id_col, text_col, source_col, lang_col, lang_target, topic_target, power, seed, share, as_)
+
+
+def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+                   lang_target: dict = LANG_TARGET, topic_target: dict = TOPIC_TARGET, power: float = 0.5,
+                   seed: int = 17, share: float = SHARE) -> DataFrame:
+    """The sampled rows of ``docs`` with their own columns, whatever their names; cases as in ``mix``."""
+    as_ = _names(docs)
+    both = _mixed(docs, id_col, text_col, source_col, lang_col, lang_target, topic_target, power, seed, share, as_)
+    return both.where(F.col(as_["sampled"])).select(*[F.col(f"`{c}`") for c in docs.columns])

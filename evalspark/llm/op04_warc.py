@@ -16,7 +16,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import open_fs, scratch
+from evalspark.llm.common import open_fs, scratch, spare
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the frame that carries a .warc.zst dictionary
 ZSTD_MAGIC = 0xFD2FB528  # fixed value: start of a Zstandard frame
@@ -29,7 +29,10 @@ def with_roles(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int =
     """``pages`` with ``_payload`` (null: empty), ``_digest`` (SHA-256), ``_refers``: of equal
     payloads of at least ``min_bytes`` bytes the smallest id is the response, and the
     others refer to it. Rows that share the smallest id are all responses; a null id is
-    never the smallest, and payloads with null ids only are all responses."""
+    never the smallest, and payloads with null ids only are all responses. A column of ``pages`` that has one
+    of the new names is an error."""
+    if any(spare(c, pages) != c for c in ("_payload", "_digest", "_refers", "_first", "_n")):
+        raise ValueError("_payload, _digest, _refers, _first and _n are names of new columns")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.withColumns({"_payload": payload, "_digest": F.sha2(payload, 256)})
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import spare
+
 PARTS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 BLOCK = 1 << 20
 REPEAT = zlib.crc32(b"\0again")  # every pair of equal parts is this one bigram
@@ -160,7 +162,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      label_col: str = "quality", threshold: float = 0.3, **kw) -> DataFrame:
-    """The rows of ``docs`` the classifier accepts, with all their columns."""
-    weights = fit_quality(docs, labels, id_col, text_col, label_col, **kw)
-    scored = with_score(docs, weights, text_col, out="_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of ``docs`` the classifier accepts, with all their columns, whatever their names.
+
+    Every row is judged by its text alone: null and empty texts have one score (that of no words), repeated
+    rows stay or go together, ids are not looked at. An empty table gives an empty result."""
+    weights, score = fit_quality(docs, labels, id_col, text_col, label_col, **kw), spare("_quality_score", docs)
+    return with_score(docs, weights, text_col, out=score).where(F.col(score) >= threshold).drop(score)

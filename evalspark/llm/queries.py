@@ -34,15 +34,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = op03_mixing.mix(read(spark, sf_dir, "documents"))
+    mixed = op03_mixing.mix(read(spark, sf_dir, "documents"), share=0.5)
     return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
                         F.col("_tokens").alias("n_tokens"), F.round("_weight", 9).alias("cell_weight"),
                         F.round("_rate", 9).alias("rate"), F.col("_sampled").alias("sampled"))
 
 
-ORACLE_SQL["op3_source_mixing"] = op03_mixing.oracle()
-
-
 @query
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = op04_warc.warc_round_trip(read(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=100)

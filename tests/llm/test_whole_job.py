@@ -1,5 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ def test_a_rare_cell_does_not_set_the_size_of_the_sample(spark, es):
     assert out.agg(F.max("_rate")).first()[0] <= 1
 
 
-def test_rounds_go_on_until_the_sums_agree(spark, caplog, monkeypatch):
+def test_rounds_go_on_until_the_sums_agree(spark, caplog):
     cells = spark.createDataFrame([("a", "x", 900.0), ("a", "y", 5.0), ("b", "x", 10.0), ("b", "y", 85.0)], "p string, q string, tokens double")
     half = {d: spark.createDataFrame([(k, 0.5) for k in v], f"{d} string, target double") for d, v in (("p", "ab"), ("q", "xy"))}
     got = op3.calibrate(cells, half, share=0.15).collect()
@@ -39,10 +43,6 @@ def test_rounds_go_on_until_the_sums_agree(spark, caplog, monkeypatch):
     got = op3.calibrate(cells, half, share=0.5).collect()
     assert sum(r.tokens * r.rate for r in got) == pytest.approx(500.0, rel=1e-4) and got[0].residual > 0.2
     assert "off its target" in caplog.text
-    # A table too large for the driver goes by jobs, round by round with the same rates.
-    local = {(r.p, r.q): r.rate for r in op3.calibrate(cells, half, share=0.5, max_rounds=1).collect()}
-    monkeypatch.setattr(op3, "SMALL_CELLS", 0)
-    assert {(r.p, r.q): r.rate for r in op3.calibrate(cells, half, share=0.5, max_rounds=1).collect()} == pytest.approx(local)
 
 
 def test_categories_without_a_given_target_keep_their_share(spark):
@@ -62,3 +62,86 @@ def test_categories_without_a_given_target_keep_their_share(spark):
 
 def test_share_of_an_empty_table(spark):
     assert op3.sample_mixture(mixed_docs(spark).limit(0), share=0.5).count() == 0
+
+
+def brute_rates(rows, targets, share, tolerance=1e-6, max_rounds=100):
+    """Rates by bisection: in every round each category's factor is searched for until the category supplies its goal."""
+    dims, tokens = list(targets), np.array([float(r["tokens"]) for r in rows])
+
+    def factor(x, t, goal):
+        lo, hi = 0.0, 1e120
+        for _ in range(900):
+            mid = (lo * hi) ** 0.5 if lo > 0 else hi / 1e3
+            if t @ np.minimum(1, mid * x) < goal:
+                lo = mid
+            else:
+                hi = mid
+            if lo == 0 and hi < 1e-120 or lo > 0 and hi / lo < 1 + 1e-14:
+                break
+        return hi
+
+    x = np.full(len(rows), share)
+    for d in dims:
+        x[[targets[d].get(r[d], 0) <= 0 and sum(t for t, q in zip(tokens, rows) if q[d] == r[d]) > 0 for r in rows]] = 0
+    amount = min(share * tokens.sum(), tokens[x > 0].sum())
+    goals = {}
+    for d in dims:
+        cap = {}
+        for r, t, v in zip(rows, tokens, x):
+            if v > 0 and t > 0:
+                cap[r[d]] = cap.get(r[d], 0) + t
+        want = sum(targets[d][c] for c in cap)
+        names = sorted(cap, key=str)
+        y, caps = np.array([targets[d][c] / want * amount / cap[c] for c in names]), np.array([cap[c] for c in names])
+        f = factor(y, caps, min(amount, caps.sum()) * (1 - 1e-15))
+        goals[d] = dict(zip(names, (caps * np.minimum(1, f * y)).tolist()))
+    seen = []
+    for _ in range(max_rounds):
+        for d in dims:
+            for c, goal in goals[d].items():
+                at = np.array([r[d] == c for r in rows]) & (x > 0)
+                x[at] = np.clip(x[at] * factor(x[at], tokens[at], goal * (1 - 1e-15)), 1e-100, 1e100)
+        seen.append(max(abs(sum(t * min(1, v) for r, t, v in zip(rows, tokens, x) if r[d] == c) - goal) for d in dims for c, goal in goals[d].items()) / amount)
+        if seen[-1] <= tolerance or len(seen) > 5 and seen[-1] > 0.99 * seen[-6]:
+            break
+    return np.where((tokens > 0) | (x <= 0), np.minimum(1, x), share)
+
+
+def own_targets(rows, dim, given, power=0.5):
+    sums = {}
+    for r in rows:
+        sums[r[dim]] = sums.get(r[dim], 0) + r["tokens"]
+    whole = sum(v ** power for v in sums.values())
+    out = {c: given.get(c, v ** power / whole if v else 0) for c, v in sums.items()}
+    return {c: v / sum(out.values()) for c, v in out.items()}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_query_equals_brute_force(spark, sf, share):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    out = op3.mix(docs, share=share).select("doc_id", "text", "_source", "_lang", "_topic", "_tokens", "_rate", "_sampled").collect()
+    cells = {}
+    for r in out:
+        low = (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        assert r._tokens == len(re.findall("[^\x20\x09-\x0d]+", low))
+        assert r._topic == next((t for t, marks in op3.TOPICS if any(m in low for m in marks)), "general")
+        cells[r._source, r._lang, r._topic] = cells.get((r._source, r._lang, r._topic), 0) + r._tokens
+        draw = int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert r._sampled == (draw < r._rate)
+    rows = [dict(zip(op3.DIMS, k), tokens=v) for k, v in cells.items()]
+    targets = {"source": own_targets(rows, "source", {}), "lang": own_targets(rows, "lang", op3.LANG_TARGET), "topic": own_targets(rows, "topic", op3.TOPIC_TARGET)}
+    want = {tuple(r[d] for d in op3.DIMS): v for r, v in zip(rows, brute_rates(rows, targets, share).tolist())}
+    got = {(r._source, r._lang, r._topic): r._rate for r in out}
+    assert got == {k: pytest.approx(v, rel=2e-3, abs=1e-6) for k, v in want.items()}
+    assert sum(cells[k] * v for k, v in got.items()) == pytest.approx(share * sum(cells.values()), rel=1e-4)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    docs = mixed_docs(spark)
+    for name in ("_weight", "_tokens", "_rate", "_source", "_cell", "_sampled"):
+        other = docs.withColumnRenamed("pos", name)
+        kept = op3.sample_mixture(other, share=0.5)
+        assert kept.columns == other.columns and kept.where(F.col(name) == 0).count() == kept.count() > 1500
+    with pytest.raises(ValueError):
+        op3.mix(docs.withColumnRenamed("pos", "_Tokens"))
