@@ -98,27 +98,47 @@ def test_near_duplicates_equal_brute_force(spark):
     assert op2.near_duplicates(clashing(spark, rows).limit(0)).count() == 0
 
 
-def chunks_removed(rows, divisor=op9.DIVISOR):
+def chunks_of(lines):
+    """Lists of line numbers, by walking the lines."""
     import hashlib
 
-    placed = []
-    for key in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = (key[1] or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        start, j = 0, 0
-        for i in range(len(lines)):
-            r = h[i] + 31 * (h[i - 1] if i else 0) + 961 * (h[i - 2] if i > 1 else 0)
-            if r % divisor == 0 or i == len(lines) - 1:
-                placed.append((key, j, lines[start:i + 1]))
-                start, j = i + 1, j + 1
-    seen, out = set(), {}
-    for key, _, lines in placed:
-        body = "\n".join(lines)
-        again = len(lines) > 1 and body.strip() != "" and body in seen
-        seen.add(body if len(lines) > 1 else None)
-        out.setdefault(key, []).append((lines, again))
-    return [(i, sum(len(x) for x, _ in out[i, t]), sum(len(x) for x, g in out[i, t] if g), sum(g for _, g in out[i, t]),
-             "\n".join(y for x, g in out[i, t] if not g for y in x)) for i, t in rows]
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    r = [((h[i - 1] if i else 0) * 1_000_003 + h[i]) % (2 ** 31 - 1) for i in range(len(h))]
+    out, now, offset = [], [], 0
+    for i in range(len(lines)):
+        offset = offset + 1 if i and h[i] == h[i - 1] else 0
+        now.append(i)
+        low = 0 < i < len(h) - 1 and r[i] < r[i - 1] and r[i] <= r[i + 1] and h[i] not in (h[i - 1], h[i + 1]) and not (i > 1 and h[i - 1] == h[i - 2])
+        if i == len(lines) - 1 or i <= len(lines) - 3 and (offset % 2 == 1 or low):
+            out.append(now)
+            now = []
+    return out
+
+
+def chunks_removed(rows):
+    docs = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = {key: (key[1] or "").split("\n") for key in docs}
+    first, gone, count = {}, {key: set() for key in docs}, dict.fromkeys(docs, 0)
+    for key in docs:
+        chunks = chunks_of(lines[key])
+        assert all(len(c) > 1 for c in chunks) or len(lines[key]) == 1
+        for j, c in enumerate(chunks):
+            body = "\n".join(lines[key][k] for k in c)
+            if len(c) < 2 or not body.strip():
+                continue
+            if body not in first:
+                first[body] = (key, chunks, j)
+                continue
+            key0, chunks0, j0 = first[body]
+            gone[key] |= set(c)
+            count[key] += 1
+            for step in (-1, 1):  # over equal lines, up to the ends of the two neighbouring chunks
+                a, b = ([k for m in sorted([at + step, at + 2 * step]) if 0 <= m < len(some) for k in some[m]] for at, some in ((j, chunks), (j0, chunks0)))
+                for x, y in zip(a[::step], b[::step]):
+                    if lines[key][x] != lines[key0][y]:
+                        break
+                    gone[key].add(x)
+    return [(i, len(lines[i, t]), len(gone[i, t]), count[i, t], "\n".join(x for k, x in enumerate(lines[i, t]) if k not in gone[i, t])) for i, t in rows]
 
 
 def test_line_chunks_equal_brute_force(spark):
@@ -126,13 +146,30 @@ def test_line_chunks_equal_brute_force(spark):
     block = [f"line {i}" for i in range(40)]
     rows = [(i, "\n".join(rng.choice([f"own {i} {k}", "", *block]) if rng.random() < 0.4 else "\n".join(block[a:a + 9]) for k, a in
                           enumerate(rng.randrange(30) for _ in range(rng.randrange(1, 9))))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "\n\n\n"), (3, rows[3][1])]
+    rows += [(50 + i, "\n".join(rng.choice("ab") for _ in range(rng.randrange(30)))) for i in range(30)]
+    rows += [(100, None), (101, ""), (102, "\n\n\n"), (3, rows[3][1]), (None, rows[4][1]), (110, rows[5][1])]
+    rows += [(120, "\n".join(f"long {k % 5000}" for k in range(20_000))), (121, "same\n" * 20_000)]
     got = op9.remove_repeated_chunks(clashing(spark, rows))
     assert brute.ordered(got.collect()) == brute.ordered(chunks_removed(rows))
     assert op9.remove_repeated_chunks(clashing(spark, rows).limit(0)).count() == 0
 
 
-def test_line_chunks_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(op9, "BROADCAST_HASHES", 0)
-    rows = [(i, "\n".join(f"l{k}" for k in range(i % 3, 30))) for i in range(6)]
-    assert brute.ordered(op9.remove_repeated_chunks(clashing(spark, rows)).collect()) == brute.ordered(chunks_removed(rows))
+def test_runs_copies_and_short_passages(spark):
+    passage = [f"passage {k}" for k in range(9)]
+    rows = [(1, "head one\n" + "L\n" * 12 + "tail one"), (2, "head two\n" + "L\n" * 12 + "tail two"),
+            (3, "\n".join(f"own {k}" for k in range(7))), (4, "\n".join(f"own {k}" for k in range(7))),
+            (5, "\n".join([*(f"x{k}" for k in range(6)), *passage, "end"])), (6, "\n".join(["y", *passage, *(f"z{k}" for k in range(5))]))]
+    out = {r.doc_id: r.kept for r in op9.remove_repeated_chunks(clashing(spark, rows)).collect()}
+    assert out[1].startswith("head one\nL\nL") and out[1].endswith("tail one") and out[1].count("L") <= 4
+    assert out[2] == "head two\ntail two"  # the run is gone, whatever stands around it
+    assert out[3] == rows[2][1] and out[4] == ""  # every line of a copy
+    assert out[5] == rows[4][1] and out[6] == "\n".join(["y", *(f"z{k}" for k in range(5))])  # the whole passage, over the edges of its chunks
+
+
+def test_no_removed_line_is_lost(spark):
+    """Every line that is removed somewhere stays somewhere."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(str(rng.randrange(6)) for _ in range(rng.randrange(1, 60)))) for i in range(80)]
+    out = op9.remove_repeated_chunks(clashing(spark, rows)).collect()
+    kept = {x for r in out for x in r.kept.split("\n")}
+    assert {x for _, t in rows for x in t.split("\n")} <= kept and sum(r.n_removed for r in out) > 500
