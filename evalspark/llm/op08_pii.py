@@ -1,20 +1,24 @@
 """Personal data: base patterns with checks, and information-theoretic sanitisation.
 
 Protected entities are the values the base patterns find (e-mail, IP, card, phone). For
-every word near an entity the corpus tells how strongly it reveals that entity: with
-n(t), n(v), n(t, v) the numbers of different documents that hold the word, the entity,
-and the word near the entity, the disclosure is P(v | t) = n(t, v) / n(t), worth
-log2(P(v | t) / P(v)) bits. Words above the thresholds are spans of kind ``term``, in all
-documents, and are generalised or removed like the base spans.
-
-DataFrame functions only. All counts cover all documents, equal texts counted once."""
+every word the corpus tells how strongly it reveals an entity: with n(t), n(v), n(t, v) the numbers of
+different documents that hold the word (outside all base spans), the entity, and both of them anywhere,
+the disclosure is P(v | t) = n(t, v) / n(t), worth log2(P(v | t) / P(v)) bits. A word is a
+span of kind ``term``, in all documents, if for some entity the disclosure reaches ``min_share`` in ``min_docs``
+documents and more, and either each of them yields ``min_bits``, or all of them together ``min_evidence``
+bits: an entity that many documents hold is worth few bits a document, and is protected by
+the words that go with it in many. Terms are generalised or removed like the base spans.
+
+DataFrame functions only. All counts cover all documents, equal texts counted once: their words and entities
+are made distinct by text first, and every count is a partial aggregate by word, by entity or by both. Positions
+are running sums by blocks, so a text with very many matches takes time in proportion."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import lower_az, stored
+from evalspark.llm.common import lower_az, spare, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # Fixed patterns, in forms that Java's regex engine matches without recursion.
@@ -30,25 +34,78 @@ CARD = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # characters of a term
 SPLIT_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NEAR = 100  # characters before and after an entity in which words count as near
+SPREAD = 16
+BLOCK = 256  # of the running sums inside a row
 
 SPANS = "array<struct<start:bigint,rank:int,finish:bigint,value:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, zero: Column, op) -> Column:
+    """Running ``op`` (associative) along an array, each element included: totals of blocks of ``BLOCK`` first, then inside the blocks,
+    so no long array is copied for each of its elements."""
+    def inside(some: Column, first: Column, with_element: bool) -> Column:
+        start = F.struct(first.alias("at"), F.filter(F.array(zero), lambda x: F.lit(False)).alias("out"))
+
+        def step(acc, x):
+            new = op(acc["at"], x)
+            return F.struct(new.alias("at"), F.concat(acc["out"], F.array(new if with_element else acc["at"])).alias("out"))
+
+        return F.aggregate(some, start, step, lambda acc: acc["out"])
+
+    def blocks_of(v: Column) -> Column:
+        firsts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda at: F.transform(F.sequence(at, F.least(at + BLOCK, F.size(v)) - 1), lambda i: F.get(v, i)))
+
+    def scan(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
+        return _let(inside(totals, zero, False), lambda before: F.flatten(F.transform(blocks, lambda b, i: inside(b, F.get(before, i), True))))
+
+    return _let(values, lambda v: _let(blocks_of(v), scan))
+
+
 def _matches(text: Column, pattern: Column, rank: int) -> Column:
     """Structs ``start``, ``rank``, ``finish``, ``value`` of all leftmost matches, in code points."""
-    pieces = F.struct(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    def place(hits: Column) -> Column:
+        # The last gap has no match after it.
+        lengths = F.transform(F.filter(F.zip_with(F.split(text, pattern), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
+                                       lambda x: x["h"].isNotNull()), lambda x: (F.length(x["g"]) + F.length(x["h"])).cast("bigint"))
+        return _let(_running(lengths, F.lit(0).cast("bigint"), lambda x, y: x + y), lambda ends: F.transform(hits, lambda h, i: F.struct(
+            (F.get(ends, i) - F.length(h)).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("finish"), h.alias("value"))))
+
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), place)
+
 
-    def step(acc, x):
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["hit"])).cast("bigint").alias("at"),
-                        F.concat(acc["out"], F.array(F.struct(at.cast("bigint").alias("start"), F.lit(rank).alias("rank"),
-                                                              (at + F.length(x["hit"])).cast("bigint").alias("finish"), x["hit"].alias("value")))).alias("out"))
+def _apart(found: Column, base: Column) -> Column:
+    """The spans of ``found`` (sorted, apart from one another) that no span of ``base`` overlaps. Both are sorted into one
+    array; what matters to a span is how far the base spans before it reach, and where the next one begins."""
+    both = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s["finish"].alias("finish"), s.alias("span"))),
+                                 F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["finish"].alias("finish"), s.alias("span")))))
+    never, far = F.lit(-1).cast("bigint"), F.lit(1 << 62).cast("bigint")
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"CAST(array() AS {SPANS})").alias("out"))
-    # The last gap has no match after it.
-    return F.aggregate(F.filter(F.arrays_zip(pieces["gap"].alias("gap"), pieces["hit"].alias("hit")), lambda x: x["hit"].isNotNull()),
-                       zero, step, lambda acc: acc["out"])
+    def keep(all_: Column) -> Column:
+        reach = _running(F.transform(all_, lambda x: F.when(x["own"] == 0, x["finish"]).otherwise(never)), never, lambda a, b: F.greatest(a, b))
+        begins = F.reverse(_running(F.reverse(F.transform(all_, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        return _let(reach, lambda r: _let(begins, lambda n: F.transform(F.filter(all_, lambda x, i: (x["own"] == 1) & (F.get(r, i) <= x["start"])
+                                                                                & (F.get(n, i) >= x["finish"])), lambda x: x["span"])))
+
+    return F.when(F.size(base) == 0, found).otherwise(_let(both, keep))
+
+
+def _words_in(found: Column, words: Column) -> Column:
+    """The spans of ``found`` whose value is one of ``words``, in their order. Sorted together, a value's word comes right before it."""
+    both = F.array_sort(F.concat(F.transform(words, lambda w: F.struct(w.alias("value"), F.lit(-1).cast("bigint").alias("start"), F.lit(None).cast(SPANS[6:-1]).alias("span"))),
+                                 F.transform(found, lambda s: F.struct(s["value"].alias("value"), s["start"].alias("start"), s.alias("span")))))
+
+    def keep(all_: Column) -> Column:
+        last = _running(F.transform(all_, lambda x: F.when(x["start"] < 0, x["value"]).otherwise("")), F.lit(""), lambda a, b: F.greatest(a, b))
+        return _let(last, lambda w: F.array_sort(F.transform(F.filter(all_, lambda x, i: (x["start"] >= 0) & (F.get(w, i) == x["value"])), lambda x: x["span"])))
+
+    return _let(both, keep)
 
 
 def _digits(value: Column) -> Column:
@@ -79,41 +136,35 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def terms_near(text: Column, start: Column, finish: Column) -> Column:
-    """Lower-case words within ``NEAR`` characters of a span; words cut by the window's
-    edge and those next to the span without a gap are left out."""
-    left = F.when(start > NEAR, F.regexp_replace(F.substring(text, (start - NEAR + 1).cast("int"), F.lit(NEAR)), f"^[{WORD}]+", "")) \
-        .otherwise(F.substring(text, F.lit(1), start.cast("int")))
-    left = F.regexp_replace(left, f"[{WORD}]+$", "")
-    right = F.substring(text, (finish + 1).cast("int"), F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, f"[{WORD}]+$", "")).otherwise(right)
-    right = F.regexp_replace(right, f"^[{WORD}]+", "")
-    return F.array_distinct(F.filter(F.split(lower_az(F.concat(left, F.lit(" "), right)), SPLIT_TERMS),
-                                     lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]")))
-
-
-def revealing_terms(rows: DataFrame, min_docs: int, min_share: float, min_bits: float) -> DataFrame:
-    """``term``, ``bits``: words that reveal an entity. ``rows``: ``text``, ``th`` (text hash),
-    ``base`` (spans). A word's bits are those of the entity it reveals most strongly."""
-    near = (rows.where("size(base) > 0").select("th", "text", F.explode("base").alias("s"))
-            .select("th", F.col("s.rank").alias("kind"), F.lower("s.value").alias("value"),
-                    terms_near(F.col("text"), F.col("s.start"), F.col("s.finish")).alias("terms")))
-    held = stored(near.select("th", "kind", "value", F.explode_outer("terms").alias("term")).distinct(), "pii-near")
-    n_v = held.select("th", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_v"))
-    n_tv = held.where("term IS NOT NULL").groupBy("kind", "value", "term").agg(F.count("*").alias("n_tv")).where(F.col("n_tv") >= min_docs)
-    pairs = stored(n_tv, "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    words = rows.select("th", F.explode(F.array_distinct(F.split(lower_az(F.col("text")), SPLIT_TERMS))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count_distinct("th")).scalar()
-    bits = F.log2(F.col("n_tv") * F.col("n") / (F.col("n_t") * F.col("n_v")))
-    return (pairs.join(n_t, "term").join(n_v, ["kind", "value"]).withColumn("n", total)
-            .where((F.col("n_tv") >= min_share * F.col("n_t")) & (bits >= min_bits))
-            .groupBy("term").agg(F.max(bits).alias("bits")))
+WORDS = f"[{WORD}]++"
+
+
+def free_words(text: Column, base: Column) -> Column:
+    """Different words of a text, A-Z in lower case, that stand outside its base spans somewhere."""
+    low = lower_az(text)
+    plain = F.filter(F.split(low, SPLIT_TERMS), lambda w: w != "")
+    return F.array_distinct(F.when(F.size(base) == 0, plain).otherwise(
+        F.transform(_apart(_matches(low, F.lit(WORDS), 4), base), lambda s: s["value"])))
+
+
+def revealing_terms(facts: DataFrame, min_docs: int, min_share: float, min_bits: float, min_evidence: float) -> DataFrame:
+    """``term``, ``bits``: words that reveal an entity. ``facts``, one row per different text: ``th`` (its hash), ``entities`` and
+    ``terms`` (arrays without repeats). A word's bits are those of the entity it reveals most strongly."""
+    held = facts.where(F.size("entities") > 0)
+    n_v = stored(held.select(F.explode("entities").alias("v")).groupBy("v").agg(F.count("*").alias("n_v")).where(F.col("n_v") >= min_docs), "pii-entities")
+    often = held.select("th", F.explode("entities").alias("v")).join(n_v.select("v"), "v").groupBy("th").agg(F.collect_list("v").alias("vs"))
+    both = held.select("th", "terms").join(often, "th").select(F.explode("vs").alias("v"), "terms").select("v", F.explode("terms").alias("term"))
+    n_tv = both.groupBy("v", "term").agg(F.count("*").alias("n_tv")).where(F.col("n_tv") >= min_docs)
+    n_t = facts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_docs)
+    total = facts.count()
+    bits = F.log2(F.col("n_tv") * F.lit(float(total)) / (F.col("n_t") * F.col("n_v")))
+    return (n_tv.join(n_t, "term").where(F.col("n_tv") >= F.lit(min_share) * F.col("n_t")).join(n_v, "v")
+            .select("term", "n_tv", bits.alias("bits")).where((F.col("bits") >= min_bits) | (F.col("n_tv") * F.col("bits") >= min_evidence))
+            .groupBy("term").agg(F.max("bits").alias("bits")))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3,
-               min_share: float = 0.9, min_bits: float = 5.0) -> DataFrame:
+               min_share: float = 0.9, min_bits: float = 5.0, min_evidence: float = 40.0) -> DataFrame:
     """Per row: id, ``base`` and ``spans`` (base and term spans; sorted structs ``start``,
     ``rank`` of the kind in ``KINDS``, ``finish``, ``value``), and ``th`` (hash of the text).
 
@@ -122,25 +173,27 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("th"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    # Spans are small: they are written once, beside the ids, and the text is read again where it is needed.
-    base = stored(based.select("id", "th", "base"), "pii-base")
-    terms = stored(revealing_terms(based, min_docs, min_share, min_bits), "pii-terms")
+    entity = lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))
+    base = (rows.withColumn("base", base_spans(F.col("text")))
+            .select("id", "th", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), free_words(F.col("text"), F.col("base")).alias("terms")))
+    base = stored(base, "pii-base")
+    facts = stored(base.select("th", "entities", "terms").dropDuplicates(["th"]), "pii-facts")
+    base = base.select("id", "th", "base")
+    terms = stored(revealing_terms(facts, min_docs, min_share, min_bits, min_evidence), "pii-terms")
     if terms.isEmpty():
         return base.select(F.col("id").alias(id_col), "th", "base", F.col("base").alias("spans"))
-    hit = (rows.select("id", "th", F.explode(F.array_distinct(F.split(lower_az(F.col("text")), SPLIT_TERMS))).alias("term"))
-           .join(terms.select("term"), "term", "left_semi").groupBy(F.col("id").alias("_id"), F.col("th").alias("_th"))
-           .agg(F.sort_array(F.collect_set("term")).alias("terms")))
-    # Rows are found again by id and text hash: copies of a text do not meet in one task.
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    pattern = F.concat(F.lit(f"(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
-    texts = rows.select("id", "th", "text").join(hit, same)
-    placed = (texts.select("_id", "_th", _matches(lower_az(F.col("text")), pattern, 4).alias("found"))
-              .groupBy("_id", "_th").agg(F.first("found").alias("found")))
-    both = base.join(placed, same, "left")
-    free = F.filter("found", lambda t: ~F.exists("base", lambda b: (b["start"] < t["finish"]) & (t["start"] < b["finish"])))
-    return both.select(F.col("id").alias(id_col), "th", "base",
-                       F.array_sort(F.concat("base", F.coalesce(free, F.expr(f"CAST(array() AS {SPANS})")))).alias("spans"))
+    hit = (facts.select("th", F.explode("terms").alias("term")).join(terms.select("term"), "term", "left_semi")
+           .groupBy("th").agg(F.collect_list("term").alias("terms")))
+    # A text's copies are spread over ``SPREAD`` keys: they do not meet in one task.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
+    hit = hit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    low = lower_az(F.col("text"))
+    texts = rows.withColumn("salt", salt).join(hit, ["th", "salt"])
+    placed = texts.select("id", "th", _words_in(_matches(low, F.lit(WORDS), 4), F.col("terms")).alias("found"))
+    placed = placed.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.first("found").alias("found"))
+    both = base.join(placed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    free = F.when(F.col("found").isNull(), F.expr(f"CAST(array() AS {SPANS})")).otherwise(_apart(F.col("found"), F.col("base")))
+    return both.select(F.col("id").alias(id_col), "th", "base", F.array_sort(F.concat("base", free)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -150,7 +203,8 @@ def spans_text(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """Counts by kind, digest of the base spans, and all spans as text."""
+    """Per row: id, counts by kind, digest of the base spans, and all spans as text. Null and empty texts have no
+    spans; repeated rows stay repeated; the other cases are those of ``find_spans``."""
     found = find_spans(docs, id_col, text_col, **kw)
 
     def count(rank: int) -> Column:
@@ -162,17 +216,33 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: bool = False, **kw) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, or removed; where spans
-    overlap, the later one is part of the earlier. Null text stays null."""
+    overlap, the later one is part of the earlier. Null text stays null, empty text empty; repeated rows stay
+    repeated and are changed alike; an empty table gives an empty result. Other columns are kept, whatever their names."""
+    own = spare("_spans", docs)
     found = (find_spans(docs, id_col, text_col, **kw).where("size(spans) > 0")
-             .select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"]))
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
+             .select(F.struct(F.col(id_col).alias("id"), F.col("th").alias("th")).alias(spare("_row", docs)), F.col("spans").alias(own)))
+    row = found.columns[0]
+    found = found.dropDuplicates([row])
+    both = docs.join(found, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th")).eqNullSafe(F.col(row)), "left")
+    text = F.col(f"`{text_col}`").cast("string")
     mark = (lambda s: F.lit("")) if remove else (lambda s: F.concat(F.lit("["), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["rank"] + 1), F.lit("]")))
+    none = F.array().cast("array<string>")
+
+    def between(chars: Column, start: Column, end: Column) -> Column:
+        return F.when(end > start, F.transform(F.sequence(start, end - 1), lambda i: F.get(chars, i.cast("int")))).otherwise(none)
+
+    def cut(spans: Column, chars: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: s["finish"]), F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b))
+        size = F.size(chars).cast("bigint")
+
+        def parts(ends: Column) -> Column:
+            # The text from the end of all spans before up to this one, and its mark unless it begins inside one of them.
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint"))
+            pieces = F.flatten(F.transform(spans, lambda s, i: F.concat(between(chars, before(i), s["start"]), F.when(s["start"] >= before(i), F.array(mark(s))).otherwise(none))))
+            return F.concat(pieces, between(chars, F.element_at(ends, -1), size))
 
-    def step(acc, s):
-        new = s["start"] >= acc["upto"]
-        more = F.concat(acc["out"], F.substring(F.col(text_col), (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), mark(s))
-        return F.struct(F.greatest(acc["upto"], s["finish"]).alias("upto"), F.when(new, more).otherwise(acc["out"]).alias("out"))
+        return F.array_join(_let(reach, parts), "")
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit("").alias("out")), step,
-                       lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["upto"] + 1).cast("int"), F.length(F.col(text_col)))))
-    return both.withColumn(text_col, F.when(F.col("_spans").isNotNull(), done).otherwise(F.col(text_col))).select(*docs.columns)
+    done = _let(F.col(own), lambda spans: _let(F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)), lambda chars: cut(spans, chars)))
+    return (both.withColumn(text_col, F.when(F.col(own).isNotNull(), done).otherwise(F.col(f"`{text_col}`")))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -74,6 +77,99 @@ def test_terms_that_reveal_an_entity(spark):
     assert op8.report(same, min_share=0.5, min_bits=0.0).where("spans LIKE '%term%'").count() == 0
 
 
+def brute_terms(rows, min_docs=3, min_share=0.9, min_bits=5.0, min_evidence=40.0):
+    """All spans by counting words and entities of every different text."""
+    low = {t: t.translate(brute.AZ) for _, t in rows if t}
+    low.setdefault("", "")
+    words, entities = {}, {}
+    for t in {t or "" for _, t in rows}:
+        base = brute.base_spans(t)
+        found = [m for m in re.finditer("[0-9A-Za-z\\x80-\U0010ffff]+", low.get(t, "")) if all(m.end() <= s or m.start() >= e for s, _, _, e in base)]
+        words[t], entities[t] = found, {(r, t[s:e].lower()) for s, r, _, e in base}
+    n_t, n_v, n_tv = Counter(), Counter(), Counter()
+    for t, found in words.items():
+        here = {m.group() for m in found}
+        n_t.update(here)
+        n_v.update(entities[t])
+        n_tv.update((w, v) for w in here for v in entities[t])
+    terms = set()
+    for (w, v), n in n_tv.items():
+        bits = math.log2(n * len(words) / (n_t[w] * n_v[v]))
+        if n >= min_docs and n >= min_share * n_t[w] and (bits >= min_bits or n * bits >= min_evidence):
+            terms.add(w)
+    kinds = dict(enumerate(op8.KINDS))
+    out = []
+    for i, t in rows:
+        spans = sorted([(s, r, e) for s, r, _, e in brute.base_spans(t)] + [(m.start(), 4, m.end()) for m in words[t or ""] if m.group() in terms])
+        out.append((i, ",".join(f"{kinds[r]}:{s}:{e}" for s, r, e in spans)))
+    return out, terms
+
+
+def term_rows(rng, n=260):
+    names = [f"Name{k}" if k % 2 else f"user{k}x" for k in range(14)]
+    rows = []
+    for i in range(n):
+        parts = [rng.choice(["alpha", "beta", "gamma", "Delta", "é", "x", "7"]) for _ in range(rng.randrange(40))]
+        if rng.random() < 0.4:
+            k = rng.randrange(14)
+            parts.insert(rng.randrange(len(parts) + 1), names[k])
+            parts += [f"{names[k].lower()}@mail{k}.org", rng.choice(["", "+49 170 1234567", f"10.0.0.{k}"])]
+        if rng.random() < 0.35:  # an entity that many documents hold, and a word that goes with it
+            parts += ["Zorgblatt", "word " * 40, "info@big.org"]
+        rows.append((i, " ".join(parts)))
+    return rows + [(900, rows[3][1]), (901, rows[3][1]), (None, rows[5][1]), (902, None), (903, ""), (3, rows[3][1])]
+
+
+def test_terms_equal_brute_force(spark):
+    rows = term_rows(random.Random(8))
+    want, terms = brute_terms(rows)
+    assert "zorgblatt" in terms and any(re.search("[0-9]", t) for t in terms)
+    got = op8.report(docs_of(spark, rows)).select("doc_id", "spans").collect()
+    assert brute.ordered(got) == brute.ordered(want)
+
+
+def test_terms_of_the_driver_table(spark):
+    rows = [tuple(r) for r in read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    got = queries.op8_personal_data(spark, "/root/testdata/sf0.001").select("doc_id", "spans").collect()
+    assert brute.ordered(got) == brute.ordered(brute_terms(rows)[0])
+
+
+def test_a_name_far_from_the_entity_is_found(spark):
+    filler = " ".join(f"common{k}" for k in range(30))
+    rows = [(i, f"Qwertzius {filler} writes to secret.person@mail.org") for i in range(40)]
+    rows = [(i, t + f" {i % 7}") for i, t in rows] + [(100 + i, f"{filler} number {i}") for i in range(600)]
+    found = {r.doc_id: r.spans for r in op8.report(docs_of(spark, rows)).collect()}
+    assert found[0].startswith("term:0:9,") and "email:" in found[0]
+    assert found[300] == ""
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"a{k}@b.org" for k in range(30_000))
+    began = time.time()
+    r = op8.report(docs_of(spark, [(1, text), (2, "x")])).where("doc_id = 1").first()
+    assert r.n_email == 30_000 and r.spans.count(",") == 29_999 and time.time() - began < 60
+    clean = op8.sanitise(docs_of(spark, [(1, text)]), remove=True).first().text
+    assert clean == " " * 29_999
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = [(1, "write to a@b.org now"), (2, None), (1, "write to a@b.org now")]
+    for name in ("_spans", "_id"):
+        docs = spark.createDataFrame([(i, t, 5) for i, t in rows], f"doc_id long, text string, {name} int")
+        out = op8.sanitise(docs)
+        assert out.columns == docs.columns
+        assert brute.ordered(out.collect()) == brute.ordered([(1, "write to [email] now", 5)] * 2 + [(2, None, 5)])
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        assert op5.drop_low_quality(docs.withColumnRenamed(name, "_quality_score"), labels, threshold=0.0).where("_quality_score = 5").count() == 3
+        items = spark.createDataFrame(ITEMS, "item_id long, text string")
+        for other in ("_gone", "_hits") if name == "_id" else ():
+            more = docs.withColumnRenamed(name, other)
+            assert op7.drop_contaminated(more, items).where(f"{other} = 5").count() == 3
+            assert op7.remove_spans(more, items).columns == more.columns
+
+
 def test_quality_held_out(spark):
     rows = {r.doc_id: r for r in queries.op5_quality_classifier(spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in read(spark, SF, "labels").collect()}
