@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import lower_az
+from evalspark.llm.common import lower_az, spare, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what is no word, after lower-casing A-Z
 SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -109,26 +109,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **kw) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = (contamination(docs, benchmark, id_col, text_col, **kw).where("contaminated")
-           .select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_hash")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts stay; rows are judged by their text, so repeated rows stay or go together, also with a null id; an empty
+    table or benchmark drops nothing. The short list of what goes is written first: its size is then
+    known, and where it is small it is sent to the rows instead of moving them."""
+    gone = spare("_gone", docs)
+    bad = contamination(docs, benchmark, id_col, text_col, **kw).where("contaminated").select(F.col("text_hash").alias(gone)).distinct()
+    bad = stored(bad, "contaminated")
+    return docs.join(bad, F.xxhash64(F.col(f"`{text_col}`")) == F.col(gone), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  **kw) -> DataFrame:
     """``docs`` with the hit words cut out of ``text_col`` (what lies between words stays);
-    rows without hits are unchanged, null text stays null."""
+    rows without hits are unchanged, null text stays null, repeated rows are changed alike, other columns are kept whatever
+    their names; an empty table or benchmark changes nothing."""
+    row, hits = spare("_row", docs), spare("_hits", docs)
     found = (find_hits(docs, benchmark, id_col, text_col, **kw).where("size(hits) > 0")
-             .select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"))
-             .dropDuplicates(["_id", "_hash"]))
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left")
+             .select(F.col("text_hash").alias(row), F.col("hits").alias(hits)).dropDuplicates([row]))
+    both = docs.join(stored(found, "hits"), F.xxhash64(F.col(f"`{text_col}`")) == F.col(row), "left")
     t = f"`{text_col}`"
     lead = rf"regexp_extract({t}, '^{SEPARATORS_ANY_CASE}', 0)"
     words = rf"array_remove(split({t}, r'{SEPARATORS_ANY_CASE}'), '')"
     gaps = rf"regexp_extract_all({t}, r'(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]){SEPARATORS_ANY_CASE}', 0)"
     lead = lead.replace("'^", "r'^")
     cut = F.expr(f"""concat({lead}, array_join(transform({words}, (x, i) -> concat(
-        CASE WHEN exists(_hits, h -> h.pos <= i AND i < h.pos + h.len) THEN '' ELSE x END,
+        CASE WHEN exists({hits}, h -> h.pos <= i AND i < h.pos + h.len) THEN '' ELSE x END,
         coalesce(get({gaps}, i), ''))), ''))""")
-    return both.withColumn(text_col, F.when(F.col("_hits").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    return both.withColumn(text_col, F.when(F.col(hits).isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)
