@@ -16,27 +16,33 @@ SAMPLE_SHARE = 0.5  # of the tokens that reach the mixing stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. A row is judged by its text: null and empty texts have one
+    score, repeated rows go together, null ids are of no concern; an empty table stays empty."""
     return op05_quality.drop_low_quality(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "quality", threshold=0.3)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one with the smallest id."""
+    """One document of each group of linked fingerprints, the one with the smallest id. Null and empty texts are one group;
+    rows that share the id that stays all stay; a row with a null id stays only where its whole group has none."""
     return op02_simhash.drop_near_duplicates(docs, "doc_id", "text", shingle=3, radius=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null and empty texts stay; repeated rows, with or without an
+    id, go together; an empty benchmark drops nothing."""
     return op07_decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), "doc_id", "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of ``SAMPLE_SHARE`` of the tokens whose shares follow the target weights as far as the tokens reach."""
+    """A sample of ``SAMPLE_SHARE`` of the tokens whose shares follow the target weights as far as the tokens reach. Null
+    sources and languages are a category; texts without words are drawn like others; rows with the same (or
+    no) id are drawn together."""
     return op03_mixing.sample_mixture(docs, id_col="doc_id", text_col="text", share=SAMPLE_SHARE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and their index: doc_id, start, n_tokens, ids_crc32."""
+    """Token files, and their index: doc_id, start, n_tokens, ids_crc32. Null texts are empty documents, null ids come first,
+    repeated rows are written each; an empty table has an empty index."""
     import public_tokenizers
 
     return op10_token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
