@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.arrays import fold_map, let, member_flags
+
 from evalspark.functions.constants import POST_STEPS
 
 # --- fixed values: whitespace of Python's str.split() / str.strip() ---------
@@ -62,13 +64,6 @@ def esc(s: str) -> str:
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in s)
 
 
-def let(value: Column, body) -> Column:
-    """``body(x)`` with ``x`` bound to ``value``, which is computed once per row -- also where
-    the body uses it inside another lambda, in which an expression would be computed
-    again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # whitespace -----------------------------------------------------------------
 def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
@@ -166,13 +161,13 @@ def last_pos(s: Column, marker: str) -> Column:
 def line_kinds(lines, language: str) -> Column:
     """Per line: ``block_comment`` / ``comment`` / ``code`` / ``text``.
 
-    Block state is a fold over the lines. Symmetric markers toggle on an odd
+    Block state is a fold over the lines (in linear time, see ``arrays.fold_map``). Symmetric markers toggle on an odd
     count; distinct markers open on the opener and close on the closer. A
     line holding a marker is a block-comment line.
     """
     p = LANG_PROFILE[language]
     op, cl = p["open"], p["close"]
-    init = F.struct(F.lit(False).alias("inb"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kinds"))
+    init = F.struct(F.lit(False).alias("inb"), F.lit(0).alias("depth"))
 
     def cnt(x, m):
         return ((F.length(x) - F.length(F.replace(x, F.lit(m), F.lit("")))) / len(m)).cast("int")
@@ -199,9 +194,9 @@ def line_kinds(lines, language: str) -> Column:
             kind = kind.when(s == "", F.lit("text")).when((acc["depth"] <= 0) & prose, F.lit("text")).otherwise(F.lit("code"))
             opened = F.length(s) - F.length(F.translate(s, OPENERS, "")) - (F.length(s) - F.length(F.translate(s, CLOSERS, "")))
             depth = acc["depth"] + F.when(kind == "code", opened).otherwise(0)
-        return F.struct(nxt.alias("inb"), depth.cast("int").alias("depth"), F.concat(acc["kinds"], F.array(kind)).alias("kinds"))
+        return F.struct(nxt.alias("inb"), depth.cast("int").alias("depth")), kind
 
-    return F.aggregate(_c(lines), init, step, lambda acc: acc["kinds"])
+    return fold_map(_c(lines), init, "string", step)
 
 
 def clean_code(text, language: str, markers: Sequence[tuple[str, str]] | None = None) -> Column:
@@ -248,8 +243,8 @@ def remove_repeated(between, before_lines, after_lines) -> Column:
     b = F.coalesce(_c(before_lines), empty)
     a = F.coalesce(_c(after_lines), empty)
     lines = F.split(F.coalesce(_c(between), F.lit("")), "\n")
-    return let(F.array_distinct(F.concat(b, a)), lambda ctx: F.array_join(
-        F.filter(lines, lambda x: ~F.array_contains(ctx, x)), "\n"))
+    known = member_flags(lines, F.array_distinct(F.concat(b, a)))
+    return let(known, lambda k: F.array_join(F.filter(lines, lambda x, i: ~F.get(k, i)), "\n"))
 
 
 # F21 / F22 --------------------------------------------------------------------------
@@ -261,7 +256,7 @@ def edge_block_length(between, context_lines, from_start: bool = True) -> Column
                       lambda x: normalize_line(x))
     btw = F.split(F.coalesce(_c(between), F.lit("")), "\n")
     seq = btw if from_start else F.reverse(btw)
-    hits = let(ctx, lambda c: F.transform(seq, lambda x: F.array_contains(c, normalize_line(x))))
+    hits = member_flags(F.transform(seq, lambda x: normalize_line(x)), F.array_distinct(ctx))
 
     def leading_run(h):
         # skip the non-matching prefix, then count until the first miss

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalspark.functions.arrays import fold_map, let
 from evalspark.session import cut
 
 QUERY_BLOCK = 1_000  # queries that meet a point at once
@@ -78,10 +79,21 @@ def sparse_dense(coo: DataFrame, key: str, idx: str, value: str, length: int, ba
     not by a join against a generated index table.
     """
     g = _in_range(coo, idx, length).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value)))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(float(baseline))))
-    return g.select(key, dense.alias("dense"), F.size("_m").alias("n_stored"))
+        F.sort_array(F.collect_list(F.struct(F.col(idx).cast("int").alias("i"), F.col(value).cast("double").alias("x")))).alias("_m"))
+    return g.select(key, _filled("_m", length, baseline).alias("dense"), F.size("_m").alias("n_stored"))
+
+
+def _filled(entries, length: int, baseline: float) -> Column:
+    """Sorted entries ``i``, ``x`` as a dense array: each is preceded by the baseline up to it. An index that is
+    stored twice raises; a stored null counts as absent."""
+    base = F.lit(float(baseline))
+
+    def fill(m: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(m, i - 1)["i"], F.lit(-1))
+        parts = F.transform(m, lambda e, i: F.when(e["i"] == before(i), F.raise_error(F.lit("index stored twice")).cast("array<double>"))
+                            .otherwise(F.concat(F.array_repeat(base, e["i"] - before(i) - 1), F.array(F.coalesce(e["x"], base)))))
+        return F.concat(F.flatten(parts), F.array_repeat(base, F.lit(length - 1) - F.coalesce(F.element_at(m, -1)["i"], F.lit(-1))))
+    return let(_c(entries), fill)
 
 
 def _in_range(coo: DataFrame, idx: str, length: int) -> DataFrame:
@@ -100,12 +112,10 @@ def sparse_l1(coo: DataFrame, key: str, value: str, length: int, baseline: float
 def sparse_summary(coo: DataFrame, key: str, idx: str, value: str, length: int, baseline: float) -> DataFrame:
     """Stored count, L1 norm (closed formula) and dense view in ONE aggregate per key."""
     g = _in_range(coo, idx, length).groupBy(key).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(F.abs(value)).alias("_s"),
-                             F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("int"), F.col(value))))
+                             F.sort_array(F.collect_list(F.struct(F.col(idx).cast("int").alias("i"), F.col(value).cast("double").alias("x"))))
                              .alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(float(baseline))))
     return g.select(key, "n_stored", (F.col("_s") + (F.lit(length) - F.col("n_stored")) * abs(baseline)).alias("l1"),
-                    dense.alias("dense"))
+                    _filled("_m", length, baseline).alias("dense"))
 
 
 # B9 -------------------------------------------------------------------------
@@ -227,9 +237,7 @@ def change_flag(df: DataFrame, key: str, order: Sequence[str], value: str, bucke
 # B12 / B13 --------------------------------------------------------------------------
 def cumulative(v) -> Column:
     """Running sum along a vector (the cumulative return series)."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(_c(v), zero, lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")),
-                       lambda a: a["out"])
+    return fold_map(_c(v), F.lit(0.0), "double", lambda total, x: (total + x, total + x))
 
 
 def pair_distance(pairs: DataFrame, a: str, b: str, series: DataFrame, sid: str, vec: str) -> DataFrame:
