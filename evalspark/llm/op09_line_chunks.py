@@ -9,12 +9,13 @@ stands still, a chunk ends after every second line.
 Chunks that occur more than once in the corpus are compared byte for byte. The first
 occurrence (by document id, then place) stays, the others are removed; and each
 removal goes on over the lines before and after it, up to the ends of the second neighbouring chunks, as long
-as they equal those at the first occurrence (equal MD5). A removed line so always stands at an
+as they equal those at the first occurrence (equal 64-bit hashes). A removed line so always stands at an
 earlier place, too.
 
 DataFrame functions only. Hashes of all chunks are counted first (partial aggregation);
 only chunks whose hash repeats carry their text further, and their groups are
-aggregates and joins, so no group meets in one task. Joins are broadcast by measured size only."""
+aggregates and joins, so no group meets in one task. The hashes that repeat are sent to the texts
+up to ``BROADCAST_HASHES`` of them (counted first); beyond, the chunks are joined with them by a shuffle."""
 
 from __future__ import annotations
 
@@ -23,15 +24,16 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import stored
 
+BROADCAST_HASHES = 2_000_000  # 8 bytes each
 BASE, PRIME = 1_000_003, (1 << 31) - 1  # of the rolling hash
 
 
 def with_chunks(rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` with ``_lines``, ``_sigs`` (MD5 of every line) and ``_cuts`` (number of the last line of each chunk). Null
+    """``rows`` with ``_lines``, ``_sigs`` (64-bit hash of every line) and ``_cuts`` (number of the last line of each chunk). Null
     text is one empty line."""
     lines = rows.withColumn("_lines", F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
-    lines = lines.withColumn("_sigs", F.expr("transform(_lines, x -> md5(x))"))
-    hashed = lines.withColumn("_h", F.expr("transform(_sigs, x -> CAST(conv(substr(x, 1, 8), 16, 10) AS bigint))"))
+    lines = lines.withColumn("_sigs", F.expr("transform(_lines, x -> xxhash64(x))"))
+    hashed = lines.withColumn("_h", F.expr("transform(_lines, x -> CAST(conv(substr(md5(x), 1, 8), 16, 10) AS bigint))"))
     rolled = hashed.withColumn("_r", F.expr(f"transform(_h, (h, i) -> (coalesce(get(_h, i - 1), 0L) * {BASE} + h) % {PRIME})"))
     # First lines of the runs of equal lines; a run ends before the next one begins.
     runs = rolled.withColumn("_runs", F.expr("filter(sequence(0, size(_h) - 1), i -> i = 0 OR _h[i] <> _h[i - 1])"))
@@ -48,12 +50,12 @@ def _slice(lines: str, past: str, last: str) -> str:
     """SQL: the elements of an array along the lines after the end of chunk ``past`` up to the end of chunk ``last``; chunks
     before the first end at -1, those after the last with the text."""
     end = lambda j: f"CASE WHEN {j} < 0 THEN -1 ELSE coalesce(get(_cuts, {j}), size(_lines) - 1) END"
-    return f"slice({lines}, {end(past)} + 2, {end(last)} - {end(past)})"
+    return f"CASE WHEN {end(last)} > {end(past)} THEN transform(sequence({end(past)} + 1, {end(last)}), k -> {lines}[k]) ELSE slice({lines}, 1, 0) END"
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per chunk of several lines that is not blank: ``id``, ``th`` (hash of the
-    whole text), ``j`` (place in the document), ``h``, ``chunk``, and ``before``, ``after`` (MD5 of the lines of the
+    whole text), ``j`` (place in the document), ``h``, ``chunk``, and ``before``, ``after`` (hashes of the lines of the
     two neighbouring chunks)."""
     rows = with_chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     each = rows.select("id", F.xxhash64("text").alias("th"), F.expr(f"""
@@ -77,7 +79,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (lines lost before and after it). Rows with equal id and text are one document here."""
     chunks = chunk_rows(docs, id_col, text_col)
     many = stored(chunks.groupBy("h").count().where("count > 1").select("h"), "chunk-hashes")
-    again = stored(chunks.join(many, "h"), "chunks")
+    few = many.count() <= BROADCAST_HASHES
+    again = stored(chunks.join(F.broadcast(many) if few else many, "h"), "chunks")
     # Grouping by the chunk itself is the byte comparison.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct("id", "th", "j")
@@ -112,7 +115,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lead = f"greatest(coalesce(get(_lost, j - 1).g.r, 0), coalesce(get(_lost, j - 2).g.r, 0) - ({start} - coalesce(get(_cuts, j - 2), -1) - 1), 0)"
     trail = f"greatest(coalesce(get(_lost, j + 1).g.l, 0), coalesce(get(_lost, j + 2).g.l, 0) - ({end} - c), 0)"
     kept = F.expr(f"""flatten(transform(_cuts, (c, j) -> CASE WHEN _lost[j].g IS NOT NULL OR {lead} + {trail} > c - {start} THEN CAST(array() AS array<string>)
-        ELSE slice(_lines, {start} + {lead} + 1, c - {start} + 1 - {lead} - {trail}) END))""")
+        ELSE transform(sequence({start} + {lead}, c - {trail}), k -> _lines[k]) END))""")
     lines = cut.select("id", F.size("_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_chunks_removed"), kept.alias("_kept"))
     return lines.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_removed"),
                         "n_chunks_removed", F.array_join("_kept", "\n").alias("kept"))

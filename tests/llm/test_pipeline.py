@@ -68,3 +68,26 @@ def test_pipeline_runs_on_an_empty_table(spark):
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
     assert op7.drop_contaminated(read(spark, SF, "documents"), read(spark, SF, "benchmark").limit(0)).count() == 200
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, empty and long texts, repeated rows, other columns whose names clash."""
+    docs = read(spark, SF, "documents").drop("n_chars")
+    odd = spark.createDataFrame([(None, None, "en", "web"), (None, "no id but words", None, None), (90_001, None, "xx", "web"), (90_002, "", "de", None),
+                                 (90_003, "long words " * 60_000, "en", "web"), (90_004, "said twice", "en", "web"), (90_004, "said twice", "en", "web")],
+                                docs.select("doc_id", "text", "lang", "source").schema)
+    docs = docs.select("doc_id", "text", "lang", "source").union(odd)
+    from pyspark.sql import functions as F
+
+    for i, name in enumerate(("_tokens", "_weight", "_id", "_kept_id", "_gone", "_quality_score")):
+        docs = docs.withColumn(name, F.lit(i))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, SF), "odd-stage")
+        assert after.columns == columns, name
+        rows = after.collect()
+        assert rows and all((r._tokens, r._weight, r._id, r._kept_id, r._gone, r._quality_score) == (0, 1, 2, 3, 4, 5) for r in rows), name
+        assert sum(r.doc_id == 90_004 for r in rows) in (0, 2), name
+        docs = after
+    index = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert index.count() == docs.count()
