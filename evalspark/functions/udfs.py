@@ -61,3 +61,46 @@ def ratio_above(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
                 r = sm.ratio()
         out.append(r)
     return pd.Series(out, dtype="float64")
+
+
+def similar_to_any(threshold: float = 0.98):
+    """Column function (lines, others) -> array of booleans: lines whose ratio with any of the others, all without
+    white space, is above ``threshold``. Null arrays count as empty."""
+    from evalspark.functions.similar import by_length, close
+
+    @pandas_udf("array<boolean>")
+    def flags(lines: pd.Series, others: pd.Series) -> pd.Series:
+        out = []
+        for some, known in zip(lines, others):
+            known = by_length("".join((t or "").split()) for t in ([] if known is None else known))
+            seen = {}
+            row = []
+            for t in [] if some is None else some:
+                t = "".join((t or "").split())
+                if t not in seen:
+                    seen[t] = close(t, known, threshold)
+                row.append(seen[t])
+            out.append(row)
+        return pd.Series(out)
+    return flags
+
+
+def first_similar(threshold: float = 0.98):
+    """Column function (lines, wanted) -> position from 0 of the first line similar to the first wanted text that has one
+    (as in :func:`similar_to_any`); null if none has."""
+    from evalspark.functions.similar import by_length, close
+
+    @pandas_udf("int")
+    def place(lines: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for some, texts in zip(lines, wanted):
+            bare = ["".join((t or "").split()) for t in ([] if some is None else some)]
+            found = None
+            for w in [] if texts is None else texts:
+                w = "".join((w or "").split())  # the ratio is not symmetric: the wanted text is the first one
+                found = next((i for i, t in enumerate(bare) if close(w, by_length([t]), threshold)), None)
+                if found is not None:
+                    break
+            out.append(found)
+        return pd.Series(out, dtype="Int32")
+    return place

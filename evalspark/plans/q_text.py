@@ -392,6 +392,21 @@ def q_edge_block(spark, d):
                     X.edge_block_length(F.col("between"), X.lines_of("after"), False).alias("tail_block"))
 
 
+@query("fuzzy_edge_blocks", ops=("F21",))
+def q_fuzzy_edges(spark, d):
+    t = V.turns(spark, d)
+    return t.select("conv_id", "turn",
+                    X.edge_block_length(F.col("between"), X.lines_of("before"), True, threshold=0.98).alias("head_block"),
+                    X.edge_block_length(F.col("between"), X.lines_of("after"), False, threshold=0.98).alias("tail_block"))
+
+
+@query("adjusted_edges", ops=("F19",))
+def q_adjusted_edges(spark, d):
+    t = TO.trim_cut_df(V.turns(spark, d), F.col("between"), X.lines_of("before"), X.lines_of("after"), "c")
+    t = TO.adjust_cut_df(t, F.col("between"), X.lines_of("before"), X.lines_of("after"), "c", "a")
+    return t.select("conv_id", "turn", F.col("a.start").alias("cut_start"), F.col("a.end").alias("cut_end"))
+
+
 BOUNDARY_LINES = 2
 
 
