@@ -104,3 +104,22 @@ def first_similar(threshold: float = 0.98):
             out.append(found)
         return pd.Series(out, dtype="Int32")
     return place
+
+
+def fourier_features(gamma: float, size: int, seed: int):
+    """Column function array -> array of ``size`` random Fourier features of the Gaussian kernel, drawn from ``seed``."""
+    import numpy as np
+
+    @pandas_udf("array<double>")
+    def mapped(x: pd.Series) -> pd.Series:
+        known = x.notna().to_numpy()
+        res = np.empty(len(x), object)
+        if known.any():
+            rows = np.stack(x[known].to_list())
+            draw = np.random.RandomState(seed)
+            w = draw.normal(scale=(2 * gamma) ** 0.5, size=(rows.shape[1], size))
+            z = np.cos(rows @ w + draw.uniform(0, 2 * np.pi, size)) * (2 / size) ** 0.5
+            for i, row in zip(np.flatnonzero(known), z):
+                res[i] = row
+        return pd.Series(res)
+    return mapped

@@ -41,20 +41,42 @@ def max_distance_row(df: DataFrame, keys: Sequence[str], dist: str,
 
 
 # J6 -------------------------------------------------------------------------
+def _dyadic(lo: Column, hi: Column) -> Column:
+    """The fewest dyadic intervals that make up the buckets ``lo`` .. ``hi``: structs ``level``, ``node`` (an interval of 2^level buckets
+    with number bucket / 2^level). None if ``lo`` > ``hi``; never more than two per level."""
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    item = lambda level, node: F.array(F.struct(level.cast("int").alias("level"), node.cast("bigint").alias("node")))
+
+    def step(acc, level):
+        odd = (acc["a"] <= acc["b"]) & (F.pmod(acc["a"], F.lit(2)) == 1)
+        a = F.when(odd, acc["a"] + 1).otherwise(acc["a"])
+        even = (a <= acc["b"]) & (F.pmod(acc["b"], F.lit(2)) == 0)
+        b = F.when(even, acc["b"] - 1).otherwise(acc["b"])
+        out = F.concat(acc["out"], F.when(odd, item(level, acc["a"])).otherwise(none), F.when(even, item(level, acc["b"])).otherwise(none))
+        done = a > b  # nothing is left: halves of such ends could meet again
+        return F.struct(F.when(done, a).otherwise(F.shiftright(a, 1)).alias("a"), F.when(done, b).otherwise(F.shiftright(b, 1)).alias("b"), out.alias("out"))
+
+    start = F.struct(lo.cast("bigint").alias("a"), hi.cast("bigint").alias("b"), none.alias("out"))
+    # As many levels as the range has binary digits, so a short range costs a few steps.
+    levels = F.sequence(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(F.greatest(hi - lo, F.lit(0)) + 2)).cast("int")))
+    return F.aggregate(levels, start, step, lambda acc: acc["out"])
+
+
 def records_in_range(ckpts: DataFrame, recs: DataFrame, by: Sequence[str], start: str, end: str,
                      pos: str, bucket: float) -> DataFrame:
     """Band join: records whose ``pos`` lies in ``[start, end]`` of a checkpoint with equal ``by``.
 
     ``pos``, ``start`` and ``end`` must be numeric (cast timestamps to seconds
-    first). The checkpoint side is exploded over the buckets its range covers
-    and joined on ``by + bucket``; every record lives in one bucket, so each
-    matching pair is produced exactly once.
-    """
-    cb = ckpts.withColumn("_b", F.explode(F.sequence(
-        F.floor(F.col(start) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long"))))
-    rb = recs.withColumn("_b", F.floor(F.col(pos) / bucket).cast("long"))
-    j = cb.join(rb, [*by, "_b"]).filter(F.col(pos).between(F.col(start), F.col(end)))
-    return j.drop("_b")
+    first). A range is cut into dyadic intervals of buckets, two per level at most, so one over the whole
+    file is a few rows, not one per bucket; a record is in one interval of each level that any range uses. They join on
+    ``by`` + interval, and a range's intervals do not overlap, so each matching pair is produced exactly once."""
+    cell = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    cb = ckpts.withColumn("_d", F.explode(_dyadic(cell(start), cell(end))))
+    used = cb.agg(F.collect_set("_d.level")).scalar()  # 63 at most
+    rb = recs.withColumn("_b", cell(pos)).withColumn("_l", F.explode(used))
+    rb = rb.withColumn("_d", F.struct(F.col("_l").alias("level"), F.expr("shiftright(_b, _l)").alias("node"))).drop("_b", "_l")
+    j = cb.join(rb, [*by, "_d"]).filter(F.col(pos).between(F.col(start), F.col(end)))
+    return j.drop("_d")
 
 
 # J7 -------------------------------------------------------------------------

@@ -111,7 +111,7 @@ def q_rf(spark, d):
 @query("svm_classify", ops=("B24",))
 def q_svm(spark, d):
     tr, te = _features(spark, d)
-    return _eval(M.linear_svm(tr, te, "quality"))
+    return _eval(M.rbf_svm(tr, te, "quality"))
 
 
 @query("linear_regression_fit", ops=("B25",))
