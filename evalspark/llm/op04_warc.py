@@ -8,6 +8,7 @@ length, record end and payload digest; what does not agree raises."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -62,18 +63,23 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes, verify: bool = True) -> dict:
-    """Headers and payload facts of one record; raises ValueError on any disagreement."""
+def parse_headers(raw: bytes) -> tuple[dict, bytes]:
+    """Named headers (lower case; of repeated ones the last) and the block of one record. Raises ValueError where the
+    version, a mandatory header or a length is wrong."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("not a WARC record")
-    h = {}
+    h, name = {}, None
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:  # goes on with the header before
+            h[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError(f"bad header line {line!r}")
-        h[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        h[name] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in h:
             raise ValueError(f"header {name} is missing")
@@ -82,23 +88,51 @@ def parse_record(raw: bytes, verify: bool = True) -> dict:
     n = int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"block of {len(rest) - 4} bytes, {n} announced")
-    http, sep, payload = rest[:n].partition(b"\r\n\r\n")
-    fields = dict(x.lower().split(b":", 1) for x in http.split(b"\r\n")[1:])
-    size = int(fields[b"content-length"])
-    if not sep or not http.startswith(b"HTTP/"):
-        raise ValueError("block is no HTTP response")
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
-    if h["warc-type"] == "response":
-        if len(payload) != size:
-            raise ValueError(f"payload of {len(payload)} bytes, {size} announced")
-        if verify and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError("payload digest does not agree")
-    elif h["warc-type"] == "revisit":
-        if payload or "warc-refers-to" not in h:
-            raise ValueError("revisit with a payload, or without what it refers to")
-    else:
-        raise ValueError(f"unknown record type {h['warc-type']}")
-    return {"headers": h, "payload": payload, "payload_bytes": size, "payload_digest": digest}
+    return h, rest[:n]
+
+
+def check_digest(data: bytes, announced: str | None) -> str | None:
+    """The bare announced digest if it agrees: SHA-256, SHA-1 or MD5, in hex or base 32. Others are not checked (null)."""
+    if not announced or ":" not in announced:
+        return None
+    kind, _, value = announced.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha256", "sha1", "md5"):
+        return None
+    raw = hashlib.new(kind, data).digest()
+    value = value.strip()
+    if value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("="):
+        return value
+    raise ValueError("digest does not agree")
+
+
+def parse_record(raw: bytes, verify: bool = True) -> dict:
+    """Headers and payload facts of one record of any type; raises ValueError on any disagreement.
+
+    The payload of an HTTP message is its body, of any other record the whole block (``warcinfo``, ``metadata``, ``resource``,
+    ``conversion``, ``continuation`` and types yet unknown). A body is compared with its Content-Length where the message names one
+    and is not sent in chunks. A revisit may leave the payload out; then its size is the one its message names."""
+    h, block = parse_headers(raw)
+    kind, payload, size = h["warc-type"].lower(), block, len(block)
+    if verify and kind != "revisit":
+        check_digest(block, h.get("warc-block-digest"))
+    message = h.get("content-type", "").lower().startswith("application/http")
+    if kind in ("response", "revisit", "request") and (message or block.startswith(b"HTTP/")):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if kind != "request" and (not http.startswith(b"HTTP/") or not sep):
+            raise ValueError("block is no HTTP response")
+        fields = dict((x.split(b":", 1) + [b""])[:2] for x in http.lower().split(b"\r\n")[1:] if x)
+        told = fields.get(b"content-length", b"").strip()
+        size = int(told) if told.isdigit() and (kind == "revisit" and not payload) else len(payload)
+        if kind == "response" and told.isdigit() and b"transfer-encoding" not in fields and "warc-truncated" not in h and len(payload) != int(told):
+            raise ValueError(f"payload of {len(payload)} bytes, {int(told)} announced")
+    digest = h.get("warc-payload-digest")
+    if kind == "revisit":
+        if "warc-refers-to" not in h and "warc-refers-to-target-uri" not in h:
+            raise ValueError("revisit without what it refers to")
+    elif verify and digest is not None:
+        check_digest(payload, digest)
+    return {"headers": h, "payload": payload, "payload_bytes": size, "payload_digest": (digest or "").partition(":")[2].strip() or None}
 
 
 def dictionary_for(samples: list[bytes]):
@@ -154,7 +188,7 @@ def _writer(folder: str, date: str):
 
         def start():
             dictionary = dictionary_for([r[2][:4096] for r in pending])
-            stream = fs.open_output_stream(f"{top}/{name}")
+            stream = fs.open_output_stream(f"{top}/{name}", compression=None)  # the name alone would make it compress again
             if dictionary is not None:
                 raw = dictionary.as_bytes()
                 stream.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
@@ -188,7 +222,8 @@ def _writer(folder: str, date: str):
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                payload_col: str = "html", min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one record per row below ``folder`` (a URI all executors share)."""
+    """Write one record per row below ``folder`` (a URI all executors share). Null payloads are empty, null ids and URLs are
+    left out of the headers or stand as a URN; repeated rows are written once each; no rows, no archives."""
     rows = with_roles(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                                    F.col(payload_col).alias("payload")), "page_id", "payload", min_bytes)
     (rows.select("page_id", "url", "_payload", "_digest", "_refers")
@@ -210,7 +245,7 @@ def _reader(folder: str, with_payload: bool, rows_per_batch: int = 512):
         for b in batches:
             for archive, announced in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, n = [], 0
-                with fs.open_input_stream(f"{top}/{archive}") as f:
+                with fs.open_input_stream(f"{top}/{archive}", compression=None) as f:
                     for raw in read_records(f):
                         r = parse_record(raw)
                         h = r["headers"]
@@ -230,7 +265,8 @@ def _reader(folder: str, with_payload: bool, rows_per_batch: int = 512):
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the listed archives."""
+    """One row per record of the archives listed in the manifest (see ``read_archives`` for others'): no records, no rows;
+    an archive that holds another number of records than listed fails the job."""
     manifest = spark.read.schema("archive string, records bigint").parquet(f"{folder}/manifest.parquet")
     return manifest.repartition(max(1, manifest.count())).mapInArrow(
         _reader(folder, with_payload), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
@@ -245,3 +281,69 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     folder = folder or scratch(pages.sparkSession, "warc")
     write_warc(pages, folder, id_col, url_col, payload_col, min_bytes)
     return read_warc(pages.sparkSession, folder)
+
+
+ARCHIVE = "archive string, record_no bigint, record_id string, record_type string, date string, target_uri string, content_type string, " \
+          "refers_to string, payload_bytes bigint, payload_digest string, payload binary, error string"
+
+
+def read_archives(spark: SparkSession, folder: str, verify: bool = True, with_payload: bool = True, on_error: str = "raise",
+                  rows_per_batch: int = 512) -> DataFrame:
+    """One row per record of all ``*.warc.zst`` files below ``folder``, whoever wrote them, in no order: ``archive``, ``record_no`` (from 0), the headers
+    ``record_id``, ``record_type``, ``date``, ``target_uri``, ``content_type``, ``refers_to``, then ``payload_bytes``, ``payload_digest``
+    (as announced, bare), ``payload`` and ``error``.
+
+    Only names and lengths of files are listed; a task streams its archives a frame at a time, so its memory is one
+    record's. Record types are passed through; headers that are missing are null. A record that breaks the format or whose digest
+    disagrees fails the job, or with ``on_error="mark"`` comes back with ``error`` and what is known of it; what
+    follows a broken frame in its file is not read then. Files without records give none; an archive listed twice is read
+    twice; no files give an empty result."""
+    if on_error not in ("raise", "mark"):
+        raise ValueError("on_error is 'raise' or 'mark'")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.zst")
+             .load(folder).select("path", "length"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [f.split(" ")[0] for f in ARCHIVE.split(", ")]
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+        types = [kinds[f.split(" ")[1]] for f in ARCHIVE.split(", ")]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                fs, place = open_fs(path)
+                rows, no = [], 0
+                with fs.open_input_stream(place, compression=None) as f:
+                    frames = read_records(f)
+                    while True:
+                        r, h, error = None, {}, None
+                        try:
+                            raw = next(frames, None)
+                            if raw is None:
+                                break
+                            r = parse_record(raw, verify)
+                            h = r["headers"]
+                        except (ValueError, OSError) as e:
+                            error = e
+                        except Exception as e:  # the decompressor's own kind
+                            if type(e).__name__ != "ZstdError":
+                                raise
+                            error = e
+                        if error is not None and on_error == "raise":
+                            raise ValueError(f"{path}, record {no}: {error}") from error
+                        rows.append((path, no, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-date"), h.get("warc-target-uri"),
+                                     h.get("content-type"), h.get("warc-refers-to"), r and r["payload_bytes"], r and r["payload_digest"],
+                                     r["payload"] if r and with_payload else None, str(error) if error is not None else None))
+                        no += 1
+                        if len(rows) == rows_per_batch:
+                            yield batch(rows)
+                            rows = []
+                if rows:
+                    yield batch(rows)
+
+    parts = max(1, min(files.count(), 10_000))  # tasks, not files, are bounded
+    return files.select("path").repartition(parts).mapInArrow(run, ARCHIVE)

@@ -95,15 +95,15 @@ class Sketches:
         spread = squares - total ** 2 / np.repeat(self.parts, HASHES)
         return spread.reshape(-1, HASHES).mean(axis=1).astype(np.int64)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def peel(self, check_mask: np.uint64 = ~np.uint64(0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Empties the sketches: which were emptied, and owner, key and sign (1: only in the
-        first set) of all that was found."""
+        first set) of all that was found. ``check_mask``: the bits of the check sums that are known."""
         cell_owner = np.repeat(np.arange(len(self.parts)), HASHES * self.parts)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         look = np.arange(len(self.count))
         while True:
             at = look[np.abs(self.count[look]) == 1]
-            at = at[_mix(self.key[at] + ONE) == self.check[at]]
+            at = at[((_mix(self.key[at] + ONE) ^ self.check[at]) & check_mask) == 0]
             if not len(at):
                 break
             owner, key, sign = cell_owner[at], self.key[at], self.count[at]
@@ -124,6 +124,61 @@ class Sketches:
         return base64.b64encode(raw).decode("ascii")
 
 
+def decode(fingerprint: str) -> tuple[int, Sketches]:
+    """Number of paragraphs and the sketch of a published fingerprint; ValueError if it is none."""
+    raw, cells = base64.b64decode(fingerprint, validate=True), CELLS // HASHES * HASHES
+    if len(raw) != 4 + 14 * cells:
+        raise ValueError("no fingerprint of this size")
+    s = Sketches(np.array([CELLS // HASHES]))
+    s.count = np.frombuffer(raw, "<i2", cells, 4).astype(np.int64)
+    s.key = np.frombuffer(raw, "<u8", cells, 4 + 2 * cells).astype(np.uint64)
+    s.check = np.frombuffer(raw, "<u4", cells, 4 + 10 * cells).astype(np.uint64)
+    return int(np.frombuffer(raw, "<u4", 1)[0]), s
+
+
+def fingerprint_difference(a: str, b: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Paragraph digests only in ``a`` and only in ``b``, from the fingerprints alone; None where they differ in more
+    than their cells can tell (then the texts are needed, see ``changed_paragraphs``)."""
+    low = np.uint64(0xFFFFFFFF)
+    (_, x), (_, y) = decode(a), decode(b)
+    d = x.minus(y)
+    d.check &= low
+    done, _, key, sign = d.peel(check_mask=low)
+    return (np.sort(key[sign == 1]), np.sort(key[sign == -1])) if done[0] else None
+
+
+def changed_paragraphs(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Two versions of a table: for every id, ``n_old``, ``n_new`` (paragraphs), ``removed`` and ``added`` (sorted arrays of the 64-bit digests, signed, of the
+    paragraphs that only the old, only the new version has). Sketches of both versions subtract and peel, larger ones
+    where that fails, for as many rows at once as ``PAIRS``.
+
+    An id that one version lacks has an empty text there, as null texts count. Of several texts of an id the smallest
+    counts. Null ids are one id. Empty tables give an empty result; other columns are not read."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(name))
+
+    left, right = side(old, "a"), side(new, "b").withColumnRenamed("id", "id2")
+    both = left.join(right, F.col("id").eqNullSafe(F.col("id2")), "full").select(F.coalesce("id", "id2").alias("id"), F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def signed(some):
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in some]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(np.sort(x.view(np.int64)) for x in some)])))
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                b = whole.slice(at, PAIRS)
+                x, y = ([digests(t) for t in b.column(i).to_pylist()] for i in (1, 2))
+                found = differences(x, y)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int64()), pa.array([len(v) for v in y], pa.int64()),
+                                                  signed([p for p, _ in found]), signed([q for _, q in found])], ["id", "n_old", "n_new", "removed", "added"])
+
+    kind = old.schema[id_col].dataType.simpleString()
+    return both.mapInArrow(run, f"id {kind}, n_old bigint, n_new bigint, removed array<bigint>, added array<bigint>").withColumnRenamed("id", id_col)
+
+
 def first_sketches(sets: list[np.ndarray]) -> Sketches:
     return Sketches.of(sets, np.full(len(sets), CELLS // HASHES))
 

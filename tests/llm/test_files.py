@@ -150,3 +150,100 @@ def test_token_files(spark, tmp_path):
 
 def test_registered_queries_run(spark):
     assert queries.op10_token_files_index(spark, SF).count() == queries.op6_document_fingerprints(spark, SF).count() == 200
+
+
+def foreign(kind, block, extra=(), content="application/warc-fields"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *extra, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def sha1(data):
+    import base64
+    import hashlib
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+FOREIGN = [foreign("warcinfo", b"software: other\r\n"),
+           foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", ["WARC-Target-URI: http://x/"], "application/http; msgtype=request"),
+           foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody of it", ["WARC-Target-URI: http://x/", "WARC-Payload-Digest: " + sha1(b"body of it")], "application/http; msgtype=response"),
+           foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n5\r\nhello\r\n0\r\n\r\n", (), "application/http"),
+           foreign("metadata", b"via: http://y/\r\n", ["X-Long: first", "  and more"]), foreign("conversion", "é text".encode(), (), "text/plain"),
+           foreign("revisit", b"HTTP/1.1 304 Not Modified\r\nContent-Length: 77\r\n\r\n", ["WARC-Refers-To-Target-URI: http://x/"], "application/http"),
+           foreign("resource", b"", (), "image/png"), foreign("own-kind", b"\x00\x01")]
+
+
+def test_records_of_other_writers():
+    got = [op4.parse_record(r) for r in FOREIGN]
+    assert [r["headers"]["warc-type"] for r in got][:3] == ["warcinfo", "request", "response"]
+    assert got[2]["payload"] == b"body of it" and got[3]["payload"].startswith(b"5\r\n") and got[6]["payload_bytes"] == 77 and got[8]["payload"] == b"\x00\x01"
+    assert got[4]["headers"]["x-long"] == "first and more"
+    for bad in (FOREIGN[2].replace(b"body of it", b"body of me"), foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nshort", (), "application/http"),
+                foreign("revisit", b""), foreign("response", b"no message", (), "application/http"), foreign("warcinfo", b"x", ["no colon"]), FOREIGN[0][:-2]):
+        with pytest.raises(ValueError):
+            op4.parse_record(bad)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "one.warc.zst").write_bytes(archive(FOREIGN).getvalue())
+    (tmp_path / "sub" / "two.warc.zst").write_bytes(archive(FOREIGN[:2], dictionary=False).getvalue())
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    folder = f"file://{tmp_path}"
+    rows = op4.read_archives(spark, folder).collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r.record_no, r.record_type) for r in rows) == sorted(
+        [("one.warc.zst", i, op4.parse_record(f)["headers"]["warc-type"]) for i, f in enumerate(FOREIGN)] + [("two.warc.zst", 0, "warcinfo"), ("two.warc.zst", 1, "request")])
+    assert all(r.error is None for r in rows) and {bytes(r.payload) for r in rows if r.record_type == "conversion"} == {"é text".encode()}
+    broken = FOREIGN[2].replace(b"body of it", b"body of me")
+    (tmp_path / "three.warc.zst").write_bytes(archive([FOREIGN[0], broken, FOREIGN[5]]).getvalue()[:-3])
+    marked = [(r.record_no, r.error is None) for r in op4.read_archives(spark, folder, on_error="mark").where("archive LIKE '%three%'").orderBy("record_no").collect()]
+    assert marked == [(0, True), (1, False), (2, False)]
+    with pytest.raises(Exception, match="three"):
+        op4.read_archives(spark, folder).count()
+    (tmp_path / "none").mkdir()
+    assert op4.read_archives(spark, f"{folder}/none").count() == 0
+
+
+def test_own_archives_by_the_general_reader(spark, tmp_path):
+    pages = read(spark, SF, "pages")
+    op4.write_warc(pages, f"file://{tmp_path}/w")
+    for file in (tmp_path / "w").glob("*.warc.zst"):  # the bytes on disk are the frames themselves
+        records = list(op4.read_records(open(file, "rb")))
+        assert all(r.startswith(b"WARC/1.1\r\n") for r in records) and records
+    got = op4.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert len(got) == pages.count() and {r.record_type for r in got} <= {"response", "revisit"}
+    assert {r.payload_digest for r in got} == {brute.sha(r.html or "") for r in pages.collect()}
+
+
+def test_versions_and_published_fingerprints(spark):
+    rng = random.Random(11)
+    old = [(i, " ".join(f"Sentence {rng.randrange(50)} of {i}." for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    new = [(i, t + (" More here." if i % 3 else "") if i % 5 else t[len(t) // 2:]) for i, t in old if i != 7] + [(900, "Only new.")]
+    old += [(None, "A. B. C."), (901, None), (902, "x. " * 30_000), (3, "~ a larger text of a repeated id")]
+    new += [(None, "A. B. D."), (902, "x. " * 30_000 + "End.")]
+    a = spark.createDataFrame([(*r, 1) for r in old], "doc_id long, text string, added int").repartition(3)
+    b = spark.createDataFrame([(*r, 1) for r in new], "doc_id long, text string, added int").repartition(4)
+    got = {r.doc_id: r for r in op6.changed_paragraphs(a, b).collect()}
+    first = lambda rows: {i: min(t or "" for j, t in rows if j == i) for i, _ in rows}
+    x, y = first(old), first(new)
+    assert set(got) == set(x) | set(y)
+    for i, r in got.items():
+        p, q = (set(op6.digests(t.get(i, "")).view(np.int64).tolist()) for t in (x, y))
+        assert (r.n_old, r.n_new, set(r.removed), set(r.added)) == (len(p), len(q), p - q, q - p) and r.removed == sorted(r.removed)
+    assert op6.changed_paragraphs(a.limit(0), b.limit(0)).count() == 0
+    # From the fingerprints alone: small differences come back, large ones are refused.
+    prints = {r.doc_id: r.fingerprint for r in op6.fingerprints(a.where("doc_id < 60 AND text NOT LIKE '~%'")).collect()}
+    later = {r.doc_id: r.fingerprint for r in op6.fingerprints(b.where("doc_id < 60")).collect()}
+    small = refused = 0
+    for i in set(prints) & set(later):
+        found, (p, q) = op6.fingerprint_difference(prints[i], later[i]), (set(op6.digests(dict(t)[i]).tolist()) for t in (old[:60], new))
+        assert op6.decode(prints[i])[0] == len(p)
+        if found is None:
+            refused += 1
+            assert len(p ^ q) > 3
+        else:
+            small += 1
+            assert set(found[0].tolist()) == p - q and set(found[1].tolist()) == q - p
+    assert small > 20 and refused > 0
+    with pytest.raises(ValueError):
+        op6.decode("AAAA")
