@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalspark.functions.time import day_bucket
-from evalspark.operators import models as M
+from evalspark.operators import metric as MX, models as M
 from evalspark.operators import ranking as RK
 from evalspark.operators import vectors as VX
 from evalspark.operators.graph import eps_pairs
@@ -69,7 +69,7 @@ FROM embeddings e, cent c WHERE list_distance(CAST(e.embedding AS DOUBLE[]), c.c
 def q_radius(spark, d):
     e = _emb(spark, d)
     c = VX.centroids(e, "label", "embedding").withColumnRenamed("label", "centre")
-    r = VX.radius_search(e, "vec_id", "embedding", c, "centre", "centroid", RADIUS)
+    r = MX.radius_search(e, "vec_id", "embedding", c, "centre", "centroid", RADIUS)
     return r.select("centre", "vec_id", F.round("dist", 6).alias("dist"))
 
 
@@ -81,7 +81,7 @@ SELECT centre, vec_id, round(dist, 6) AS dist, CAST(rk AS INTEGER) AS rank FROM
 def q_knn(spark, d):
     e = _emb(spark, d)
     c = VX.centroids(e, "label", "embedding").withColumnRenamed("label", "centre")
-    k = VX.knn(e, "vec_id", "embedding", c, "centre", "centroid", 5)
+    k = MX.knn(e, "vec_id", "embedding", c, "centre", "centroid", 5)
     return k.select("centre", "vec_id", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -106,6 +106,23 @@ def q_sphere_pairs(spark, d):
     return VX.sphere_intersections(s, "label")
 
 
+# Spheres around the vectors themselves: half the distance to their label's centre.
+NEST_SQL = """
+nest AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS c, round(list_distance(CAST(e.embedding AS DOUBLE[]), c.c) * 0.545, 9) AS r
+         FROM embeddings e JOIN cent c USING (label))"""
+
+
+@query("intersecting_spheres", ops=("B5",), sql=W("""
+SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.c, b.c), 6) AS centre_dist
+FROM nest a JOIN nest b ON a.vec_id < b.vec_id AND list_distance(a.c, b.c) <= a.r + b.r""", CENTROIDS_SQL, NEST_SQL))
+def q_nested(spark, d):
+    e = _emb(spark, d)
+    c = VX.centroids(e, "label", "embedding")
+    s = e.join(c, "label").select("vec_id", VX.as_double_array("embedding").alias("c"),
+                                  F.round(VX.euclid(VX.as_double_array("embedding"), "centroid") * 0.545, 9).alias("r"))
+    return MX.intersecting_spheres(s, "vec_id", "c", "r").withColumn("centre_dist", F.round("centre_dist", 6))
+
+
 # ---------------------------------------------------------------- B6 / B7
 @query("vector_l1_normalize", ops=("B6",), sql="""
 SELECT vec_id, round(l1, 6) AS l1, round(list_sum(list_transform(v, lambda x: abs(x / l1))), 6) AS l1_after,
