@@ -107,3 +107,11 @@ REASON_PATTERN = (
     r"Define Stop Criteria|Loop Body|Generator_Expressions|Super_Call|List_Comprehension|"
     r"Lambda_Expressions|Stream_Operations)' detected at line \d+\."
 )
+
+# --- fixed values: verdicts of the output comparison, and the lines of a test runner's summary ---
+FINAL_MATCHES = "Success: Final output matches the expected results."
+FINAL_DIFFERS = "Failure: Final output does not match."
+ALL_MATCHES = "Success: All Output matches the expected results."
+ALL_DIFFERS = "Failure: All Output does not match."
+TESTS_SUCCESSFUL = r"\[\s*(\d+) tests successful\s*\]"
+TESTS_FOUND = r"\[\s*(\d+) tests found\s*\]"

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions import constants as K
 from evalspark.functions.arrays import fold_map, let, member_flags
 
 from evalspark.functions.constants import POST_STEPS
@@ -312,10 +313,10 @@ def compare_outputs(actual, expected, mode: str = "final_output") -> Column:
     def last_line(x):
         return py_strip(F.try_element_at(F.split(py_strip(x), "\n"), F.lit(-1)))
 
-    final = F.when(last_line(a) == last_line(e), F.lit("Success: Final output matches the expected results.")) \
-        .otherwise(F.lit("Failure: Final output does not match."))
-    whole = F.when(normalize_line(a) == normalize_line(e), F.lit("Success: All Output matches the expected results.")) \
-        .otherwise(F.lit("Failure: All Output does not match."))
+    final = F.when(last_line(a) == last_line(e), F.lit(K.FINAL_MATCHES)) \
+        .otherwise(F.lit(K.FINAL_DIFFERS))
+    whole = F.when(normalize_line(a) == normalize_line(e), F.lit(K.ALL_MATCHES)) \
+        .otherwise(F.lit(K.ALL_DIFFERS))
     res = final if mode == "final_output" else whole
     return F.when(a.startswith("Error") | a.startswith("Timeout"), a).otherwise(res)
 
