@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalspark.operators.components import connected_components
 from evalspark.session import cut, ensure_checkpoint_dir
@@ -19,9 +20,9 @@ def _by_two_lightest(e: DataFrame) -> DataFrame:
     """Edges with ``up_a`` / ``up_b``: lighter edges at that end -- 0, 1 or 2 (two or
     more) -- and ``pa`` / ``pb``, the lightest edge there."""
     ends = e.select(F.col("a").alias("node"), "k").unionByName(e.select(F.col("b").alias("node"), "k"))
-    first = ends.groupBy("node").agg(F.min("k").alias("k1"))
-    second = ends.join(first, "node").filter(F.col("k") != F.col("k1")).groupBy("node").agg(F.min("k").alias("k2"))
-    two = cut(first.join(second, "node", "left"))
+    # Two rows per node and task reach the shuffle (a partial group limit), also of a hub's edges.
+    lightest = ends.withColumn("no", F.row_number().over(Window.partitionBy("node").orderBy("k"))).where("no <= 2")
+    two = lightest.groupBy("node").agg(F.min("k").alias("k1"), F.min(F.when(F.col("no") == 2, F.col("k"))).alias("k2"))
     out = e
     for end in ("a", "b"):
         side = two.select(F.col("node").alias(end), F.col("k1").alias(f"p{end}"), F.col("k2").alias("_k2"))
@@ -59,16 +60,20 @@ def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w") ->
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/matching-{uuid.uuid4().hex}"
     schema = e.schema
     e = cut(e.withColumn("k", F.struct("w", "a", "b")))
-    e.select("a", "b", "w").limit(0).write.parquet(path)
+    turn = 0
     while not e.isEmpty():
         d = cut(_by_two_lightest(e))
         top = d.filter("up_a = 0 AND up_b = 0")
         chain = d.filter("up_a + up_b = 1").select("k", F.when(F.col("up_a") == 1, F.col("pa")).otherwise(F.col("pb")).alias("p"), F.lit(True).alias("odd"))
         below = _chain_tops(chain).filter("NOT odd").join(top.select(F.col("k").alias("p")), "p", "left_semi")
-        win = cut(top.select("a", "b", "w", "k").unionByName(e.join(below.select("k"), "k", "left_semi").select("a", "b", "w", "k")))
-        win.select("a", "b", "w").write.mode("append").parquet(path)
-        used = win.select(F.col("a").alias("n")).unionByName(win.select(F.col("b").alias("n"))).distinct()
+        win = top.select("a", "b", "w", "k").unionByName(d.join(below.select("k"), "k", "left_semi").select("a", "b", "w", "k"))
+        win.select("a", "b", "w").write.parquet(f"{path}/turn={turn}")
+        win = spark.read.schema(schema).parquet(f"{path}/turn={turn}")
+        used = win.select(F.col("a").alias("n")).unionByName(win.select(F.col("b").alias("n")))
         e = cut(e.join(used.withColumnRenamed("n", "a"), "a", "left_anti").join(used.withColumnRenamed("n", "b"), "b", "left_anti"))
+        turn += 1
+    if not turn:
+        return edges.select(F.col(a), F.col(b), F.col(w)).limit(0)
     taken = spark.read.schema(schema).parquet(path)
     return taken.select(F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(w))
 
