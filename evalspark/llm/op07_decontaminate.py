@@ -5,8 +5,8 @@ Only DataFrame functions run here. A document stays one row: the positions whose
 first ``ANCHOR`` words hash into the (small) set of window beginnings are picked
 inside the row, only their windows are exploded and compared word for word with the
 broadcast windows, and one small aggregate puts the hits of a document together. No
-text is shuffled. A benchmark beyond the documented bound is not broadcast: then all
-windows of the documents are joined with it by a shuffle."""
+text is shuffled then. A benchmark beyond the documented bound is not broadcast: the hashes of all beginnings of
+windows in the documents are joined with its own by a shuffle, and only texts with a common one go on."""
 
 from __future__ import annotations
 
@@ -46,6 +46,22 @@ def _anchor_sql(n: int) -> str:
     return "xxhash64(" + ", ".join(f"get(words, i + {j})" for j in range(n)) + ")"
 
 
+def _with_spots(rows: DataFrame, heads: dict[int, DataFrame]) -> DataFrame:
+    """``rows`` with ``spots`` (structs ``pos``, ``len``): where a text has the hashed beginning of some window. What is shuffled are
+    hashes and places of all beginnings, 8 bytes and two numbers each, and then the texts that have any; equal texts
+    go by one hash."""
+    each = ", ".join(f"""CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}),
+        i -> named_struct('pos', i, 'len', {n}, 'key', {_anchor_sql(min(n, ANCHOR))})) ELSE array() END""" for n in heads)
+    none = "CAST(array() AS array<struct<pos:int,len:int,key:bigint>>)"
+    begins = rows.select("text_hash", F.expr(f"inline(concat({none}, {each}))"))
+    known = None
+    for n, keys in heads.items():
+        part = keys.select(F.lit(n).alias("len"), "key")
+        known = part if known is None else known.unionByName(part)
+    spots = stored(begins.join(known, ["len", "key"]).groupBy("text_hash").agg(F.collect_set(F.struct("pos", "len")).alias("spots")), "spots")
+    return rows.join(spots, "text_hash", "left").withColumn("spots", F.coalesce("spots", F.expr("CAST(array() AS array<struct<pos:int,len:int>>)")))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
               max_broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -58,22 +74,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("w") + 16 + 8 * F.size("items")), F.lit(0)).alias("bytes"),
                      F.sort_array(F.collect_set("len")).alias("lens")).first()
     small = size["n"] <= max_broadcast and size["bytes"] <= BROADCAST_BYTES
-    picks = []
-    for n in size["lens"]:  # at most `window` lengths; only short items add lengths below it
-        at = f"sequence(0, size(words) - {n})"
-        if small:
-            first = min(n, ANCHOR)
-            cols = [F.try_element_at("head", F.lit(j + 1)) for j in range(first)]
-            keys = [r[0] for r in grams.where(F.col("len") == n).select(F.xxhash64(*cols)).distinct().collect()]
-            at = f"filter({at}, i -> {_anchor_sql(first)} IN ({', '.join(f'{k}L' if k > -2**63 else '(-9223372036854775807L - 1L)' for k in keys)}))"
-        picks.append(f"""CASE WHEN size(words) >= {n}
-            THEN transform({at}, i -> named_struct('pos', i, 'len', {n}, 'w', array_join(slice(words, i + 1, {n}), ' ')))
-            ELSE array() END""")
-    none = "CAST(array() AS array<struct<pos:int,len:int,w:string>>)"
     # The words are computed once per row: the non-deterministic row number keeps the
     # projection that makes them from being merged into its users.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
                        words_of(F.col(text_col)).alias("words"), F.monotonically_increasing_id().alias("row"))
+    heads = {n: grams.where(F.col("len") == n).select(F.xxhash64(*[F.try_element_at("head", F.lit(j + 1)) for j in range(min(n, ANCHOR))]).alias("key")).distinct()
+             for n in size["lens"]}  # at most `window` lengths; only short items add lengths below it
+    window_at = "array_join(transform(sequence({at}, {at} + {n} - 1), k -> words[k]), ' ')"
+    picks = []
+    if small:
+        for n, keys in heads.items():
+            known = ", ".join(f"{k}L" if k > -2**63 else "(-9223372036854775807L - 1L)" for (k,) in keys.collect())
+            picks.append(f"""CASE WHEN size(words) >= {n}
+                THEN transform(filter(sequence(0, size(words) - {n}), i -> {_anchor_sql(min(n, ANCHOR))} IN ({known})),
+                               i -> named_struct('pos', i, 'len', {n}, 'w', {window_at.format(at="i", n=n)})) ELSE array() END""")
+    elif heads:
+        rows = _with_spots(rows, heads)
+        picks.append(f"transform(spots, s -> named_struct('pos', s.pos, 'len', s.len, 'w', {window_at.format(at='s.pos', n='s.len')}))")
+    none = "CAST(array() AS array<struct<pos:int,len:int,w:string>>)"
     picked = rows.select("row", "id", "text_hash", F.size("words").cast("long").alias("n_words"),
                          F.expr(f"concat({', '.join([none, *picks])})").alias("cand"))
     each = picked.select("row", "id", "text_hash", "n_words", F.explode_outer("cand").alias("c")) \
