@@ -37,6 +37,20 @@ def q_scan_runs(spark, d):
     return df.select("doc_id", "model", "mode", "task", "stamp", "passed", "pass_ratio")
 
 
+@query("scan_single_or_folder", ops=("S2",), sql=W("""
+SELECT doc_id, code_task, passed, pass_ratio, 'single_file' AS "group" FROM runs
+UNION ALL SELECT doc_id, code_task, passed, pass_ratio, NULL AS "group" FROM runs""", RUNS))
+def q_scan_single(spark, d):
+    """The same rows as one file and as a folder of files."""
+    runs = V.runs(spark, d).select("doc_id", "code_task", "passed", "pass_ratio", "run_name")
+    one, many = io.scratch_path(spark, "runs-one"), io.scratch_path(spark, "runs-many")
+    runs.drop("run_name").coalesce(1).write.option("header", True).option("escape", '"').csv(one)
+    io.write_run_files(runs, many)
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(one).select("path").first()
+    paths = ([file["path"]] if file else []) + [many]
+    return io.union_scans(spark, paths, RUN_CSV_SCHEMA).select("doc_id", "code_task", "passed", "pass_ratio", "group")
+
+
 DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 

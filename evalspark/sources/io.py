@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,12 +61,14 @@ def scan_runs(spark: SparkSession, path: str, schema: T.StructType, model: str |
     Filters on model / mode / task / stamp are column filters (S9), so a
     layout partitioned by them is pruned at planning time.
     """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        raise ValueError(f"Invalid path: {path}")
-    single = fs.getFileStatus(jvm_path).isFile()
-    df = _csv(spark, schema, on_corrupt).csv(path, pathGlobFilter="*.csv")
+    try:
+        df = _csv(spark, schema, on_corrupt).csv(path, pathGlobFilter="*.csv")
+        files = df.inputFiles()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise ValueError(f"Invalid path: {path}") from e
+    single = len(files) == 1 and files[0].rsplit("/", 1)[-1] == path.rstrip("/").rsplit("/", 1)[-1]
     df = df.withColumn("_file", F.col("_metadata.file_name"))
     if "run_name" not in df.columns:
         df = df.withColumn("run_name", F.regexp_replace("_file", r"\.csv$", ""))
@@ -80,6 +83,17 @@ def scan_runs(spark: SparkSession, path: str, schema: T.StructType, model: str |
     return df
 
 
+def union_scans(spark: SparkSession, paths: list[str], schema: T.StructType, **filters) -> DataFrame:
+    """``scan_runs`` of several folders and files, stacked; columns a path lacks are null."""
+    if not paths:
+        raise ValueError("no path to scan")
+    out = None
+    for path in paths:
+        df = scan_runs(spark, path, schema, **filters)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 # K1 -------------------------------------------------------------------------
 def write_runs(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("model", "mode")) -> None:
     """Store runs partitioned by model and mode (parquet default, CSV with header optional)."""
