@@ -174,11 +174,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("th"))
     entity = lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))
-    base = (rows.withColumn("base", base_spans(F.col("text")))
-            .select("id", "th", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), free_words(F.col("text"), F.col("base")).alias("terms")))
-    base = stored(base, "pii-base")
-    facts = stored(base.select("th", "entities", "terms").dropDuplicates(["th"]), "pii-facts")
-    base = base.select("id", "th", "base")
+    # Texts are made distinct before they are scanned: copies cost a hash each, and lists of words are never shuffled.
+    texts = rows.select("th", "text").dropDuplicates(["th"]).withColumn("base", base_spans(F.col("text")))
+    facts = stored(texts.select("th", F.array_distinct(F.transform("base", entity)).alias("entities"), free_words(F.col("text"), F.col("base")).alias("terms")), "pii-facts")
+    base = rows.select("id", "th", base_spans(F.col("text")).alias("base"))
     terms = stored(revealing_terms(facts, min_docs, min_share, min_bits, min_evidence), "pii-terms")
     if terms.isEmpty():
         return base.select(F.col("id").alias(id_col), "th", "base", F.col("base").alias("spans"))
