@@ -182,3 +182,29 @@ def variants(words: DataFrame, ratio: int = 10) -> DataFrame:
         if joined.where("further is not null").isEmpty():
             break
     return rows.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+# The query as DuckDB SQL: CRC-32 by its table (fixed polynomial 0xEDB88320), near words by what is left without one character.
+ORACLE = """
+WITH RECURSIVE bits AS MATERIALIZED (
+  SELECT i AS b, list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
+  FROM range(256) r(i)),
+crc AS MATERIALIZED (SELECT list(t ORDER BY b) AS t FROM bits),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+hashed AS (SELECT run, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(raw, 2 * k + 1, 2))::BIGINT FOR k IN range(length(raw) // 2)]),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+    FROM (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS raw FROM run WHERE length(run) >= 7), crc),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+skips AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n FROM skips a JOIN skips b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT s.word, w.word, w.n FROM skips s JOIN words w ON w.word = s.rest
+    UNION SELECT w.word, s.word, s.n FROM skips s JOIN words w ON w.word = s.rest),
+best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.b[1] >= 10 * w.n THEN b.b[2] END AS form,
+    CASE WHEN -b.b[1] >= 10 * w.n THEN -b.b[1] END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+way(word, root, step) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word)
+SELECT f.word, f.form, r.root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM formed f JOIN roots r ON r.word = f.word"""

@@ -100,3 +100,6 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = op13_spelling_variants.corpus_words(read(spark, sf_dir, "documents"), "doc_id", "text", min_chars=7, min_count=2, slip=31)
     return op13_spelling_variants.variants(words, ratio=10)
+
+
+ORACLE_SQL["op13_spelling_variants_trie"] = op13_spelling_variants.ORACLE
