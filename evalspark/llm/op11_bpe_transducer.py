@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES, MAX_PAIRS, MAX_KNOWN = 1 << 16, 1 << 17, 1 << 18  # the tables start anew beyond these; they only save work
+MAX_STATES, MAX_PAIRS, MAX_KNOWN = 1 << 16, 1 << 17, 1 << 19  # the tables start anew beyond these; they only save work
 FLUSH = 1 << 14
 SUBTREE = 64
 KNOWN_CHARS = 64
