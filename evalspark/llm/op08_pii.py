@@ -34,7 +34,8 @@ CARD = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # characters of a term
 SPLIT_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPREAD = 16
+SPREAD = 8
+BROADCAST_TEXTS = 2_000_000  # hashes of 8 bytes
 BLOCK = 256  # of the running sums inside a row
 
 SPANS = "array<struct<start:bigint,rank:int,finish:bigint,value:string>>"
@@ -151,14 +152,15 @@ def revealing_terms(facts: DataFrame, min_docs: int, min_share: float, min_bits:
     """``term``, ``bits``: words that reveal an entity. ``facts``, one row per different text: ``th`` (its hash), ``entities`` and
     ``terms`` (arrays without repeats). A word's bits are those of the entity it reveals most strongly."""
     held = facts.where(F.size("entities") > 0)
-    n_v = stored(held.select(F.explode("entities").alias("v")).groupBy("v").agg(F.count("*").alias("n_v")).where(F.col("n_v") >= min_docs), "pii-entities")
-    often = held.select("th", F.explode("entities").alias("v")).join(n_v.select("v"), "v").groupBy("th").agg(F.collect_list("v").alias("vs"))
+    n_v = held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_v")).where(F.col("n_v") >= min_docs)
+    n_v = stored(n_v.select("e", "n_v", F.monotonically_increasing_id().alias("v")), "pii-entities")  # written once, so the numbers stay
+    often = held.select("th", F.explode("entities").alias("e")).join(n_v.select("e", "v"), "e").groupBy("th").agg(F.collect_list("v").alias("vs"))
     both = held.select("th", "terms").join(often, "th").select(F.explode("vs").alias("v"), "terms").select("v", F.explode("terms").alias("term"))
     n_tv = both.groupBy("v", "term").agg(F.count("*").alias("n_tv")).where(F.col("n_tv") >= min_docs)
     n_t = facts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_docs)
     total = facts.count()
     bits = F.log2(F.col("n_tv") * F.lit(float(total)) / (F.col("n_t") * F.col("n_v")))
-    return (n_tv.join(n_t, "term").where(F.col("n_tv") >= F.lit(min_share) * F.col("n_t")).join(n_v, "v")
+    return (n_tv.join(n_t, "term").where(F.col("n_tv") >= F.lit(min_share) * F.col("n_t")).join(n_v.select("v", "n_v"), "v")
             .select("term", "n_tv", bits.alias("bits")).where((F.col("bits") >= min_bits) | (F.col("n_tv") * F.col("bits") >= min_evidence))
             .groupBy("term").agg(F.max("bits").alias("bits")))
 
@@ -181,13 +183,16 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     terms = stored(revealing_terms(facts, min_docs, min_share, min_bits, min_evidence), "pii-terms")
     if terms.isEmpty():
         return base.select(F.col("id").alias(id_col), "th", "base", F.col("base").alias("spans"))
-    hit = (facts.select("th", F.explode("terms").alias("term")).join(terms.select("term"), "term", "left_semi")
-           .groupBy("th").agg(F.collect_list("term").alias("terms")))
+    hit = stored(facts.select("th", F.explode("terms").alias("term")).join(terms.select("term"), "term", "left_semi")
+                 .groupBy("th").agg(F.collect_list("term").alias("terms")), "pii-hits")
+    some = rows
+    if hit.count() <= BROADCAST_TEXTS:  # the texts without a term are left out before the others are shuffled
+        some = rows.join(F.broadcast(hit.select("th")), "th", "left_semi")
     # A text's copies are spread over ``SPREAD`` keys: they do not meet in one task.
     salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
     hit = hit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     low = lower_az(F.col("text"))
-    texts = rows.withColumn("salt", salt).join(hit, ["th", "salt"])
+    texts = some.withColumn("salt", salt).join(hit, ["th", "salt"])
     placed = texts.select("id", "th", _words_in(_matches(low, F.lit(WORDS), 4), F.col("terms")).alias("found"))
     placed = placed.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.first("found").alias("found"))
     both = base.join(placed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
