@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalspark.operators.components import connected_components
+from evalspark.operators.pairs import touching
 from evalspark.session import cut, ensure_checkpoint_dir
 
 
@@ -79,43 +80,10 @@ def greedy_match(edges: DataFrame, a: str = "a", b: str = "b", w: str = "w") ->
 
 
 # B12 - B16 --------------------------------------------------------------------
-TILE = 64
-
-
-def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int = 6, tile: int = TILE) -> DataFrame:
-    """All pairs (i < j) within Euclidean distance ``eps`` -- exact, nothing dropped.
-
-    A point's cell is the grid cell (width ``eps``) of its distances to the first two
-    pivots; by the triangle inequality a pair within ``eps`` lies in the same or in
-    neighbouring cells. A cell with many points is cut into tiles of about ``tile``
-    points, and a pair of tiles is one join key, so no key holds more than two tiles,
-    however dense the data are. The other pivots are an exact filter before the
-    distance is computed.
-    """
-    from evalspark.operators.vectors import as_double_array, euclid
-    pts = points.select(F.col(pid).alias("id"), as_double_array(vec).alias("v"))
-    piv = pts.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).agg(F.collect_list("v")).scalar()
-    d = pts.withColumn("_piv", piv).withColumn("pd", F.transform("_piv", lambda p: euclid("v", p))).drop("_piv")
-    cell = [F.floor(F.col("pd")[0] / eps).cast("long"), F.floor(F.coalesce(F.try_element_at("pd", F.lit(2)), F.lit(0.0)) / eps).cast("long")]
-    d = cut(d.withColumns({"cx": cell[0], "cy": cell[1]}))
-    cells = cut(d.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles")))
-    d = d.join(cells, ["cx", "cy"]).withColumn("t", F.pmod(F.xxhash64("id", F.lit(5)), F.col("tiles")))
-    # cell pairs once: the second cell is the first one or comes after it
-    near = cells.select(F.col("cx"), F.col("cy"), F.col("tiles").alias("n1"), F.explode(F.expr(
-        "array(struct(0L AS x, 0L AS y), struct(0L AS x, 1L AS y), struct(1L AS x, -1L AS y), struct(1L AS x, 0L AS y), struct(1L AS x, 1L AS y))")).alias("o"))
-    near = near.select("cx", "cy", "n1", (F.col("cx") + F.col("o.x")).alias("dx"), (F.col("cy") + F.col("o.y")).alias("dy"))
-    near = cut(near.join(cells.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.col("tiles").alias("n2")), ["dx", "dy"]))
-    key = ["cx", "cy", "dx", "dy", "t1", "t2"]
-    left = d.join(near, ["cx", "cy"]).withColumn("t1", F.col("t")) \
-        .withColumn("t2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n2") - 1))).select(*key, "id", "v", "pd")
-    right = d.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), "t", F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("pd").alias("pd2")) \
-        .join(near, ["dx", "dy"]).withColumn("t2", F.col("t")) \
-        .withColumn("t1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n1") - 1))).select(*key, "id2", "v2", "pd2")
-    same = (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy"))
-    c = left.join(right, key).filter(~same & (F.col("id") != F.col("id2")) | (F.col("id") < F.col("id2")))
-    band = F.forall(F.zip_with("pd", "pd2", lambda x, y: F.abs(x - y) <= eps), lambda ok: ok)
-    c = c.filter(band).withColumn("dist", euclid("v", "v2")).filter(F.col("dist") <= eps)
-    return c.select(F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j"), "dist")
+def eps_pairs(points: DataFrame, pid: str, vec: str, eps: float, n_pivots: int = 6, tile: int | None = None) -> DataFrame:
+    """All pairs (i < j) within Euclidean distance ``eps`` -- exact, nothing dropped: the balls of half
+    that radius that touch. ``tile``: points of a block at most, by default as :func:`pairs.touching` sets it."""
+    return touching(points, pid, vec, F.lit(float(eps) / 2), n_pivots, tile)
 
 
 def dbscan(points: DataFrame, pid: str, vec: str, eps: float, min_pts: int) -> DataFrame:
