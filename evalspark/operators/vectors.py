@@ -240,20 +240,32 @@ def cumulative(v) -> Column:
     return fold_map(_c(v), F.lit(0.0), "double", lambda total, x: (total + x, total + x))
 
 
+def _with_vectors(pairs: DataFrame, a: str, b: str, series: DataFrame, sid: str, vec: str) -> DataFrame:
+    """The pairs with the vectors of both ends (``_va``, ``_vb``), which are shuffled as they are stored."""
+    return pairs.select(a, b).join(series.select(F.col(sid).alias(a), F.col(vec).alias("_va")), a) \
+        .join(series.select(F.col(sid).alias(b), F.col(vec).alias("_vb")), b)
+
+
 def pair_distance(pairs: DataFrame, a: str, b: str, series: DataFrame, sid: str, vec: str) -> DataFrame:
     """Euclidean norm of the difference of the cumulative series of each given pair."""
-    s = series.select(F.col(sid), cumulative(as_double_array(vec)).alias("_cum"))
-    j = pairs.join(s.withColumnRenamed(sid, a).withColumnRenamed("_cum", "_ca"), a) \
-        .join(s.withColumnRenamed(sid, b).withColumnRenamed("_cum", "_cb"), b)
-    return j.select(a, b, euclid("_ca", "_cb").alias("dist"))
+    def step(s: Column, x: Column) -> Column:
+        p, q = s["p"] + x["p"], s["q"] + x["q"]
+        return F.struct(p.alias("p"), q.alias("q"), (s["sum"] + (p - q) * (p - q)).alias("sum"))
+
+    j = _with_vectors(pairs, a, b, series, sid, vec)
+    both = F.zip_with(as_double_array("_va"), as_double_array("_vb"), lambda x, y: F.struct(x.alias("p"), y.alias("q")))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("p", "q", "sum")])
+    return j.select(a, b, F.aggregate(both, zero, step, lambda s: F.sqrt(s["sum"])).alias("dist"))
 
 
 def pair_corr(pairs: DataFrame, a: str, b: str, series: DataFrame, sid: str, vec: str) -> DataFrame:
-    """Pearson correlation per given pair, dimensions as observations (``corr`` aggregate)."""
-    s = series.select(F.col(sid), F.posexplode(as_double_array(vec)).alias("t", "x"))
-    j = pairs.join(s.withColumnRenamed(sid, a).withColumnRenamed("x", "xa"), a) \
-        .join(s.withColumnRenamed(sid, b).withColumnRenamed("x", "xb"), [b, "t"])
-    return j.groupBy(a, b).agg(F.corr("xa", "xb").alias("corr"))
+    """Pearson correlation per given pair, dimensions as observations (``corr`` aggregate). A pair's observations are made
+    beside each other after the joins, so that the partial aggregate leaves one row of them for the shuffle."""
+    j = _with_vectors(pairs, a, b, series, sid, vec)
+    both = F.least(F.size("_va"), F.size("_vb"))
+    obs = F.arrays_zip(F.slice(as_double_array("_va"), 1, both).alias("xa"), F.slice(as_double_array("_vb"), 1, both).alias("xb"))
+    j = j.where(both > 0).select(a, b, F.explode(obs).alias("_o"))
+    return j.groupBy(a, b).agg(F.corr("_o.xa", "_o.xb").alias("corr"))
 
 
 # B37 ----------------------------------------------------------------------------------
