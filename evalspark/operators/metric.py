@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalspark.operators.pairs import touching
 from evalspark.operators.vectors import as_double_array, euclid
 from evalspark.session import cut
 
@@ -116,17 +117,7 @@ def intersecting_spheres(spheres: DataFrame, key: str, centre: str = "centroid",
     """``key``, ``other`` (``key`` < ``other``), ``centre_dist``: the pairs of spheres that intersect (distance of the centres at most the
     sum of the radii), each once; no other pair is written. Keys are unique.
 
-    Spheres are indexed by classes of radius (powers of two); a sphere looks into the classes of its own size
-    and above, with its radius and the largest of the class, so a large sphere does not widen the search among small ones."""
-    s = cut(spheres.select(F.col(key).alias("k"), as_double_array(centre).alias("c"), F.col(radius).cast("double").alias("rad"))
-            .withColumn("class", F.when(F.col("rad") > 0, F.floor(F.log2("rad"))).otherwise(-1100).cast("int")))
-    index = Index(s.withColumn("item", F.struct("k", "rad")), "item", "c", F.col("class"))
-    most = s.groupBy("class").agg(F.max("rad").alias("top")).agg(F.collect_list(F.struct("class", "top")))  # at most some hundred classes
-    # One row per class that is searched: the radius is known per class.
-    q = s.withColumn("_m", F.explode(most.scalar())).where("_m.class >= class").select(
-        F.struct("k", "rad", "class").alias("q"), F.col("c").alias("qv"), (F.col("rad") + F.col("_m.top")).alias("r"), F.col("_m.class").alias("into"))
-    found = index.within(q, only=lambda c: c["g"] == F.col("into"))
-    pairs = found.where((F.col("dist") <= F.col("q.rad") + F.col("id.rad")) & (F.col("q.k") != F.col("id.k")))
-    # Inside a class both meet each other; between classes only the smaller one asks.
-    pairs = pairs.where((F.col("g") != F.col("q.class")) | (F.col("q.k") < F.col("id.k")))
-    return pairs.select(F.least("q.k", "id.k").alias(key), F.greatest("q.k", "id.k").alias("other"), F.col("dist").alias("centre_dist"))
+    Spheres are dealt into blocks by classes of radius (powers of two), and blocks meet blocks, each looked at as far as
+    their own radii reach (see :mod:`pairs`)."""
+    found = touching(spheres, key, centre, F.col(radius))
+    return found.select(F.col("i").alias(key), F.col("j").alias("other"), F.col("dist").alias("centre_dist"))
