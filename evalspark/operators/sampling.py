@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalspark.functions.arrays import let
 from evalspark.session import cut
 
 _SCALE = float(1 << 52)
@@ -88,12 +89,14 @@ def standard_gamma(id_col: str, shape: float, seed: int, stream: int = 0) -> Col
         def pair(j):
             x = F.pow(uniform01(id_col, j, F.lit(stream), F.lit("x"), seed=seed), F.lit(1.0 / part))
             y = F.pow(uniform01(id_col, j, F.lit(stream), F.lit("y"), seed=seed), F.lit(1.0 / (1.0 - part)))
-            return F.struct((x + y).alias("sum"), x.alias("x"))
+            return let(F.struct((x + y).alias("sum"), x.alias("x")), lambda t: F.struct(
+                ((t["sum"] <= 1.0) & (t["sum"] > 0.0)).alias("good"), t["sum"].alias("sum"), t["x"].alias("x")))
 
-        tries = F.transform(F.sequence(F.lit(1), F.lit(JOHNK_TRIES)), pair)
-        good = F.coalesce(F.try_element_at(F.filter(tries, lambda t: (t["sum"] <= 1.0) & (t["sum"] > 0.0)), F.lit(1)), F.element_at(tries, JOHNK_TRIES))
+        # A try is drawn only while none before it is accepted.
+        none = F.struct(F.lit(False).alias("good"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("x"))
+        good = F.aggregate(F.sequence(F.lit(1), F.lit(JOHNK_TRIES)), none, lambda found, j: F.when(found["good"], found).otherwise(pair(j)))
         scale = -F.log(1.0 - uniform01(id_col, F.lit(0), F.lit(stream), F.lit("e"), seed=seed))
-        out = out + scale * good["x"] / good["sum"]
+        out = out + let(good, lambda t: scale * t["x"] / t["sum"])
     return out
 
 

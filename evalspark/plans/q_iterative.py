@@ -166,6 +166,11 @@ def _gamma_sql(idc: str, shape: float, seed: int, stream: int = 0) -> str:
     return "(0.0::DOUBLE + " + " + ".join(terms) + ")"
 
 
+def _spread(ids):
+    """Ids dealt out evenly: their draws cost far more than they do, and a file may have few row groups."""
+    return ids.repartition(4 * ids.sparkSession.sparkContext.defaultParallelism)
+
+
 GAMMA_SHAPE, ALPHAS = 2.5, (1.0, 2.0, 0.5)
 GAMMA_SQL = f"""
 SELECT c_custkey, round(gamma, 6) AS gamma, round(g0 / (g0 + g1 + g2), 6) AS dir0, round(g1 / (g0 + g1 + g2), 6) AS dir1,
@@ -177,7 +182,7 @@ FROM (SELECT c_custkey, 2.0::DOUBLE * {_gamma_sql('c_custkey', GAMMA_SHAPE, 11)}
 
 @query("gamma_dirichlet_samples", ops=("B32",), sql=f"SELECT c_custkey, gamma, dir0, dir1, dir2 FROM ({GAMMA_SQL})")
 def q_gamma(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
+    c = _spread(table(spark, d, "customer").select("c_custkey"))
     g = SM.gamma(c, "c_custkey", GAMMA_SHAPE, 2.0, seed=11)
     g = SM.dirichlet(g, "c_custkey", ALPHAS, seed=13)
     return g.select("c_custkey", F.round("gamma", 6).alias("gamma"), *[F.round(F.col("dirichlet")[i], 6).alias(f"dir{i}") for i in range(len(ALPHAS))])
@@ -187,7 +192,7 @@ def q_gamma(spark, d):
 SELECT round(avg(u), 6) AS mean, round(stddev_pop(u), 6) AS std, count(u) AS n, 'uniform' AS sampler FROM ({GAMMA_SQL})
 UNION ALL SELECT round(avg(gamma), 6), round(stddev_pop(gamma), 6), count(gamma), 'gamma' FROM ({GAMMA_SQL})""")
 def q_moments(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
+    c = _spread(table(spark, d, "customer").select("c_custkey"))
     g = SM.gamma(SM.uniform(c, "c_custkey", 0.0, 1.0, seed=3), "c_custkey", GAMMA_SHAPE, 2.0, seed=11).withColumn("gamma", F.round("gamma", 6))
     out = SM.moments(g, "u").withColumn("sampler", F.lit("uniform")).unionByName(
         SM.moments(g, "gamma").withColumn("sampler", F.lit("gamma")))
