@@ -53,6 +53,10 @@ def gram_hashes(text: str, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
+    return _mixed(codes, n, q)
+
+
+def _mixed(codes: np.ndarray, n: int, q: int) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for j in range(q):
         h = h * np.uint64(MULTIPLIER) + codes[j:j + n]
@@ -91,17 +95,41 @@ def prefix(text: str, counts: np.ndarray, threshold: float, q: int) -> tuple[np.
     return h[order[:first]], order[:first]
 
 
+def reaching(texts: list[str], counts: np.ndarray, threshold: float, q: int) -> np.ndarray:
+    """Places of the texts whose prefix can hold a q-gram of the indexed side. A slot without a count has none, and such q-grams come
+    first: a text with as many of them as a prefix is long has no others in it. Counted for all texts at once."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    least, size = np.unique(lengths, return_inverse=True)
+    first = np.array([edits(int(n), threshold) * q + 1 for n in least], np.int64)[size]
+    n = len(codes) - q + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)[:n]
+    ends = np.cumsum(lengths)
+    inside = np.arange(n) + q <= ends[owner]  # the others begin in one text and end in the next
+    known = counts[(_mixed(codes, n, q) % np.uint64(SLOTS)).astype(np.int64)] > 0
+    unknown = np.bincount(owner[inside & ~known], minlength=len(texts))
+    some = np.bincount(owner[inside & known], minlength=len(texts)) > 0
+    return np.flatnonzero(some & (unknown < first))
+
+
 def _prefixes(texts: DataFrame, counts: np.ndarray, threshold: float, q: int) -> DataFrame:
-    """One row per q-gram of the prefix of ``texts`` (``id``, ``t``, ``n``): ``id``, ``n``, ``g``, ``at``."""
+    """One row per q-gram of the prefix of ``texts`` (``id``, ``t``, ``n``): ``id``, ``n``, ``g``, ``at``; q-grams that the indexed
+    side has not are left out."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
+            b = b.take(pa.array(reaching(b.column(1).to_pylist(), counts, threshold, q)))
             found = [prefix(t, counts, threshold, q) for t in b.column(1).to_pylist()]
             if found:
-                rows = pa.array(np.repeat(np.arange(b.num_rows), [len(g) for g, _ in found]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(np.concatenate([g for g, _ in found]).view(np.int64)),
-                                                  pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["id", "n", "g", "at"])
+                rows = np.repeat(np.arange(b.num_rows), [len(g) for g, _ in found])
+                grams, places = np.concatenate([g for g, _ in found]), np.concatenate([p for _, p in found])
+                known = counts[(grams % np.uint64(SLOTS)).astype(np.int64)] > 0
+                rows = pa.array(rows[known])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(grams[known].view(np.int64)),
+                                                  pa.array(places[known].astype(np.int32))], ["id", "n", "g", "at"])
 
     return texts.select("id", "t", "n").mapInArrow(run, "id bigint, n int, g bigint, at int")
 
